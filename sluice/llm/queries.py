@@ -6,11 +6,12 @@ what the operator returns.
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, rans, sharding, transducer
+from . import chat, decontaminate, language, mtree, neardup, packing, quality, rans, sharding, transducer
 from ._common import read
 
 #: Where the vocabulary files are: a parameter of the operators, this file for the queries.
@@ -23,6 +24,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2, with_ids=False)
 
@@ -44,12 +49,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
     return turned.select("conv_id", "part", "perspective", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(language.learnable()))
+    found = docs.select("doc_id", (~language.learnable()).alias("held_out"), language.identify(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.size("found.spans").cast("long").alias("n_spans"))
+
+
 def op8_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
 
@@ -61,8 +77,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs.where(quality.learnable()), read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (~quality.learnable()).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
@@ -102,9 +139,10 @@ FROM y GROUP BY conv_id, part, perspective
 
 
 def queries() -> dict:
-    own = [op2_best_fit_packing, op3_decontamination, op4_sharding, op6_chat_rotation, op8_rans_tokens, op9_token_counts]
+    own = [op1_mtree_search, op2_best_fit_packing, op3_decontamination, op4_sharding, op5_minhash_near_duplicates]
+    own += [op6_chat_rotation, op7_language_id, op8_rans_tokens, op9_token_counts, op10_line_quality, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op6_chat_rotation": OP6_SQL}
+    return {"op1_mtree_search": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op6_chat_rotation": OP6_SQL}
