@@ -17,7 +17,7 @@ _SPACE = r" \t\n\r\f\v"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+$")
 #: Other characters that some reading of \s takes as white space: a text that has one is not cut.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-_PLAIN = re.compile(f" [^{_SPACE}]+")
+_BLANKS = {"", *" \t\n\r\f\v"}
 #: Pieces that a worker remembers before it starts anew.
 KEEP = 1_500_000
 NEWLINE = 198
@@ -40,15 +40,21 @@ class Encoder:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if _PLAIN.fullmatch(p) and not any(s in p for s in self.specials)] if self.joinable else []
+        plain = [p for p in pieces if p[0] == " " and p[1:2] not in _BLANKS] if self.joinable else []
+        joined = {}
         for k in range(0, len(plain), 4096):  # one text of many pieces, a line each: the line ends are tokens of their own
             some = plain[k : k + 4096]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            parts = np.split(ids, np.flatnonzero(ids == NEWLINE))
-            if len(parts) != len(some):
+            text = "\n".join(some)
+            if any(s in text for s in self.specials):
+                continue
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = [-1, *np.flatnonzero(ids == NEWLINE).tolist(), len(ids)]
+            if len(ends) != len(some) + 1:
                 raise RuntimeError("the vocabulary does not keep line ends apart")
-            self.known.update((p, (x[1:] if n else x).tobytes()) for n, (p, x) in enumerate(zip(some, parts, strict=True)))
-        rest = list(pieces.difference(plain))
+            raw = ids.tobytes()
+            joined.update({p: raw[2 * a + 2 : 2 * b] for p, a, b in zip(some, ends, ends[1:], strict=False)})
+        self.known.update(joined)
+        rest = list(pieces.difference(joined))
         self.known.update(zip(rest, self._encode(rest), strict=True))
 
     def ids(self, texts) -> list[bytes]:
@@ -60,8 +66,7 @@ class Encoder:
         for pieces in cut:
             if pieces:
                 new.update(pieces)
-        new.difference_update(self.known)
-        if new:
+        if new := {p for p in new if p not in self.known}:
             self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) if pieces else self._encode([t])[0] if t else b"" for t, pieces in zip(texts, cut, strict=True)]

@@ -7,8 +7,9 @@ at least MIN_SCRIPT of its letters are of it.
 Prediction: each word has a log score for each language, 0 for the best; where its script has candidates, other languages
 score FLOOR. The path through a text's words that maximizes the sum of scores, less switch_cost for every change of language, labels each word; runs of
 one label are the spans. A text's language is the one with most letters, and its score that language's share of them.
-If no stretch of words would gain more than switch_cost by leaving the best single language, no path can beat staying, and
-the path is not computed; this is exact.
+Where
+the best single language of a text is ahead of the others by every path, its words have that label at once; the path is computed for the
+other stretches only. This is exact.
 
 Cases: a null text, or one without letters, is `und` with score 0 and no spans; ties go to the language first in order; rows are
 predicted one by one, so repeated rows agree; without training rows every text is `und`. Extra columns stay untouched.
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 1500
 BUCKETS = 1 << 16
 MIN_SCRIPT = 0.002
-FLOOR = -12.0
+FLOOR = -6.0
 SWITCH_COST = 12.0
 KEEP_WORDS = 600_000
+#: Texts that are labelled together.
+STEP = 512
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values of the Unicode block charts); a range ends where the next begins.
 SCRIPTS = [
@@ -88,58 +91,66 @@ class Tagger:
         self.model, self.cost = model, switch_cost
         self.number: dict[str, int] = {}
         self.rows = np.empty((0, len(model.languages)), np.float32)
+        self.sizes = np.empty(0, np.int64)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.number) > KEEP_WORDS:
             self.number.clear()
-            self.rows = self.rows[:0]
+            self.rows, self.sizes = self.rows[:0], self.sizes[:0]
         new = [w for w in words if w not in self.number]
         letters = [w for w in new if any(c.isalpha() for c in w)]
         self.number.update((w, -1) for w in set(new).difference(letters))
         if letters:
             first = len(self.rows)
             self.rows = np.concatenate([self.rows, self.model.scores(letters)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, letters), np.int64, len(letters))])
             self.number.update((w, first + k) for k, w in enumerate(letters))
 
-    def words(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text the numbers of its words and their lengths."""
+    def words(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the numbers of its words."""
         cut = [_WORD.findall(t) if t else [] for t in texts]
         self._learn({w for ws in cut for w in ws})
-        out = []
-        for ws in cut:
-            n = np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))
-            size = np.fromiter(map(len, ws), np.int64, len(ws))
-            out.append((n[n >= 0], size[n >= 0]))
-        return out
+        out = [np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws)) for ws in cut]
+        return [n[n >= 0] for n in out]
 
     def labels(self, numbers: np.ndarray) -> np.ndarray:
-        """The language of each word by the best path."""
+        """The languages of a text's words by the best path; the text is not empty."""
         s = self.rows[numbers].astype(np.float64)
-        best = int(s.sum(axis=0).argmax())
+        best, c, n = int(s.sum(axis=0).argmax()), self.cost, len(s)
+        out = np.full(n, best)
+        # How much more than -c every language can be ahead of the best one by a word, while the best one is never behind any: a walk held at 0 from
+        # below that starts at c. At most 0: a best path has the best language here, whatever follows. At most c: the best language is ahead.
         gain = np.cumsum(s - s[:, [best]], axis=0)
-        low = np.zeros_like(gain)  # the least gain before each word, 0 before the first
-        np.minimum(np.minimum.accumulate(gain[:-1], axis=0), 0, out=low[1:])
-        if (gain - low).max() <= self.cost:  # no stretch pays for leaving: staying is a best path
-            return np.full(len(s), best)
-        return viterbi(s, self.cost)
-
-
-def viterbi(s: np.ndarray, cost: float) -> np.ndarray:
-    """The labels that maximize the sum of s[t, label] less cost for every change."""
-    n, k = s.shape
-    value, stayed, came = s[0].copy(), np.ones((n, k), bool), np.zeros(n, np.int64)
-    for t in range(1, n):
-        came[t] = value.argmax()
-        switch = value[came[t]] - cost
-        stayed[t] = value >= switch
-        value = np.maximum(value, switch) + s[t]
-    out = np.empty(n, np.int64)
-    own = int(value.argmax())
-    for t in range(n - 1, -1, -1):
-        out[t] = own
-        if not stayed[t, own]:
-            own = int(came[t])
-    return out
+        low = np.full_like(gain, -c)
+        np.minimum(np.minimum.accumulate(gain[:-1], axis=0), -c, out=low[1:])
+        ahead = np.delete(gain - low, best, axis=1).max(axis=1, initial=-np.inf)
+        over, sure = np.flatnonzero(ahead > c), np.flatnonzero(ahead <= 0)
+        done = 0  # words before this one have their labels
+        while (k := np.searchsorted(over, done)) < len(over):
+            first = over[k]
+            m = np.searchsorted(sure, first)
+            begin = max(done, sure[m - 1] + 1 if m else 0)
+            done = begin + self._path(s, best, begin, first, out)
+        return out
+
+    def _path(self, s: np.ndarray, best: int, begin: int, past: int, out: np.ndarray) -> int:
+        """Viterbi from begin on, until after past it is sure that the path is back at the best language; how many words it labelled."""
+        c = self.cost
+        value = np.where(np.arange(s.shape[1]) == best, 0.0, -c) if begin else np.zeros(s.shape[1])
+        value, steps = value + s[begin], []
+        t = begin
+        while t + 1 < len(s) and not (t >= past and np.delete(value, best).max(initial=-np.inf) + c <= value[best]):
+            t += 1
+            top = int(value.argmax())
+            stay = value >= value[top] - c
+            steps.append((stay, top))
+            value = np.maximum(value, value[top] - c) + s[t]
+        own = int(value.argmax()) if t + 1 == len(s) else best
+        for at in range(t, begin - 1, -1):
+            out[at] = own
+            if at > begin and not steps[at - begin - 1][0][own]:
+                own = steps[at - begin - 1][1]
+        return t + 1 - begin
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -195,13 +206,14 @@ def identify(text: Column, model: Model, switch_cost: float = SWITCH_COST) -> Co
         for texts in batches:
             out = []
             values = texts.tolist()
-            for k in range(0, len(values), 256):
-                for numbers, sizes in tagger.words(values[k : k + 256]) if tagger else [(np.empty(0), None)] * len(values[k : k + 256]):
+            for k in range(0, len(values), STEP):
+                some = tagger.words(values[k : k + STEP]) if tagger else [np.empty(0, np.int64)] * len(values[k : k + STEP])
+                for numbers in some:
                     if not len(numbers):
                         out.append((UNKNOWN, 0.0, []))
                         continue
                     own = tagger.labels(numbers)
-                    letters = np.bincount(own, sizes, len(languages))
+                    letters = np.bincount(own, tagger.sizes[numbers], len(languages))
                     best = int(letters.argmax())
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
                     spans = [{"word": int(a), "words": int(b - a), "lang": languages[own[a]]} for a, b in zip(edges, edges[1:], strict=False)]
