@@ -15,8 +15,9 @@ import numpy as np
 
 _SPACE = r" \t\n\r\f\v"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+$")
-#: Other characters that some reading of \s takes as white space: a text that has one is not cut.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+#: Other code points that some reading of white space takes in (fixed values): a text that has one is not cut.
+_ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+_ODD = re.compile(f"[{''.join(map(chr, _ODD_CODES))}]")
 _BLANKS = {"", *" \t\n\r\f\v"}
 #: Pieces that a worker remembers before it starts anew.
 KEEP = 1_500_000
