@@ -9,11 +9,14 @@ Candidates. For each of HASHES hash functions, a text's sample is the shingle, w
 two texts share a sample with the probability of their weighted Jaccard similarity. Bands of BAND samples each are hashed, and texts
 that share a band are candidates.
 
-Verification. Every candidate link is checked by exact weighted Jaccard similarity of whole texts against the threshold. Texts
-with equal words are one node from the start. Each node is first checked against one leader, the one it shares most bands with; connected
-components follow. Then every pair of nodes that share a band but not a component is checked, so that within buckets no link between components is
-left out, yet members of one component are never expanded into pairs. A bucket of more than MANY nodes that still spans several components is first split
-by further bands, as often as it stays that large. Classes are the components of all verified links.
+Verification. A link counts only if the exact weighted Jaccard similarity of the whole texts reaches the threshold. Texts with equal
+words are one node from the start. Each node is first checked against one leader: of the nodes it shares a bucket with, the one that shares
+most buckets with others, which is the original of a family of copies rather than one of its edits. Connected components follow. Then
+every pair of nodes that share a bucket but not a component is a candidate, less those that cannot reach the threshold for sure: nodes with
+one leader whose distances to it differ by more than a link's (1 - similarity is a metric), and nodes whose sketches (their weight by hashed
+bucket) bound the similarity below it. The others are checked. Members of one component are never expanded into pairs. A bucket of more
+than MANY nodes that spans several components is first split by SPLIT further bands, as often as it stays that large. Classes are the
+components of all verified links.
 
 Work in Spark: signatures, nodes and links are staged tables in the shared folder; the driver sees counts only. Hot buckets are met by
 a join with the few large buckets, whose number their size bounds; all else by shuffled joins.
@@ -44,6 +47,9 @@ HASHES = 24
 STEPS = (0, 1, 5, 11)
 IDF_BUCKETS = 1 << 18
 MANY = 128
+#: The bands by which such buckets are split.
+SPLIT = tuple(range(0, HASHES, 3))
+SKETCH = 256
 HOT_SHARE = 20_000
 STEP = 64
 KEEP_WORDS = 600_000
@@ -197,10 +203,43 @@ def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", te
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, _SIG)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Those (a, b) of pairs whose texts are similar enough."""
+def _texts(wanted: DataFrame, signed: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(key, text, sketch) of the wanted (key, row); a sketch has the weight of a text by SKETCH hashed buckets, as 16-bit floats."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            own = [shingles(words.hashes(t), idf) for t in batch.column(1).to_pylist()]
+            with np.errstate(over="ignore"):
+                sketch = [np.bincount((h % np.uint64(SKETCH)).astype(np.int64), w, SKETCH).astype("<f2").tobytes() for h, w in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch, pa.binary())], ["key", "text", "sketch"])
+
+    return wanted.join(signed.select("row", "text"), "row").select("key", "text").mapInArrow(draw, "key binary, text string, sketch binary")
+
+
+def _both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): pairs with a column of texts of either side."""
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(texts.select(F.col("key").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those (a, b) of pairs whose sketches leave it possible that they reach the threshold: an upper bound, with room for rounding."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<f2").reshape(-1, SKETCH).astype(np.float32) for k in (2, 3))
+            low, high = np.minimum(x, y).sum(axis=1), np.maximum(x, y).sum(axis=1)
+            mask = pa.array(~(low * 1.003 < threshold * high * 0.997) | ~np.isfinite(high), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return _both(pairs, texts, "sketch").mapInArrow(bound, "a binary, b binary")
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, sim): the exact similarity of the pairs' texts."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         held: dict[bytes, tuple] = {}
 
@@ -213,13 +252,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
 
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [similarity(shingles(words.hashes(s), idf), of(k, t)) >= threshold for s, k, t in zip(x, b, y, strict=True)]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            sim = [similarity(of(j, s), of(k, t)) for j, k, s, t in zip(a, b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
+    return _both(pairs, texts, "text").mapInArrow(measure, "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,35 +279,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("key", "comp")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, key, size, leader) of the buckets with more than one node, staged; leader is the least key of the bucket."""
-    each = nodes.select("key", F.explode("bands").alias("bucket"))
-    size = staged(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).where("size > 1"), "buckets")
-    total = nodes.count()
+def _hot_join(rows: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """rows with what buckets (bucket, size, ...) has of their bucket; large buckets, few by their size, meet rows by a broadcast."""
     large = max(1000, total * HASHES // HOT_SHARE)  # there are at most HOT_SHARE buckets of more nodes
-    hot, cold = size.where(F.col("size") > large), size.where(F.col("size") <= large)
-    is_hot = F.broadcast(hot.select("bucket"))
-    met = each.join(F.broadcast(hot), "bucket").unionByName(each.join(is_hot, "bucket", "left_anti").join(cold, "bucket"))
-    out = staged(met, "members")
-    drop(size)
-    return out
+    hot, cold = buckets.where(F.col("size") > large), buckets.where(F.col("size") <= large)
+    rest = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti")
+    return rows.join(F.broadcast(hot), "bucket").unionByName(rest.join(cold, "bucket"))
+
 
+def _cross_pairs(members: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """All pairs (a, b) that share a bucket but not a component, less those that their common leader rules out.
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a bucket but not a component; members: bucket, key, comp. Large buckets are split by further bands."""
+    members: bucket, key, comp, lead, far. Two nodes that are farther from one leader by more than reach are farther than reach from each other.
+    """
     done = []
     for depth in range(4):
         spread = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "n")
         own = staged(members.join(spread, "bucket"), "spread")
         small = own.where(F.col("n") <= MANY) if depth < 3 else own
-        right = small.select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = small.select("bucket", F.col("key").alias("a"), "comp").join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-        done.append(pairs.select("a", "b"))
+        right = small.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "comp", "lead", "far")])
+        ruled_out = (F.col("lead") == F.col("lead_b")) & (F.abs(F.col("far") - F.col("far_b")) > reach + 1e-9)
+        apart = (F.col("key") < F.col("key_b")) & (F.col("comp") != F.col("comp_b")) & ~ruled_out
+        done.append(small.join(right, (small["bucket"] == right["bucket"]) & apart).select(F.col("key").alias("a"), F.col("key_b").alias("b")))
         large = own.where(F.col("n") > MANY)
         if depth == 3 or large.isEmpty():
             break
-        again = large.join(nodes.select("key", "bands"), "key").select("key", "comp", "bucket", F.explode("bands").alias("next"))
-        members = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "comp").distinct()
+        further = nodes.select("key", F.array(*[F.col("bands")[k] for k in SPLIT]).alias("bands"))
+        again = large.drop("n").join(further, "key").withColumn("next", F.explode("bands")).where(F.col("next") != F.col("bucket"))
+        members = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "comp", "lead", "far")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -288,15 +323,24 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
     signed = staged(signatures(documents, idf, id_col, text_col), "signed")
     worded = signed.where(F.col("key").isNotNull())
     nodes = staged(worded.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands")), "nodes")
-    members = _members(nodes)
-    once = members.where(F.col("key") != F.col("leader")).groupBy("key", "leader").agg(F.count(F.lit(1)).alias("shared"))
-    best = once.groupBy("key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")).select(F.col("key").alias("a"), "b")
-    wanted = members.select("key").distinct().join(nodes.select("key", F.col("first.row").alias("row")), "key")
-    texts = staged(wanted.join(signed.select("row", "text"), "row").select("key", "text"), "texts")
-    links = staged(_verified(best, texts, idf, threshold), "links")
+    total = nodes.count()
+    each = nodes.select("key", F.explode("bands").alias("bucket"))
+    sizes = staged(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    members = staged(_hot_join(each, sizes, total), "members")
+    wanted = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("degree")).join(nodes.select("key", F.col("first.row").alias("row")), "key")
+    texts = staged(_texts(wanted.select("key", "row"), signed, idf), "texts")
+    ranked = staged(members.join(wanted.select("key", "degree"), "key"), "ranked")
+    leaders = ranked.groupBy("bucket").agg(F.max("size").alias("size"), F.max(F.struct("degree", "key")).alias("top"))
+    led = _hot_join(ranked.select("bucket", "key"), leaders, total).where(F.col("key") != F.col("top.key"))
+    best = led.groupBy("key").agg(F.max("top").alias("top")).select(F.col("key").alias("a"), F.col("top.key").alias("b"))
+    measured = staged(_measured(best, texts, idf), "measured")
+    links = measured.where(F.col("sim") >= threshold).select("a", "b")
     comps = components(links)
-    held = members.select("bucket", "key").join(comps, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    more = staged(_verified(_cross_pairs(staged(held, "held"), nodes), texts, idf, threshold), "links")
+    facts = wanted.select("key").join(comps, "key", "left").join(measured.select(F.col("a").alias("key"), F.col("b").alias("lead"), (1 - F.col("sim")).alias("far")), "key", "left")
+    facts = staged(facts.select("key", F.coalesce("comp", "key").alias("comp"), F.coalesce("lead", "key").alias("lead"), F.coalesce("far", F.lit(0.0)).alias("far")), "facts")
+    pairs = _cross_pairs(members.select("bucket", "key").join(facts, "key"), nodes, 1 - threshold)
+    left = staged(_possible(staged(pairs, "pairs"), texts, threshold), "possible")
+    more = staged(_measured(left, texts, idf), "measured").where(F.col("sim") >= threshold).select("a", "b")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     # comp of nodes without a link is the node itself
@@ -310,7 +354,7 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.coalesce(F.col("row") == F.col("head.row"), F.col("key").isNull()).alias("representative"),
     )
-    drop(members, texts)
+    drop(members, ranked, texts)
     return out, signed
 
 
