@@ -10,13 +10,14 @@ two texts share a sample with the probability of their weighted Jaccard similari
 that share a band are candidates.
 
 Verification. A link counts only if the exact weighted Jaccard similarity of the whole texts reaches the threshold. Texts with equal
-words are one node from the start. Each node is first checked against one leader: of the nodes it shares a bucket with, the one that shares
-most buckets with others, which is the original of a family of copies rather than one of its edits. Connected components follow. Then
-every pair of nodes that share a bucket but not a component is a candidate, less those that cannot reach the threshold for sure: nodes with
-one leader whose distances to it differ by more than a link's (1 - similarity is a metric), and nodes whose sketches (their weight by hashed
-bucket) bound the similarity below it. The others are checked. Members of one component are never expanded into pairs. A bucket of more
-than MANY nodes that spans several components is first split by SPLIT further bands, as often as it stays that large. Classes are the
-components of all verified links.
+words are one node from the start. A bucket's top is the node in it that shares most buckets with others, which is the original of a family of
+copies rather than one of its edits. Each node is first checked against one leader, the greatest of the tops of its buckets, and connected
+components follow. What is left is every pair of nodes that share a bucket but not a component. These meet in cells: the cell of a top holds the
+nodes of the buckets that it tops, so every such pair shares a cell, and a node is in few cells. A task checks the pairs of a cell against each
+other in place, those that share most bands first, and joins components as it finds links, so that it puts out fewer links than it has nodes
+and no pair is ever a row. Pairs are passed over only where it is certain that they do not reach the threshold: by the distances to a common leader
+(1 - similarity is a metric), or by sketches (weights by hashed bucket). A cell of more than CELL nodes, long texts counting more, is cut into blocks
+by a hash, and every two blocks make a task's group, so groups stay bounded and no pair is missed. Classes are the components of all links.
 
 Work in Spark: signatures, nodes and links are staged tables in the shared folder; the driver sees counts only. Hot buckets are met by
 a join with the few large buckets, whose number their size bounds; all else by shuffled joins.
@@ -46,10 +47,11 @@ HASHES = 24
 #: Band k takes the samples k + d, modulo HASHES, for these steps d.
 STEPS = (0, 1, 5, 11)
 IDF_BUCKETS = 1 << 18
-MANY = 128
-#: The bands by which such buckets are split.
-SPLIT = tuple(range(0, HASHES, 3))
+#: A cell is cut into blocks of about this weight: 1 for a node, and 1 more for every LONG shingles.
+CELL, LONG = 384, 4096
 SKETCH = 256
+#: Pairs whose sketches are compared together.
+PAIRS = 4096
 HOT_SHARE = 20_000
 STEP = 64
 KEEP_WORDS = 600_000
@@ -203,37 +205,17 @@ def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", te
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, _SIG)
 
 
-def _texts(wanted: DataFrame, signed: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(key, text, sketch) of the wanted (key, row); a sketch has the weight of a text by SKETCH hashed buckets, as 16-bit floats."""
+def _sets(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(key, weight, hashes, weights) of (key, text): its shingles, and what it counts for in a block."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             own = [shingles(words.hashes(t), idf) for t in batch.column(1).to_pylist()]
-            with np.errstate(over="ignore"):
-                sketch = [np.bincount((h % np.uint64(SKETCH)).astype(np.int64), w, SKETCH).astype("<f2").tobytes() for h, w in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch, pa.binary())], ["key", "text", "sketch"])
+            columns = [batch.column(0), pa.array([1 + len(h) // LONG for h, _ in own], pa.int64()), pa.array([h.tobytes() for h, _ in own], pa.binary()), pa.array([w.tobytes() for _, w in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "hashes", "weights"])
 
-    return wanted.join(signed.select("row", "text"), "row").select("key", "text").mapInArrow(draw, "key binary, text string, sketch binary")
-
-
-def _both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): pairs with a column of texts of either side."""
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col(column).alias("x")), "a")
-    return left.join(texts.select(F.col("key").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
-
-
-def _possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those (a, b) of pairs whose sketches leave it possible that they reach the threshold: an upper bound, with room for rounding."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<f2").reshape(-1, SKETCH).astype(np.float32) for k in (2, 3))
-            low, high = np.minimum(x, y).sum(axis=1), np.maximum(x, y).sum(axis=1)
-            mask = pa.array(~(low * 1.003 < threshold * high * 0.997) | ~np.isfinite(high), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return _both(pairs, texts, "sketch").mapInArrow(bound, "a binary, b binary")
+    return texts.select("key", "text").mapInArrow(cut, "key binary, weight long, hashes binary, weights binary")
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -255,7 +237,9 @@ def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
             sim = [similarity(of(j, s), of(k, t)) for j, k, s, t in zip(a, b, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    return _both(pairs, texts, "text").mapInArrow(measure, "a binary, b binary, sim double")
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(measure, "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,30 +271,71 @@ def _hot_join(rows: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(hot), "bucket").unionByName(rest.join(cold, "bucket"))
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """All pairs (a, b) that share a bucket but not a component, less those that their common leader rules out.
+class Joined:
+    """Components that have been joined, by path halving."""
+
+    def __init__(self):
+        self.root: dict[bytes, bytes] = {}
+
+    def find(self, k: bytes) -> bytes:
+        root = self.root
+        while (up := root.get(k, k)) != k:
+            root[k] = k = root.get(up, up)
+        return k
+
 
-    members: bucket, key, comp, lead, far. Two nodes that are farther from one leader by more than reach are farther than reach from each other.
+def links_of(comp: list, lead: list, far: np.ndarray, bands: np.ndarray, sets: list, side: np.ndarray, threshold: float) -> list[tuple]:
+    """Links (component, component) that join the components of the nodes of one group, as few as do so.
+
+    side: 0 and 1 for nodes of two blocks, whose pairs across are looked at; all 0 for pairs inside one block.
     """
-    done = []
-    for depth in range(4):
-        spread = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "n")
-        own = staged(members.join(spread, "bucket"), "spread")
-        small = own.where(F.col("n") <= MANY) if depth < 3 else own
-        right = small.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "comp", "lead", "far")])
-        ruled_out = (F.col("lead") == F.col("lead_b")) & (F.abs(F.col("far") - F.col("far_b")) > reach + 1e-9)
-        apart = (F.col("key") < F.col("key_b")) & (F.col("comp") != F.col("comp_b")) & ~ruled_out
-        done.append(small.join(right, (small["bucket"] == right["bucket"]) & apart).select(F.col("key").alias("a"), F.col("key_b").alias("b")))
-        large = own.where(F.col("n") > MANY)
-        if depth == 3 or large.isEmpty():
-            break
-        further = nodes.select("key", F.array(*[F.col("bands")[k] for k in SPLIT]).alias("bands"))
-        again = large.drop("n").join(further, "key").withColumn("next", F.explode("bands")).where(F.col("next") != F.col("bucket"))
-        members = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "comp", "lead", "far")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.distinct()
+    n = len(comp)
+    number = lambda values: np.unique(np.array(values, object), return_inverse=True)[1]
+    of, by = number(comp), number(lead)
+    shared = np.zeros((n, n), np.uint8)
+    for k in range(HASHES):
+        shared += bands[:, k, None] == bands[None, :, k]
+    able = (shared > 0) & (of[:, None] != of[None, :])
+    able &= ~((by[:, None] == by[None, :]) & (np.abs(far[:, None] - far[None, :]) > 1 - threshold + 1e-9))
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    able &= np.minimum(total[:, None], total[None, :]) >= threshold * np.maximum(total[:, None], total[None, :]) * (1 - 1e-6)
+    able &= side[:, None] != side[None, :] if side.any() else True
+    a, b = np.nonzero(np.triu(able, 1))
+    order = np.argsort(-shared[a, b].astype(np.int16), kind="stable")
+    a, b = a[order], b[order]
+    sketch = np.stack([np.bincount((h % np.uint64(SKETCH)).astype(np.int64), w, SKETCH) for h, w in sets]) if len(a) else None
+    joined, out = Joined(), []
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+        apart, sum_ = np.abs(sketch[x] - sketch[y]).sum(axis=1), total[x] + total[y]  # the similarity is at most (sum - apart) / (sum + apart)
+        near = sum_ - apart >= threshold * (sum_ + apart) - 1e-6 * sum_
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            u, v = joined.find(comp[i]), joined.find(comp[j])
+            if u != v and similarity(sets[i], sets[j]) >= threshold:
+                joined.root[u] = v
+                out.append((comp[i], comp[j]))
+    return out
+
+
+def _cell_links(cells: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components from cells (top, key); facts: key, comp, lead, far, bands, weight, hashes, weights."""
+    met = staged(cells.join(facts.select("key", "weight"), "key"), "met")
+    parts = met.groupBy("top").agg(F.ceil(F.sum("weight") / CELL).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")
+    placed = met.select("top", "key").join(parts, "top").withColumn("own", own)
+    full = placed.join(facts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def check(group: pa.Table) -> pa.Table:
+        own, other = (group.column(name).to_numpy() for name in ("own", "other"))
+        side, links = (own > other).astype(np.int8), []
+        if own[0] == other[0] or 0 < side.sum() < len(side):
+            c = {name: group.column(name).to_pylist() for name in ("comp", "lead", "bands", "hashes", "weights")}
+            sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for h, w in zip(c["hashes"], c["weights"], strict=True)]
+            links = links_of(c["comp"], c["lead"], group.column("far").to_numpy(), np.array(c["bands"], np.int64), sets, side, threshold)
+        return pa.table({name: pa.array([x[k] for x in links], pa.binary()) for k, name in enumerate("ab")})
+
+    group = [F.col("top"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    return full.groupBy(*group).applyInArrow(check, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,23 +353,27 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
     sizes = staged(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     members = staged(_hot_join(each, sizes, total), "members")
     wanted = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("degree")).join(nodes.select("key", F.col("first.row").alias("row")), "key")
-    texts = staged(_texts(wanted.select("key", "row"), signed, idf), "texts")
+    wanted = staged(wanted, "wanted")
+    texts = staged(wanted.select("key", "row").join(signed.select("row", "text"), "row").select("key", "text"), "texts")
     ranked = staged(members.join(wanted.select("key", "degree"), "key"), "ranked")
-    leaders = ranked.groupBy("bucket").agg(F.max("size").alias("size"), F.max(F.struct("degree", "key")).alias("top"))
-    led = _hot_join(ranked.select("bucket", "key"), leaders, total).where(F.col("key") != F.col("top.key"))
+    tops = staged(ranked.groupBy("bucket").agg(F.max("size").alias("size"), F.max(F.struct("degree", "key")).alias("top")), "tops")
+    led = _hot_join(ranked.select("bucket", "key"), tops, total).where(F.col("key") != F.col("top.key"))
     best = led.groupBy("key").agg(F.max("top").alias("top")).select(F.col("key").alias("a"), F.col("top.key").alias("b"))
     measured = staged(_measured(best, texts, idf), "measured")
-    links = measured.where(F.col("sim") >= threshold).select("a", "b")
-    comps = components(links)
+    comps = components(measured.where(F.col("sim") >= threshold).select("a", "b"))
+    # comp of nodes without a link is the node itself
     facts = wanted.select("key").join(comps, "key", "left").join(measured.select(F.col("a").alias("key"), F.col("b").alias("lead"), (1 - F.col("sim")).alias("far")), "key", "left")
     facts = staged(facts.select("key", F.coalesce("comp", "key").alias("comp"), F.coalesce("lead", "key").alias("lead"), F.coalesce("far", F.lit(0.0)).alias("far")), "facts")
-    pairs = _cross_pairs(members.select("bucket", "key").join(facts, "key"), nodes, 1 - threshold)
-    left = staged(_possible(staged(pairs, "pairs"), texts, threshold), "possible")
-    more = staged(_measured(left, texts, idf), "measured").where(F.col("sim") >= threshold).select("a", "b")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
-    # comp of nodes without a link is the node itself
+    spread = members.join(facts.select("key", "comp"), "key").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    topped = tops.join(spread.select("bucket"), "bucket")
+    cells = staged(_hot_join(members.select("bucket", "key"), topped, total).select(F.col("top.key").alias("top"), "key").distinct(), "cells")
+    placed = cells.select("key").distinct()
+    full = facts.join(placed, "key").join(nodes.select("key", "bands"), "key").join(_sets(texts.join(placed, "key"), idf), "key")
+    more = staged(_cell_links(cells, staged(full, "full"), threshold), "links")
     named = nodes.select("key", "first").join(comps, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
+    if not more.isEmpty():
+        wider = components(more).select(F.col("key").alias("comp"), F.col("comp").alias("wider"))
+        named = named.join(wider, "comp", "left").select("key", "first", F.coalesce("wider", "comp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("head"))
     heads = staged(named.join(least, "comp").select("key", "head"), "heads")
     rows = signed.select("doc_id", "row", "key").join(heads, "key", "left")
@@ -354,7 +383,7 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.coalesce(F.col("row") == F.col("head.row"), F.col("key").isNull()).alias("representative"),
     )
-    drop(members, ranked, texts)
+    drop(members, ranked, texts, cells, wanted, tops)
     return out, signed
 
 
