@@ -1,0 +1,82 @@
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import quality
+from sluice.llm.queries import op10_line_quality
+
+SIZE = "/root/testdata/sf0.01"
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    good = label == 1
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_held_out_labels(spark):
+    got = op10_line_quality(spark, SIZE).toPandas()
+    labels = spark.read.parquet(f"{SIZE}/labels.parquet").toPandas()
+    met = got.merge(labels, on="doc_id")
+    held = met[met["held_out"]]
+    assert len(held) > 30
+    assert auc(held["score"].to_numpy(), held["quality"].to_numpy()) > 0.9
+    assert ((held["predicted"] == held["quality"]).mean()) > 0.85
+    assert got["score"].between(0, 1).all() and ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
+
+
+def test_marginals_equal_the_sum_over_all_labellings():
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 0, 1, 5])
+    unary, pair = rng.normal(0, 2, 9), rng.normal(0, 1, (2, 2))
+    good, pairs, log_z = quality.marginals(unary, pair, counts)
+    want, joint, z_all, at = [], np.zeros((2, 2)), 0.0, 0
+    for n in counts:
+        own = unary[at : at + n]
+        at += n
+        if not n:
+            continue
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        weight = np.exp([sum(u for u, y in zip(own, p, strict=True) if y) + sum(pair[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        z_all += np.log(weight.sum())
+        weight /= weight.sum()
+        want += [sum(w for w, p in zip(weight, paths, strict=True) if p[k]) for k in range(n)]
+        for w, p in zip(weight, paths, strict=True):
+            for a, b in itertools.pairwise(p):
+                joint[a, b] += w
+    assert good == pytest.approx(want) and pairs == pytest.approx(joint) and log_z == pytest.approx(z_all)
+
+
+def test_neighbours_do_not_cross_texts():
+    own, _, counts = quality.line_features(["One line here.\nAnother line | there", None, "\n \n", "Alone ALONE"])
+    assert counts.tolist() == [2, 0, 0, 1]
+    x = quality.chain_features(own, counts)
+    n = len(quality.OWN)
+    assert (x[0, n : 2 * n] == 0).all() and (x[0, 2 * n : 3 * n] == own[1]).all()
+    assert (x[2, n : 3 * n] == 0).all() and x[:, 3 * n].tolist() == [1, 0, 1] and x[:, 3 * n + 1].tolist() == [0, 1, 1]
+
+
+def test_cases(spark):
+    good, bad = "A quiet line of plain prose stands here, and it ends well.\n" * 4, "BUY | NOW $$$ | 99 %% CLICK\n" * 4
+    rows = [(k, good if k % 2 else bad, "x") for k in range(60)] + [(100, None, "x"), (101, "", "x"), (102, " \n ", "x"), (103, good * 2000, "x"), (None, good, "x"), (1, good, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0), (100, 1, 0), (7, None, 0), (8, 5, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    out = docs.withColumn("s", quality.score(F.col("text"), model))
+    assert out.columns == ["doc_id", "text", "label", "s"]
+    got = {(r["doc_id"], len(r["text"] or "")): r["s"] for r in out.collect()}
+    assert got[100, 0] == got[101, 0] == got[102, 3] == 0
+    assert got[1, len(good)] > 0.5 > got[2, len(bad)] and got[103, 2000 * len(good)] > 0.5
+    assert got[None, len(good)] == got[1, len(good)]
+    assert docs.limit(0).select(quality.score(F.col("text"), model)).count() == 0
+
+
+def test_without_both_classes(spark):
+    docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.train(docs, labels) is None and quality.train(docs, labels.limit(0)) is None
+    assert sorted(r[0] for r in docs.select(quality.score(F.col("text"), None)).collect()) == [0.0, 0.5]
