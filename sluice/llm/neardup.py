@@ -38,8 +38,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import drop, staged
+from ._common import bounded_broadcast, drop, staged
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -47,8 +48,10 @@ HASHES = 24
 #: Band k takes the samples k + d, modulo HASHES, for these steps d.
 STEPS = (0, 1, 5, 11)
 IDF_BUCKETS = 1 << 18
-#: A cell is cut into blocks of about this weight: 1 for a node, and 1 more for every LONG shingles.
-CELL, LONG = 384, 4096
+#: A cell is cut into blocks of about this weight: 1 for a node, and 1 more for every LONG characters.
+CELL, LONG = 384, 24_000
+#: What a row of keys, and a row of what a cell knows of a node, takes in a broadcast.
+KEY_BYTES, FACT_BYTES = 64, 600
 SKETCH = 256
 #: Pairs whose sketches are compared together.
 PAIRS = 4096
@@ -205,17 +208,24 @@ def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", te
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, _SIG)
 
 
-def _sets(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(key, weight, hashes, weights) of (key, text): its shingles, and what it counts for in a block."""
+def _with_sets(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """rows (key, text, ...) with the shingles of their texts, hashes and weights, for the text; rows of one key stand together."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, last, own = Words(), None, (b"", b"")
         for batch in batches:
-            own = [shingles(words.hashes(t), idf) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([1 + len(h) // LONG for h, _ in own], pa.int64()), pa.array([h.tobytes() for h, _ in own], pa.binary()), pa.array([w.tobytes() for _, w in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "hashes", "weights"])
+            sets = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if key != last:
+                    h, w = shingles(words.hashes(text), idf)
+                    last, own = key, (h.tobytes(), w.tobytes())
+                sets.append(own)
+            columns = [batch.column(n) for n in names] + [pa.array([x[k] for x in sets], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "hashes", "weights"])
 
-    return texts.select("key", "text").mapInArrow(cut, "key binary, weight long, hashes binary, weights binary")
+    return rows.mapInArrow(cut, T.StructType([*kept, T.StructField("hashes", T.BinaryType()), T.StructField("weights", T.BinaryType())]))
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -237,8 +247,10 @@ def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
             sim = [similarity(of(j, s), of(k, t)) for j, k, s, t in zip(a, b, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    n = pairs.count()
+    x = texts.select(F.col("key").alias("a"), F.col("text").alias("x")).join(bounded_broadcast(pairs, n, KEY_BYTES), "a")
+    y = texts.join(bounded_broadcast(pairs.select(F.col("b").alias("key")), n, KEY_BYTES), "key", "left_semi")
+    both = x.join(y.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(measure, "a binary, b binary, sim double")
 
 
@@ -317,13 +329,14 @@ def links_of(comp: list, lead: list, far: np.ndarray, bands: np.ndarray, sets: l
     return out
 
 
-def _cell_links(cells: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components from cells (top, key); facts: key, comp, lead, far, bands, weight, hashes, weights."""
-    met = staged(cells.join(facts.select("key", "weight"), "key"), "met")
+def _cell_links(cells: DataFrame, facts: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between components from cells (top, key); facts: key, comp, lead, far, weight, bands; texts: key, text."""
+    met = staged(cells.join(facts, "key"), "met")
     parts = met.groupBy("top").agg(F.ceil(F.sum("weight") / CELL).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")
-    placed = met.select("top", "key").join(parts, "top").withColumn("own", own)
-    full = placed.join(facts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = staged(met.join(parts, "top").withColumn("own", own), "placed")
+    rows = texts.select("key", "text").join(bounded_broadcast(placed, placed.count(), FACT_BYTES), "key")
+    full = _with_sets(rows, idf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def check(group: pa.Table) -> pa.Table:
         own, other = (group.column(name).to_numpy() for name in ("own", "other"))
@@ -354,12 +367,13 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
     members = staged(_hot_join(each, sizes, total), "members")
     wanted = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("degree")).join(nodes.select("key", F.col("first.row").alias("row")), "key")
     wanted = staged(wanted, "wanted")
-    texts = staged(wanted.select("key", "row").join(signed.select("row", "text"), "row").select("key", "text"), "texts")
+    picked = bounded_broadcast(wanted.select("row"), wanted.count(), KEY_BYTES)
+    texts = staged(signed.select("row", "key", "text").join(picked, "row", "left_semi").select("key", "text", (1 + F.floor(F.length("text") / LONG)).alias("weight")), "texts")
     ranked = staged(members.join(wanted.select("key", "degree"), "key"), "ranked")
     tops = staged(ranked.groupBy("bucket").agg(F.max("size").alias("size"), F.max(F.struct("degree", "key")).alias("top")), "tops")
     led = _hot_join(ranked.select("bucket", "key"), tops, total).where(F.col("key") != F.col("top.key"))
     best = led.groupBy("key").agg(F.max("top").alias("top")).select(F.col("key").alias("a"), F.col("top.key").alias("b"))
-    measured = staged(_measured(best, texts, idf), "measured")
+    measured = staged(_measured(staged(best, "best"), texts, idf), "measured")
     comps = components(measured.where(F.col("sim") >= threshold).select("a", "b"))
     # comp of nodes without a link is the node itself
     facts = wanted.select("key").join(comps, "key", "left").join(measured.select(F.col("a").alias("key"), F.col("b").alias("lead"), (1 - F.col("sim")).alias("far")), "key", "left")
@@ -367,9 +381,9 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
     spread = members.join(facts.select("key", "comp"), "key").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
     topped = tops.join(spread.select("bucket"), "bucket")
     cells = staged(_hot_join(members.select("bucket", "key"), topped, total).select(F.col("top.key").alias("top"), "key").distinct(), "cells")
-    placed = cells.select("key").distinct()
-    full = facts.join(placed, "key").join(nodes.select("key", "bands"), "key").join(_sets(texts.join(placed, "key"), idf), "key")
-    more = staged(_cell_links(cells, staged(full, "full"), threshold), "links")
+    spread_keys = staged(cells.select("key").distinct(), "spread")
+    known = nodes.select("key", "bands").join(bounded_broadcast(spread_keys, spread_keys.count(), KEY_BYTES), "key", "left_semi")
+    more = staged(_cell_links(cells, facts.join(texts.select("key", "weight"), "key").join(known, "key"), texts, idf, threshold), "links")
     named = nodes.select("key", "first").join(comps, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     if not more.isEmpty():
         wider = components(more).select(F.col("key").alias("comp"), F.col("comp").alias("wider"))
