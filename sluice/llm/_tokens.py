@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, at the price of one library call per distinct word.
 
 The vocabulary splits a text before every run of white space that follows another character, so a text may be cut there
-and each piece encoded alone. A worker keeps the ids of the pieces it has met in a bounded table; pieces that are new in a batch
-are encoded together. Texts with white space outside ASCII go to the library whole, as the cut would not be safe.
+and each piece encoded alone. A worker keeps the ids of the pieces it has met in a bounded table. A new piece that is a word of Latin letters, with
+a line end before it or signs after it, is one word to the library's BPE model; any other is encoded by the library as it is.
+Texts with white space outside ASCII go to the library whole, as the cut would not be safe.
 """
 
 from __future__ import annotations
@@ -18,10 +19,36 @@ _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+$")
 #: Other code points that some reading of white space takes in (fixed values): a text that has one is not cut.
 _ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _ODD = re.compile(f"[{''.join(map(chr, _ODD_CODES))}]")
-_BLANKS = {"", *" \t\n\r\f\v"}
-#: Pieces that a worker remembers before it starts anew.
-KEEP = 1_500_000
-NEWLINE = 198
+#: A line end, a word with or without a blank before it, and ASCII signs other than the apostrophe: the splitting pattern sets these apart.
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A worker remembers the pieces it has met last: from KEEP to twice as many.
+KEEP = 400_000
+
+
+def byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Known(dict):
+    """Ids of pieces, as little-endian 16-bit integers; encodes those it does not have."""
+
+    def __init__(self, library, before: dict):
+        self.library, self.before, self.bytes = library, before, byte_chars()
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.before.get(piece)) is None:
+            plain = _PLAIN.fullmatch(piece)
+            if plain is None:
+                ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+            elif plain[1] or plain[3]:
+                ids = b"".join([self[x] for x in plain.groups() if x])
+            else:
+                ids = b"".join([t.id.to_bytes(2, "little") for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))])
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -32,45 +59,20 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        line = self.library.encode("a\n b", add_special_tokens=False).ids
-        self.joinable = len(line) == 3 and line[1] == NEWLINE
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if p[0] == " " and p[1:2] not in _BLANKS] if self.joinable else []
-        joined = {}
-        for k in range(0, len(plain), 4096):  # one text of many pieces, a line each: the line ends are tokens of their own
-            some = plain[k : k + 4096]
-            text = "\n".join(some)
-            if any(s in text for s in self.specials):
-                continue
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-            ends = [-1, *np.flatnonzero(ids == NEWLINE).tolist(), len(ids)]
-            if len(ends) != len(some) + 1:
-                raise RuntimeError("the vocabulary does not keep line ends apart")
-            raw = ids.tobytes()
-            joined.update({p: raw[2 * a + 2 : 2 * b] for p, a, b in zip(some, ends, ends[1:], strict=False)})
-        self.known.update(joined)
-        rest = list(pieces.difference(joined))
-        self.known.update(zip(rest, self._encode(rest), strict=True))
+        if self.library.encode("a b\nÉ.", add_special_tokens=False).tokens != ["a", "Ġb", "Ċ", "Ãī", "."]:
+            raise ValueError("not a byte-level vocabulary that leaves texts as they are")
+        self.known = Known(self.library, {})
 
     def ids(self, texts) -> list[bytes]:
         """For each text (None: empty) its ids as little-endian 16-bit integers."""
-        cut = [_PIECES.findall(t) if t and not _ODD.search(t) else None for t in texts]
         if len(self.known) > KEEP:
-            self.known.clear()
-        new = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        if new := {p for p in new if p not in self.known}:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) if pieces else self._encode([t])[0] if t else b"" for t, pieces in zip(texts, cut, strict=True)]
+            self.known.before = {}
+            self.known = Known(self.library, self.known)
+        get, whole = self.known.__getitem__, self.library.encode
+        return [
+            b"" if not t else np.array(whole(t, add_special_tokens=False).ids, "<u2").tobytes() if _ODD.search(t) else b"".join(map(get, _PIECES.findall(t)))
+            for t in texts
+        ]
 
 
 @lru_cache(maxsize=2)

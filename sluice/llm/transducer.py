@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._tokens import byte_chars
+
 CHUNK_CHARS = 1 << 16
 #: States and words that a worker keeps before it starts anew.
 KEEP_STATES, KEEP_WORDS = 250_000, 1_000_000
@@ -41,18 +43,11 @@ _SPACES = " \t\n\r\f\v"
 _CUT = re.compile(f"(?<=[!-~])(?=[{_SPACES}])")
 
 
-def _byte_chars() -> dict[int, str]:
-    """The character that stands for each byte in the vocabulary file: itself if printable, else one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 class WordTransducer:
     """Counts the tokens of one word (no splitting inside), byte by byte."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        back = {c: b for b, c in _byte_chars().items()}
+        back = {c: b for b, c in byte_chars().items()}
         text = {t: bytes(back[c] for c in t) for t in vocabulary if all(c in back for c in t)}
         self.rank = {(text[a], text[b]): k for k, (a, b) in enumerate(merges)}
         #: The trie: children by byte, and the number of the token that ends at a node (-1: none).
