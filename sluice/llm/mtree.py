@@ -17,8 +17,8 @@ query.
 
 Cases: vectors that are null or hold nulls or non-finite components take no part, nor do rows with a null id; a shorter vector counts as filled up
 with zeros; ties go to the smaller id; a row equal to another in id and vector counts once; a query never finds a row of its own id; with
-fewer than k candidates all are returned; empty tables give no rows. Extra columns are ignored. Components times
-scale must stay below 2**24 in size, so that products are exact.
+fewer than k candidates all are returned; empty tables give no rows. Extra columns are ignored. A finite component of 2**24 / scale
+or more in size is an error, as products would not be exact.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int)
     """(id, v): floor(scale * x) of every usable vector, each row once."""
     v = F.col("v")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 24) / scale)), F.lit(False))
-    return rows.where(fine).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("v")).dropDuplicates(["id", "v"])
+    fine = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    large = F.raise_error(F.lit(f"a vector has a component of {(1 << 24) / scale} or more in size"))
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < float(1 << 24) / scale, F.floor(x * scale).cast("int")).otherwise(large))
+    return rows.where(fine).select("id", whole.alias("v")).dropDuplicates(["id", "v"])
 
 
 def _padded(vectors, width: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import mtree
@@ -54,6 +55,11 @@ def test_empty(spark):
     assert rows_of(mtree.top_k(frame(spark, [(50, [1.0])]), F.col("vec_id") % 50 == 0)) == []
 
 
+def test_too_large_a_component_is_an_error(spark):
+    with pytest.raises(Exception, match="or more in size"):
+        mtree.top_k(frame(spark, [(0, [1.0]), (1, [1e9])]), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_search_avoids_computations():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 100, (40, 8))
