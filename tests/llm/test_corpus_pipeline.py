@@ -48,7 +48,7 @@ def test_run_equals_a_plain_version(spark, sf_dir):
 
 def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("score", F.lit("x")).withColumn("key", F.lit(1))
-    odd = spark.createDataFrame([(None, None, None, None, None, None, None), (10**9, "", "en", "s", 0, "y", 2)], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None), (10**9, "", "en", "s", 0, "y", 2)], "doc_id long, text string, lang string, source string, n_chars long, score string, key int")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         some = docs.unionByName(odd)
         out = stage(spark, some, sf_dir)
