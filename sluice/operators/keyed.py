@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import safe_key
@@ -105,10 +105,11 @@ def branch(df: DataFrame, by: str | Column, routes: Mapping[str, Callable[[DataF
 
 def rekey(df: DataFrame, key: Column, origin: str | None = None) -> DataFrame:
     """New keys; the old one is kept in the column `origin` if named. Of records with one new key, the last by old key stays."""
-    fresh = df.withColumnRenamed(KEY, "__old").withColumn(KEY, key if key is not None else F.col("__old"))
-    last = Window.partitionBy(KEY).orderBy(F.col("__old").desc())
-    one = fresh.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    return one.withColumnRenamed("__old", origin) if origin else one.drop("__old")
+    fresh = df.withColumnRenamed(KEY, "__old").withColumn("__new", key)
+    rest = [c for c in df.columns if c != KEY]
+    best = fresh.groupBy("__new").agg(F.max_by(F.struct("__old", *rest), "__old").alias("r"))  # taken before the shuffle, so hot keys stay light
+    kept = [F.col("r")["__old"].alias(origin)] if origin else []
+    return best.select(F.col("__new").alias(KEY), *kept, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def last_wins(df: DataFrame, key: Column, order: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice.llm import rans
+from sluice.llm import _tokens, rans
 from sluice.llm._tokens import Encoder
 from sluice.llm.queries import op8_rans_tokens
 
@@ -79,3 +79,15 @@ def test_cut_texts_have_the_ids_of_whole_ones(texts):
 
 
 _ENCODER = Encoder(VOCABULARY)
+
+
+def test_long_texts_full_tables_and_new_beginnings_change_nothing(monkeypatch):
+    texts = ["one two, three.\nFour  five" * 9, "x" * 200 + " y", "", "many words here and there, " * 40, "eins zwei drei, größer", *(f"w{k} v{k}," for k in range(60))]
+    want = library_ids(texts)
+    for slots, keep, part in ((1 << 8, 20, 1 << 20), (1 << 6, 1 << 20, 100), (1 << 6, 3, 7)):
+        monkeypatch.setattr(_tokens, "SLOTS", slots)
+        monkeypatch.setattr(_tokens, "KEEP", keep)
+        monkeypatch.setattr(_tokens, "CHUNK", part)
+        code = Encoder(VOCABULARY)
+        for _ in range(3):
+            assert [np.frombuffer(x, "<u2").tolist() for x in code.ids(texts)] == want
