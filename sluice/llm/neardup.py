@@ -334,7 +334,9 @@ def _cell_links(cells: DataFrame, facts: DataFrame, texts: DataFrame, idf: np.nd
     met = staged(cells.join(facts, "key"), "met")
     parts = met.groupBy("top").agg(F.ceil(F.sum("weight") / CELL).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")
-    placed = staged(met.join(parts, "top").withColumn("own", own), "placed")
+    large = staged(parts.where("parts > 1"), "parts")  # few, and their rows many: they are not dealt out by top
+    cut = met.join(bounded_broadcast(large, large.count(), KEY_BYTES), "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = staged(cut.withColumn("own", own), "placed")
     rows = texts.select("key", "text").join(bounded_broadcast(placed, placed.count(), FACT_BYTES), "key")
     full = _with_sets(rows, idf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
