@@ -60,7 +60,7 @@ STEP = 64
 KEEP_WORDS = 600_000
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_SIG = "doc_id long, row long, key binary, bands array<long>, text string"
+_SIG = [("doc_id", T.LongType()), ("row", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("text", T.StringType())]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -184,8 +184,11 @@ def inverse_frequencies(documents: DataFrame, text_col: str = "text") -> np.ndar
     return (1 + np.log((df[-1] + 1) / (df[:-1] + 1))).astype(np.float32)
 
 
-def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (unique), key (128-bit hash of the words, null without words), bands and the text itself."""
+def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """doc_id, row (unique), key (128-bit hash of the words, null without words), bands, the text itself and, if asked for, a struct of the rest."""
+    others = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([others] if rest else []))
+    schema = T.StructType([*[T.StructField(*field) for field in _SIG], *docs.schema.fields[2:]])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = Words(), TaskContext.get().partitionId() << 33
@@ -201,11 +204,11 @@ def signatures(documents: DataFrame, idf: np.ndarray, id_col: str = "doc_id", te
                     got = bands(samples(np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets]), np.array([len(s) for s, _ in sets])))
                     for i, b in zip(full, got.astype(np.int64), strict=True):
                         hashed[i] = b
-                columns = [some.column(0), pa.array(range(row, row + len(own)), pa.int64()), pa.array(key, pa.binary()), pa.array(hashed, pa.list_(pa.int64())), some.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "bands", "text"])
+                columns = [some.column(0), pa.array(range(row, row + len(own)), pa.int64()), pa.array(key, pa.binary()), pa.array(hashed, pa.list_(pa.int64())), *some.columns[1:]]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
                 row += len(own)
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, _SIG)
+    return docs.mapInArrow(sign, schema)
 
 
 def _with_sets(rows: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -358,9 +361,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, id_col:
     return _classes(documents, threshold, id_col, text_col)[0]
 
 
-def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str, rest: bool = False) -> tuple[DataFrame, DataFrame]:
     idf = inverse_frequencies(documents, text_col)
-    signed = staged(signatures(documents, idf, id_col, text_col), "signed")
+    signed = staged(signatures(documents, idf, id_col, text_col, rest), "signed")
     worded = signed.where(F.col("key").isNotNull())
     nodes = staged(worded.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands")), "nodes")
     total = nodes.count()
@@ -406,14 +409,12 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str)
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with one row of each class left, all columns kept.
 
-    Rows are told apart by id and text: of repeated rows with one id and text, one stays.
+    Rows are read once: the signed table carries all columns, and the rows that go are looked up in it by number.
     """
-    classes, signed = _classes(documents, threshold, id_col, text_col)
-    kept = classes.where("representative").select("row").join(signed.select("row", F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_hash")), "row").drop("row")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("k_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("k_hash"))
-    rows = documents.join(kept, same, "left_semi")
-    repeated = signed.groupBy("doc_id", "key").count().where("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates([id_col, text_col])
+    classes, signed = _classes(documents, threshold, id_col, text_col, rest=True)
+    gone = staged(classes.where(~F.col("representative")).select("row"), "gone")
+    kept = signed.join(bounded_broadcast(gone, gone.count(), KEY_BYTES), "row", "left_anti")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in documents.columns])
 
 
 __all__ = ["components", "deduplicate", "inverse_frequencies", "near_duplicates", "shingles", "signatures", "similarity"]
