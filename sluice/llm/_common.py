@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows, at this many bytes each, stay below BROADCAST_BYTES.
 BROADCAST_BYTES = 64 << 20
+#: Batches that go to Python while a table is staged; a task holds a few of them at a time.
+BATCH_BYTES = "8m"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters between the words of the decontamination contract, once A-Z are lower-cased.
@@ -48,7 +50,7 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path

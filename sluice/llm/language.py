@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 MIN_SCRIPT = 0.002
 FLOOR = -6.0
 SWITCH_COST = 12.0
-KEEP_WORDS = 600_000
+KEEP_WORDS = 250_000
 #: Texts that are labelled together.
 STEP = 512
 UNKNOWN = "und"

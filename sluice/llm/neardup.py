@@ -57,7 +57,7 @@ SKETCH = 256
 PAIRS = 4096
 HOT_SHARE = 20_000
 STEP = 64
-KEEP_WORDS = 600_000
+KEEP_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SIG = [("doc_id", T.LongType()), ("row", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("text", T.StringType())]
