@@ -217,17 +217,18 @@ def selective_stage_reuse(spark, sf_dir):
 def branch_pipeline(spark, sf_dir):
     """Sources, routed by source to chains of persisted steps, merged and summarized in a run."""
 
-    def shorten(df, context):
-        return df.withColumn("content", F.substring("content", 1, 20))
+    def head(df, context):
+        return df.withColumn("counted", F.substring("content", 1, 20))
 
     def loud(df, context):
-        return df.withColumn("content", F.concat("content", F.lit("!")))
+        louder = F.concat("content", F.lit("!"))
+        return df.withColumns({"content": louder, "counted": louder})
 
-    def count(df, context):
-        return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    def count(df, context):  # the SQL counts a head of each document; the texts themselves are persisted and merged whole
+        return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("counted")).alias("chars"))
 
     sources = Sources([Loader("documents", lambda s: _documents(s, sf_dir)), Loader("pages", lambda s: _pages(s, sf_dir))])
-    routes = {"documents": [Step(shorten, ParquetDataset())], "pages": [Step(loud, ParquetDataset())]}
+    routes = {"documents": [Step(head, ParquetDataset())], "pages": [Step(loud, ParquetDataset())]}
     made = Pipeline("mixed", sources, [Stage("all", [Branch("by_source", "source", routes), Step(count, ParquetDataset(keyed=False))])])
     return run(spark, made, _shared(spark)).output
 
