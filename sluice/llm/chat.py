@@ -1,38 +1,79 @@
 """Chat formatting by perspective rotation: each participant of a dialogue is the assistant of one rendering of it.
 
-DataFrame functions only. The turns of a dialogue meet by one grouping on (conversation, part); a part is a run of
-part_turns consecutive turn numbers, so that a conversation with very many turns becomes several bounded examples
-instead of one unbounded group.
+DataFrame functions only. The turns of a dialogue meet by one grouping on (conversation, part). A conversation of at most
+part_turns turns is one part, whatever its turn numbers; a longer one is cut at every part_turns turns by the rank of the turn, so that it
+becomes several bounded examples instead of one unbounded group. Ranks come from a range shuffle of the long conversations' turns and
+a sum over its partitions, so no task holds a conversation. Every participant of a conversation has a rendering of each of its parts, also
+of those it is silent in, and a part begins with the system turns of the parts before it (each wording once, at its latest turn).
+Parts count on from floor(first turn number / part_turns), which is 0 for a dialogue that starts at turn 0.
 
 Rendering: every turn is `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. ROLE is `assistant` for the speaker whose perspective it
 is, `user name=SPEAKER` for the others, and `system` for system speakers, who are context and no participants. The mask
 holds the character spans [start, end) of the assistant's texts, each with its <|im_end|>: what a loss may be taken on.
 
-Cases: a null text is an empty turn; a null speaker is named `unknown`; a null turn number sorts first, in part 0; ties are
-ordered by speaker, then text; a repeated row is a repeated turn. A dialogue of system turns only gives no row; a
+Cases: a null text is an empty turn; a null speaker is named `unknown`; a null turn number sorts first; ties are ordered by
+speaker, then text; a repeated row is a repeated turn. A dialogue of system turns only gives no row; a
 null conversation id is one conversation. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import bounded_broadcast, staged
+
 PART_TURNS = 1024
 SYSTEM = ("system",)
 
 
+#: Assumed bytes of a row of conversations, offsets or speakers in a broadcast.
+ROW_BYTES = 256
+
+
+def _matched(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    return left.join(bounded_broadcast(right, right.count(), ROW_BYTES), on, how)
+
+
+def _cut(said: DataFrame, long: DataFrame, system: tuple[str, ...], part_turns: int) -> DataFrame:
+    """(conv_id, part, speakers, turns) of the long conversations, whose (conv, base) are given; said has (conv_id, t)."""
+    same = lambda a, b="conv": F.col(a).eqNullSafe(F.col(b))
+    own = _matched(said, long, same("conv_id")).drop("conv_id")
+    order = ["conv", "t"]
+    spread = own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    spread = staged(spread.withColumn("range", F.shiftright("at", 33)), "chat-turns")
+    runs = spread.groupBy(F.col("conv").alias("c"), F.col("range").alias("r")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("c", "r", (before - F.col("low")).alias("shift"))
+    ranked = _matched(spread, runs, same("conv", "c") & (F.col("range") == F.col("r")))
+    part = F.col("base") + F.floor((F.col("at") + F.col("shift")) / part_turns)
+    cut = staged(ranked.select("conv", part.cast("long").alias("part"), "t"), "chat-parts")
+
+    parts = cut.groupBy(F.col("conv").alias("c"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).select("c", "p")
+    told = cut.where(F.col("t.speaker").isin(*system)).groupBy("conv", "part", "t.speaker", "t.text").agg(F.max("t").alias("t"))
+    carried = _matched(told, parts, same("conv", "c") & (F.col("part") < F.col("p"))).groupBy("conv", "p", "speaker", "text").agg(F.max("t").alias("t"))
+    talks = cut.unionByName(carried.select("conv", F.col("p").alias("part"), "t")).groupBy("conv", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    speakers = cut.where(~F.col("t.speaker").isin(*system)).select(F.col("conv").alias("c"), F.col("t.speaker").alias("perspective")).distinct()
+    return _matched(talks, speakers, same("conv", "c")).select(F.col("conv").alias("conv_id"), "part", "turns", "perspective")
+
+
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: tuple[str, ...] = SYSTEM, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, part, perspective, n_turns, text, mask): one row per participant of each part of each dialogue."""
+    """(conv_id, part, perspective, n_turns, text, mask): one row per participant of each part of each dialogue; n_turns counts the turns in its text."""
     turn = F.struct(
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    part = F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(0)).cast("long")
-    talks = turns.select(F.col(conv_col).alias("conv_id"), part.alias("part"), turn.alias("t")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    said = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("t"))
+    first = F.when(F.count("t.turn") == F.count(F.lit(1)), F.floor(F.min("t.turn") / part_turns)).otherwise(0).cast("long")  # a null is the first
+    long = said.groupBy(F.col("conv_id").alias("conv")).agg(F.count(F.lit(1)).alias("n"), first.alias("base")).where(F.col("n") > part_turns).drop("n")
+    long = staged(long, "chat-long")
+    some = long.count()
+    short = said.join(bounded_broadcast(long, some, ROW_BYTES), F.col("conv_id").eqNullSafe(F.col("conv")), "left_anti") if some else said
+    talks = short.groupBy("conv_id").agg(first.alias("part"), F.array_sort(F.collect_list("t")).alias("turns"))
     speakers = F.array_except(F.transform("turns", lambda t: t["speaker"]), F.array(*[F.lit(s) for s in system]))
     each = talks.withColumn("perspective", F.explode(F.array_distinct(speakers)))
+    each = each.unionByName(_cut(said, long, system, part_turns)) if some else each
     own = F.col("perspective")
 
     def head(t):

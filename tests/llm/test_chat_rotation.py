@@ -36,3 +36,30 @@ def test_cases(spark):
     for r in out:  # masks hold the assistant's words only
         assert all(r["text"][: m["start"]].endswith("<|im_start|>assistant\n") for m in r["mask"])
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def rotated(spark, rows, **more):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return sorted((r["conv_id"], r["part"], r["perspective"], r["n_turns"], r["text"], [tuple(m) for m in r["mask"]]) for r in chat.rotate_perspectives(df, **more).collect())
+
+
+def test_short_conversations_stay_whole_whatever_their_numbers(spark):
+    rows = [(1, k, "ab"[k % 2], f"t{k}") for k in range(1020, 1031)] + [(2, 1000 * k, "ab"[k % 2], f"t{k}") for k in range(9)]
+    assert [r[:4] for r in rotated(spark, rows)] == [(1, 0, "a", 11), (1, 0, "b", 11), (2, 0, "a", 9), (2, 0, "b", 9)]
+
+
+def test_parts_of_a_long_conversation_have_all_participants_and_the_system_turns(spark):
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "only here")] + [(1, k, "bob", f"t{k}") for k in range(2, 25)] + [(1, 12, "system", "Be brief")]
+    got = rotated(spark, rows, part_turns=10)
+    assert [(r[1], r[2], r[3]) for r in got] == [(0, "ann", 10), (0, "bob", 10), (1, "ann", 11), (1, "bob", 11), (2, "ann", 8), (2, "bob", 8)]
+    assert got[4][4].startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>system\nBe brief<|im_end|>\n<|im_start|>user name=bob\nt19<")
+    assert got[4][5] == [] and len(got[5][5]) == 6
+    assert all("only here" not in r[4] and "Be kind" in r[4] for r in got[2:])
+
+
+def test_null_and_equal_turn_numbers_are_cut_too(spark):
+    rows = [(1, None, "ab"[k % 2], f"t{k:03d}") for k in range(95)] + [(None, 7, "a", "same") for _ in range(31)] + [(2, 5, "c", "x")]
+    got = rotated(spark, [r for r in rows if r[0]], part_turns=10)
+    assert sum(r[3] for r in got if r[2] == "a") == 95 and max(r[3] for r in got) == 10 and len(got) == 21
+    nulls = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("conv_id is null"), part_turns=10)
+    assert sorted((r["part"], r["n_turns"]) for r in nulls.collect()) == [(0, 10), (1, 10), (2, 10), (3, 1)]
