@@ -19,7 +19,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import MissingPriorOutputError, ObserverError, StepContext
+from ..model import MissingPriorOutputError, ObserverError, RecordError, StepContext
 from ..operators.keyed import merge_routes, split_routes, strip_source
 from ..sources.files import Files
 from .pipeline import Branch, Node, Pipeline, Step, nodes
@@ -121,9 +121,12 @@ class _Run:
             self.files.delete(aside.rpartition("/")[0])
         finally:
             held.unpersist()
+        out = output.load_from(self.spark, node.folder) if rows else df.limit(0)
+        if rows and (there := out.count()) != rows:
+            raise RecordError(f"step {node.step.name!r} wrote {rows} rows, but {there} are read back")
         if self.commits:
             self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows)
-        return output.load_from(self.spark, node.folder) if rows else df.limit(0)
+        return out
 
     def _step(self, node: Node, df: DataFrame, prior: str | None) -> DataFrame:
         ctx = StepContext(self.spark, self.root, self.pipeline.name, self.id, self.pipeline.stages[node.stage - 1].name, node.stage, node.step.name, node.route_step or node.entry, node.step.persist, node.folder, prior, self.params, log)

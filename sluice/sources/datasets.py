@@ -1,7 +1,7 @@
 """Where a step's output lives, and how it is read again.
 
 ParquetDataset is the native form: a keyed frame of any schema as a Parquet table. The file datasets keep one file for each key
-(`<dest>/<key><suffix>`, slashes in keys are folders) or one file for the whole, for exchange with other tools; their reading is Spark's
+(`<dest>/<key><suffix>`, slashes in keys are folders, names that Spark's readers would pass over are escaped by `~`) or one file for the whole, for exchange with other tools; their reading is Spark's
 (`binaryFile`, `text`), their writing is one task per partition of keys through pyarrow's file systems, so no record passes the driver.
 
 All take part in the same protocol: validate before anything is touched, save into an empty folder, tell which keys are there, load from a
@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,26 @@ class ParquetDataset(_Base):
         return self.load_from(spark, dest).select(KEY) if self.keyed else None
 
 
+_COPYING = "._COPYING_"
+
+
+def _named(key: str) -> str:
+    """The path of a key's file: its segments, those that Spark takes for hidden (and those that look escaped) with a `~` at the start or end."""
+    parts = [f"~{p}" if p[:1] in ("_", ".", "~") else p for p in key.split("/")]
+    return "/".join(f"{p}~" if p.rstrip("~").endswith(_COPYING) else p for p in parts)
+
+
+def _unnamed(path: str) -> str:
+    """The key of a path without its suffix."""
+    parts = [p.removeprefix("~") for p in path.split("/")]
+    return "/".join(p.removesuffix("~") if p.rstrip("~").endswith(_COPYING) else p for p in parts)
+
+
+def _unnamed_column(path: Column) -> Column:
+    part = lambda p: F.when(F.rtrim(p, F.lit("~")).endswith(_COPYING), F.regexp_replace(p, r"~\z", "")).otherwise(p)
+    return F.array_join(F.transform(F.split(path, "/"), lambda p: part(F.regexp_replace(p, "^~", ""))), "/")
+
+
 def _put(dest: str, suffix: str, options: dict[str, str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Writes each (key, bytes) to a file of its own, aside first; yields how many."""
 
@@ -114,7 +134,7 @@ def _put(dest: str, suffix: str, options: dict[str, str] | None) -> Callable[[It
         n = 0
         for batch in batches:
             for key, body in zip(batch[KEY], batch["body"], strict=True):
-                to = posixpath.join(root, key + suffix)
+                to = posixpath.join(root, _named(key) + suffix)
                 store.create_dir(posixpath.dirname(to), recursive=True)
                 with store.open_output_stream(to + ".part") as out:
                     out.write(bytes(body))
@@ -142,9 +162,9 @@ class _Keyed(_Base):
         root = Files(spark)._at(dest)
         at = root[0].getFileStatus(root[1]).getPath().toString().rstrip("/") + "/"
         tail = F.expr(f"substring(path, {len(at) + 1}, length(path) - {len(at) + len(self.suffix)})")
-        found = files.select(tail.alias(KEY), "content")
+        found = files.select(_unnamed_column(tail).alias(KEY), "content")
         # Spark's readers pass over files without bytes, which are records too
-        empty = [(f.removesuffix(self.suffix), b"") for f in Files(spark).walk(dest, self.suffix, empty_only=True)]
+        empty = [(_unnamed(f.removesuffix(self.suffix)), b"") for f in Files(spark).walk(dest, self.suffix, empty_only=True)]
         return found.unionByName(spark.createDataFrame(empty, f"{KEY} string, content binary")) if empty else found
 
     def validate(self, df: DataFrame) -> int:
@@ -164,7 +184,7 @@ class _Keyed(_Base):
         return spark.createDataFrame([], self._schema())
 
     def keys_at(self, spark: SparkSession, dest: str) -> DataFrame | None:
-        names = [(f.removesuffix(self.suffix),) for f in Files(spark).walk(dest, self.suffix)]
+        names = [(_unnamed(f.removesuffix(self.suffix)),) for f in Files(spark).walk(dest, self.suffix)]
         return spark.createDataFrame(names, f"{KEY} string")
 
     def _schema(self) -> T.StructType | str:
@@ -230,7 +250,7 @@ class KeyedBinary(_Keyed):
 
 @dataclass
 class _Single(_Base):
-    """One file for a frame of one row: `<dest>/<last name of dest><suffix>`."""
+    """One file for a frame of one row: `<dest>/<last name of dest><suffix>`, the name escaped as a key is."""
 
     suffix: str = ""
 
@@ -249,13 +269,13 @@ class _Single(_Base):
         self._keyed().save(df.select(F.lit(leaf(dest)).alias(KEY), *[c for c in df.columns if c != KEY]), dest)
 
     def load_from(self, spark: SparkSession, dest: str) -> DataFrame:
-        at = dest if dest.endswith(self.suffix) and Files(spark).is_file(dest) else join(dest, leaf(dest) + self.suffix)
+        at = dest if dest.endswith(self.suffix) and Files(spark).is_file(dest) else join(dest, _named(leaf(dest)) + self.suffix)
         if not Files(spark).is_file(at):
             raise FileNotFoundError(f"dataset {self.name!r} has no file at {at}")
         return self._keyed().load_from(spark, at).drop(KEY)
 
     def exists(self, spark: SparkSession, dest: str) -> bool:
-        return Files(spark).is_file(join(dest, leaf(dest) + self.suffix))
+        return Files(spark).is_file(join(dest, _named(leaf(dest)) + self.suffix))
 
     def keys_at(self, spark: SparkSession, dest: str) -> DataFrame | None:
         return None

@@ -23,6 +23,22 @@ def test_keyed_round_trip(spark, tmp_path, kind):
     assert missing_or_extra(out.keys_at(spark, dest), data.where("key = 'a'")) == (0, 1)
 
 
+@pytest.mark.parametrize("suffix", [".txt", ""])
+def test_keys_that_look_hidden_are_read_back(spark, tmp_path, suffix):
+    keys = ["_x", ".a", "en/_x", "_d/.e/f", "~_x", "~~x", "x~", "a._COPYING_", "a._COPYING_~", "._COPYING_/b", "~._COPYING_", "_k=1", "a/b~/_", "plain"]
+    data, out, dest = spark.createDataFrame([(k, "" if k == "en/_x" else f"of {k}") for k in keys], "key string, value string"), KeyedText(suffix=suffix), f"{tmp_path}/out"
+    assert out.validate(data) == len(keys)
+    out.save(data, dest)
+    assert sorted(map(tuple, out.load_from(spark, dest).collect())) == sorted(map(tuple, data.collect()))
+    assert missing_or_extra(out.keys_at(spark, dest), data) == (0, 0) and out.keys_at(spark, dest).count() == len(keys)
+
+
+def test_single_files_with_hidden_names(spark, tmp_path):
+    data, dest = spark.createDataFrame([("hi",)], "value string"), f"{tmp_path}/_out"
+    TextFile().save(data, dest)
+    assert TextFile().exists(spark, dest) and TextFile().load_from(spark, dest).collect() == data.collect()
+
+
 def test_single_files(spark, tmp_path):
     for out, data in (
         (JSONFile(schema="n long"), spark.createDataFrame([(3,)], "n long")),

@@ -262,3 +262,27 @@ def test_stream_of_batches(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
     run_stream(stream, made(), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out/batch=0/p/002_two/001_total").first().total == 8
+
+
+def test_a_step_that_reads_back_fewer_rows_fails(spark, tmp_path):
+    class Losing(ParquetDataset):
+        def load_from(self, spark, dest):
+            return super().load_from(spark, dest).limit(1)
+
+    commits = Commits(f"{tmp_path}/meta")
+    with pytest.raises(RecordError, match="wrote 2 rows, but 1"):
+        run(spark, Pipeline("p", source(), [Stage("s", [Step(double, Losing(schema=SCHEMA))])]), str(tmp_path), commits=commits)
+    with pytest.raises(MissingPriorOutputError):
+        run(spark, Pipeline("p", source(), [Stage("s", [Step(double, Losing(schema=SCHEMA)), Step(plus, keyed())])]), str(tmp_path), stage=1, step=2, commits=commits)
+
+
+def test_hidden_keys_are_handed_on(spark, tmp_path):
+    def text(df, context):
+        return df.select("key", F.lit("x").alias("value"))
+
+    def same(df, context):
+        return df
+
+    rows = [("_x", 1), (".a", 2), ("en/_x", 3), ("b", 4)]
+    out = run(spark, Pipeline("p", source(rows), [Stage("s", [Step(text, KeyedText()), Step(same, KeyedText())])]), str(tmp_path)).output
+    assert sorted(r["key"] for r in out.collect()) == sorted(k for k, _ in rows)
