@@ -4,8 +4,9 @@ Training: character trigrams of the words of a bounded sample of labelled texts
 their id) are counted per language in Spark, into BUCKETS hashed buckets, with the letters of each script. A language is a candidate for a script if
 at least MIN_SCRIPT of its letters are of it.
 
-Prediction: each word has a log score for each language, 0 for the best; where its script has candidates, other languages
-score FLOOR. The path through a text's words that maximizes the sum of scores, less switch_cost for every change of language, labels each word; runs of
+Prediction: each word has a log score for each language, 0 for the best and FLOOR at least, or FLOOR for every WORD_LETTERS letters of a longer
+word, so that a clause of a script without blanks counts as the words it holds. Where a word's script has candidates, other languages are
+ruled out: they score less than two changes of language cost, so that the path leaves them for a single word. The path through a text's words that maximizes the sum of scores, less switch_cost for every change of language, labels each word; runs of
 one label are the spans. A text's language is the one with most letters, and its score that language's share of them.
 Where
 the best single language of a text is ahead of the others by every path, its words have that label at once; the path is computed for the
@@ -31,6 +32,8 @@ SAMPLE_DOCS = 1500
 BUCKETS = 1 << 16
 MIN_SCRIPT = 0.002
 FLOOR = -6.0
+#: Letters of a word that FLOOR is for; longer words have a floor in proportion.
+WORD_LETTERS = 6
 SWITCH_COST = 12.0
 KEEP_WORDS = 250_000
 #: Texts that are labelled together.
@@ -72,16 +75,23 @@ class Model:
     log_p: np.ndarray  # languages x BUCKETS
     candidates: dict[str, np.ndarray]  # script: which languages use it
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """words x languages: log scores, 0 for the best language of a word, FLOOR at least."""
-        h, starts = _trigrams(words)
-        raw = np.add.reduceat(self.log_p[:, h], starts, axis=1).T
+    def ruled_out(self, words: list[str]) -> np.ndarray:
+        """words x languages: whether a word's script has candidates and the language is none of them."""
         scripts = np.array([script_of(w[0]) for w in words])
+        out = np.zeros((len(words), len(self.languages)), bool)
         for script in np.unique(scripts):
             allowed = self.candidates.get(script)
             if allowed is not None and allowed.any() and not allowed.all():
-                raw[np.ix_(scripts == script, ~allowed)] = -np.inf
-        return np.maximum(raw - raw.max(axis=1, keepdims=True), FLOOR).astype(np.float32)
+                out[np.ix_(scripts == script, ~allowed)] = True
+        return out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """words x languages: log scores, 0 for the best language of a word, its floor at least."""
+        h, starts = _trigrams(words)
+        raw = np.add.reduceat(self.log_p[:, h], starts, axis=1).T
+        raw[self.ruled_out(words)] = -np.inf
+        floor = FLOOR * np.maximum(1, np.fromiter(map(len, words), np.float64, len(words)) / WORD_LETTERS)
+        return np.maximum(raw - raw.max(axis=1, keepdims=True), floor[:, None]).astype(np.float32)
 
 
 class Tagger:
@@ -102,7 +112,9 @@ class Tagger:
         self.number.update((w, -1) for w in set(new).difference(letters))
         if letters:
             first = len(self.rows)
-            self.rows = np.concatenate([self.rows, self.model.scores(letters)])
+            scores, out = self.model.scores(letters), self.model.ruled_out(letters)
+            scores[out] = np.minimum(scores[out], -2 * self.cost - 1)
+            self.rows = np.concatenate([self.rows, scores])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, letters), np.int64, len(letters))])
             self.number.update((w, first + k) for k, w in enumerate(letters))
 

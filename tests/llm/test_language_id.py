@@ -62,6 +62,32 @@ def test_scripts_narrow_the_candidates():
     assert [language.script_of(c) for c in "aéλжあ漢한"] == ["Latin", "Latin", "Greek", "Cyrillic", "Kana", "Han", "Hangul"]
 
 
+def labelled(model, words):
+    tagger = language.Tagger(model, language.SWITCH_COST)
+    return [model.languages[k] for k in tagger.labels(tagger.words([" ".join(words)])[0])]
+
+
+def test_short_spans_of_another_script_have_their_language(spark):
+    log_p = np.log(np.full((3, language.BUCKETS), 1 / language.BUCKETS)).astype(np.float32)
+    model = language.Model(("el", "en", "zh"), log_p, {"Greek": np.array([True, False, False]), "Latin": np.array([False, True, False]), "Han": np.array([False, False, True])})
+    for inside in (1, 3):
+        assert labelled(model, ["word"] * 9 + ["λόγος"] * inside + ["word"] * 9) == ["en"] * 9 + ["el"] * inside + ["en"] * 9
+    clauses = ["漢" * 30] * 4
+    assert labelled(model, ["word"] * 9 + clauses + ["word"] * 9) == ["en"] * 9 + ["zh"] * 4 + ["en"] * 9
+    found = spark.createDataFrame([(" ".join(["word"] * 9 + clauses + ["word"] * 9),)], "text string").select(language.identify(F.col("text"), model).alias("f")).first()["f"]
+    assert found["lang"] == "zh" and found["score"] == pytest.approx(120 / 192)
+
+
+def test_unsegmented_clauses_weigh_by_their_letters():
+    here, there = "語学文字漢和辞典国書", "説話學習漢語詞彙經濟"
+    log_p = np.log(np.full((2, language.BUCKETS), 1 / language.BUCKETS)).astype(np.float32)
+    for k, clause in enumerate((here, there)):
+        log_p[k, language._trigrams([clause * 3])[0]] += 3
+    model = language.Model(("ja", "zh"), log_p, {"Han": np.array([True, True])})
+    assert labelled(model, [here * 3] * 4 + [there * 3] + [here * 3] * 4) == ["ja"] * 4 + ["zh"] + ["ja"] * 4
+    assert model.scores([there * 3])[0, 0] == 30 * language.FLOOR / language.WORD_LETTERS
+
+
 def test_cases(spark, model):
     rows = [(1, None, "x"), (2, "", "x"), (3, "12 34 _ !?", "x"), (4, "a", "x"), (5, "a", "x"), (6, "the house and the street " * 20_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
