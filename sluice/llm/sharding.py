@@ -1,7 +1,7 @@
 """Size-tiered sharding: arrivals become small immutable shards; similarly sized ones merge into target-sized files.
 
 A table is a folder with `data/` (immutable Parquet shards) and `manifest/` (one JSON file per version, listing path, bytes and rows
-of every live shard). Readers see the shards of one manifest version and nothing else, so a job that dies leaves only
+of every live shard, and the schema). Readers see the shards of one manifest version and nothing else, so a job that dies leaves only
 files that no manifest names. A version is committed by renaming a finished file to its number, which fails if that number is taken.
 Rows move only in Spark jobs; the driver handles file names and sizes.
 
@@ -9,8 +9,8 @@ Tiers: a shard of b bytes is in tier floor(log(b / first_tier) / log(ratio)), 0
 it has min_runs of them, in one job a tier, without a shuffle: Spark reads each shard as it is and coalesces them to as many files as the
 tier's bytes fill at target_bytes. Shards of at least half the target are left alone. It goes on until no tier is due.
 
-Cases: an empty arrival commits a version without new shards; a table without versions reads as an error naming the
-folder; null columns, repeated rows and extra columns are stored as they are; arrivals must share a schema.
+Cases: an empty arrival commits a version without new shards, and a version without any reads as an empty frame of the last arrival's
+schema; a table without versions reads as an error naming the folder; null columns, repeated rows and extra columns are stored as they are; arrivals must share a schema.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import scratch_path
 
@@ -53,18 +54,22 @@ class ShardedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
-        text = self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0]
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+            return {"shards": []}
+        return json.loads(self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0])
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**s) for s in self._manifest(version)["shards"]]
 
-    def _commit(self, parent: int, shards: list[Shard]) -> int:
+    def _commit(self, parent: int, shards: list[Shard], schema: T.StructType | None = None) -> int:
+        """Publishes the version after parent; without a schema it keeps the parent's."""
         version = parent + 1
+        kept = schema.jsonValue() if schema else self._manifest(parent).get("schema")
         made, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:08d}.json")
         out = self._fs.create(made, False)
-        out.write(bytearray(json.dumps({"version": version, "parent": parent, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "parent": parent, "shards": [asdict(s) for s in shards], "schema": kept}).encode()))
         out.close()
         try:
             context = self._fs_api.FileContext.getFileContext(made.makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), self.spark._jsc.hadoopConfiguration())
@@ -90,7 +95,7 @@ class ShardedTable:
     def append(self, arrival: DataFrame) -> int:
         """Writes an arrival as immutable shards, one for each task that has rows, and commits them."""
         version = self.version()
-        return self._commit(version, self.shards(version) + self._write(arrival))
+        return self._commit(version, self.shards(version) + self._write(arrival), arrival.schema)
 
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.first_tier, self.ratio)))
@@ -134,10 +139,12 @@ class ShardedTable:
         return n
 
     def read(self, version: int | None = None) -> DataFrame:
-        live = self.shards(version)
-        if not live:
+        at = self._manifest(version)
+        if at["shards"]:
+            return self.spark.read.parquet(*[s["path"] for s in at["shards"]])
+        if not at.get("schema"):
             raise FileNotFoundError(f"{self.root} has no committed shards")
-        return self.spark.read.parquet(*[s.path for s in live])
+        return self.spark.createDataFrame([], T.StructType.fromJson(at["schema"]))
 
 
 def shard_documents(documents: DataFrame, root: str | None = None, **sizes) -> ShardedTable:

@@ -67,3 +67,13 @@ def test_empty_and_repeated_arrivals(spark, tmp_path):
     t.append(arrival(spark, 0, 10))
     t.compact()
     assert t.version() >= 3 and t.read().count() == 20
+
+
+def test_query_over_an_empty_table(spark, tmp_path, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    out = op4_sharding(spark, f"{tmp_path}/sf")
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_chars", "text_sha256"]
+    t = table(spark, tmp_path)
+    t.append(docs.limit(0))
+    assert t.compact() == 1 and t.read().schema == docs.schema and t.read().count() == 0
