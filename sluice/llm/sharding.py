@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 from ._common import scratch_path
 
 
+#: Arrivals that a table of documents is taken in.
+ARRIVALS = 8
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -147,11 +151,16 @@ class ShardedTable:
         return self.spark.createDataFrame([], T.StructType.fromJson(at["schema"]))
 
 
-def shard_documents(documents: DataFrame, root: str | None = None, **sizes) -> ShardedTable:
-    """A sharded table that took documents as an arrival and was compacted and vacuumed."""
+def shard_documents(documents: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, **sizes) -> ShardedTable:
+    """A sharded table that took documents in arrivals by a hash of their ids, which together hold every row once, each followed by compaction and vacuum.
+
+    Each task of an arrival writes its part of a read split, so that shards start small however large the table is.
+    """
     spark = documents.sparkSession
     table = ShardedTable(spark, root or scratch_path(spark, "shards"), **sizes)
-    table.append(documents)
-    table.compact()
-    table.vacuum()
+    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(arrivals))
+    for k in range(arrivals):
+        table.append(documents.where(turn == k))
+        table.compact()
+        table.vacuum()
     return table

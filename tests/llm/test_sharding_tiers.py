@@ -1,5 +1,6 @@
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from sluice.llm import sharding
 from sluice.llm.queries import OP4_SQL, op4_sharding
@@ -77,3 +78,17 @@ def test_query_over_an_empty_table(spark, tmp_path, sf_dir):
     t = table(spark, tmp_path)
     t.append(docs.limit(0))
     assert t.compact() == 1 and t.read().schema == docs.schema and t.read().count() == 0
+
+
+def merged(t):
+    """How many shards each version after the first took away."""
+    live = [{s.path for s in t.shards(v)} for v in range(1, t.version() + 1)]
+    return [len(a - b) for a, b in zip(live, live[1:], strict=False)]
+
+
+def test_documents_arrive_in_parts_that_merge(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    t = sharding.shard_documents(docs)
+    assert sum(merged(t)) >= 4 and not t.due(t.shards())
+    assert same_rows(t.read().toPandas(), docs.toPandas())
