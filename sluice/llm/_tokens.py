@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, at the price of one library call per distinct word.
 
 The vocabulary splits a text before every run of white space that follows another character, so a text may be cut there and each piece encoded
-alone. Pieces of many texts are cut, hashed and looked up together, in arrays, in a bounded table of the pieces that a worker has met. A new piece that
+alone. Pieces of many texts are cut, hashed and looked up together, in arrays, in a bounded table of the pieces that a worker has met, by all their bytes. A new piece that
 is a word of Latin letters, with a line end before it or signs after it, is one word to the library's BPE model; any other is
 encoded by the library as it is. Texts with white space outside ASCII go to the library whole, as the cut would not be safe.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -49,28 +50,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@dataclass
+class Pieces:
+    """Pieces of bytes that lie in one buffer: the hash, the first 8 bytes, the size and the place of each, and the 8 bytes from each place on."""
+
+    hashes: np.ndarray
+    heads: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+
+    def of(self, which: np.ndarray) -> Pieces:
+        return Pieces(self.hashes[which], self.heads[which], self.size[which], self.first[which], self.words)
+
+    def rest(self, which: np.ndarray, k: int) -> np.ndarray:
+        """Of the pieces at `which`, all longer than k bytes, up to 8 bytes from their k-th on."""
+        return self.words[self.first[which] + k] & _PART[np.minimum(self.size[which] - k, 8)]
+
+
 class Table:
-    """Ids of pieces by the hash of their bytes; a place also has a piece's first bytes, which must agree."""
+    """Ids of pieces, found by hash; a place also has the piece's bytes, all of which must agree."""
 
     def __init__(self):
-        self.hash, self.head = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.at, self.n = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.hash, self.head, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8)
+        self.at, self.n, self.more = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.ids, self.used, self.count = np.zeros(1 << 20, np.uint16), 0, 0
+        self.bytes, self.filled = np.zeros(1 << 18, np.uint64), 0  # what follows the first 8 bytes, in words of 8
+
+    def _same(self, slot: np.ndarray, pieces: Pieces, which: np.ndarray) -> np.ndarray:
+        """Whether the bytes at the slots, whose sizes agree, are those of the pieces at `which` beyond the first 8."""
+        same = np.ones(len(which), bool)
+        left, k = np.flatnonzero(pieces.size[which] > 8), 8
+        while len(left):
+            same[left] &= self.bytes[self.more[slot[left]] + k // 8 - 1] == pieces.rest(which[left], k)
+            k += 8
+            left = left[pieces.size[which[left]] > k]
+        return same
 
-    def find(self, hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    def find(self, pieces: Pieces) -> np.ndarray:
         """The place of each piece, or -1."""
-        out, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        out, todo = np.full(len(pieces.hashes), -1, np.int64), np.arange(len(pieces.hashes))
+        slot = (pieces.hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         while len(todo):
             there = self.hash[slot]
-            hit = (there == hashes) & (self.head[slot] == heads)
+            hit = np.flatnonzero((there == pieces.hashes[todo]) & (self.head[slot] == pieces.heads[todo]) & (self.size[slot] == pieces.size[todo]))
+            hit = hit[self._same(slot[hit], pieces, todo[hit])]
             out[todo[hit]] = slot[hit]
-            on = ~hit & (there != 0)
-            todo, hashes, heads, slot = todo[on], hashes[on], heads[on], (slot[on] + 1) & (SLOTS - 1)
+            on = there != 0
+            on[hit] = False
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
         return out
 
-    def add(self, hashes: np.ndarray, heads: np.ndarray, ids: list[list[int]]) -> None:
-        """Takes in pieces that it does not have, each once."""
+    def add(self, pieces: Pieces, ids: list[list[int]]) -> None:
+        """Takes in pieces of LONGEST bytes at most that it does not have, each once."""
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(count.sum()))
         at = self.used + np.cumsum(count) - count
@@ -78,13 +110,24 @@ class Table:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint16)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used, self.count = self.used + len(flat), self.count + len(ids)
-        todo, slot = np.arange(len(ids)), (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        words = (pieces.size + 7) // 8 - 1
+        more = self.filled + np.cumsum(words) - words
+        if self.filled + int(words.sum()) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), int(words.sum())), np.uint64)])
+        self.filled += int(words.sum())
+        left, k = np.flatnonzero(words > 0), 8
+        while len(left):
+            self.bytes[more[left] + k // 8 - 1] = pieces.rest(left, k)
+            k += 8
+            left = left[pieces.size[left] > k]
+        todo, slot = np.arange(len(ids)), (pieces.hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         while len(todo):  # of those that meet at a free place, one takes it; the others go on
             one = np.zeros(len(todo), bool)
             one[np.unique(slot, return_index=True)[1]] = True
             one &= self.hash[slot] == 0
             to, own = slot[one], todo[one]
-            self.hash[to], self.head[to], self.at[to], self.n[to] = hashes[own], heads[own], at[own], count[own]
+            self.hash[to], self.head[to], self.size[to] = pieces.hashes[own], pieces.heads[own], pieces.size[own]
+            self.at[to], self.n[to], self.more[to] = at[own], count[own], more[own]
             todo, slot = todo[~one], (slot[~one] + 1) & (SLOTS - 1)
 
 
@@ -150,15 +193,16 @@ class Encoder:
         hashes[hashes == 0] = 1
         if self.table.count > KEEP:
             self.table = Table()
-        table, short = self.table, size <= LONGEST
-        place = np.where(short, table.find(hashes, heads), -1)
-        new = np.flatnonzero((place < 0) & short)
+        table, short = self.table, np.flatnonzero(size <= LONGEST)
+        every, place = Pieces(hashes, heads, size, first, words), np.full(len(first), -1, np.int64)
+        place[short] = table.find(every.of(short))
+        new = short[place[short] < 0]
         if len(new):
             once = new[np.unique(hashes[new], return_index=True)[1]][: SLOTS // 16 * 15 - table.count]  # what the table has no room for is encoded alone
             pieces = [data[a:b] for a, b in zip(first[once].tolist(), (first[once] + size[once]).tolist(), strict=True)]
-            table.add(hashes[once], heads[once], self._learn(pieces))
-            place[new] = table.find(hashes[new], heads[new])
-        lone = np.flatnonzero(place < 0)  # long pieces
+            table.add(every.of(once), self._learn(pieces))
+            place[new] = table.find(every.of(new))
+        lone = np.flatnonzero(place < 0)  # long pieces, and those with the hash of another new one
         extra = [self._whole(data[first[i] : first[i] + size[i]].decode()) for i in lone.tolist()]
         at, count = table.at[place].astype(np.int64), table.n[place].astype(np.int64)
         count[lone] = list(map(len, extra))
