@@ -236,5 +236,10 @@ def identify(text: Column, model: Model, switch_cost: float = SWITCH_COST) -> Co
 
 
 def learnable(id_col: str = "doc_id") -> Column:
-    """Rows that the contract lets the model learn from: crc32 of the id as text, modulo 3, is not 1."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+    """Rows that the contract lets the model learn from: crc32 of the id as text, modulo 3, is not 1. A null id is not learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose remainder is 1; never null: a null id has none."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 1200
+#: Documents of more lines (of any kind) are scored like all others, but teach nothing, so that the sample's lines are bounded too.
+SAMPLE_LINES = 1000
 #: Lines of bad documents above this probability of the line model are called good.
 CLEARLY_GOOD = 0.8
 THRESHOLD = 0.3
@@ -38,7 +40,7 @@ _WORDS = re.compile(r"\S+")
 
 
 def _char_table() -> np.ndarray:
-    """For code points below 65536 a bit for each kind: 1 upper, 2 letter, 4 digit, 8 blank, 16 stop, 32 quote or bracket, 64 other sign, 128 pipe."""
+    """For code points below 65536 (all above count as the last of them, an other sign) a bit for each kind: 1 upper, 2 letter, 4 digit, 8 blank, 16 stop, 32 quote or bracket, 64 other sign, 128 pipe."""
     out = np.zeros(1 << 16, np.uint8)
     for k in range(1 << 16):
         c = chr(k)
@@ -229,8 +231,12 @@ def fit(own: np.ndarray, size: np.ndarray, counts: np.ndarray, label: np.ndarray
     return Model(mean, spread, v[:-4], v[-4:].reshape(2, 2), float(slope), float(shift))
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model from about sample_docs documents of each class; None unless both classes occur. Null labels, ids and texts teach nothing."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model | None:
+    """A model from about sample_docs documents of each class, of sample_lines lines at most; None unless both classes occur.
+
+    labels are to be those that may be learned from, as all of them are counted. Null labels, ids and texts teach nothing; of several labels of
+    an id the least counts, of several texts the first in order.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -239,6 +245,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     share = F.when(F.col("label") == 1, F.lit(min(1.0, sample_docs / sizes[1]))).otherwise(F.lit(min(1.0, sample_docs / sizes[0])))
     chosen = known.where(draw < share)  # about twice sample_docs rows
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).where(F.size(F.split("text", "[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")) <= sample_lines)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,5 +281,10 @@ def score(text: Column, model: Model | None) -> Column:
 
 
 def learnable(id_col: str = "doc_id") -> Column:
-    """Rows that the contract lets the model learn from: crc32 of the id as text, modulo 5, is not 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
+    """Rows that the contract lets the model learn from: crc32 of the id as text, modulo 5, is not 0. A null id is not learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0, F.lit(False))
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose remainder is 0; never null: a null id has none."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

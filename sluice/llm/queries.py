@@ -6,7 +6,6 @@ what the operator returns.
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +55,13 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
-    return turned.select("conv_id", "part", "perspective", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
+    return turned.select("conv_id", "perspective", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(language.learnable()))
-    found = docs.select("doc_id", (~language.learnable()).alias("held_out"), language.identify(F.col("text"), model).alias("found"))
+    found = docs.select("doc_id", language.held_out().alias("held_out"), language.identify(F.col("text"), model).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.size("found.spans").cast("long").alias("n_spans"))
 
 
@@ -79,12 +78,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs.where(quality.learnable()), read(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (~quality.learnable()).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    model = quality.train(docs.where(quality.learnable()), read(spark, sf_dir, "labels").where(quality.learnable()))
+    scored = docs.select("doc_id", quality.held_out().alias("held_out"), quality.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, beside this package; it imports the operators itself
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -121,20 +122,20 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 OP4_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 
-OP6_SQL = """
-WITH t AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS sp, coalesce(text, '') AS tx FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, sp, tx) AS rn FROM t),
-p AS (SELECT DISTINCT conv_id, part, sp AS perspective FROM t WHERE sp <> 'system'),
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS sp, coalesce(text, '') AS tx FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sp, tx) AS rn FROM t),
+p AS (SELECT DISTINCT conv_id, sp AS perspective FROM t WHERE sp <> 'system'),
 x AS (
-  SELECT n.conv_id, n.part, p.perspective, n.rn, n.sp = p.perspective AS own,
-         '<|im_start|>' || CASE WHEN n.sp = p.perspective THEN 'assistant' WHEN n.sp = 'system' THEN 'system' ELSE 'user name=' || n.sp END || chr(10) AS head,
-         n.tx || '<|im_end|>' AS body
-  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.part = p.part),
-y AS (SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY rn) AS BIGINT) - length(body) - 1 AS s FROM x)
-SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+  SELECT n.conv_id, p.perspective, n.rn, n.sp = p.perspective AS own,
+         '<|im_start|>' || CASE WHEN n.sp = p.perspective THEN 'assistant' WHEN n.sp = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(regexp_replace(n.sp, '[\r\n]', ' ', 'g'), '<\|(im_start|im_end)\|>', '<\1|>', 'g') END || chr(10) AS head,
+         regexp_replace(n.tx, '<\|(im_start|im_end)\|>', '<\1|>', 'g') || '<|im_end|>' AS body
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY rn) AS BIGINT) - length(body) - 1 AS s FROM x)
+SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
        coalesce(string_agg(s || ':' || (s + length(body)), ',' ORDER BY rn) FILTER (WHERE own), '') AS mask
-FROM y GROUP BY conv_id, part, perspective
+FROM y GROUP BY conv_id, perspective
 """
 
 

@@ -80,3 +80,20 @@ def test_without_both_classes(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.train(docs, labels) is None and quality.train(docs, labels.limit(0)) is None
     assert sorted(r[0] for r in docs.select(quality.score(F.col("text"), None)).collect()) == [0.0, 0.5]
+
+
+def test_held_out_labels_take_no_part(spark):
+    docs = spark.read.parquet(f"{SIZE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SIZE}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    models = [quality.train(docs.where(quality.learnable()), x.where(quality.learnable())) for x in (labels, flipped)]
+    assert (models[0].weight == models[1].weight).all() and models[0].slope == models[1].slope
+
+
+def test_null_ids_and_documents_of_many_lines(spark):
+    rows = [(None, "a line"), (None, None), (1, "x\n" * 50), (2, "one"), (3, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.train(docs, labels, sample_lines=10) is not None
+    assert quality.train(docs.where("doc_id < 3"), labels, sample_lines=10) is None
+    assert {r[0] for r in docs.select(quality.held_out()).collect()} <= {True, False}
