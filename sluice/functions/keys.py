@@ -14,10 +14,16 @@ def safe_key(key: Column) -> Column:
 
 
 def between(text: Column, start: str, end: str, what: str = "marker") -> Column:
-    """What stands between the first start and the first end after it; an error names what is missing, without the text."""
-    rest = F.split_part(text, F.lit(start), F.lit(2))
-    found = F.contains(text, F.lit(start)) & F.contains(rest, F.lit(end))
-    return F.when(found, F.split_part(rest, F.lit(end), F.lit(1))).when(text.isNotNull(), F.raise_error(F.lit(f"no {what} between its marks")))
+    """What stands between the first start and the first end after it (a start may recur in it); an error names what is missing, without the text."""
+    at = F.locate(start, text)
+    rest = F.substring(text, at + len(start), F.length(text))
+    till = F.locate(end, rest)
+    return F.when((at > 0) & (till > 0), F.substring(rest, F.lit(1), till - 1)).when(text.isNotNull(), F.raise_error(F.lit(f"no {what} between its marks")))
+
+
+def numbered(prefix: str, number: Column) -> Column:
+    """A key of a prefix and a number, such as `row-7`; null without a number."""
+    return F.concat(F.lit(prefix), number.cast("string"))
 
 
 def article(doc_id: Column, lang: Column, title: Column, body: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import safe_key
@@ -34,6 +34,13 @@ def check_keys(df: DataFrame) -> int:
     return facts["rows"]
 
 
+def fingerprint(df: DataFrame) -> tuple[int, str]:
+    """(rows, 128 bits that tell one set of keys from another, in whatever order): one aggregation without a shuffle of keys."""
+    xor = lambda seed: F.hex(F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), KEY)), F.lit(0)))
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", xor("a"), xor("b")).alias("keys")).first()
+    return got["n"], got["keys"]
+
+
 def tagged(df: DataFrame, source: str) -> DataFrame:
     """The frame with its source in `__source__`."""
     return df.withColumn(SOURCE, F.lit(source))
@@ -138,11 +145,21 @@ def with_defaults(df: DataFrame, required: list[str], defaults: Mapping[str, obj
 
 
 def summary(df: DataFrame, **totals: Column) -> DataFrame:
-    """One row: count, the sorted keys, and the named aggregates. For frames whose keys fit a row."""
+    """One row: count, the sorted keys, and the named aggregates. For frames whose keys fit a row; sorted_keys() gives them as rows."""
     keys = [F.array_sort(F.collect_list(KEY)).alias("ids")] if KEY in df.columns else []
     return df.agg(F.count(F.lit(1)).alias("count"), *keys, *[c.alias(n) for n, c in totals.items()])
 
 
+def sorted_keys(df: DataFrame) -> DataFrame:
+    """(key, position from 0) in ascending order of any number of keys: by a range shuffle and the counts of its partitions."""
+    spread = df.select(KEY).repartitionByRange(KEY).sortWithinPartitions(KEY).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = spread.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spread.withColumn("__part", part).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    return placed.select(KEY, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("position"))
+
+
 def with_context(df: DataFrame, **labels: str) -> DataFrame:
     """Constant columns, such as tenant, job or run."""
     return df.withColumns({n: F.lit(v) for n, v in labels.items()})

@@ -25,22 +25,6 @@ def _named(name: str, what: str) -> str:
     return name
 
 
-def step(*, output: Dataset, persist: bool = True) -> Callable:
-    """Declares a function's output; the function itself stays as it is, and the outermost declaration counts."""
-    if not isinstance(output, Dataset):
-        raise TypeError(f"output is a dataset, not {type(output).__name__}")
-    if not isinstance(persist, bool):
-        raise TypeError("persist is a bool")
-
-    def declare(fn: Callable) -> Callable:
-        if not callable(fn):
-            raise TypeError("only functions are steps")
-        fn.sluice_output, fn.sluice_persist = output, persist
-        return fn
-
-    return declare
-
-
 @dataclass
 class Step:
     fn: Callable[..., DataFrame]
@@ -57,13 +41,27 @@ class Step:
         if self.output.name is None:
             self.output.name = self.name
 
+        if not isinstance(self.persist, bool):
+            raise TypeError("Step.persist is a bool")
+
+    def __call__(self, df: DataFrame, context: Any = None) -> DataFrame:
+        """A step can be called as the function it was made of."""
+        return self.fn(df, context=context)
+
     @staticmethod
     def of(entry: Any) -> Step:
         if isinstance(entry, Step):
             return entry
         if not callable(entry):
             raise TypeError(f"{type(entry).__name__} is no step")
-        return Step(entry, getattr(entry, "sluice_output", None) or ParquetDataset(), getattr(entry, "sluice_persist", True))
+        return Step(entry)
+
+
+def step(*, output: Dataset, persist: bool = True) -> Callable[[Any], Step]:
+    """Makes a Step of the function below it; a further one above it takes the function with its own output."""
+    if not isinstance(output, Dataset):
+        raise TypeError(f"output is a dataset, not {type(output).__name__}")
+    return lambda fn: Step(fn.fn if isinstance(fn, Step) else fn, output, persist)
 
 
 @dataclass
@@ -81,7 +79,7 @@ class Branch:
         for route, steps in self.routes.items():
             _named(route, "route")
             for s in steps:
-                if not isinstance(s, Step) and not hasattr(s, "sluice_output"):
+                if not isinstance(s, Step):
                     raise TypeError(f"a step of route {route!r} has no declared output")
             own = self.routes[route] = [Step.of(s) for s in steps]
             if len({s.name for s in own}) < len(own):
@@ -149,11 +147,39 @@ def nodes(pipeline: Pipeline, run_root: str) -> list[Node]:
     return out
 
 
+def graph(pipeline: Pipeline) -> list[dict[str, Any]]:
+    """Every node of the flow in order: steps, and for a branch its fan-out, the steps of its routes, and its merge; `inputs` names what each reads.
+
+    A reference is `source`, the id of a node, or `<fan-out>:<route>` for what a fan-out gives a route.
+    """
+    steps, out, last = nodes(pipeline, ""), [], "source"
+
+    def add(ident: str, kind: str, stage: str, name: str, inputs: list[str], step: Step | None = None, route: str | None = None) -> str:
+        dataset = {"dataset": type(step.output).__name__, "dataset_name": step.output.name, "persist": step.persist} if step else {}
+        out.append({"id": ident, "kind": kind, "stage": stage, "name": name, "inputs": inputs, "route": route} | dataset)
+        return ident
+
+    for i, stage in enumerate(pipeline.stages, 1):
+        for j, entry in enumerate(stage.entries, 1):
+            at = f"s{i:03d}-e{j:03d}"
+            if isinstance(entry, Step):
+                last = add(at, "step", stage.name, entry.name, [last], entry)
+                continue
+            add(f"{at}-fan", "fan_out", stage.name, entry.name, [last])
+            ends = []
+            for route in entry.routes:
+                end = f"{at}-fan:{route}"
+                for n in (n for n in steps if (n.stage, n.entry, n.route) == (i, j, route)):
+                    end = add(n.id, "route_step", stage.name, n.step.name, [end], n.step, route)
+                ends.append(end)
+            last = add(f"{at}-merge", "merge", stage.name, entry.name, ends)
+    return out
+
+
 def snapshot(pipeline: Pipeline) -> str:
     """The declaration as JSON that is the same whenever the declaration is: no folders, no run."""
-    rows = [{"id": n.id, "stage": pipeline.stages[n.stage - 1].name, "route": n.route, "step": n.step.name, "persist": n.step.persist, "dataset": type(n.step.output).__name__} for n in nodes(pipeline, "")]
     branches = [{"stage": s.name, "branch": e.name, "routes": list(e.routes), "by": "source" if isinstance(e.by, str) else "column"} for s in pipeline.stages for e in s.entries if isinstance(e, Branch)]
-    return json.dumps({"pipeline": pipeline.name, "nodes": rows, "branches": branches}, sort_keys=True, separators=(",", ":"))
+    return json.dumps({"pipeline": pipeline.name, "nodes": graph(pipeline), "branches": branches}, sort_keys=True, separators=(",", ":"))
 
 
 def mermaid(pipeline: Pipeline) -> str:

@@ -20,6 +20,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import LeaseHeldError, RecordError, RecordVersionError
+from ..operators.keyed import fingerprint
 from ..sources.files import Files, join
 from .pipeline import Node, Pipeline, nodes
 
@@ -45,7 +46,10 @@ def _parsed(text: str | None, what: str) -> dict | None:
 
 @dataclass
 class Commits:
-    """What has been written whole: one record for each persisted step, published after its files and withdrawn before they change."""
+    """What has been written whole: one record for each persisted step, published after its files and withdrawn before they change.
+
+    A record holds the number of rows and a fingerprint of the keys, which are held against the files before they are used again.
+    """
 
     root: str
 
@@ -58,8 +62,8 @@ class Commits:
     def withdraw(self, spark: SparkSession, pipeline: str, node: Node) -> None:
         Files(spark).delete(self._at(pipeline, node))
 
-    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int) -> None:
-        record = self.facts(pipeline, stage, node) | {"run_id": run_id, "rows": rows, "at": now()}
+    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int, keys: str | None = None) -> None:
+        record = self.facts(pipeline, stage, node) | {"run_id": run_id, "rows": rows, "keys": keys, "at": now()}
         files, at = Files(spark), self._at(pipeline, node)
         files.write_text(at, json.dumps(record, sort_keys=True))
         if _parsed(files.read_text(at), "commit record") != record:
@@ -79,8 +83,11 @@ class Commits:
         if not output.exists(spark, node.folder):
             raise RecordError(f"the output of {node.step.name!r} is committed but not there")
         df = output.load_from(spark, node.folder)
-        if (rows := df.count()) != record["rows"]:
+        rows, keys = fingerprint(df) if record.get("keys") else (df.count(), None)
+        if rows != record["rows"]:
             raise RecordError(f"the output of {node.step.name!r} has {rows} rows, its record {record['rows']}")
+        if keys != record.get("keys"):
+            raise RecordError(f"the output of {node.step.name!r} has other keys than its record")
         return df
 
 
@@ -183,7 +190,7 @@ class Lease:
         self._thread = threading.Thread(target=beat, daemon=True)
         self._thread.start()
 
-    def exit(self, spark: SparkSession, pipeline: str) -> None:
+    def exit(self, spark: SparkSession, pipeline: str, outcome: str | None = None) -> None:
         self._stop.set()
         if self._thread:
             self._thread.join()
@@ -192,3 +199,10 @@ class Lease:
             files.delete(at)
         if self._failed:
             raise LeaseHeldError(f"the lease of {pipeline!r} was not kept: {self._failed}")
+
+
+def production(root: str, heartbeat: float = 10.0, stale: float = 60.0, required: bool = True) -> dict[str, Any]:
+    """The arguments of run() for commits, run log, ownership and a lease, all below one folder."""
+    if not root.strip():
+        raise ValueError("the folder of the records is empty")
+    return {"commits": Commits(root), "observers": [RunLog(root, required=required)], "ownership": Ownership(root), "lease": Lease(root, heartbeat, stale)}

@@ -1,8 +1,8 @@
 """Running a pipeline: steps build DataFrames in order, persisted ones are checked and committed, and Spark does the rest.
 
-A persisted step is written as: keys and count checked in one aggregation over the persisted frame; its commit record withdrawn; files written to a staging
-folder beside its own and moved into place; the record published. A crash in between leaves no record, so nothing reads what is half
-done. The next step reads the committed files, which ends the lineage there. Steps that are not persisted stay lazy: their
+A persisted step is written to a staging folder beside its own; keys and count are checked in one aggregation over what was written (over the frame, before
+any file, where keys become file names); the old commit record is withdrawn, the files are moved into place, and the new record, with the number of rows and
+a fingerprint of the keys, is published. A crash in between leaves no record, so nothing reads what is half done; a failed check leaves output and record as they were. The next step reads the committed files, which ends the lineage there. Steps that are not persisted stay lazy: their
 completion means that their plan was built.
 
 A selective run (one stage, or one step of it) starts from the committed output of the step before, and fails before any
@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import MissingPriorOutputError, ObserverError, RecordError, StepContext
-from ..operators.keyed import merge_routes, split_routes, strip_source
+from ..operators.keyed import fingerprint, merge_routes, split_routes, strip_source
 from ..sources.files import Files
 from .pipeline import Branch, Node, Pipeline, Step, nodes
 from .records import Commits, Lease, Ownership
@@ -108,26 +108,48 @@ class _Run:
 
     def _write(self, node: Node, df: DataFrame) -> DataFrame:
         output, stage = node.step.output, self.pipeline.stages[node.stage - 1].name
-        held = df.persist()
+        folder = f"{node.folder}.staging-{self.id}"
+        aside = f"{folder}/{node.folder.rpartition('/')[2]}"
+        late = getattr(output, "validates_written", False)
+        held = df if late else df.persist()
         try:
-            rows = output.validate(held)
-            if self.commits:
-                self.commits.withdraw(self.spark, self.pipeline.name, node)
-            aside = f"{node.folder}.staging-{self.id}/{node.folder.rpartition('/')[2]}"
-            if rows:
-                output.save(held, aside)
+            rows = None if late else output.validate(held)  # keys become file names, so they are checked before there are files
+            if rows or late:
+                try:
+                    output.save(held, aside)
+                except Exception:
+                    self._withdraw(node)
+                    raise
+            if late and not output.exists(self.spark, aside):  # partitioned, and without rows
+                rows = output.validate(df.limit(0))
+            elif late:
+                rows = self._read_back(node, output.validate(output.load_from(self.spark, aside)), output.written_rows(self.spark, aside))
+            self._withdraw(node)
             self.files.delete(node.folder)
             self.files.rename(aside, node.folder) if rows else self.files.mkdirs(node.folder)
-            self.files.delete(aside.rpartition("/")[0])
         finally:
-            held.unpersist()
-        out = output.load_from(self.spark, node.folder) if rows else df.limit(0)
-        if rows and (there := out.count()) != rows:
-            raise RecordError(f"step {node.step.name!r} wrote {rows} rows, but {there} are read back")
+            self.files.delete(folder)
+            if not late:
+                held.unpersist()
+        out, keys = output.load_from(self.spark, node.folder) if rows else df.limit(0), None
+        if rows and getattr(output, "has_keys", bool)():
+            there, keys = fingerprint(out)
+            self._read_back(node, there, rows)
+        elif rows and not late:
+            self._read_back(node, out.count(), rows)
         if self.commits:
-            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows)
+            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows, keys)
         return out
 
+    def _read_back(self, node: Node, there: int, wrote: int) -> int:
+        if there != wrote:
+            raise RecordError(f"step {node.step.name!r} wrote {wrote} rows, but {there} are read back")
+        return there
+
+    def _withdraw(self, node: Node) -> None:
+        if self.commits:
+            self.commits.withdraw(self.spark, self.pipeline.name, node)
+
     def _step(self, node: Node, df: DataFrame, prior: str | None) -> DataFrame:
         ctx = StepContext(self.spark, self.root, self.pipeline.name, self.id, self.pipeline.stages[node.stage - 1].name, node.stage, node.step.name, node.route_step or node.entry, node.step.persist, node.folder, prior, self.params, log)
         own = self.context(ctx) if self.context else ctx
@@ -196,6 +218,22 @@ class _Run:
         return str(stage.root).rstrip("/") if stage.root else f"{self.root.rstrip('/')}/{self.pipeline.name}/{i:03d}_{stage.name}"
 
 
+def check_extensions(commits: Any = None, observers: list[Any] | None = None, guards: list[Any] | None = None, ownership: Any = None) -> None:
+    """Raises unless each part has the methods of its role, an observer's `required` is a bool, and none is given twice."""
+    roles = [(commits, "commit store", ("withdraw", "publish", "load")), (ownership, "owner of folders", ("reconcile",))]
+    roles += [(o, "observer", ("on_event",)) for o in observers or []] + [(g, "guard", ("enter", "exit")) for g in guards or []]
+    for part, role, methods in roles:
+        lacking = [m for m in methods if part is not None and not callable(getattr(part, m, None))]
+        if lacking:
+            raise TypeError(f"a {role} of type {type(part).__name__} has no {', '.join(lacking)}")
+    for o in observers or []:
+        if not isinstance(getattr(o, "required", False), bool):
+            raise TypeError(f"an observer of type {type(o).__name__} must be required or not")
+    for name, parts in (("observer", observers or []), ("guard", guards or [])):
+        if len({id(x) for x in parts}) < len(parts):
+            raise ValueError(f"one {name} is given twice")
+
+
 def run(
     spark: SparkSession,
     pipeline: Pipeline,
@@ -209,13 +247,22 @@ def run(
     observers: list[Any] | None = None,
     ownership: Ownership | None = None,
     lease: Lease | None = None,
+    guards: list[Any] | None = None,
 ) -> RunResult:
-    """Runs a pipeline, or one stage or step of it."""
+    """Runs a pipeline, or one stage or step of it.
+
+    Guards are entered in order, the lease first, before anything else, and left in reverse with the outcome, `completed` or `failed`. All that were entered
+    are left; an error of theirs is raised only if nothing failed before it.
+    """
+    guards = [*([lease] if lease else []), *(guards or [])]
+    check_extensions(commits, observers, guards, ownership)
     own = _Run(spark, pipeline, str(run_root or DEFAULT_ROOT), stage, step, keep_source, params, context, commits, list(observers or []))
     failure: BaseException | None = None
-    if lease:
-        lease.enter(spark, pipeline.name, own.id)
+    entered: list[Any] = []
     try:
+        for g in guards:
+            g.enter(spark, pipeline.name, own.id)
+            entered.append(g)
         own.tell("run_started")
         if ownership:
             ownership.reconcile(spark, pipeline, own.root, own.id, own.selective)
@@ -223,18 +270,20 @@ def run(
         own.tell("run_completed")
     except BaseException as e:
         failure = e
-        if not isinstance(e, ObserverError):
+        if not isinstance(e, ObserverError) and len(entered) == len(guards):
             try:
                 own.tell("run_failed", error=e)
             except ObserverError as told:
                 log.error("%s", told)
         raise
     finally:
-        if lease:
+        late: Exception | None = None
+        for g in reversed(entered):
             try:
-                lease.exit(spark, pipeline.name)
+                g.exit(spark, pipeline.name, "failed" if failure or late else "completed")
             except Exception as e:
-                if failure is None:
-                    raise
-                log.error("the lease could not be given back: %s", type(e).__name__)
+                log.error("a guard could not be left: %s", type(e).__name__)
+                late = late or e
+        if late is not None and failure is None:
+            raise late
     return RunResult(own.root, own.id, out, tuple(own.errors))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.keys import article, between, normalized, safe_key
+from .functions.keys import article, between, normalized, numbered, safe_key
 from .model import KEY, SOURCE
 from .operators import keyed
 from .plans.pipeline import Branch, Pipeline, Stage, Step
 from .plans.records import Commits
 from .plans.run import run
 from .sources.datasets import KeyedJSON, KeyedText, Loader, ParquetDataset, Sources
+from .sources.files import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,14 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
+    return f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/runs-{uuid.uuid4().hex}"
+def _through(spark: SparkSession, name: str, frame: DataFrame, *steps) -> DataFrame:
+    """What a pipeline of these steps, each persisted, makes of a frame."""
+    made = Pipeline(name, Loader(name, lambda _: frame), [Stage("all", [Step(f, ParquetDataset()) for f in steps])])
+    return run(spark, made, _shared(spark)).output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +103,27 @@ def branch_passthrough_route(spark, sf_dir):
 
 
 def derive_scale(spark, sf_dir):
+    """Two steps that derive columns, each written."""
+
+    def bronze(df, context):
+        return df.withColumns({"bronze": F.lit(True), "doubled_value": F.col("o_custkey").cast("bigint") * 2})
+
+    def silver(df, context):
+        return df.withColumn("normalized", F.col("doubled_value").cast("double") / 4.0)
+
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias(KEY), "o_custkey")
-    doubled = orders.withColumns({"bronze": F.lit(True), "doubled_value": F.col("o_custkey").cast("bigint") * 2})
-    return doubled.withColumn("normalized", F.col("doubled_value").cast("double") / 4.0)
+    return _through(spark, "scaled", orders, bronze, silver)
 
 
 def derive_normalize(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias(KEY), F.lower("c_name").alias("name"), (F.col("c_acctbal") * 10).alias("scaled"))
-    return customers
+    def names(df, context):
+        return df.withColumn("name", normalized(F.col("name")))
+
+    def scaled(df, context):
+        return df.withColumn("scaled", F.col("scaled") * 10)
+
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias(KEY), F.col("c_name").alias("name"), F.col("c_acctbal").alias("scaled"))
+    return _through(spark, "normalized", customers, names, scaled)
 
 
 def _money(column: str):
@@ -125,7 +140,8 @@ def summary_sorted_ids(spark, sf_dir):
 
 
 def tag_row_key(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.concat(F.lit("row-"), F.col("c_custkey").cast("string")).alias(KEY), "c_mktsegment")
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias(KEY), "c_custkey", "c_mktsegment")
+    return keyed.rekey(customers, numbered("row-", F.col("c_custkey"))).select(KEY, "c_mktsegment")
 
 
 def context_columns(spark, sf_dir):
@@ -148,7 +164,10 @@ def extract_between(spark, sf_dir):
 
 
 def lower_normalize(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(KEY), F.sha2(F.lower("text").cast("binary"), 256).alias("lower_sha256"), F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("source_key"))
+    def lower(df, context):
+        return df.withColumns({"lower_sha256": F.sha2(F.lower("text").cast("binary"), 256), "source_key": numbered("documents/", F.col(KEY))}).drop("text")
+
+    return _through(spark, "lower", read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(KEY), "text"), lower)
 
 
 def rekey_lang_id(spark, sf_dir):
@@ -217,18 +236,18 @@ def selective_stage_reuse(spark, sf_dir):
 def branch_pipeline(spark, sf_dir):
     """Sources, routed by source to chains of persisted steps, merged and summarized in a run."""
 
-    def head(df, context):
-        return df.withColumn("counted", F.substring("content", 1, 20))
+    def plain(df, context):
+        return df.withColumn("plain", normalized(F.col("content")))
 
     def loud(df, context):
         louder = F.concat("content", F.lit("!"))
-        return df.withColumns({"content": louder, "counted": louder})
+        return df.withColumns({"content": louder, "plain": louder})
 
-    def count(df, context):  # the SQL counts a head of each document; the texts themselves are persisted and merged whole
-        return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("counted")).alias("chars"))
+    def count(df, context):
+        return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("plain")).alias("chars"))
 
     sources = Sources([Loader("documents", lambda s: _documents(s, sf_dir)), Loader("pages", lambda s: _pages(s, sf_dir))])
-    routes = {"documents": [Step(head, ParquetDataset())], "pages": [Step(loud, ParquetDataset())]}
+    routes = {"documents": [Step(plain, ParquetDataset())], "pages": [Step(loud, ParquetDataset())]}
     made = Pipeline("mixed", sources, [Stage("all", [Branch("by_source", "source", routes), Step(count, ParquetDataset(keyed=False))])])
     return run(spark, made, _shared(spark)).output
 
@@ -273,8 +292,15 @@ def windowed_event_counts(spark, sf_dir):
     return windowed_counts(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_SEED = """(SELECT 'documents/' || doc_id AS key, 'documents' AS __source__, lang, text AS content FROM documents UNION ALL
-SELECT 'pages/' || page_id, 'pages', split_part(split_part(html, '<html lang="', 2), '"', 1), split_part(split_part(html, '<h1>', 2), '</h1>', 1) FROM pages)"""
+def _between(text: str, start: str, end: str) -> str:
+    """SQL of what stands between the first start and the first end after it."""
+    rest = f"substr({text}, strpos({text}, '{start}') + {len(start)})"
+    return f"substr({rest}, 1, strpos({rest}, '{end}') - 1)"
+
+
+_LANG, _TITLE = _between("html", '<html lang="', '"'), _between("html", "<h1>", "</h1>")
+_SEED = f"""(SELECT 'documents/' || doc_id AS key, 'documents' AS __source__, lang, text AS content FROM documents UNION ALL
+SELECT 'pages/' || page_id, 'pages', {_LANG}, {_TITLE} FROM pages)"""
 _EVENTS = "SELECT CAST(event_id AS VARCHAR) AS key, user_id, event_type, value FROM events"
 
 SQL = {
@@ -296,7 +322,7 @@ SQL = {
     "context_columns": "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name, 'acme' AS tenant, 'job-7' AS job_id FROM supplier",
     "context_summary": "SELECT count(*) AS count, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total, 'acme' AS tenant, 'job-7' AS job_id FROM supplier",
     "render_html": """SELECT CAST(doc_id AS VARCHAR) AS key, sha256('<article data-id="' || doc_id || '" data-lang="' || lang || '">' || chr(10) || '  <h1>' || source || '</h1>' || chr(10) || '  <p>' || text || '</p>' || chr(10) || '</article>' || chr(10)) AS html_sha256 FROM documents""",
-    "extract_between": """SELECT CAST(page_id AS VARCHAR) AS key, split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS title, split_part(split_part(html, '<html lang="', 2), '"', 1) AS lang FROM pages""",
+    "extract_between": f"SELECT CAST(page_id AS VARCHAR) AS key, {_TITLE} AS title, {_LANG} AS lang FROM pages",
     "lower_normalize": "SELECT CAST(doc_id AS VARCHAR) AS key, sha256(lower(text)) AS lower_sha256, 'documents/' || doc_id AS source_key FROM documents",
     "rekey_lang_id": "SELECT lang || '/' || doc_id AS key, lang, CAST(doc_id AS VARCHAR) AS origin_key FROM documents",
     "rekey_last_wins": "SELECT CAST(user_id AS VARCHAR) AS key, user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
@@ -306,7 +332,7 @@ SQL = {
     "key_validity": "SELECT doc_id, f.form, f.valid FROM documents, (VALUES (0, true), (1, false), (2, false), (3, false), (4, true), (5, false), (6, false), (7, false)) f(form, valid)",
     "pipeline_full_run": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice * 2 AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_totalprice >= 1000 GROUP BY 1",
     "selective_stage_reuse": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice * 2 AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_totalprice >= 1000 GROUP BY 1",
-    "branch_pipeline": f"SELECT lang, count(*) AS n, CAST(sum(length(CASE WHEN __source__ = 'documents' THEN content[1:20] ELSE content || '!' END)) AS BIGINT) AS chars FROM {_SEED} GROUP BY 1",
+    "branch_pipeline": f"SELECT lang, count(*) AS n, CAST(sum(length(CASE WHEN __source__ = 'documents' THEN trim(regexp_replace(lower(content), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE content || '!' END)) AS BIGINT) AS chars FROM {_SEED} GROUP BY 1",
     "keyed_json_files": "SELECT n_regionkey || '/' || n_nationkey AS key, n_name, n_regionkey FROM nation",
     "keyed_text_files": "SELECT CAST(item_id AS VARCHAR) AS key, text AS value FROM benchmark",
     "committed_empty": "SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name FROM region WHERE r_regionkey < 0",
@@ -315,8 +341,12 @@ SQL = {
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in SQL}
+    from . import run_queries
+
+    return {n: globals()[n] for n in SQL} | run_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import run_queries
+
+    return SQL | run_queries.SQL

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,12 @@ class _Base:
     def load_from(self, spark: SparkSession, dest: str) -> DataFrame:
         raise NotImplementedError
 
+    #: Whether the written output is what gets validated; else the frame is, before any file is made.
+    validates_written = False
+
+    def has_keys(self) -> bool:
+        return False
+
     def _counted(self, rows: int) -> int:
         if not rows and not self.allow_empty:
             raise EmptyOutputError(f"dataset {self.name!r} takes no empty output")
@@ -79,6 +86,11 @@ class ParquetDataset(_Base):
     keyed: bool = True
     partition_by: tuple[str, ...] = ()
 
+    validates_written = True
+
+    def has_keys(self) -> bool:
+        return self.keyed
+
     def load_from(self, spark: SparkSession, dest: str) -> DataFrame:
         reader = spark.read.options(**self.storage_options or {})
         return (reader.schema(self.schema) if self.schema else reader).parquet(dest)
@@ -89,8 +101,12 @@ class ParquetDataset(_Base):
     def save(self, df: DataFrame, dest: str) -> None:
         df.write.mode("overwrite").options(**self.storage_options or {}).partitionBy(*self.partition_by).parquet(dest)
 
+    def written_rows(self, spark: SparkSession, dest: str) -> int:
+        """The rows that the files' footers count."""
+        return spark.read.options(**self.storage_options or {}).parquet(dest).count()
+
     def exists(self, spark: SparkSession, dest: str) -> bool:
-        return bool(Files(spark).walk(dest, ".parquet"))
+        return Files(spark).any(dest, ".parquet")
 
     def committed_empty(self, spark: SparkSession) -> DataFrame:
         if not self.allow_empty:
@@ -123,22 +139,44 @@ def _unnamed_column(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/"), lambda p: part(F.regexp_replace(p, "^~", ""))), "/")
 
 
+def _store(dest: str, options: dict[str, str] | None):
+    """(file system, path) of a folder for a task's Python: by its scheme and by those of the options, named as Spark names them, that pyarrow has too."""
+    from pyarrow import fs
+
+    scheme, found, rest = dest.partition("://")
+    if not found or scheme == "file":
+        return fs.LocalFileSystem(), rest if found else dest
+    own = options or {}
+    named = lambda names: {to: own[at] for at, to in names.items() if at in own}
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem(**named(_S3_OPTIONS)), rest
+    if scheme in ("abfs", "abfss", "wasb", "wasbs"):
+        container, _, tail = rest.partition("@")
+        account, _, path = tail.partition("/")
+        more = named({f"fs.azure.account.key.{account}": "account_key"})
+        return fs.AzureFileSystem(account.partition(".")[0], **more), f"{container}/{path}"
+    store, root = fs.FileSystem.from_uri(dest)
+    return store, root
+
+
+#: Spark's names of S3 options and pyarrow's (fixed values).
+_S3_OPTIONS = {"fs.s3a.access.key": "access_key", "fs.s3a.secret.key": "secret_key", "fs.s3a.session.token": "session_token", "fs.s3a.endpoint": "endpoint_override", "fs.s3a.endpoint.region": "region"}
+
+
 def _put(dest: str, suffix: str, options: dict[str, str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Writes each (key, bytes) to a file of its own, aside first; yields how many."""
+    """Writes each (key, bytes) to a file of its own, aside first, under a name of the task's attempt; yields how many."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        at = dest.removeprefix("file://") if dest.startswith("file://") else dest
-        store, root = fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
-        n = 0
+        store, root = _store(dest, options)
+        n, attempt = 0, TaskContext.get().taskAttemptId()
         for batch in batches:
             for key, body in zip(batch[KEY], batch["body"], strict=True):
                 to = posixpath.join(root, _named(key) + suffix)
                 store.create_dir(posixpath.dirname(to), recursive=True)
-                with store.open_output_stream(to + ".part") as out:
+                aside = f"{to}.part-{attempt}"
+                with store.open_output_stream(aside) as out:
                     out.write(bytes(body))
-                store.move(to + ".part", to)
+                store.move(aside, to)
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
@@ -151,6 +189,9 @@ class _Keyed(_Base):
 
     suffix: str = ""
 
+    def has_keys(self) -> bool:
+        return True
+
     def _body(self, df: DataFrame) -> DataFrame:
         """(key, body binary)."""
         raise NotImplementedError
@@ -176,7 +217,7 @@ class _Keyed(_Base):
         self._body(df).mapInPandas(_put(dest, self.suffix, self.storage_options), "n long").agg(F.sum("n")).first()
 
     def exists(self, spark: SparkSession, dest: str) -> bool:
-        return bool(Files(spark).walk(dest, self.suffix))
+        return Files(spark).any(dest, self.suffix)
 
     def committed_empty(self, spark: SparkSession) -> DataFrame:
         if not self.allow_empty:

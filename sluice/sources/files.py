@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a local master, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sluice-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def is_url(path: str) -> bool:
     return "://" in path
 
@@ -56,6 +70,15 @@ class Files:
                 found.append(at.removeprefix(root))
         return sorted(found)
 
+    def any(self, path: str, suffix: str = "") -> bool:
+        """Whether a file below a folder ends in suffix; stops at the first."""
+        fs, p = self._at(path)
+        it = fs.listFiles(p, True) if fs.exists(p) else None
+        while it is not None and it.hasNext():
+            if it.next().getPath().getName().endswith(suffix):
+                return True
+        return False
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -83,18 +106,22 @@ class Files:
             stream.close()
 
     def write_text(self, path: str, text: str, replace: bool = True) -> None:
-        """A small file, written aside and moved into place; without replace, an existing file is an error."""
+        """A small file, written aside and moved over what is there in one step; without replace, an existing file is an error."""
         fs, p = self._at(path)
         if not replace:
             out = fs.create(p, False)
             out.write(bytearray(text.encode()))
             out.close()
             return
-        aside = join(parent(path), f".{leaf(path)}.tmp")
-        fs2, a = self._at(aside)
-        out = fs2.create(a, True)
+        aside = self._jvm.org.apache.hadoop.fs.Path(join(parent(path), f".{leaf(path)}.{uuid.uuid4().hex}"))
+        out = fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(a, p):
-            raise OSError(f"could not publish {leaf(path)}")
+        api = self._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(api.Options.Rename, 1)
+        over[0] = api.Options.Rename.OVERWRITE
+        try:
+            api.FileContext.getFileContext(fs.makeQualified(p).toUri(), self._conf).rename(fs.makeQualified(aside), fs.makeQualified(p), over)
+        except Exception as e:
+            fs.delete(aside, False)
+            raise OSError(f"could not publish {leaf(path)}") from e

@@ -81,3 +81,15 @@ def test_loaders(spark):
         Loader("bad", lambda s: s.range(3)).load(spark)
     with pytest.raises(FileNotFoundError):
         ParquetDataset("x").load(spark)
+
+
+def test_stores_of_keyed_writes():
+    from pyarrow import fs
+
+    from sluice.sources.datasets import _store
+
+    store, root = _store("s3a://bucket/a/b", {"fs.s3a.access.key": "k", "fs.s3a.secret.key": "s", "fs.s3a.endpoint.region": "eu-west-1"})
+    assert isinstance(store, fs.S3FileSystem) and root == "bucket/a/b" and store.region == "eu-west-1"
+    assert _store("file:///tmp/x", None)[1] == "/tmp/x" and _store("/tmp/x", None)[1] == "/tmp/x"
+    if hasattr(fs, "AzureFileSystem"):
+        assert _store("abfss://box@acct.dfs.core.windows.net/a", {"fs.azure.account.key.acct.dfs.core.windows.net": "a2V5"})[1] == "box/a"

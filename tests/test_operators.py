@@ -87,3 +87,21 @@ def test_defaults(spark):
     assert (row.q, row.t) == (-1, "")
     with pytest.raises(ValueError, match="lang"):
         keyed.with_defaults(df, ["lang"], {})
+
+
+def test_between_with_a_recurring_start(spark):
+    df = spark.createDataFrame([("<h1>a<h1>b</h1>",), ("x<h1></h1><h1>y</h1>",), (None,)], "t string")
+    assert [r[0] for r in df.select(between(F.col("t"), "<h1>", "</h1>")).collect()] == ["a<h1>b", "", None]
+    for bad in ("</h1><h1>", "<h1>", "none"):
+        with pytest.raises(Exception, match="no title"):
+            spark.createDataFrame([(bad,)], "t string").select(between(F.col("t"), "<h1>", "</h1>", "title")).collect()
+
+
+def test_sorted_keys_and_fingerprints(spark):
+    df = spark.createDataFrame([(f"k{k % 50}",) for k in range(120)], "key string").repartition(7)
+    got = {(r["key"], r["position"]) for r in keyed.sorted_keys(df).collect()}
+    assert [k for _, k in sorted((p, k) for k, p in got)] == sorted(f"k{k % 50}" for k in range(120)) and len(got) == 120
+    some = df.distinct()
+    assert keyed.fingerprint(some) == keyed.fingerprint(some.repartition(2))
+    assert keyed.fingerprint(some)[1] != keyed.fingerprint(some.where("key <> 'k1'").unionByName(spark.createDataFrame([("z",)], "key string")))[1]
+    assert keyed.fingerprint(some.limit(0))[0] == 0

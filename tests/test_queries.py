@@ -4,9 +4,9 @@ from conftest import same_rows
 from sluice import queries
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, sf_dir, oracle, name):
-    assert same_rows(queries.queries()[name](spark, sf_dir).toPandas(), oracle.execute(queries.SQL[name]).df())
+    assert same_rows(queries.queries()[name](spark, sf_dir).toPandas(), oracle.execute(queries.oracle_sql()[name]).df())
 
 
 def test_entry_has_rows(spark):

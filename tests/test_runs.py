@@ -286,3 +286,74 @@ def test_hidden_keys_are_handed_on(spark, tmp_path):
     rows = [("_x", 1), (".a", 2), ("en/_x", 3), ("b", 4)]
     out = run(spark, Pipeline("p", source(rows), [Stage("s", [Step(text, KeyedText()), Step(same, KeyedText())])]), str(tmp_path)).output
     assert sorted(r["key"] for r in out.collect()) == sorted(k for k, _ in rows)
+
+
+def test_replaced_keys_of_the_same_number_are_not_trusted(spark, tmp_path):
+    commits = Commits(f"{tmp_path}/meta")
+    run(spark, made(), f"{tmp_path}/out", commits=commits)
+    at = f"{tmp_path}/out/p/001_one/002_plus"
+    spark.createDataFrame([("a", 3), ("c", 5)], SCHEMA).write.mode("overwrite").parquet(at)
+    with pytest.raises(RecordError, match="other keys"):
+        run(spark, made(), f"{tmp_path}/out", stage=2, commits=commits)
+    spark.createDataFrame([("b", 9), ("a", 3)], SCHEMA).write.mode("overwrite").parquet(at)
+    assert run(spark, made(), f"{tmp_path}/out", stage=2, commits=commits).output.first().total == 12
+
+
+def test_guards_are_left_in_reverse_and_none_is_forgotten(spark, tmp_path):
+    told = []
+
+    class Guard:
+        def __init__(self, name, fails=""):
+            self.name, self.fails = name, fails
+
+        def enter(self, spark, pipeline, run_id):
+            told.append(f"enter {self.name}")
+            if self.fails == "enter":
+                raise OSError(self.name)
+
+        def exit(self, spark, pipeline, outcome):
+            told.append(f"{outcome} {self.name}")
+            if self.fails == "exit":
+                raise OSError(self.name)
+
+    with pytest.raises(OSError, match="b"):
+        run(spark, made(), str(tmp_path), guards=[Guard("a"), Guard("b", "enter"), Guard("c")])
+    assert told == ["enter a", "enter b", "failed a"]
+    told.clear()
+    with pytest.raises(OSError, match="b"):
+        run(spark, made(), str(tmp_path), guards=[Guard("a"), Guard("b", "exit"), Guard("c")])
+    assert told == ["enter a", "enter b", "enter c", "completed c", "completed b", "failed a"]
+    one = Guard("x")
+    for wrong, error in (({"guards": [one, one]}, ValueError), ({"guards": [3]}, TypeError), ({"observers": [3]}, TypeError), ({"commits": 3}, TypeError), ({"ownership": 3}, TypeError)):
+        with pytest.raises(error):
+            run(spark, made(), str(tmp_path), **wrong)
+
+
+def test_profile_of_all_records(spark, tmp_path):
+    from sluice.plans.records import production
+
+    root = f"{tmp_path}/meta"
+    run(spark, made(), f"{tmp_path}/out", **production(root))
+    assert run(spark, made(), f"{tmp_path}/out", stage=2, **production(root)).output.first().total == 8
+    assert Files(spark).children(root) == ["commits", "events", "inventories", "leases"]
+    with pytest.raises(ValueError):
+        production(" ")
+
+
+def test_records_are_replaced_in_one_step(spark, tmp_path):
+    files = Files(spark)
+    for k in range(3):
+        files.write_text(f"{tmp_path}/a/b.json", str(k))
+        assert files.read_text(f"{tmp_path}/a/b.json") == str(k)
+    assert files.children(f"{tmp_path}/a") == ["b.json"] or files.children(f"{tmp_path}/a") == [".b.json.crc", "b.json"]
+    assert files.any(str(tmp_path), ".json") and not files.any(str(tmp_path), ".txt") and not files.any(f"{tmp_path}/none")
+
+
+def test_empty_partitioned_output(spark, tmp_path):
+    def none(df, context):
+        return df.where("value < 0")
+
+    out = ParquetDataset(schema=SCHEMA, allow_empty=True, partition_by=("value",))
+    assert run(spark, Pipeline("p", source(), [Stage("s", [Step(none, out)])]), str(tmp_path)).output.count() == 0
+    with pytest.raises(EmptyOutputError):
+        run(spark, Pipeline("p", source(), [Stage("s", [Step(none, ParquetDataset(partition_by=("value",)))])]), str(tmp_path))
