@@ -1,8 +1,7 @@
 """The corpus pipeline: quality, language, near-duplicates, benchmark passages, packing, over the table `documents`.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents.
-Stages are written as Parquet between each other; run() does so in the shared folder. They set the session's Arrow batches to BATCH_BYTES,
-as a task holds several batches of texts at a time, on the heap, beside it and in Python.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents. No stage
+changes the session. run() writes each stage's result as Parquet in the shared folder and removes what came before it.
 """
 
 from __future__ import annotations
@@ -11,28 +10,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, language, neardup, packing, quality
-from sluice.llm._common import BATCH_BYTES, free_name, read, staged
+from sluice.llm import decontaminate, language, neardup, packing, quality, scratch
+from sluice.llm._common import drop, free_name, read, scratch_path, staged
 
 #: A document of several languages is kept from this share of letters in its main one.
 LANGUAGE_SHARE = 0.5
 
 
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model scores at its threshold or above."""
-    _small_batches(spark)
-    model = quality.train(docs.where(quality.learnable()), read(spark, sf_dir, "labels"))
+    model = quality.train(docs.where(quality.learnable()), read(spark, sf_dir, "labels").where(quality.learnable()))
     mark = free_name(docs, "score")
     return docs.withColumn(mark, quality.score(F.col("text"), model)).where(F.col(mark) >= quality.THRESHOLD).drop(mark)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that has at least LANGUAGE_SHARE of their letters."""
-    _small_batches(spark)
     model = language.train(docs.where(language.learnable()))
     mark = free_name(docs, "language")
     found = docs.withColumn(mark, language.identify(F.col("text"), model))
@@ -41,19 +34,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    _small_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    _small_batches(spark)
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
-    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, with_ids=False)
 
 
@@ -63,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The result of the last stage, read from its table in the shared folder, the only one that stays."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        at = scratch_path(spark, f"pipeline-{name}")
+        with scratch(spark, f"stage-{name}"):
+            docs = staged(stage(spark, docs, sf_dir), name, at)
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
