@@ -1 +1,5 @@
-"""Operators of a training-data pipeline; nothing outside this subpackage imports it."""
+"""Operators for training data; nothing else in the library imports them."""
+
+from ._common import scratch
+
+__all__ = ["scratch"]

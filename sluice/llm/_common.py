@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 #: A side of a join is broadcast only when its counted rows, at this many bytes each, stay below BROADCAST_BYTES.
 BROADCAST_BYTES = 64 << 20
 #: Batches that go to Python while a table is staged; a task holds a few of them at a time.
@@ -19,17 +21,27 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: The folder of the scratch() block that is being run.
+_FOLDER: ContextVar[str | None] = ContextVar("sluice_scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch"):
+    """All tables that operators stage within the block go to one folder of the shared one, which is removed at its end.
+
+    A result that an operator returns within the block reads those tables, so it is to be written or counted there too.
+    """
+    at = scratch_path(spark, name)
+    before = _FOLDER.set(at)
+    try:
+        yield at
+    finally:
+        _FOLDER.reset(before)
+        remove(spark, at)
 
 
 @contextmanager
@@ -46,7 +58,7 @@ def setting(spark: SparkSession, key: str, value: str):
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and its shuffle files go at once.
 
-    The table survives lost executors. Its folder is the caller's to drop(), once nothing reads it any more.
+    The table survives lost executors. Its folder goes with the scratch() block it is made in; drop() removes it before.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)

@@ -18,8 +18,8 @@ import numpy as np
 
 _SPACE = r" \t\n\r\f\v"
 #: Other code points that some reading of white space takes in (fixed values): a text that has one is not cut.
-_ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
-_ODD = re.compile(f"[{''.join(map(chr, _ODD_CODES))}]")
+ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+_ODD = re.compile(f"[{''.join(map(chr, ODD_CODES))}]")
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 #: A line end, a word (of A-Z, a-z, À-Ö, Ø-ö, ø-ɏ in UTF-8) with or without a blank before it, and ASCII signs other than the apostrophe: the
 #: splitting pattern sets these apart.

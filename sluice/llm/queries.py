@@ -71,7 +71,7 @@ def op8_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.withColumn("n_tokens", transducer.count_tokens(F.col("text"), vocabulary()))
+    counted = transducer.count_tokens(docs, vocabulary())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 

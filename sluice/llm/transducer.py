@@ -11,13 +11,19 @@ Two machines, both built from the vocabulary file of a byte-level BPE tokenizer:
 - Splitting. Characters fall into a few classes (taken from the library itself, so that both agree on every code point), and a machine over
   classes cuts a text into words, apostrophe endings, numbers, signs and white space as the library does.
 
-Long texts: a text is cut into chunks. The state map of a chunk says what it does to any state it can be entered in: the characters before its
-first safe cut go on with whatever was open, the tokens between the first and the last safe cut are the same for every
-entry, and the characters after the last stay open. Such maps compose associatively, and the maps of a text's chunks are combined by
-a parallel prefix scan (doubling); the count of a text is the composition of all.
+State maps. The two machines together are one: its state is the kind of the word that is open, the characters that are read but not yet given to a word
+(white space, whose last character may go with what follows, or the beginning of an apostrophe ending), and the open places of the word. A
+chunk of a text has a state map: entry state -> (exit state, tokens). Where white space follows something else, every state closes its word, so
+all entries leave a chunk with such a place by the same exit.
+
+Long texts: a text is cut into chunks of chunk_chars, which Spark spreads over its tasks. A chunk's entry is not known there, so it is taken from a run over
+the characters before the chunk, from the start state: right for certain if white space follows something else in them, and nearly
+always else, as the merges soon fall into step. Each exit is then held against the entry of the next chunk, and maps whose entry was not
+that are made again from it, until all fit. The maps compose associatively: neighbours by neighbours, FAN at a time, level by level, as
+the first half of a parallel prefix scan does (the prefixes in between are not asked for), and no task holds a text of more than long_chars.
 
 Cases: a null or empty text has no bytes and no tokens; repeated rows are counted each for itself; special tokens inside a
-text count as the library has them, one each. Extra columns stay untouched: the count is a column of its own.
+text count as the library has them, one each. All columns stay as they are; the count is a column of its own.
 """
 
 from __future__ import annotations
@@ -29,18 +35,27 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tokens import byte_chars
-
-CHUNK_CHARS = 1 << 16
-#: States and words that a worker keeps before it starts anew.
-KEEP_STATES, KEEP_WORDS = 250_000, 1_000_000
+from ._common import bounded_broadcast, free_name, staged
+from ._tokens import ODD_CODES, byte_chars
+
+#: Characters of a chunk, of a text that is cut into chunk rows, and of what a chunk's entry is found from.
+CHUNK_CHARS, LONG_CHARS, LEAD_CHARS = 1 << 16, 1 << 18, 1 << 12
+#: State maps that are composed together.
+FAN = 64
+#: What a chunk's place, and one with a state, takes in a broadcast.
+KEY_BYTES, STATE_BYTES = 64, 2048
+#: States, pieces, characters of all these, and characters of one, that a worker keeps before it starts anew.
+KEEP_STATES, KEEP_PIECES, KEEP_CHARS, PIECE_CHARS = 250_000, 500_000, 16_000_000, 64
 #: The endings that the splitting pattern sets apart after an apostrophe (fixed values).
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _SPACES = " \t\n\r\f\v"
-_CUT = re.compile(f"(?<=[!-~])(?=[{_SPACES}])")
+_BLANKS = frozenset(_SPACES)
+_ODD = "".join(map(chr, ODD_CODES))
+#: Before ASCII white space that follows what no reading takes for white space.
+_CUT = re.compile(f"(?<=[^{_SPACES}{_ODD}])(?=[{_SPACES}])")
 
 
 class WordTransducer:
@@ -117,20 +132,27 @@ class WordTransducer:
         if count:
             places = [(b, n, x - count) for b, n, x in places]
         places.append((last, 0, 0))
-        key = tuple(places)
-        if (to := self.states.get(key)) is None:
-            to = self.states[key] = len(self.open)
-            self.open.append(key)
-            self.step.append({})
-        out = self.step[state][byte] = (to, count)
+        out = self.step[state][byte] = (self.enter(tuple(places)), count)
         return out
 
-    def count(self, word: bytes) -> int:
-        step, state, total = self.step, 0, 0
-        for b in word:
+    def enter(self, places: tuple) -> int:
+        """The state of these open places."""
+        if (to := self.states.get(places)) is None:
+            to = self.states[places] = len(self.open)
+            self.open.append(places)
+            self.step.append({})
+        return to
+
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state after the bytes, tokens they add)."""
+        step, total = self.step, 0
+        for b in data:
             state, change = step[state].get(b) or self._build(state, b)
             total += change
-        return total
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        return self.run(0, word)[1]
 
     def trim(self) -> None:
         """Forgets states and pairs once there are too many; they are built again as they are met."""
@@ -141,16 +163,40 @@ class WordTransducer:
 
 
 @dataclass(frozen=True)
-class StateMap:
-    """What a run of characters does to any entry: head goes on with what is open, count is for every entry, tail stays open.
+class State:
+    """Where the machine stands: kind of the open word ('' none, L, N, O, S white space, A apostrophe), characters held back, open places of the word."""
+
+    kind: str = ""
+    held: str = ""
+    places: tuple = ((-1, 0, 0),)
 
-    Without a safe cut inside, all of it is head, and cut is False.
-    """
+    def key(self) -> str:
+        return json.dumps([self.kind, self.held, self.places])
 
-    head: str
-    count: int
-    tail: str
-    cut: bool
+    @staticmethod
+    def of(key: str) -> State:
+        kind, held, places = json.loads(key)
+        return State(kind, held, tuple(map(tuple, places)))
+
+
+START = State()
+#: A state map: entry -> (exit, tokens), for the entries it is known for.
+StateMap = dict[State, tuple[State, int]]
+
+
+def compose(maps: list[StateMap]) -> StateMap:
+    """The maps one after another; associative. Entries whose way leaves what the maps are known for are left out."""
+    out = {}
+    for entry in maps[0]:
+        at, total = entry, 0
+        for m in maps:
+            if at not in m:
+                break
+            at, n = m[at]
+            total += n
+        else:
+            out[entry] = (at, total)
+    return out
 
 
 class Transducer:
@@ -165,6 +211,7 @@ class Transducer:
         self.path = path
         self._library = None
         self.known: dict[str, int] = {}
+        self.kept = 0
 
     def kind(self, c: str) -> str:
         """L letter, N number, S white space, O other, by what the library joins the character to."""
@@ -215,65 +262,122 @@ class Transducer:
     def count_piece(self, piece: str) -> int:
         """Tokens of a piece that begins and ends at safe cuts."""
         if (n := self.known.get(piece)) is None:
-            n = self.known[piece] = sum(self.words.count(w.encode("utf-8", "replace")) for w in self.split(piece))
+            n = sum(self.words.count(w.encode("utf-8", "replace")) for w in self.split(piece))
+            if len(piece) <= PIECE_CHARS:
+                self.known[piece] = n
+                self.kept += len(piece)
         return n
 
     def trim(self) -> None:
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) > KEEP_PIECES or self.kept > KEEP_CHARS:
             self.known.clear()
+            self.kept = 0
         self.words.trim()
 
-    # --- chunks -------------------------------------------------------------------------------------------------
-    def map_of(self, chunk: str) -> StateMap:
-        """The state map of a chunk. A safe cut is before white space that follows a printable ASCII character."""
-        pieces = _CUT.split(chunk)
+    # --- states -------------------------------------------------------------------------------------------------
+    def step(self, state: State, text: str) -> tuple[State, int]:
+        """(state after the characters, tokens they add), one by one."""
+        words, total = self.words, 0
+        kind, held, word = state.kind, state.held, words.enter(state.places)
+
+        def give(chars: str) -> None:
+            nonlocal word, total
+            word, n = words.run(word, chars.encode("utf-8", "replace"))
+            total += n
+
+        for c in text:
+            k = self.classes.get(c) or self.kind(c)
+            if kind == "A":
+                if held[1:] + c in ENDINGS:
+                    give(held + c)
+                    kind, held, word = "", "", 0
+                    continue
+                if any(e.startswith(held[1:] + c) for e in ENDINGS):
+                    held += c
+                    continue
+                give("'")
+                kind = "O"
+                if len(held) > 1:  # the letter after the apostrophe begins a word
+                    word = 0
+                    give(held[1:])
+                    kind = "L"
+                held = ""
+            elif kind == "S":
+                if k == "S":
+                    give(held)
+                    held = c
+                    continue
+                word = 0
+                give(held)
+                if held == " ":  # goes with what follows
+                    give(c)
+                    kind, held = k, ""
+                    continue
+                kind, held, word = "", "", 0
+            if kind and k != kind:
+                kind, word = "", 0
+            if kind:
+                give(c)
+            elif k == "S":
+                kind, held = "S", c
+            elif c == "'":
+                kind, held = "A", c
+            else:
+                kind = k
+                give(c)
+        return State(kind, held, words.open[word]), total
+
+    def close(self, state: State) -> int:
+        """Tokens that the end of the text, or white space after something else, adds."""
+        if state.kind == "S":
+            return self.words.run(self.words.enter(state.places), state.held.encode("utf-8", "replace"))[1]
+        if state.kind == "A":
+            return self.words.count(b"'") + (self.words.count(state.held[1:].encode()) if len(state.held) > 1 else 0)
+        return 0
+
+    def through(self, state: State, chunk: str) -> tuple[State, int]:
+        """(exit, tokens) of a chunk entered in a state: the characters up to the first safe cut and after the last go one by one, pieces between are known."""
+        pieces, total = _CUT.split(chunk), 0
+        if chunk[:1] in _BLANKS and state.kind in ("L", "N", "O"):
+            state = START  # the border closes the word
         if len(pieces) == 1:
-            return StateMap(chunk, 0, "", False)
-        known, count = self.known, 0
+            state, n = self.step(state, chunk)
+            return state, total + n
+        if state == START:
+            total += self.count_piece(pieces[0])
+        else:
+            state, n = self.step(state, pieces[0])
+            total += n + self.close(state)
+        known = self.known
         for p in pieces[1:-1]:
             n = known.get(p)
-            count += self.count_piece(p) if n is None else n
-        return StateMap(pieces[0], count, pieces[-1], True)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """First a, then b; associative."""
-        if not a.cut and not b.cut:
-            met = _CUT.split(a.head + b.head) if a.head and b.head and _CUT.search(a.head[-1] + b.head[0]) else None
-            return StateMap(a.head + b.head, 0, "", False) if met is None else StateMap(a.head, 0, b.head, True)
-        border = (a.tail if a.cut else a.head)[-1:] + b.head[:1]
-        apart = bool(_CUT.search(border))
-        if not a.cut:
-            return StateMap(a.head, b.count + self.count_piece(b.head), b.tail, True) if apart else StateMap(a.head + b.head, b.count, b.tail, True)
-        if not b.cut:
-            return StateMap(a.head, a.count + self.count_piece(a.tail), b.head, True) if apart else StateMap(a.head, a.count, a.tail + b.head, True)
-        middle = self.count_piece(a.tail) + self.count_piece(b.head) if apart else self.count_piece(a.tail + b.head)
-        return StateMap(a.head, a.count + middle + b.count, b.tail, True)
-
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
-        """All prefixes composed, by doubling: after k rounds each place holds the composition of the 2**k maps up to it."""
-        reach = 1
-        while reach < len(maps):
-            maps = [self.compose(maps[k - reach], m) if k >= reach else m for k, m in enumerate(maps)]
-            reach *= 2
-        return maps
-
-    def finish(self, m: StateMap) -> int:
-        """The count of a whole text: what is still open at its ends is closed."""
-        return self.count_piece(m.head) + m.count + (self.count_piece(m.tail) if m.cut else 0)
+            total += self.count_piece(p) if n is None else n
+        state, n = self.step(START, pieces[-1])
+        return state, total + n
+
+    def runs(self, text: str) -> list[str]:
+        """The text between special tokens."""
+        return self._special.split(text) if self._special is not None and any(s in text for s in self.specials) else [text]
 
     def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
+        """Tokens of a whole text, chunk after chunk."""
         if not text:
             return 0
-        total = 0
-        if self._special is not None and any(s in text for s in self.specials):
-            runs = self._special.split(text)
-            total += len(runs) - 1
-        else:
-            runs = [text]
+        runs = self.runs(text)
+        total = len(runs) - 1
         for run in runs:
-            if run:
-                maps = [self.map_of(run[k : k + chunk_chars]) for k in range(0, len(run), chunk_chars)]
-                total += self.finish(self.scan(maps)[-1])
+            if len(run) <= chunk_chars:  # one chunk, whose last piece is closed at once
+                known = self.known
+                for p in _CUT.split(run):
+                    n = known.get(p)
+                    total += self.count_piece(p) if n is None else n
+                continue
+            state = START
+            for k in range(0, len(run), chunk_chars):
+                state, n = self.through(state, run[k : k + chunk_chars])
+                total += n
+                self.trim()
+            total += self.close(state)
         return total
 
 
@@ -283,9 +387,7 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def count_tokens(text: Column, path: str, chunk_chars: int = CHUNK_CHARS) -> Column:
-    """Column of the token counts of whole texts; the library's count without added special tokens."""
-
+def _short(text: Column, path: str, chunk_chars: int) -> Column:
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = transducer(path)
@@ -297,3 +399,92 @@ def count_tokens(text: Column, path: str, chunk_chars: int = CHUNK_CHARS) -> Col
             yield pd.Series(counts, dtype="int64")
 
     return tokens(text)
+
+
+_CHUNK = "row long, run int, chunk int, lead string, text string"
+_MAP = "row long, run int, chunk int, entry string, exit string, n long"
+
+
+def _chunk_rows(long: DataFrame, path: str, chunk_chars: int) -> DataFrame:
+    """(row, run, chunk, lead, text): the chunks of long texts (row, text) between special tokens, and the characters before each."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer(path)
+        for batch in batches:
+            for row, text in zip(batch["row"], batch["text"], strict=True):
+                for k, run in enumerate(machine.runs(text)):
+                    for c, at in enumerate(range(0, max(1, len(run)), chunk_chars)):
+                        yield pd.DataFrame([(row, k, c, run[max(0, at - LEAD_CHARS) : at], run[at : at + chunk_chars])], columns=["row", "run", "chunk", "lead", "text"])
+
+    return long.mapInPandas(cut, _CHUNK)
+
+
+def _maps(chunks: DataFrame, path: str) -> DataFrame:
+    """The state map of each chunk for one entry: `entry` if there is one, else what its lead gives."""
+    names = [f.split()[0] for f in _MAP.split(", ")]
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer(path)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                entry = State.of(r.entry) if r.entry else machine.through(START, r.lead)[0]
+                machine.trim()
+                exit, n = machine.through(entry, r.text)
+                machine.trim()
+                out.append((r.row, r.run, r.chunk, entry.key(), exit.key(), n))
+            yield pd.DataFrame(out, columns=names)
+
+    return chunks.mapInPandas(make, _MAP)
+
+
+def _long(long: DataFrame, path: str, chunk_chars: int) -> DataFrame:
+    """(row, n): tokens of the long texts (row, text), by the state maps of their chunks."""
+    place = ["row", "run", "chunk"]
+    chunks = staged(_chunk_rows(long, path, chunk_chars).withColumn("entry", F.lit(None).cast("string")), "chunks")
+    spread = lambda rows: rows.repartition(F.xxhash64(*place))  # noqa: E731  a text's chunks go to many tasks
+    maps = staged(_maps(spread(chunks), path), "maps")
+    while True:  # each round settles at least the first chunk of a text whose entry was not the exit before it
+        before = F.coalesce(F.lag("exit").over(Window.partitionBy("row", "run").orderBy("chunk")), F.lit(START.key()))
+        held = maps.withColumn("before", before)
+        wrong = staged(held.where("entry != before").select(*place, F.col("before").alias("entry")), "wrong")
+        n = wrong.count()
+        if not n:
+            break
+        again = _maps(spread(chunks.drop("entry").join(bounded_broadcast(wrong, n, STATE_BYTES), place)), path)
+        maps = staged(maps.join(bounded_broadcast(wrong.select(*place), n, KEY_BYTES), place, "left_anti").select(*maps.columns).unionByName(again), "maps")
+    levels = maps.agg(F.max("chunk")).first()[0]
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        whole = compose([{State.of(a): (State.of(b), int(n))} for a, b, n in zip(rows["entry"], rows["exit"], rows["n"], strict=True)])
+        return pd.DataFrame([(rows["row"].iloc[0], rows["run"].iloc[0], rows["chunk"].iloc[0] // FAN, a.key(), b.key(), n) for a, (b, n) in whole.items()], columns=[f.split()[0] for f in _MAP.split(", ")])
+
+    while levels:
+        maps = maps.groupBy("row", "run", F.floor(F.col("chunk") / FAN).alias("g")).applyInPandas(join, _MAP)
+        levels //= FAN
+    maps = staged(maps, "composed")
+
+    @F.pandas_udf("long")
+    def closing(exits: pd.Series) -> pd.Series:
+        machine = transducer(path)
+        return pd.Series([machine.close(State.of(x)) for x in exits], dtype="int64")
+
+    per = maps.withColumn("n", F.col("n") + closing("exit")).groupBy("row").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
+    return per.select("row", (F.col("n") + F.col("runs") - 1).alias("n"))
+
+
+def count_tokens(documents: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens", chunk_chars: int = CHUNK_CHARS, long_chars: int = LONG_CHARS) -> DataFrame:
+    """documents with the token count of each whole text in count_col; the library's count without added special tokens."""
+    if count_col in documents.columns:
+        raise ValueError(f"documents have a column {count_col!r}")
+    text, row = F.col(text_col), free_name(documents, "row")
+    is_long = F.coalesce(F.length(text) > long_chars, F.lit(False))
+    short = documents.where(~is_long).withColumn(count_col, _short(text, path, chunk_chars))
+    long = staged(documents.where(is_long).withColumn(row, F.monotonically_increasing_id()), "long-texts")
+    if long.isEmpty():
+        return short
+    counted = staged(_long(long.select(F.col(row).alias("row"), text.alias("text")), path, chunk_chars), "long-counts")
+    named = counted.select(F.col("row").alias(row), F.col("n").alias(count_col))
+    whole = long.join(bounded_broadcast(named, named.count(), KEY_BYTES), row).drop(row)
+    return short.unionByName(whole.select(*short.columns))

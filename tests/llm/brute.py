@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,10 +13,15 @@ import public_tokenizers
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def library_ids(texts) -> list[list[int]]:
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    return [e.ids for e in Tokenizer.from_file(VOCABULARY).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def library_ids(texts) -> list[list[int]]:
+    return [e.ids for e in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def crc(ids) -> int:

@@ -90,3 +90,28 @@ def test_plan_places_each_length(lengths):
 def test_plan_rejects_lengths_beyond_the_capacity():
     with pytest.raises(ValueError):
         packing.plan({65: 1}, 64)
+
+
+def test_pieces_with_one_hash_and_one_beginning_keep_their_own_ids():
+    from sluice.llm import _tokens
+
+    pair = ["wordwordabcdefghijklmnop", 'wordwordlCUMjArKm"Ty_,CI']  # their 64-bit hashes and first 8 bytes are equal
+    want = dict(zip(pair, library_ids(pair), strict=True))
+    for texts in (pair, pair[::-1], [pair[0]], [pair[1]], [f"{pair[0]} {pair[1]}"]):
+        code = _tokens.Encoder(VOCABULARY)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for x in code.ids(texts)] == library_ids(texts)
+    code = _tokens.Encoder(VOCABULARY)
+    for t in (*pair, *pair):
+        assert np.frombuffer(code.ids([t])[0], "<u2").tolist() == want[t]
+
+
+def test_ranks_meet_pieces_by_a_shuffle_where_their_rows_are_too_many(spark, monkeypatch):
+    from sluice.llm import _common
+
+    docs = spark.createDataFrame([(k, "word " * (k % 37)) for k in range(400)], "doc_id long, text string").repartition(5)
+    order = ["doc_id", "piece"]
+    want = packing.pack_documents(docs, VOCABULARY, capacity=32, with_ids=False).orderBy(*order).collect()
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    got = packing.pack_documents(docs, VOCABULARY, capacity=32, with_ids=False).orderBy(*order).collect()
+    assert checked(got, 32) == checked(want, 32) and len(got) == len(want)
