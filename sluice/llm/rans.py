@@ -6,7 +6,7 @@ lies beside them. A block's ids are dealt round-robin to `lanes` interleaved 64-
 CHECK_STEPS steps the coders' states and the place in the stream are stored as a checkpoint, with a checksum of
 the ids up to the next one, so the segments of a block decode side by side, and any segment alone.
 
-Work in Spark: texts are range-partitioned by document id and sorted, tokenized in place (a staged table, which ends the shuffle), counted,
+Work in Spark: texts are range-partitioned by document id and a hash of the text, into as many partitions as their bytes ask for, and sorted, tokenized in place (a staged table, which ends the shuffle), counted,
 and encoded task by task as they lie. Nothing but the frequency table (one count for each id of the vocabulary) and
 the totals of the partitions goes through the driver.
 
@@ -36,6 +36,8 @@ LANES = 4096
 CHECK_STEPS = 128
 BLOCK_TOKENS = 1 << 20
 STEP = 512
+#: Bytes of text, and of what else a row has, that a range partition is to hold.
+PART_BYTES, ROW_BYTES = 32 << 20, 32
 _WORD, _BITS = np.uint64(0xFFFFFFFF), np.uint64(32)
 _STAGED = "doc_id long, part int, seq long, first long, n long, ids binary"
 _BLOCK = "part int, seq long, first long, n long, docs binary, lengths binary, lanes int, payload binary, words_crc32 long, checks binary"
@@ -147,8 +149,9 @@ def _unpack_checks(raw: bytes, lanes: int) -> list:
 
 
 def _tokenized(documents: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    parts = max(1, -(-int(size) // PART_BYTES))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, seq, first = encoder(path), TaskContext.get().partitionId(), 0, 0
@@ -163,8 +166,8 @@ def _tokenized(documents: DataFrame, path: str, end_id: int, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _STAGED.split(", ")])
                 seq, first = seq + len(n), first + int(n.sum())
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(tokens, _STAGED)
+    order = ["doc_id", F.xxhash64("text")]  # so that rows with one id, or none, may lie in several partitions
+    return docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tokens, _STAGED)
 
 
 def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:

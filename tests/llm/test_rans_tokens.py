@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from brute import VOCABULARY, crc, library_ids
@@ -91,3 +93,19 @@ def test_long_texts_full_tables_and_new_beginnings_change_nothing(monkeypatch):
         code = Encoder(VOCABULARY)
         for _ in range(3):
             assert [np.frombuffer(x, "<u2").tolist() for x in code.ids(texts)] == want
+
+
+def test_one_id_with_many_texts_lies_in_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(rans, "PART_BYTES", 2000)
+    rows = [(7, f"text {k} " * 4) for k in range(300)] + [(None, f"no id {k}") for k in range(100)] + [(9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = rans._tokenized(docs, VOCABULARY, 0, "doc_id", "text")
+    assert tokens.where("doc_id = 7").select("part").distinct().count() > 1
+    got = rans.round_trip(docs, VOCABULARY).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None] * 100 + [7] * 300 + [9]
+    assert Counter(r["ids_crc32"] for r in got) == Counter(crc([*x, 0]) for x in library_ids(t for _, t in rows))
