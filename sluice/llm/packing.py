@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import bounded_broadcast, staged
 from ._tokens import encoder
 
 #: Texts that are tokenized together.
 STEP = 512
-_PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part int, rank long"
-_NAMES = [x.split()[0] for x in _PIECES.split(", ")]
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
 @dataclass
@@ -110,8 +110,10 @@ def places(bins: list[Bins]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-def tokenized_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document, with their ids (little-endian unsigned 32-bit) and a rank within task and length."""
+def tokenized_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """The pieces of every document, with a rank within task and length and, if asked for, their ids (little-endian unsigned 32-bit)."""
+    schema = _PIECES + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, seen = encoder(path), TaskContext.get().partitionId(), {}
@@ -126,15 +128,15 @@ def tokenized_pieces(documents: DataFrame, path: str, capacity: int, end_id: int
                     for piece in range(-(-len(ids) // capacity)):
                         own = ids[start : start + n].tobytes()
                         rank = seen[n] = seen.get(n, -1) + 1
-                        rows.append((doc, piece, start, n, own, zlib.crc32(own), part, rank))
+                        rows.append((doc, piece, start, n, zlib.crc32(own), part, rank, own if with_ids else None))
                         start, n = start + n, capacity
-                doc, piece, start, n, own, crc, at, rank = zip(*rows, strict=True)
+                doc, piece, start, n, crc, at, rank, own = zip(*rows, strict=True)
                 long, int32 = pa.int64(), pa.int32()
-                columns = [docs.take(pa.array(doc)), pa.array(piece, int32), pa.array(start, long), pa.array(n, long), pa.array(own, pa.binary()), pa.array(crc, long), pa.array(at, int32), pa.array(rank, long)]
-                yield pa.RecordBatch.from_arrays(columns, _NAMES)
+                columns = [docs.take(pa.array(doc)), pa.array(piece, int32), pa.array(start, long), pa.array(n, long), pa.array(crc, long), pa.array(at, int32), pa.array(rank, long)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary())] if with_ids else columns, names)
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(cut, _PIECES)
+    return docs.mapInArrow(cut, schema)
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,33 +144,47 @@ def pack_documents(documents: DataFrame, path: str, capacity: int = 1024, end_id
 
     The tokenized pieces are a staged table in the shared folder; the counts, the ranks and the result are read from it.
     """
-    pieces = staged(tokenized_pieces(documents, path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = staged(tokenized_pieces(documents, path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     return place(pieces, capacity, with_ids)
 
 
 def place(pieces: DataFrame, capacity: int, with_ids: bool = True) -> DataFrame:
-    met = pieces.groupBy("part", "length").count()
+    """The pieces with their sequence and their offset in it.
+
+    A piece's rank among all of its length is its rank within its task and how many the tasks before hold, which stand in one row for each task: an array of
+    `capacity` counts. Those rows are broadcast while they are proven small, else they meet the pieces by a shuffle on the task.
+    """
+    met = staged(pieces.groupBy("part", "length").count(), "lengths")
     counts = {r["length"]: r["n"] for r in met.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     table = places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = met.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def seat(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        sequence, offset = np.empty_like(n), np.empty_like(n)
-        for size in np.unique(n):
-            own = n == size
-            rows = table[int(size)]
-            first, k, base, at = rows[np.searchsorted(rows[:, 0], r[own], "right") - 1].T
-            i = r[own] - first
-            sequence[own], offset[own] = base + i // k, at + i % k * size
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+    each = met.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(capacity + 1, np.int64)
+        own[rows["length"].to_numpy()] = rows["before"].to_numpy()
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "bases": [own]})
+
+    bases = staged(each.groupBy("part").applyInPandas(packed, "part int, bases array<long>"), "bases")
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = pieces.select(*columns, "part", "rank").join(bounded_broadcast(offsets, met.count(), 40), ["part", "length"])
-    seated = ranked.withColumn("seat", seat("length", F.col("rank") + F.col("before")))
-    return seated.select(*columns, F.col("seat.sequence_id").alias("sequence_id"), F.col("seat.offset").alias("offset"))
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, r = batch.column("length").to_numpy(), batch.column("at").to_numpy()
+            sequence, offset = np.empty_like(n), np.empty_like(n)
+            for size in np.unique(n):
+                own = n == size
+                rows = table[int(size)]
+                first, k, base, at = rows[np.searchsorted(rows[:, 0], r[own], "right") - 1].T
+                i = r[own] - first
+                sequence[own], offset[own] = base + i // k, at + i % k * size
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+
+    # the row of counts is left behind here, before anything goes to Python
+    at = F.col("rank") + F.get("bases", F.col("length").cast("int"))
+    ranked = pieces.select(*columns, "part", "rank").join(bounded_broadcast(bases, bases.count(), 8 * (capacity + 1) + 64), "part").select(*columns, at.alias("at"))
+    return ranked.mapInArrow(seat, T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
