@@ -7,19 +7,19 @@ only verified positions are shuffled.
 
 Cases: null texts have no words and no hits. A benchmark item of fewer than n words, but at least one, is one window; an item
 with none, or with a null id, takes no part. Repeated rows of documents each give their own row; repeated benchmark items
-with one id count once. Empty tables give empty results. Extra columns are kept by remove_contaminated and ignored by
-scan_windows; inner names are chosen free of clashes by selecting only what is needed first.
+with one id count once. Empty tables give empty results. Extra columns are kept by remove_contaminated, whatever their
+names, and ignored by scan_windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, ascii_words, free_name
+from ._common import BROADCAST_BYTES, ascii_words, bounded_broadcast, free_name, staged
 
-#: A window row holds about ten words, their hash and the ids of its items.
-WINDOW_ROW_BYTES = 300
+#: What a row of windows, a word or an id in it, and a row of keys of contaminated documents take in a broadcast beside their bytes.
+ROW_BYTES, VALUE_BYTES, KEY_BYTES = 128, 16, 64
 #: One word with what follows it, in the text as it is (upper case included): the unit that remove_contaminated takes out.
 _WORD_AND_GAP = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"
 _LEADING_GAP = r"^([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"
@@ -39,8 +39,11 @@ def _hits(docs: DataFrame, windows: DataFrame, keys: list[str], sentinel: bool)
 
     docs has the keys and an array column `words`.
     """
-    known = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # at most n rows
-    small = sum(known.values()) * WINDOW_ROW_BYTES <= BROADCAST_BYTES
+    held = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x) + VALUE_BYTES)
+    known = {r["size"]: r["bytes"] for r in windows.groupBy("size").agg(F.sum(held("window") + held("items") + ROW_BYTES).alias("bytes")).collect()}  # at most n rows
+    small = sum(known.values()) <= BROADCAST_BYTES
+    if not small:  # read twice below, and rows are to have the same numbers both times
+        docs = staged(docs.select(*keys, "words"), "worded")
     each = docs.select(*keys, "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     sizes = sorted(known) or [1]
     # xxhash64 of an array folds its elements just as xxhash64 of several columns does, so both sides agree.
@@ -82,7 +85,7 @@ def _covered(spans):
 
 def scan_windows(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, item_ids (sorted array of strings), spans (array of (pos, size))."""
-    windows = benchmark_windows(benchmark, n)
+    windows = staged(benchmark_windows(benchmark, n), "windows")
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), ascii_words(F.col(text_col)).alias("words"))
     hits = _hits(docs, windows, ["row", "doc_id"], sentinel=True)
     per = hits.groupBy("row").agg(
@@ -94,25 +97,42 @@ def scan_windows(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col
     return per.select("doc_id", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids", F.array_sort("spans").alias("spans"))
 
 
+def _gaps(spans: Column, n: Column) -> Column:
+    """(start, words) of the runs of word positions below n that no span covers; spans: array of (pos, size), sorted by position."""
+    begin = F.struct(F.lit(0).alias("till"), F.array().cast("array<struct<at:int,n:int>>").alias("gaps"))
+
+    def step(acc, s):
+        gap = F.struct(acc["till"].alias("at"), (s["pos"] - acc["till"]).alias("n"))
+        return F.struct(F.greatest(acc["till"], s["pos"] + s["size"]).alias("till"), F.when(s["pos"] > acc["till"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
+
+    end = lambda acc: F.array_append(acc["gaps"], F.struct(acc["till"].alias("at"), F.greatest(n - acc["till"], F.lit(0)).alias("n")))
+    return F.aggregate(F.array_sort(spans), begin, step, end)
+
+
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without the contaminated rows (remove='documents') or with the hit words cut out (remove='spans').
 
     All columns stay. A row is named by its id and text, so repeated rows share their fate. With 'spans', a hit word goes with the
-    separators after it.
+    separators after it. The names of contaminated rows are a staged table, broadcast while it is proven small; the texts are not shuffled then.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    windows = benchmark_windows(benchmark, n)
+    windows = staged(benchmark_windows(benchmark, n), "windows")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = documents.select(F.col(id_col).alias("k_id"), F.xxhash64(text).alias("k_hash"), F.length(text).alias("k_len"), ascii_words(F.col(text_col)).alias("words"))
-    hits = _hits(keyed, windows, ["k_id", "k_hash", "k_len"], sentinel=False)
-    same = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.xxhash64(text) == F.col("k_hash")) & (F.length(text) == F.col("k_len"))
+    own = [F.col(id_col), F.xxhash64(text), F.length(text)]
+    names = [free_name(documents, x) for x in ("id", "hash", "length")]
+    keyed = documents.select(*[c.alias(x) for c, x in zip(own, names, strict=True)], ascii_words(F.col(text_col)).alias("words"))
+    hits = _hits(keyed, windows, names, sentinel=False)
+    same = own[0].eqNullSafe(F.col(names[0])) & (own[1] == F.col(names[1])) & (own[2] == F.col(names[2]))
     if remove == "documents":
-        return documents.join(hits.select("k_id", "k_hash", "k_len").distinct(), same, "left_anti")
+        gone = staged(hits.select(*names).distinct(), "contaminated")
+        size = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(F.col(names[0]).cast("string")), F.lit(0))).alias("b")).first()
+        return documents.join(bounded_broadcast(gone, size["n"] * KEY_BYTES + (size["b"] or 0), 1), same, "left_anti")
     mark = free_name(documents, "spans")
-    spans = hits.groupBy("k_id", "k_hash", "k_len").agg(F.collect_set(F.struct("pos", "size")).alias(mark))
-    joined = documents.join(spans, same, "left").drop("k_id", "k_hash", "k_len")
-    at = F.array_distinct(F.flatten(F.transform(mark, lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1))))
-    kept = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(_WORD_AND_GAP)), lambda w, i: ~F.array_contains(at, i))
+    spans = staged(hits.groupBy(*names).agg(F.collect_set(F.struct("pos", "size")).alias(mark)), "spans")
+    size = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(mark) * VALUE_BYTES + F.coalesce(F.octet_length(F.col(names[0]).cast("string")), F.lit(0))).alias("b")).first()
+    joined = documents.join(bounded_broadcast(spans, size["n"] * KEY_BYTES + (size["b"] or 0), 1), same, "left").drop(*names)
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(_WORD_AND_GAP))
+    kept = F.flatten(F.transform(_gaps(F.col(mark), F.size(parts)), lambda g: F.slice(parts, g["at"] + 1, g["n"])))
     cut = F.concat(F.regexp_extract(F.col(text_col), _LEADING_GAP, 1), F.array_join(kept, ""))
     return joined.withColumn(text_col, F.when(F.col(mark).isNull(), F.col(text_col)).otherwise(cut)).drop(mark)

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from brute import hits, windows
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from sluice.llm import _common, decontaminate
 from sluice.llm.queries import OP3_SQL, op3_decontamination
@@ -83,3 +84,18 @@ def test_removal(spark, monkeypatch, bytes_allowed):
     assert cut[2] == "alpha beta gamma delta epsilon zeta eta theta iota" and cut[3] is None and cut[4] == ""
     with pytest.raises(ValueError):
         decontaminate.remove_contaminated(docs, items, remove="words")
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+@pytest.mark.parametrize("bytes_allowed", [0, 64 << 20])
+def test_removal_keeps_columns_of_any_name(spark, monkeypatch, remove, bytes_allowed):
+    docs, items = frames(spark)
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", bytes_allowed)
+    odd = docs
+    for k, name in enumerate(["k_id", "k_hash", "k_len", "__id", "__hash", "__length", "__spans", "words", "pos"]):
+        odd = odd.withColumn(name, F.lit(k))
+    plain = decontaminate.remove_contaminated(docs, items, remove=remove)
+    got = decontaminate.remove_contaminated(odd, items, remove=remove)
+    assert got.columns == odd.columns
+    assert same_rows(got.select("doc_id", "text").toPandas(), plain.select("doc_id", "text").toPandas())
+    assert {tuple(r) for r in got.select("k_id", "k_len", "pos").collect()} == {(0, 2, 8)}
