@@ -17,7 +17,8 @@ nodes of the buckets that it tops, so every such pair shares a cell, and a node
 other in place, those that share most bands first, and joins components as it finds links, so that it puts out fewer links than it has nodes
 and no pair is ever a row. Pairs are passed over only where it is certain that they do not reach the threshold: by the distances to a common leader
 (1 - similarity is a metric), or by sketches (weights by hashed bucket). A cell of more than CELL nodes, long texts counting more, is cut into blocks
-by a hash, and every two blocks make a task's group, so groups stay bounded and no pair is missed. Classes are the components of all links.
+by a hash; its heaviest component, in which no pair is left to check, is cut apart from the rest, and each of its blocks meets those of the rest, which meet each
+other. Two blocks make a task's group, so groups stay bounded, no pair is missed, and a cell of one component and a few strays costs in proportion to its nodes. Classes are the components of all links.
 
 Work in Spark: signatures, nodes and links are staged tables in the shared folder; the driver sees counts only. Hot buckets are met by
 a join with the few large buckets, whose number their size bounds; all else by shuffled joins.
@@ -333,27 +334,40 @@ def links_of(comp: list, lead: list, far: np.ndarray, bands: np.ndarray, sets: l
 
 
 def _cell_links(cells: DataFrame, facts: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links (a, b) between components from cells (top, key); facts: key, comp, lead, far, weight, bands; texts: key, text."""
+    """Links (a, b) between components from cells (top, key); facts: key, comp, lead, far, weight, bands; texts: key, text.
+
+    A cell of at most CELL in weight is one group. Of a larger one, the nodes of its heaviest component (main) need no look at each other: they
+    are cut into blocks, each of which meets every block of the other nodes (rest); and the blocks of the rest meet each other.
+    """
     met = staged(cells.join(facts, "key"), "met")
-    parts = met.groupBy("top").agg(F.ceil(F.sum("weight") / CELL).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")
-    large = staged(parts.where("parts > 1"), "parts")  # few, and their rows many: they are not dealt out by top
-    cut = met.join(bounded_broadcast(large, large.count(), KEY_BYTES), "top", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = staged(cut.withColumn("own", own), "placed")
+    each = met.groupBy("top", "comp").agg(F.sum("weight").alias("w"))
+    whole = each.groupBy("top").agg(F.sum("w").alias("total"), F.max(F.struct("w", "comp")).alias("most"))
+    blocks = lambda w: F.greatest(F.ceil(w / CELL), F.lit(1)).cast("int")
+    large = whole.where(F.col("total") > CELL).select("top", F.col("most.comp").alias("main"), blocks(F.col("most.w")).alias("mains"), blocks(F.col("total") - F.col("most.w")).alias("rests"))
+    large = staged(large, "large")  # few, and their rows many: they are not dealt out by top
+    cut = met.join(bounded_broadcast(large, large.count(), KEY_BYTES), "top", "left")
+    at = lambda n: F.pmod(F.xxhash64("key"), n.cast("long")).cast("int")
+    spot = lambda low, high, side: F.struct(F.lit(low).alias("low") if isinstance(low, int) else low.alias("low"), F.lit(high).alias("high") if isinstance(high, int) else high.alias("high"), side.cast("tinyint").alias("side"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    mains, rests = F.col("mains"), F.col("rests")
+    # blocks are numbered with those of the main component first
+    as_main = F.transform(every(rests), lambda b: spot(at(mains), mains + b, F.lit(0)))
+    own = mains + at(rests)
+    as_rest = F.concat(F.transform(every(mains), lambda a: spot(a, own, F.lit(1))), F.transform(every(rests), lambda b: spot(F.least(own, mains + b), F.greatest(own, mains + b), own > mains + b)))
+    spots = F.when(F.col("main").isNull(), F.array(spot(0, 0, F.lit(0)))).when(F.col("comp") == F.col("main"), as_main).otherwise(as_rest)
+    placed = staged(cut.withColumn("spot", F.explode(spots)).select(*met.columns, "spot.*"), "placed")
     rows = texts.select("key", "text").join(bounded_broadcast(placed, placed.count(), FACT_BYTES), "key")
-    full = _with_sets(rows, idf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = _with_sets(rows, idf)
 
     def check(group: pa.Table) -> pa.Table:
-        own, other = (group.column(name).to_numpy() for name in ("own", "other"))
-        side, links = (own > other).astype(np.int8), []
-        if own[0] == other[0] or 0 < side.sum() < len(side):
+        side, links = group.column("side").to_numpy(), []
+        if group.column("low")[0] == group.column("high")[0] or 0 < side.sum() < len(side):
             c = {name: group.column(name).to_pylist() for name in ("comp", "lead", "bands", "hashes", "weights")}
             sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for h, w in zip(c["hashes"], c["weights"], strict=True)]
             links = links_of(c["comp"], c["lead"], group.column("far").to_numpy(), np.array(c["bands"], np.int64), sets, side, threshold)
         return pa.table({name: pa.array([x[k] for x in links], pa.binary()) for k, name in enumerate("ab")})
 
-    group = [F.col("top"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    return full.groupBy(*group).applyInArrow(check, "a binary, b binary")
+    return full.groupBy("top", "low", "high").applyInArrow(check, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +392,8 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str,
     tops = staged(ranked.groupBy("bucket").agg(F.max("size").alias("size"), F.max(F.struct("degree", "key")).alias("top")), "tops")
     led = _hot_join(ranked.select("bucket", "key"), tops, total).where(F.col("key") != F.col("top.key"))
     best = led.groupBy("key").agg(F.max("top").alias("top")).select(F.col("key").alias("a"), F.col("top.key").alias("b"))
-    measured = staged(_measured(staged(best, "best"), texts, idf), "measured")
+    best = staged(best, "best")
+    measured = staged(_measured(best, texts, idf), "measured")
     comps = components(measured.where(F.col("sim") >= threshold).select("a", "b"))
     # comp of nodes without a link is the node itself
     facts = wanted.select("key").join(comps, "key", "left").join(measured.select(F.col("a").alias("key"), F.col("b").alias("lead"), (1 - F.col("sim")).alias("far")), "key", "left")
@@ -402,7 +417,7 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str,
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.coalesce(F.col("row") == F.col("head.row"), F.col("key").isNull()).alias("representative"),
     )
-    drop(members, ranked, texts, cells, wanted, tops)
+    drop(members, ranked, texts, cells, wanted, tops, nodes, sizes, best, measured, facts, spread_keys, more)
     return out, signed
 
 

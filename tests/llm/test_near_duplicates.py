@@ -102,3 +102,34 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(name(k), name(k + 1)) for k in range(40)] + [(name(90), name(91))], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["comp"]) for r in neardup.components(links).collect()}
     assert got == {name(k): name(0) for k in range(41)} | {name(90): name(90), name(91): name(90)}
+
+
+def test_recall_of_the_bands():
+    rng = np.random.default_rng(8)
+    pairs = 3000
+    for n, shared, found in ((63, 56, 0.996), (37, 34, 0.999), (19, 18, 0.9995)):  # similarities 0.8, 0.85 and 0.9
+        own, weight = [], []
+        for _ in range(pairs):
+            h = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.int64).astype(np.uint64)
+            w = np.full(len(h), rng.uniform(1, 9), np.float32)
+            own += [h[:n], h[n - shared :]]
+            weight += [w[:n], w[n - shared :]]
+        b = neardup.bands(neardup.samples(np.concatenate(own), np.concatenate(weight), np.full(2 * pairs, n)))
+        assert (b[::2] == b[1::2]).any(axis=1).mean() >= found
+
+
+def test_a_large_component_with_strays_costs_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 8)
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(200)]
+    family = [[*base[:k], f"x{k}", *base[k + 1 :]] for k in range(80)]
+    stray = [[*base[:150], *(f"s{i}_{k}" for k in range(50))] for i in range(6)]
+    texts = [" ".join(x) for x in family + stray]
+    rng.shuffle(texts)
+    seen = []
+    placed = neardup._with_sets
+    monkeypatch.setattr(neardup, "_with_sets", lambda rows, idf: seen.append(rows.count()) or placed(rows, idf))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(classes(texts, neardup.THRESHOLD, neardup.IDF_BUCKETS)))
+    assert seen and seen[-1] <= 4 * len(texts)
