@@ -1,24 +1,29 @@
 """Exact top-k search by inner product over M-trees.
 
 Inner products become distances: with M the largest norm of all vectors, x gets one more component sqrt(M^2 - |x|^2) and a query gets 0 there, so
-that |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the nearest vectors are those of the highest products. Scores are integers and exact; distances are
-only used for bounds, with a margin for rounding.
-
-Index: vectors go to the nearest of a bounded sample of pivots; each pivot's vectors are dealt by a hash of their id into subtrees of
-about subtree_size entries (so a hot vector or pivot makes more subtrees, not a larger one), and each subtree is built as a paged M-tree: a
-root page of routing objects with covering radius and distance to the root, and a leaf page of entries, each with its distance to the routing
-object. Every subtree is one row of a staged table.
-
-Search: queries travel in blocks to the subtrees. In a subtree each query goes best first: pages wait in a queue by their least possible
-distance, which starts from the stored distance to the root, without computing any; a page is opened only while it can
-hold one of the k best, and an entry is computed only if the stored distances and the triangle inequality leave it a
-chance. A query starts with the k-th score it reaches on the pivots, which are vectors of the table themselves. The k best of each subtree meet by
-query.
-
-Cases: vectors that are null or hold nulls or non-finite components take no part, nor do rows with a null id; a shorter vector counts as filled up
-with zeros; ties go to the smaller id; a row equal to another in id and vector counts once; a query never finds a row of its own id; with
-fewer than k candidates all are returned; empty tables give no rows. Extra columns are ignored. A finite component of 2**24 / scale
-or more in size is an error, as products would not be exact.
+that |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the nearest vectors are those of the highest products. Scores are integers and exact, by 64-bit
+products where those cannot overflow and by Python's integers beyond; distances are only used for bounds, with a margin for rounding.
+
+Index: vectors go to the nearest of a bounded sample of pivots, one for about subtree_size vectors; a pivot's cell, with its covering radius and the least
+distance in it, is a node of the top level. A cell of more than subtree_size vectors is dealt by a hash of id and vector into subtrees (so a hot
+vector or pivot makes more subtrees, not a larger one), and each subtree is built as a paged M-tree: a root page of routing
+objects with covering radius and distance to the root, and leaf pages of entries, each with its distance to the routing object. Every subtree is one
+row of a staged table.
+
+Search: a query starts with the k-th score it reaches on the pivots, which are vectors of the table themselves. It then goes best first in
+two rounds: to the cells of its nearest pivots, and, with the k-th score it has found by then, to those others that can still hold one of the k best by
+their pivot's distance, radius and least distance. Which cells a query goes to is settled before anything is shuffled; it travels in blocks
+of queries that share a subtree. In a subtree pages wait in a queue by their least possible distance, which
+starts from the stored distance to the root, without computing any; a page is opened only while it can hold one of the k best, and an entry is computed
+only if the stored distances and the triangle inequality leave it a chance. The k best of each subtree meet by query.
+
+How many cells and pages are passed over depends on the vectors: clustered ones leave few, vectors without any structure in many
+dimensions nearly all, as all their distances are alike. `report` counts them.
+
+Cases: vectors that are null or hold nulls or non-finite components (before or after scaling) take no part, nor do rows with a null id; a shorter
+vector counts as filled up with zeros; ties go to the smaller id; a row equal to another in id and vector counts once, and an id with several vectors
+once, by its best; a query never finds a row of its own id; with fewer than k candidates all are returned; empty tables give no rows. A score outside 64 bits
+is given, and ranked, as the nearest 64-bit integer. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +39,29 @@ from pyspark.sql import functions as F
 
 from ._common import staged
 
-PIVOTS = 64
+#: Pivots, at least and at most.
+FEW_PIVOTS, PIVOTS = 8, 1024
 SUBTREE = 4096
-PAGE = 128
+#: Entries of a page at most, and pages that a subtree is to have.
+PAGE, PAGES = 256, 16
 QUERY_BLOCK = 512
-MARGIN = 1e-6
+#: Cells that a query visits first.
+FIRST_CELLS = 2
+#: Rows whose distances to all pivots are computed together.
+STEP = 1024
+#: Rounding of a distance, as a share of sqrt(|q|^2 + M^2).
+MARGIN = 2e-6
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 _TREE = "tree int, n long, vectors binary, ids binary, pages binary"
+_SENT = "tree int, queries binary, query_ids binary, floors binary"
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every usable vector, each row once."""
-    v = F.col("v")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    large = F.raise_error(F.lit(f"a vector has a component of {(1 << 24) / scale} or more in size"))
-    whole = F.transform("v", lambda x: F.when(F.abs(x) < float(1 << 24) / scale, F.floor(x * scale).cast("int")).otherwise(large))
-    return rows.where(fine).select("id", whole.alias("v")).dropDuplicates(["id", "v"])
+    """(id, v): floor(scale * x) of every usable vector, as doubles that hold whole numbers, each row once."""
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * scale).alias("v"))
+    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))  # larger doubles are whole
+    return rows.where(F.col("id").isNotNull() & fine).select("id", whole.alias("v")).dropDuplicates(["id", "v"])
 
 
 def _padded(vectors, width: int) -> np.ndarray:
@@ -66,15 +78,58 @@ def _distances(x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
     return np.sqrt(np.maximum(nx[:, None] + ny[None, :] - 2 * (x @ y.T) + (ax[:, None] - ay[None, :]) ** 2, 0))
 
 
+def _from_queries(q: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """Distances from queries, whose extra component is 0, to vectors."""
+    return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + most - 2 * (q @ y.T), 0))
+
+
+class Products:
+    """Exact inner products of whole-numbered vectors, cut to 64 bits."""
+
+    def __init__(self, width: int, largest: float):
+        bound = width * int(largest) ** 2
+        self.kind = "float" if bound < 1 << 53 else "int" if bound < 1 << 63 else "any"
+
+    def of(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.kind == "float":  # every sum on the way is a whole number that a double holds
+            return (rows @ q).astype(np.int64)
+        if self.kind == "int":
+            return rows.astype(np.int64) @ q.astype(np.int64)
+        own = [int(x) for x in q]
+        return np.array([min(HIGHEST, max(LOWEST, sum(int(a) * b for a, b in zip(r, own, strict=True)))) for r in rows], np.int64)
+
+
+class Best:
+    """The k best (score, id) of a query, each id once, and the k-th score."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, []
+
+    def add(self, score: int, at: int) -> None:
+        item = (-score, at)
+        for have in self.rows:
+            if have[1] == at:
+                if item >= have:
+                    return
+                self.rows.remove(have)
+                break
+        if len(self.rows) < self.k or item < self.rows[-1]:
+            self.rows = sorted([*self.rows, item])[: self.k]
+
+    def worst(self) -> int | None:
+        return -self.rows[-1][0] if len(self.rows) == self.k else None
+
+
 class Subtree:
     """A root page of routing objects and a leaf page for each; entries lie leaf by leaf."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, most: float, pages: np.ndarray | None = None):
-        self.v, self.ids, self.most = vectors, ids, most
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, most: float, pages: np.ndarray | None = None, products: Products | None = None):
+        self.v, self.ids, self.most, self.computed = vectors, ids, most, 0
+        self.products = products or Products(vectors.shape[1], float(np.abs(vectors).max(initial=0)))
         if pages is None:
             pages = self._build()
         #: Of each leaf: first entry, entries, row of its routing object, distance of that to the root's, covering radius; then of each entry its distance.
-        n = int(pages[0])
+        self.pages, n = pages, int(pages[0])
         self.first, self.size, self.routing = (pages[1 + k * n : 1 + (k + 1) * n].astype(np.int64) for k in range(3))
         self.to_root, self.radius = (pages[1 + k * n : 1 + (k + 1) * n] for k in (3, 4))
         self.to_routing = pages[1 + 5 * n :]
@@ -82,8 +137,9 @@ class Subtree:
     def _build(self) -> np.ndarray:
         """Bulk load: routing objects are taken far apart, one after another; entries join the nearest, and full pages are cut."""
         n = len(self.v)
-        count = max(1, -(-n // PAGE))
-        step = max(1, n // (4 * count))
+        page = min(PAGE, max(8, n // PAGES))
+        count = max(1, -(-n // page))
+        step = max(1, n // (16 * count))
         pool = np.argsort(self.ids, kind="stable")[::step]
         chosen = [int(pool[0])]
         near = _distances(self.v[pool], self.v[chosen], self.most)[:, 0]
@@ -94,10 +150,10 @@ class Subtree:
         home = d.argmin(axis=1)
         own = d[np.arange(n), home]
         order = np.lexsort((own, home))
-        cuts = []  # leaves: runs of one home, PAGE entries at most
+        cuts = []  # leaves: runs of one home, `page` entries at most
         starts = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0, [True]]))
         for a, b in zip(starts, starts[1:], strict=False):
-            cuts += [(s, min(PAGE, b - s), chosen[home[order[a]]]) for s in range(a, b, PAGE)]
+            cuts += [(s, min(page, b - s), chosen[home[order[a]]]) for s in range(a, b, page)]
         at = np.empty(n, np.int64)
         at[order] = np.arange(n)
         to_root = _distances(self.v[[r for _, _, r in cuts]], self.v[order[:1]], self.most)[:, 0]
@@ -107,120 +163,164 @@ class Subtree:
         self.v, self.ids = self.v[order], self.ids[order]
         return pages
 
-    @staticmethod
-    def pages_of(vectors: np.ndarray, ids: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = Subtree.__new__(Subtree)
-        t.v, t.ids, t.most = vectors, ids, most
-        pages = t._build()
-        return t.v, t.ids, pages
-
-    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[list[tuple[int, int]], int]:
-        """([(score, id)], best first, ties to the smaller id; scores computed). floor: k candidates elsewhere score at least this."""
-        base, computed = float(q @ q) + self.most, 1
-        far = lambda score: np.sqrt(max(base - 2 * score, 0)) * (1 + MARGIN) + MARGIN  # noqa: E731  distance of a score, made safe
-        best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
-        limit = far(floor) if np.isfinite(floor) else np.inf
-        to_root = np.sqrt(max(base - 2 * float(q @ self.v[0]), 0))
-        least = np.maximum(np.abs(self.to_root - to_root) - self.radius, 0)  # by stored distances alone
-        queue = [(float(x), 0, int(p)) for p, x in enumerate(least) if x <= limit]
+    def search(self, q: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """[(score, id)], best first, ties to the smaller id. floor: k candidates elsewhere score at least this."""
+        base = float(q @ q) + self.most
+        slack = MARGIN * np.sqrt(base)
+        best, v = Best(k), self.v
+
+        def reach(score: int | None) -> float:
+            """No vector farther than this scores so high; made safe."""
+            return np.inf if score is None or score == LOWEST else np.sqrt(max(base - 2 * float(score), 0)) + slack
+
+        limit = reach(floor)
+        to_root = np.sqrt(max(base - 2 * float(q @ v[0]), 0))
+        self.computed += 1
+        least = np.maximum(np.abs(self.to_root - to_root) - self.radius - slack, 0)  # by stored distances alone
+        queue = [(float(x), 0, int(p)) for p, x in enumerate(least) if not x > limit]  # so that a distance beyond what doubles hold rules nothing out
         heapq.heapify(queue)
         while queue:
             bound, known, p = heapq.heappop(queue)
             if bound > limit:
                 break
-            to = np.sqrt(max(base - 2 * float(q @ self.v[self.routing[p]]), 0))
+            to = np.sqrt(max(base - 2 * float(q @ v[self.routing[p]]), 0))
             if not known:
-                computed += 1
-                bound = max(bound, to - self.radius[p])
-                if queue and bound > queue[0][0]:
-                    if bound <= limit:
-                        heapq.heappush(queue, (bound, 1, p))
-                    continue
+                self.computed += 1
+                bound = max(bound, to - self.radius[p] - slack)
                 if bound > limit:
                     continue
-            a, m = self.first[p], self.size[p]
-            rows = a + np.flatnonzero(np.abs(self.to_routing[a : a + m] - to) <= limit * (1 + MARGIN) + MARGIN)
-            computed += len(rows)
-            scores = self.v[rows] @ q
-            worst = max(floor, best[0][0]) if len(best) == k else floor
-            keep = scores >= worst
-            for r, x in zip(rows[keep], scores[keep], strict=True):
-                item = (int(x), -int(self.ids[r]))
-                if item[1] == -own or item in best:
+                if queue and bound > queue[0][0]:
+                    heapq.heappush(queue, (bound, 1, p))
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-            if len(best) == k:
-                limit = min(limit, far(best[0][0]))
-        return [(s, -i) for s, i in sorted(best, reverse=True)], computed
-
-
-def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, subtree_size: int = SUBTREE) -> DataFrame:
+            a, m = self.first[p], self.size[p]
+            rows = a + np.flatnonzero(~(np.abs(self.to_routing[a : a + m] - to) > limit + slack))
+            self.computed += len(rows)
+            scores = self.products.of(v[a : a + m] if len(rows) == m else v[rows], q)
+            worst = best.worst()
+            worst = floor if worst is None else worst if floor is None else max(floor, worst)
+            keep = np.flatnonzero(scores >= worst) if worst is not None else np.arange(len(rows))
+            keep = keep[np.lexsort((self.ids[rows[keep]], ~scores[keep]))]
+            for at, x in zip(self.ids[rows[keep]].tolist(), scores[keep].tolist(), strict=True):
+                if (least_kept := best.worst()) is not None and x < least_kept:
+                    break
+                if at != own:
+                    best.add(x, at)
+            if (worst := best.worst()) is not None:
+                limit = min(limit, reach(worst))
+        return [(-s, i) for s, i in best.rows]
+
+
+def top_k(
+    table: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    scale: int = 256,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    pivots: int = PIVOTS,
+    subtree_size: int = SUBTREE,
+    report: dict[str, int] | None = None,
+) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k rows of highest integer inner product for each row where is_query holds.
 
-    is_query may use the id column alone.
+    is_query may use the id column alone. report, if given, takes the counts of queries, subtrees and visits.
     """
-    empty = f"query_id long, rank int, {id_col} long, score long"
     spark = table.sparkSession
     vectors = staged(integer_vectors(table, id_col, vector_col, scale), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    total = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"), F.max(F.size("v")).alias("width")).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    total = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"), F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
     if not total["n"]:
-        return spark.createDataFrame([], empty)
-    most, width = float(total["most"]), max(1, total["width"])
-    # a bounded sample: the `pivots` rows whose ids hash lowest
-    sample = vectors.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(pivots).collect()
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    most, width, largest = float(total["most"]), max(1, total["width"]), total["largest"] or 0.0
+    form = "<i4" if largest < 1 << 31 else "<f8"
+    products = Products(width, largest)
+    # a bounded sample: the rows whose ids hash lowest
+    count = min(pivots, max(FEW_PIVOTS, -(-total["n"] // subtree_size)))
+    sample = vectors.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(count).collect()
     pivot, pivot_ids = _padded([r["v"] for r in sample], width), np.array([r["id"] for r in sample], np.int64)
 
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series(_distances(_padded(v.tolist(), width), pivot, most).argmin(axis=1).astype(np.int32))
-
-    housed = staged(vectors.withColumn("pivot", nearest("v")), "housed")
-    sizes = {r["pivot"]: r["count"] for r in housed.groupBy("pivot").count().collect()}  # `pivots` rows at most
-    parts, trees = {}, 0
-    for p in sorted(sizes):
-        parts[p] = (trees, -(-sizes[p] // subtree_size))
-        trees += parts[p][1]
-    first = F.create_map(*[x for p, (t, _) in parts.items() for x in (F.lit(p), F.lit(t))])
-    split = F.create_map(*[x for p, (_, m) in parts.items() for x in (F.lit(p), F.lit(m))])
+    @F.pandas_udf("pivot int, far double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        home, far = [], []
+        for at in range(0, len(v), STEP):
+            d = _distances(_padded(v.iloc[at : at + STEP].tolist(), width), pivot, most)
+            home.append(d.argmin(axis=1).astype(np.int32))
+            far.append(d.min(axis=1))
+        return pd.DataFrame({"pivot": np.concatenate([*home, np.empty(0, np.int32)]), "far": np.concatenate([*far, np.empty(0)])})
+
+    housed = staged(vectors.withColumn("own", nearest("v")).select("id", "v", "own.pivot", "own.far"), "housed")
+    cells = {r["pivot"]: r for r in housed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.min("far").alias("least")).collect()}  # `pivots` rows at most
+    own = np.array(sorted(cells))
+    centre, radius, least = pivot[own], np.array([cells[p]["radius"] for p in own]), np.array([cells[p]["least"] for p in own])
+    parts = np.array([-(-cells[p]["n"] // subtree_size) for p in own])
+    first_tree, trees = np.cumsum(parts) - parts, int(parts.sum())
+    first = F.create_map(*[x for p, t in zip(own.tolist(), first_tree.tolist(), strict=True) for x in (F.lit(p), F.lit(t))])
+    split = F.create_map(*[x for p, m in zip(own.tolist(), parts.tolist(), strict=True) for x in (F.lit(p), F.lit(m))])
     tree = (first[F.col("pivot")] + F.pmod(F.xxhash64("id", "v"), split[F.col("pivot")])).cast("int")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        v, ids, pages = Subtree.pages_of(_padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64), most)
-        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "n": [len(ids)], "vectors": [v.astype("<i4").tobytes()], "ids": [ids.astype("<i8").tobytes()], "pages": [pages.astype("<f8").tobytes()]})
+        t = Subtree(_padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64), most, products=products)
+        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "n": [len(t.ids)], "vectors": [t.v.astype(form).tobytes()], "ids": [t.ids.astype("<i8").tobytes()], "pages": [t.pages.astype("<f8").tobytes()]})
 
-    index = staged(housed.withColumn("tree", tree).groupBy("tree").applyInPandas(build, _TREE), "trees")
+    index = staged(housed.withColumn("tree", tree).select("tree", "id", "v").groupBy("tree").applyInPandas(build, _TREE), "trees")
     asked = vectors.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def bundle(rows: pd.DataFrame) -> pd.DataFrame:
-        q = _padded(rows["v"].tolist(), width)
-        ids = rows["id"].to_numpy(np.int64)
-        scores = q @ pivot.T
-        scores[ids[:, None] == pivot_ids[None, :]] = -np.inf
-        _, at = np.unique(pivot_ids, return_index=True)  # a repeated id counts once
-        scores = np.sort(scores[:, at], axis=1)
-        floor = scores[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "queries": [q.astype("<i4").tobytes()], "query_ids": [ids.astype("<i8").tobytes()], "floors": [floor.astype("<f8").tobytes()]})
-
-    bundled = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(bundle, "block int, queries binary, query_ids binary, floors binary")
-    sent = bundled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    queries = asked.count()
+    blocks = max(1, -(-queries // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
+
+    def sample_floor(q: np.ndarray, ids: np.ndarray) -> list[int | None]:
+        """The k-th score of each query among the pivots of distinct ids; None with fewer."""
+        out: list[int | None] = []
+        for x, at in zip(q, ids.tolist(), strict=True):
+            best = Best(k)
+            for s, i in zip(products.of(pivot, x).tolist(), pivot_ids.tolist(), strict=True):
+                if i != at:
+                    best.add(s, i)
+            out.append(best.worst())
+        return out
+
+    def route(rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        """The subtrees that each query of a block goes to in one of the two rounds."""
+        q, ids = _padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64)
+        floors = sample_floor(q, ids)
+        d = _from_queries(q, centre, most)
+        early = np.zeros(d.shape, bool)
+        np.put_along_axis(early, np.argsort(d, axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
+        go = early
+        if late:
+            floors = [b if a is None else max(a, b) for a, b in zip(floors, rows["floor"].tolist(), strict=True)]
+            base = (q * q).sum(axis=1) + most
+            slack = MARGIN * np.sqrt(base)
+            far = np.array([np.inf if f == LOWEST else np.sqrt(max(b - 2 * float(f), 0)) for f, b in zip(floors, base, strict=True)])
+            go = ~early & ~(np.maximum(d - radius, least - d) > (far + 2 * slack)[:, None])
+        sent = []
+        for c in np.flatnonzero(go.any(axis=0)).tolist():
+            own = np.flatnonzero(go[:, c])
+            packed = q[own].astype(form).tobytes(), ids[own].astype("<i8").tobytes(), np.array([LOWEST if floors[i] is None else floors[i] for i in own], "<i8").tobytes()
+            sent += [(int(first_tree[c]) + t, *packed) for t in range(int(parts[c]))]
+        return pd.DataFrame(sent, columns=["tree", "queries", "query_ids", "floors"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, ids, pages, queries, query_ids, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = Subtree(np.frombuffer(v, "<i4").reshape(-1, width).astype(np.float64), np.frombuffer(ids, "<i8"), most, np.frombuffer(pages, "<f8"))
-                own = np.frombuffer(query_ids, "<i8")
-                found = [(q, i, s) for q, x, floor in zip(own, np.frombuffer(queries, "<i4").reshape(-1, width).astype(np.float64), np.frombuffer(floors, "<f8"), strict=True) for s, i in t.search(x, int(q), k, floor)[0]]
+            for v, ids, pages, asking, query_ids, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = Subtree(np.frombuffer(v, form).reshape(-1, width).astype(np.float64), np.frombuffer(ids, "<i8"), most, np.frombuffer(pages, "<f8"), products)
+                each = zip(np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(asking, form).reshape(-1, width).astype(np.float64), np.frombuffer(floors, "<i8").tolist(), strict=True)
+                found = [(q, i, s) for q, x, floor in each for s, i in t.search(x, q, k, None if floor == LOWEST else floor)]
                 columns = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "score"])
 
-    met = index.join(sent, "tree").select("vectors", "ids", "pages", "queries", "query_ids", "floors")
-    local = met.mapInArrow(search, "query_id long, id long, score long")
-    each = local.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def visited(sent: DataFrame) -> DataFrame:
+        met = index.join(sent, "tree").select("vectors", "ids", "pages", "queries", "query_ids", "floors")
+        return met.mapInArrow(search, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    early = staged(asked.withColumn("block", block).groupBy("block").applyInPandas(lambda rows: route(rows, False), _SENT), "early")
+    near = staged(visited(early).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "near")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    late = asked.join(floors, "id", "left").withColumns({"floor": F.coalesce("floor", F.lit(LOWEST)), "block": block}).groupBy("block").applyInPandas(lambda rows: route(rows, True), _SENT)
+    late = staged(late, "late")
+    if report is not None:
+        went = sum(s.agg(F.sum(F.octet_length("query_ids") / 8)).first()[0] or 0 for s in (early, late))
+        report.update(queries=queries, subtrees=trees, visits=int(went))
+    both = near.drop("rank").unionByName(visited(late)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return both.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import mtree
@@ -55,17 +54,49 @@ def test_empty(spark):
     assert rows_of(mtree.top_k(frame(spark, [(50, [1.0])]), F.col("vec_id") % 50 == 0)) == []
 
 
-def test_too_large_a_component_is_an_error(spark):
-    with pytest.raises(Exception, match="or more in size"):
-        mtree.top_k(frame(spark, [(0, [1.0]), (1, [1e9])]), F.col("vec_id") % 50 == 0).collect()
+def test_large_components_are_exact(spark):
+    big = 65536.0 - 1 / 256  # sums of 64 products pass 2 ** 53 once scaled
+    rng = np.random.default_rng(5)
+    rows = [(i, (big - rng.integers(0, 9, 64) / 256).tolist()) for i in range(120)]
+    rows += [(200 + i, (-big + rng.integers(0, 9, 64) / 256).tolist()) for i in range(20)]
+    assert rows_of(mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, pivots=4, subtree_size=30)) == brute(rows, 50, 5)
 
 
-def test_search_avoids_computations():
+def test_scores_outside_64_bits_are_cut(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [2e30, 0.0]), (3, [-1e30, 0.0]), (4, [0.5, 0.5]), (5, [3e38, 3e38]), (50, [65536.0, 1e-40])]
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    v = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in rows}
+    want = []
+    for q in (0, 50):
+        found = sorted((-cut(sum(a * b for a, b in zip(v[q], v[i], strict=True))), i) for i in v if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(found[:5], 1)]
+    assert rows_of(mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0)) == sorted(want)
+
+
+def test_an_id_with_several_vectors_counts_once(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(3, [float(k), 9.0]) for k in range(40)] + [(50, [2.0, float(k)]) for k in range(5)]
+    assert {(q, r, i) for q, r, i, _ in rows_of(mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, subtree_size=8))} >= {(50, 1, 3)}
+    for q in (0, 50):
+        own = [i for x, _, i, _ in rows_of(mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, subtree_size=8)) if x == q]
+        assert len(own) == len(set(own)) == 5
+
+
+def clustered(n_clusters: int, each: int):
     rng = np.random.default_rng(0)
-    centres = rng.normal(0, 100, (40, 8))
-    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(0, 2, (2000, 8)))
-    v, ids, pages = mtree.Subtree.pages_of(v, np.arange(2000), float((v * v).sum(axis=1).max()))
-    tree = mtree.Subtree(v, ids, float((v * v).sum(axis=1).max()), pages)
-    found, computed = tree.search(v[0], -1, 5, -np.inf)
-    assert [s for s, _ in found] == sorted((v @ v[0]).astype(int).tolist(), reverse=True)[:5]
-    assert computed < 0.75 * len(v)
+    centres = rng.normal(0, 100, (n_clusters, 8))
+    return np.floor(np.repeat(centres, each, axis=0) + rng.normal(0, 2, (n_clusters * each, 8)))
+
+
+def test_search_avoids_computations():
+    v = clustered(40, 50)
+    tree = mtree.Subtree(v.copy(), np.arange(2000), float((v * v).sum(axis=1).max()))
+    assert [s for s, _ in tree.search(v[0], -1, 5, None)] == sorted((v @ v[0]).astype(int).tolist(), reverse=True)[:5]
+    assert tree.computed < 0.75 * len(v)
+
+
+def test_clustered_vectors_leave_most_subtrees_unvisited(spark):
+    rows = [(i, (x / 256).tolist()) for i, x in enumerate(clustered(30, 40))]
+    report: dict[str, int] = {}
+    got = mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, subtree_size=40, report=report)
+    assert rows_of(got) == brute(rows, 50, 5)
+    assert report["visits"] < 0.5 * report["queries"] * report["subtrees"]
