@@ -44,7 +44,7 @@ class VersionTaken(RuntimeError):
 
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, first_tier: int = 4 << 20, ratio: int = 4, min_runs: int = 4):
-        self.spark, self.root, self.target_bytes, self.first_tier, self.ratio, self.min_runs = spark, root.rstrip("/"), target_bytes, first_tier, ratio, min_runs
+        self.spark, self.root, self.target_bytes, self.first_tier, self.ratio, self.min_runs = spark, root.rstrip("/"), target_bytes, first_tier, ratio, max(2, min_runs)
         self._fs_api = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -124,9 +124,7 @@ class ShardedTable:
                 raise RuntimeError(f"merging {len(old)} shards of {self.root} changed the number of rows")
             gone = set(old)
             shards = [s for s in shards if s not in gone] + new
-            version = self._commit(version, shards)
-            if len(new) >= len(old):
-                break
+            version = self._commit(version, shards)  # with fewer shards each time: min_runs of less than half the target fill fewer files
         return version
 
     def vacuum(self) -> int:
