@@ -100,3 +100,47 @@ def test_cases(spark, model):
     assert df.limit(0).select(language.identify(F.col("text"), model)).count() == 0
     untaught = language.train(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r[0]["lang"] for r in df.select(language.identify(F.col("text"), untaught)).collect()} == {"und"}
+
+
+def plain_language(text, model, cost):
+    """(language, its share of the letters) by a whole Viterbi table over all words, each scored by itself."""
+    import re
+    from collections import Counter
+
+    def scores(word):
+        code, total = [2, *map(ord, word.lower()), 3], np.zeros(len(model.languages), np.float64)
+        for a, b, c in zip(code, code[1:], code[2:], strict=False):
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            total += model.log_p[:, (h ^ (h >> 15)) % language.BUCKETS]
+        allowed = model.candidates.get(language.script_of(word[0]))
+        out = np.zeros(len(total), bool) if allowed is None or not allowed.any() else ~allowed
+        total[out] = -np.inf
+        own = np.maximum(total - total.max(), language.FLOOR * max(1, len(word) / language.WORD_LETTERS))
+        own[out] = np.minimum(own[out], -2 * cost - 1)
+        return own
+
+    words = [w for w in re.findall(r"[^\W\d_]+", text or "") if any(c.isalpha() for c in w)]
+    if not words:
+        return "und", 0.0
+    value, back = scores(words[0]), []
+    for w in words[1:]:
+        moved = value[None, :] - cost * (1 - np.eye(len(value)))
+        back.append(moved.argmax(axis=1))
+        value = moved.max(axis=1) + scores(w)
+    path = [int(value.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    letters = Counter()
+    for w, x in zip(words, reversed(path), strict=True):
+        letters[x] += len(w)
+    best = max(letters, key=lambda x: (letters[x], -x))
+    return model.languages[best], letters[best] / sum(letters.values())
+
+
+def test_query_equals_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = language.train(docs.where(language.learnable()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op7_language_id(spark, sf_dir).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        lang, share = plain_language(r["text"], own, language.SWITCH_COST)
+        assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(share, abs=1e-9)

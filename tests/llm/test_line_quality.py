@@ -97,3 +97,43 @@ def test_null_ids_and_documents_of_many_lines(spark):
     assert quality.train(docs, labels, sample_lines=10) is not None
     assert quality.train(docs.where("doc_id < 3"), labels, sample_lines=10) is None
     assert {r[0] for r in docs.select(quality.held_out()).collect()} <= {True, False}
+
+
+def plain_features(line, seen):
+    kind = lambda c: ("a" if c.isalpha() else "d" if c.isdigit() else "b" if c.isspace() else "s" if c in ".,;:" else "m" if c in "'\"()-?¿¡«»’“”–—" else "p" if c == "|" else "o") if ord(c) < 0xFFFF else "o"
+    kinds = [kind(c) for c in line]
+    share = lambda k: kinds.count(k) / len(line)
+    words = line.split()
+    n = len(words)
+    return [
+        sum(c.isupper() for c, k in zip(line, kinds, strict=True) if k == "a") / len(line) / max(share("a"), 1e-9), share("a"), share("d"), share("b"), share("s"), share("m"), share("o") * 4, share("p") * 10,
+        sum(a == b for a, b in itertools.pairwise(words)) / n, min(len(set(words)) / n, 1), sum(w[0].isupper() for w in words) / n,
+        len(line) / n / 10, np.log1p(n) / 5, line.rstrip()[-1] in ".!?", seen,
+    ]
+
+
+def plain_score(text, model):
+    lines, rows = [x for x in (text or "").splitlines() if x and not x.isspace()], []
+    if not lines:
+        return 0.0
+    for k, line in enumerate(lines):
+        rows.append(plain_features(line, line in lines[:k]))
+    none = [0.0] * len(quality.OWN)
+    x = [[*r, *(rows[k - 1] if k else none), *(rows[k + 1] if k + 1 < len(rows) else none), k == 0, k + 1 == len(rows), 1] for k, r in enumerate(rows)]
+    unary = ((np.array(x, float) - model.mean) / model.spread) @ model.weight
+    ahead, behind = [np.array([0, unary[0]])], [np.zeros(2)]
+    for u in unary[1:]:
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + model.pair, axis=0) + [0, u])
+    for u in unary[:0:-1]:
+        behind.append(np.logaddexp.reduce(model.pair + behind[-1] + [0, u], axis=1))
+    good = [np.exp(a[1] + b[1] - np.logaddexp(*(a + b))) for a, b in zip(ahead, reversed(behind), strict=True)]
+    size = [len(line) for line in lines]
+    return float(1 / (1 + np.exp(-np.clip(model.slope * np.dot(good, size) / sum(size) + model.shift, -35, 35))))
+
+
+def test_query_equals_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs.where(quality.learnable()), spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality.learnable()))
+    got = {r["doc_id"]: r["score"] for r in op10_line_quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == pytest.approx(plain_score(r["text"], model), abs=1e-6)
