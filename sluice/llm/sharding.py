@@ -1,14 +1,19 @@
 """Size-tiered sharding: arrivals become small immutable shards; similarly sized ones merge into target-sized files.
 
-A table is a folder with `data/` (immutable Parquet shards) and `manifest/` (one JSON file per version, listing path, bytes and rows
-of every live shard, and the schema). Readers see the shards of one manifest version and nothing else, so a job that dies leaves only
-files that no manifest names. A version is committed by renaming a finished file to its number, which fails if that number is taken.
-Rows move only in Spark jobs; the driver handles file names and sizes.
+A table is a folder with `data/` (immutable Parquet shards) and `manifest/`: one small JSON file per version, and lists of shards that versions share.
+A version holds the schema, path, bytes and rows of each open shard (smaller than half the target when written, so that it can still be merged), and
+the names of the lists that hold all settled ones. A commit thus writes its own shards and not the whole table's, and compaction reads open ones only.
+Readers see the shards of one version and nothing else, so a job that dies leaves only files that no version names. A version is committed by
+renaming a finished file to its number, which fails if that number is taken. Rows move only in Spark jobs; the driver handles file names and sizes,
+and names a folder instead of its files where all of them are live.
 
 Tiers: a shard of b bytes is in tier floor(log(b / first_tier) / log(ratio)), 0 below that. compact() merges the shards of a tier once
 it has min_runs of them, in one job a tier, without a shuffle: Spark reads each shard as it is and coalesces them to as many files as the
 tier's bytes fill at target_bytes. Shards of at least half the target are left alone. It goes on until no tier is due.
 
+Writers leave a mark in `writing/` from before their first file until after their commit. vacuum() spares the files of marked writers, unless a mark is
+older than `abandoned_after` seconds.
+
 Cases: an empty arrival commits a version without new shards, and a version without any reads as an empty frame of the last arrival's
 schema; a table without versions reads as an error naming the folder; null columns, repeated rows and extra columns are stored as they are; arrivals must share a schema.
 """
@@ -17,7 +22,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +37,10 @@ from ._common import scratch_path
 
 #: Arrivals that a table of documents is taken in.
 ARRIVALS = 8
+#: Shards of a list that is left as it is, and smaller lists that a version has at most.
+FULL_LIST, SMALL_LISTS = 4096, 16
+#: Seconds after which a writer's mark counts for nothing.
+ABANDONED = 7 * 86400
 
 
 @dataclass(frozen=True)
@@ -36,6 +48,11 @@ class Shard:
     path: str
     bytes: int
     rows: int
+    #: Shards that its folder was written with.
+    run_files: int = 1
+
+
+_LISTED = "path string, bytes long, rows long, run_files int"
 
 
 class VersionTaken(RuntimeError):
@@ -61,20 +78,47 @@ class ShardedTable:
     def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"shards": []}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0])
+            return {"open": [], "lists": [], "schema": None}
+        own = json.loads(self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0])
+        return own | {"open": [Shard(**s) for s in own["open"]]}
+
+    def _listed(self, lists: list[dict]) -> DataFrame:
+        return self.spark.read.schema(_LISTED).json([x["path"] for x in lists])
 
     def shards(self, version: int | None = None) -> list[Shard]:
-        return [Shard(**s) for s in self._manifest(version)["shards"]]
+        """Every live shard, a row of names and sizes for each."""
+        own = self._manifest(version)
+        return own["open"] + ([Shard(*r) for r in self._listed(own["lists"]).collect()] if own["lists"] else [])
 
-    def _commit(self, parent: int, shards: list[Shard], schema: T.StructType | None = None) -> int:
-        """Publishes the version after parent; without a schema it keeps the parent's."""
-        version = parent + 1
-        kept = schema.jsonValue() if schema else self._manifest(parent).get("schema")
-        made, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:08d}.json")
-        out = self._fs.create(made, False)
-        out.write(bytearray(json.dumps({"version": version, "parent": parent, "shards": [asdict(s) for s in shards], "schema": kept}).encode()))
+    def _settled(self, shard: Shard) -> bool:
+        return shard.bytes >= self.target_bytes / 2
+
+    def _create(self, at: str, lines: list[dict]) -> None:
+        out = self._fs.create(self._path(at), False)
+        out.write(bytearray("\n".join(map(json.dumps, lines)).encode()))
         out.close()
+
+    def _with_list(self, lists: list[dict], shards: list[Shard]) -> list[dict]:
+        """lists and one more of shards; small lists become one before there are too many."""
+        if not shards:
+            return lists
+        lines = [asdict(s) for s in shards]
+        small = [x for x in lists if x["n"] < FULL_LIST]
+        if len(small) >= SMALL_LISTS:
+            lists = [x for x in lists if x["n"] >= FULL_LIST]
+            lines += [r.asDict() for r in self._listed(small).collect()]  # SMALL_LISTS * FULL_LIST rows at most
+        at = f"{self.root}/manifest/lists/{uuid.uuid4().hex}.json"
+        self._create(at, lines)
+        return [*lists, {"path": at, "n": len(lines)}]
+
+    def _commit(self, parent: int, open_shards: list[Shard], new: list[Shard] = (), schema: T.StructType | None = None) -> int:
+        """Publishes the version after parent: the parent's open shards that stay, and new ones, which are open or settled by their bytes; without a schema, the parent's."""
+        version, before = parent + 1, self._manifest(parent)
+        lists = self._with_list(before["lists"], [s for s in new if self._settled(s)])
+        still = [asdict(s) for s in [*open_shards, *(s for s in new if not self._settled(s))]]
+        kept = schema.jsonValue() if schema else before["schema"]
+        made, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:08d}.json")
+        self._create(made.toString(), [{"version": version, "parent": parent, "open": still, "lists": lists, "schema": kept}])
         try:
             context = self._fs_api.FileContext.getFileContext(made.makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), self.spark._jsc.hadoopConfiguration())
             context.rename(made, final, self.spark.sparkContext._gateway.new_array(self._fs_api.Options.Rename, 0))
@@ -86,20 +130,33 @@ class ShardedTable:
         return version
 
     # --- writing ------------------------------------------------------------------------------------------------
-    def _write(self, df: DataFrame) -> list[Shard]:
-        at = f"{self.root}/data/{uuid.uuid4().hex}"
+    @contextmanager
+    def _writing(self) -> Iterator[str]:
+        """The name of a run of files, marked as being written until the block, with its commit, is over."""
+        run = uuid.uuid4().hex
+        mark = f"{self.root}/writing/{run}"
+        self._create(mark, [])
+        try:
+            yield run
+        finally:
+            self._fs.delete(self._path(mark), False)
+
+    def _write(self, df: DataFrame, run: str | None = None) -> list[Shard]:
+        at = f"{self.root}/data/{run or uuid.uuid4().hex}"
         df.write.parquet(at)
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(at)) if s.getPath().getName().endswith(".parquet")}
         if not sizes:
             return []
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        counted = self.spark.read.schema(df.schema).parquet(at).groupBy(name.alias("name")).count().collect()  # a row for each file, as in the listing
-        return [Shard(f"{at}/{r['name']}", sizes[r["name"]], r["count"]) for r in sorted(counted)]
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        counted = self.spark.read.schema(df.schema).parquet(at).select(name.alias("name")).groupBy("name").count().collect()  # a row for each file, as in the listing
+        rows = {r["name"]: r["count"] for r in counted}
+        return [Shard(f"{at}/{name}", sizes[name], rows.get(name, 0), len(sizes)) for name in sorted(sizes)]
 
     def append(self, arrival: DataFrame) -> int:
         """Writes an arrival as immutable shards, one for each task that has rows, and commits them."""
         version = self.version()
-        return self._commit(version, self.shards(version) + self._write(arrival), arrival.schema)
+        with self._writing() as run:
+            return self._commit(version, self._manifest(version)["open"], self._write(arrival, run), arrival.schema)
 
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.first_tier, self.ratio)))
@@ -108,7 +165,7 @@ class ShardedTable:
         """The shards of the lowest tier that has min_runs of them and gains from a merge."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.bytes < self.target_bytes / 2:
+            if not self._settled(s):
                 tiers.setdefault(self._tier(s.bytes), []).append(s)
         ready = [t for t, own in tiers.items() if len(own) >= self.min_runs]
         return tiers[min(ready)] if ready else []
@@ -116,37 +173,59 @@ class ShardedTable:
     def compact(self) -> int:
         """Merges tiers until none is due; each merge is one job and one version, and keeps the count of rows."""
         version = self.version()
-        shards = self.shards(version)
-        while old := self.due(shards):
+        own = self._manifest(version)
+        still = own["open"]
+        while old := self.due(still):
             files = max(1, math.ceil(sum(s.bytes for s in old) / self.target_bytes))
-            new = self._write(self.spark.read.parquet(*[s.path for s in old]).coalesce(files))
-            if sum(s.rows for s in new) != sum(s.rows for s in old):
-                raise RuntimeError(f"merging {len(old)} shards of {self.root} changed the number of rows")
-            gone = set(old)
-            shards = [s for s in shards if s not in gone] + new
-            version = self._commit(version, shards)  # with fewer shards each time: min_runs of less than half the target fill fewer files
+            with self._writing() as run:
+                new = self._write(self._frame(self._folders(old), own["schema"]).coalesce(files), run)
+                if sum(s.rows for s in new) != sum(s.rows for s in old):
+                    raise RuntimeError(f"merging {len(old)} shards of {self.root} changed the number of rows")
+                gone = set(old)
+                still = [s for s in still if s not in gone]
+                version = self._commit(version, still, new)  # with fewer shards each time: min_runs of less than half the target fill fewer files
+            still += [s for s in new if not self._settled(s)]
         return version
 
-    def vacuum(self) -> int:
-        """Deletes shards that the latest version does not name; only safe once no reader is on an older one."""
-        live, n = {s.path for s in self.shards()}, 0
-        data = self._path(f"{self.root}/data")
-        for run in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            at = f"{self.root}/data/{run.getPath().getName()}"
-            for f in self._fs.listStatus(run.getPath()):
-                name = f.getPath().getName()
-                if name.endswith(".parquet") and f"{at}/{name}" not in live:
-                    self._fs.delete(f.getPath(), False)
-                    n += 1
+    def vacuum(self, abandoned_after: float = ABANDONED) -> int:
+        """Deletes shards that the latest version does not name and no marked writer is at; only safe once no reader is on an older version."""
+        data, writing, n = self._path(f"{self.root}/data"), self._path(f"{self.root}/writing"), 0
+        runs = [s.getPath().getName() for s in self._fs.listStatus(data)] if self._fs.exists(data) else []
+        found = [(run, s.getPath()) for run in runs for s in self._fs.listStatus(self._path(f"{self.root}/data/{run}"))]
+        # Marks are read after the files and live shards after the marks, so that a file whose writer commits in between is in one of the two.
+        marks = self._fs.listStatus(writing) if self._fs.exists(writing) else []
+        busy = {s.getPath().getName() for s in marks if time.time() - s.getModificationTime() / 1000 < abandoned_after}
+        live = {s.path for s in self.shards()}
+        for run, at in found:
+            name = at.getName()
+            if run not in busy and name.endswith(".parquet") and f"{self.root}/data/{run}/{name}" not in live:
+                self._fs.delete(at, False)
+                n += 1
         return n
 
+    # --- reading ------------------------------------------------------------------------------------------------
+    @staticmethod
+    def _folders(shards: list[Shard]) -> list[str]:
+        """Paths of shards; the folder alone where all that it was written with are among them."""
+        runs: dict[str, list[Shard]] = {}
+        for s in shards:
+            runs.setdefault(s.path.rpartition("/")[0], []).append(s)
+        return [p for run, own in runs.items() for p in ([run] if len(own) == own[0].run_files else [s.path for s in own])]
+
+    def _frame(self, paths: list[str], schema: dict) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(*paths)
+
     def read(self, version: int | None = None) -> DataFrame:
-        at = self._manifest(version)
-        if at["shards"]:
-            return self.spark.read.parquet(*[s["path"] for s in at["shards"]])
-        if not at.get("schema"):
+        own = self._manifest(version)
+        if not own["schema"]:
             raise FileNotFoundError(f"{self.root} has no committed shards")
-        return self.spark.createDataFrame([], T.StructType.fromJson(at["schema"]))
+        paths = self._folders(own["open"])
+        if own["lists"]:
+            run = F.regexp_replace("path", "/[^/]*$", "")
+            runs = self._listed(own["lists"]).groupBy(run.alias("run")).agg(F.collect_list("path").alias("paths"), F.first("run_files").alias("of"))
+            whole = F.when(F.size("paths") == F.col("of"), F.array("run")).otherwise(F.col("paths"))
+            paths += [r["path"] for r in runs.select(F.explode(whole).alias("path")).collect()]
+        return self._frame(paths, own["schema"]) if paths else self.spark.createDataFrame([], T.StructType.fromJson(own["schema"]))
 
 
 def shard_documents(documents: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, **sizes) -> ShardedTable:

@@ -10,8 +10,11 @@ def table(spark, tmp_path, **sizes):
     return sharding.ShardedTable(spark, f"file://{tmp_path}/t", **({"target_bytes": 40_000, "first_tier": 4_000, "ratio": 4, "min_runs": 3} | sizes))
 
 
+COLUMNS = ["id as doc_id", "if(id % 7 = 0, null, repeat(sha2(cast(id as string), 256), 3)) as text", "'x' as version", "cast(null as string) as path"]
+
+
 def arrival(spark, first, n):
-    return spark.range(first, first + n, 1, 1).selectExpr("id as doc_id", "if(id % 7 = 0, null, repeat(sha2(cast(id as string), 256), 3)) as text", "'x' as version", "cast(null as string) as path")
+    return spark.range(first, first + n, 1, 1).selectExpr(*COLUMNS)
 
 
 def test_query_equals_its_sql(spark, sf_dir, oracle):
@@ -92,3 +95,51 @@ def test_documents_arrive_in_parts_that_merge(spark, sf_dir):
     t = sharding.shard_documents(docs)
     assert sum(merged(t)) >= 4 and not t.due(t.shards())
     assert same_rows(t.read().toPandas(), docs.toPandas())
+
+
+def test_versions_name_settled_shards_by_shared_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FULL_LIST", 4)
+    monkeypatch.setattr(sharding, "SMALL_LISTS", 3)
+    t = table(spark, tmp_path, target_bytes=4_000)
+    for k in range(9):
+        t.append(arrival(spark, 100 * k, 100))
+    own = t._manifest()
+    assert not own["open"] and len(own["lists"]) <= 3 + 2 and sum(x["n"] for x in own["lists"]) == 9
+    assert len({s.path for s in t.shards()}) == 9 and len(t.shards(5)) == 5
+    assert t.vacuum() == 0
+    for version in (9, 5):
+        assert sorted(r[0] for r in t.read(version).select("doc_id").collect()) == list(range(100 * version))
+
+
+def test_a_folder_with_dead_files_is_read_by_file(spark, tmp_path):
+    t = table(spark, tmp_path, target_bytes=20_000, min_runs=2)
+    t.append(spark.range(0, 400, 1, 2).where("id < 200 or id >= 396").selectExpr(*COLUMNS))  # one settled shard and one open shard in a folder
+    t.append(arrival(spark, 400, 4))
+    before = t.shards()
+    t.compact()
+    kept = {s.path for s in t.shards()} & {s.path for s in before}
+    assert len(before) == 3 and len(kept) == 1 and len(t.shards()) == 2
+    assert t.read().count() == 208 and t.read(2).count() == 208
+    assert t.vacuum() == 2 and t.read().count() == 208
+
+
+def test_vacuum_spares_writers_that_have_not_committed(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.append(arrival(spark, 0, 10))
+    with t._writing() as run:
+        new = t._write(arrival(spark, 10, 10), run)
+        assert t.vacuum() == 0
+        t._commit(1, t._manifest(1)["open"], new)
+    assert t.vacuum() == 0 and t.read().count() == 20
+    with t._writing() as run:
+        t._write(arrival(spark, 20, 10), run)
+        assert t.vacuum(abandoned_after=0) == 1
+
+
+def test_columns_named_like_sparks_own(spark, tmp_path):
+    t = table(spark, tmp_path)
+    for k in range(3):
+        t.append(arrival(spark, 10 * k, 10).withColumns({"_metadata": F.lit("m"), "name": F.lit("n"), "count": F.lit(1)}))
+    t.compact()
+    assert len(t.shards()) == 1 and t.shards()[0].rows == 30
+    assert t.read().where("_metadata = 'm' and name = 'n' and count = 1").count() == 30
