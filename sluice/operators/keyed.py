@@ -1,10 +1,11 @@
 """Operators on keyed frames: DataFrames with a string column `key` that is unique.
 
-All are lazy but for the checks, which are one aggregation each. A check runs before anything is written.
+All are lazy but for the checks, which are one aggregation each, and sorted_keys, which writes its keys. A check runs before anything is written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import safe_key
 from ..model import CONTENT, KEY, SOURCE, InvalidKeyError, KeyCollisionError, MissingSourceTagError
+from ..sources.files import join, shared_dir
 
 
 def check_keys(df: DataFrame) -> int:
@@ -150,13 +152,18 @@ def summary(df: DataFrame, **totals: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"), *keys, *[c.alias(n) for n, c in totals.items()])
 
 
-def sorted_keys(df: DataFrame) -> DataFrame:
-    """(key, position from 0) in ascending order of any number of keys: by a range shuffle and the counts of its partitions."""
-    spread = df.select(KEY).repartitionByRange(KEY).sortWithinPartitions(KEY).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = spread.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+def sorted_keys(df: DataFrame, at: str | None = None) -> DataFrame:
+    """(key, position from 0) in ascending order of any number of keys: by a range shuffle and the counts of its partitions.
+
+    The sorted keys are written with their numbers (to `at`, else in the shared folder), so that counts and positions are of one and the same
+    partitioning, whatever is computed again.
+    """
+    spark, at = df.sparkSession, at or join(shared_dir(df.sparkSession), f"sorted-{uuid.uuid4().hex}")
+    df.select(KEY).repartitionByRange(KEY).sortWithinPartitions(KEY).withColumn("__at", F.monotonically_increasing_id()).write.parquet(at)
+    spread = spark.read.schema(f"`{KEY}` string, __at long").parquet(at).withColumn("__part", F.shiftright("__at", 33))
+    counts = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = spread.withColumn("__part", part).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    placed = spread.join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
     return placed.select(KEY, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("position"))
 
 
