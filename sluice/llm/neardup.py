@@ -21,7 +21,8 @@ by a hash; its heaviest component, in which no pair is left to check, is cut apa
 other. Two blocks make a task's group, so groups stay bounded, no pair is missed, and a cell of one component and a few strays costs in proportion to its nodes. Classes are the components of all links.
 
 Work in Spark: signatures, nodes and links are staged tables in the shared folder; the driver sees counts only. Hot buckets are met by
-a join with the few large buckets, whose number their size bounds; all else by shuffled joins.
+a join with the few large buckets, whose number their size bounds. Where many rows name one key (the leader of a large family, its component, the words of exact
+copies), they are dealt over parts, each with a copy of what is joined to them; the table of such keys is bounded by their rows. All else goes by shuffled joins.
 
 Cases: a text without words (or null) is a class of its own, with a null class id if its own id is null; repeated rows fall into one class; ties
 between representatives go to the smaller id; an empty table gives no rows. Extra columns are kept by deduplicate.
@@ -57,6 +58,8 @@ SKETCH = 256
 #: Pairs whose sketches are compared together.
 PAIRS = 4096
 HOT_SHARE = 20_000
+#: A key of more rows than this is dealt over parts in a join; of more than 1 / HOT_SHARE of all rows, where that is more.
+HEAVY = 100
 STEP = 64
 KEEP_WORDS = 250_000
 _WORD = re.compile(r"\w+")
@@ -232,6 +235,20 @@ def _with_sets(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(cut, T.StructType([*kept, T.StructField("hashes", T.BinaryType()), T.StructField("weights", T.BinaryType())]))
 
 
+def _heavy(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, parts) of the keys that many of the rows, total in all, have; at most HOT_SHARE keys. Counted before the shuffle."""
+    large = max(HEAVY, -(-total // HOT_SHARE))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(key, F.ceil(F.col("n") / large).alias("parts"))
+
+
+def _dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with what table, one row a key, has of their key; rows of a heavy key are dealt over its parts by a hash of the column `by`."""
+    parts, heavy = F.coalesce("parts", F.lit(1)).cast("long"), F.broadcast(heavy)
+    dealt = rows.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    copies = table.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"], how).drop("part")
+
+
 def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """(a, b, sim): the exact similarity of the pairs' texts."""
 
@@ -254,28 +271,31 @@ def _measured(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     n = pairs.count()
     x = texts.select(F.col("key").alias("a"), F.col("text").alias("x")).join(bounded_broadcast(pairs, n, KEY_BYTES), "a")
     y = texts.join(bounded_broadcast(pairs.select(F.col("b").alias("key")), n, KEY_BYTES), "key", "left_semi")
-    both = x.join(y.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    both = _dealt_join(x, y.select(F.col("key").alias("b"), F.col("text").alias("y")), "b", "a", _heavy(pairs, "b", n)).select("a", "b", "x", "y")
     return both.mapInArrow(measure, "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, comp): the least key of the connected component of each key that has a link (a, b).
 
-    Rounds of taking the least label of the neighbours, then the label's own label, until nothing changes; each round is staged.
+    Rounds of taking the least of the label, the label's own label and those of the neighbours, until nothing changes; each round is staged. Nodes of
+    many links, and labels of many nodes, are dealt over tasks.
     """
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")), "labels")
+    hubs = staged(_heavy(edges, "b", edges.count()), "hubs")
+    total = labels.count()
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, labels["key"] == near["a"]).select("key", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = lower.select(F.col("key").alias("at"), F.col("comp").alias("jump"))
-        stepped = lower.join(jump, lower["comp"] == jump["at"], "left").select("key", "was", F.least("comp", F.coalesce("jump", "comp")).alias("comp"))
-        new = staged(stepped, "labels")
+        near = _dealt_join(edges, labels.select(F.col("key").alias("b"), F.col("comp").alias("near")), "b", "a", hubs).groupBy("a").agg(F.min("near").alias("near"))
+        own = labels.select("key", "comp")
+        jump = _dealt_join(own, own.select(F.col("key").alias("comp"), F.col("comp").alias("jump")), "comp", "key", _heavy(own, "comp", total))
+        lower = jump.join(near.withColumnRenamed("a", "key"), "key")
+        new = staged(lower.select("key", F.col("comp").alias("was"), F.least("comp", "jump", "near").alias("comp")), "labels")
         changed = new.where(F.col("was") != F.col("comp")).limit(1).count()
         drop(labels)
         labels = new
         if not changed:
-            drop(edges)
+            drop(edges, hubs)
             return labels.select("key", "comp")
 
 
@@ -344,8 +364,8 @@ def _cell_links(cells: DataFrame, facts: DataFrame, texts: DataFrame, idf: np.nd
     whole = each.groupBy("top").agg(F.sum("w").alias("total"), F.max(F.struct("w", "comp")).alias("most"))
     blocks = lambda w: F.greatest(F.ceil(w / CELL), F.lit(1)).cast("int")
     large = whole.where(F.col("total") > CELL).select("top", F.col("most.comp").alias("main"), blocks(F.col("most.w")).alias("mains"), blocks(F.col("total") - F.col("most.w")).alias("rests"))
-    large = staged(large, "large")  # few, and their rows many: they are not dealt out by top
-    cut = met.join(bounded_broadcast(large, large.count(), KEY_BYTES), "top", "left")
+    large = staged(large, "large")
+    cut = _dealt_join(met, large, "top", "key", _heavy(met, "top", met.count()), "left")
     at = lambda n: F.pmod(F.xxhash64("key"), n.cast("long")).cast("int")
     spot = lambda low, high, side: F.struct(F.lit(low).alias("low") if isinstance(low, int) else low.alias("low"), F.lit(high).alias("high") if isinstance(high, int) else high.alias("high"), side.cast("tinyint").alias("side"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -407,10 +427,13 @@ def _classes(documents: DataFrame, threshold: float, id_col: str, text_col: str,
     named = nodes.select("key", "first").join(comps, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     if not more.isEmpty():
         wider = components(more).select(F.col("key").alias("comp"), F.col("comp").alias("wider"))
-        named = named.join(wider, "comp", "left").select("key", "first", F.coalesce("wider", "comp").alias("comp"))
+        named = staged(named, "named")
+        named = _dealt_join(named, wider, "comp", "key", _heavy(named, "comp", total), "left").select("key", "first", F.coalesce("wider", "comp").alias("comp"))
+    named = staged(named, "named")
     least = named.groupBy("comp").agg(F.min("first").alias("head"))
-    heads = staged(named.join(least, "comp").select("key", "head"), "heads")
-    rows = signed.select("doc_id", "row", "key").join(heads, "key", "left")
+    heads = staged(_dealt_join(named, least, "comp", "key", _heavy(named, "comp", total)).select("key", "head"), "heads")
+    own = worded.select("doc_id", "row", "key")
+    rows = _dealt_join(own, heads, "key", "row", _heavy(own, "key", own.count())).unionByName(signed.where(F.col("key").isNull()).select("doc_id", "row", "key"), allowMissingColumns=True)
     out = rows.select(
         "doc_id",
         "row",

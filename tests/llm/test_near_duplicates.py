@@ -133,3 +133,27 @@ def test_a_large_component_with_strays_costs_in_proportion(spark, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
     assert got == dict(enumerate(classes(texts, neardup.THRESHOLD, neardup.IDF_BUCKETS)))
     assert seen and seen[-1] <= 4 * len(texts)
+
+
+def test_hot_keys_are_dealt_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 2)
+    name = lambda k: f"{k:04d}".encode()
+    hub = [(name(500), name(k)) for k in range(1, 60)] + [(name(k), name(k + 100)) for k in range(1, 60)] + [(name(900), name(901))]
+    links = spark.createDataFrame(hub, "a binary, b binary")
+    got = {bytes(r["key"]): bytes(r["comp"]) for r in neardup.components(links).collect()}
+    assert got == {name(k): name(1) for k in [*range(1, 60), *range(101, 160), 500]} | {name(900): name(900), name(901): name(900)}
+    texts = made(3)
+    texts += [texts[0]] * 20 + [None] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(classes(texts, neardup.THRESHOLD, neardup.IDF_BUCKETS)))
+
+
+def test_dealt_join_keeps_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 3)
+    rows = spark.createDataFrame([(k, min(k % 40, 5)) for k in range(200)] + [(900, None), (901, 77)], "id long, k long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(6)], "k long, v long")
+    heavy = neardup._heavy(rows, "k", rows.count())
+    got = neardup._dealt_join(rows, table, "k", "id", heavy, "left")
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == sorted((r["id"], None if r["k"] in (None, 77) else r["k"] * 10) for r in rows.collect())
+    assert neardup._dealt_join(rows, table, "k", "id", heavy).count() == 200
