@@ -5,7 +5,7 @@ lines before and after it; the chain adds a weight for each pair of neighbouring
 marginal of being good, and the marginals, weighted by the lines' lengths, make the document's quality; a logistic curve fitted on the same training
 documents turns that into the score.
 
-Training uses about sample_docs whole labelled documents a class, chosen by a hash of their id. Labels belong to documents, so lines get
+Training uses sample_docs whole labelled documents a class (all, if fewer), those whose ids hash lowest. Labels belong to documents, so lines get
 theirs in two steps: a logistic model takes each line for as good as its document; then the lines of bad documents that it finds
 clearly good are called good, and the chain is trained on those labels by gradient ascent.
 
@@ -232,7 +232,7 @@ def fit(own: np.ndarray, size: np.ndarray, counts: np.ndarray, label: np.ndarray
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model | None:
-    """A model from about sample_docs documents of each class, of sample_lines lines at most; None unless both classes occur.
+    """A model from at most sample_docs documents of each class, of sample_lines lines at most; None unless both classes occur.
 
     labels are to be those that may be learned from, as all of them are counted. Null labels, ids and texts teach nothing; of several labels of
     an id the least counts, of several texts the first in order.
@@ -242,8 +242,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if len(sizes) < 2:
         return None
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) / 1e6
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, sample_docs / sizes[1]))).otherwise(F.lit(min(1.0, sample_docs / sizes[0])))
-    chosen = known.where(draw < share)  # about twice sample_docs rows
+    drawn = known.withColumn("draw", draw)
+    # sample_docs rows a class at most; those above twice the share that is expected to be enough are not sorted
+    each = [drawn.where((F.col("label") == y) & (F.col("draw") < 2 * sample_docs / n)).orderBy("draw", "id").limit(sample_docs) for y, n in sorted(sizes.items())]
+    chosen = each[0].unionByName(each[1]).select("id", "label")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
     rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).where(F.size(F.split("text", "[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")) <= sample_lines)
 

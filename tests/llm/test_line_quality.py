@@ -137,3 +137,14 @@ def test_query_equals_a_plain_version(spark, sf_dir):
     got = {r["doc_id"]: r["score"] for r in op10_line_quality(spark, sf_dir).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == pytest.approx(plain_score(r["text"], model), abs=1e-6)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"line {k}" if k % 3 else f"BAD | {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(400)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda own, size, counts, label: seen.append(label) or fit(own, size, counts, label))
+    for most, want in ((50, [50, 50]), (200, [134, 200])):
+        assert quality.train(docs, labels, sample_docs=most) is not None
+        assert [int((seen[-1] == y).sum()) for y in (0, 1)] == want
