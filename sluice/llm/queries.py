@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mtree, neardup, packing, quality, rans, sharding, transducer
+from . import chat, decontaminate, filter_audit, language, mtree, neardup, packing, quality, rans, sharding, simhash, transducer, whitening
 from ._common import read
 
 #: Where the vocabulary files are: a parameter of the operators, this file for the queries.
@@ -83,6 +83,26 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projected, model = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    shares = model.explained() if model else []
+    facts = [F.lit(model.n if model else 0).cast("long").alias("n"), F.col("whitening.deviation").cast("long").alias("deviation")]
+    values = F.posexplode("whitening.whitened").alias("at", "whitened")
+    spread = projected.select(F.col("vec_id").cast("long").alias("vec_id"), *facts, values)
+    explained = F.element_at(F.array(*[F.lit(s) for s in shares]).cast("array<double>"), F.col("at") + 1)
+    error = F.lit(model.identity_error if model else None).cast("double")
+    return spread.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", explained.alias("explained"), error.alias("identity_error"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+
+
+def op13_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, beside this package; it imports the operators itself
 
@@ -139,11 +159,40 @@ FROM y GROUP BY conv_id, perspective
 """
 
 
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x(k, name) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+o AS (SELECT [p.k, q.k, r.k, s.k, t.k] AS ks, p.name || q.name || r.name || s.name || t.name AS filter_order
+      FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+st AS (SELECT filter_order, step, ks[step] AS own, list_slice(ks, 1, step - 1) AS earlier FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+y AS (SELECT part, filter_order, step, own, n, good, bad, fails[own] AS now, len(list_filter(earlier, lambda j: fails[j])) > 0 AS gone,
+             len(list_filter(fails, lambda z: z)) AS broken FROM h, st),
+g AS (SELECT part, filter_order, step, own,
+             CAST(coalesce(sum(n) FILTER (WHERE NOT now AND NOT gone), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (WHERE now AND NOT gone), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (WHERE now AND gone), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (WHERE now AND broken = 1), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (WHERE now AND NOT gone), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(bad) FILTER (WHERE now AND NOT gone), 0) AS BIGINT) AS toxic_lost
+      FROM y GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+
 def queries() -> dict:
     own = [op1_mtree_search, op2_best_fit_packing, op3_decontamination, op4_sharding, op5_minhash_near_duplicates]
-    own += [op6_chat_rotation, op7_language_id, op8_rans_tokens, op9_token_counts, op10_line_quality, pipeline]
+    own += [op6_chat_rotation, op7_language_id, op8_rans_tokens, op9_token_counts, op10_line_quality]
+    own += [op11_embedding_whitening, op12_filter_audit, op13_simhash_near_duplicates, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mtree_search": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op6_chat_rotation": OP6_SQL}
+    return {"op1_mtree_search": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_sharding": OP4_SQL, "op6_chat_rotation": OP6_SQL, "op12_filter_audit": OP12_SQL}
