@@ -16,11 +16,12 @@ State maps. The two machines together are one: its state is the kind of the word
 chunk of a text has a state map: entry state -> (exit state, tokens). Where white space follows something else, every state closes its word, so
 all entries leave a chunk with such a place by the same exit.
 
-Long texts: a text is cut into chunks of chunk_chars, which Spark spreads over its tasks. A chunk's entry is not known there, so it is taken from a run over
+Chunks: a text is cut into chunks of chunk_chars, each with a map of its own. A chunk's entry is not known by itself, so it is taken from a run over
 the characters before the chunk, from the start state: right for certain if white space follows something else in them, and nearly
 always else, as the merges soon fall into step. Each exit is then held against the entry of the next chunk, and maps whose entry was not
 that are made again from it, until all fit. The maps compose associatively: neighbours by neighbours, FAN at a time, level by level, as
-the first half of a parallel prefix scan does (the prefixes in between are not asked for), and no task holds a text of more than long_chars.
+the first half of a parallel prefix scan does (the prefixes in between are not asked for). The chunks of a text of more than long_chars are
+rows that Spark spreads over its tasks, so none holds such a text; those of others are composed where they are.
 
 Cases: a null or empty text has no bytes and no tokens; repeated rows are counted each for itself; special tokens inside a
 text count as the library has them, one each. All columns stay as they are; the count is a column of its own.
@@ -42,7 +43,7 @@ from ._common import bounded_broadcast, free_name, staged
 from ._tokens import ODD_CODES, byte_chars
 
 #: Characters of a chunk, of a text that is cut into chunk rows, and of what a chunk's entry is found from.
-CHUNK_CHARS, LONG_CHARS, LEAD_CHARS = 1 << 16, 1 << 18, 1 << 12
+CHUNK_CHARS, LONG_CHARS, LEAD_CHARS = 1 << 13, 1 << 15, 1 << 12
 #: State maps that are composed together.
 FAN = 64
 #: What a chunk's place, and one with a state, takes in a broadcast.
@@ -199,6 +200,13 @@ def compose(maps: list[StateMap]) -> StateMap:
     return out
 
 
+def composed(maps: list[StateMap]) -> StateMap:
+    """All maps as one, FAN neighbours at a time, level by level."""
+    while len(maps) > 1:
+        maps = [compose(maps[k : k + FAN]) for k in range(0, len(maps), FAN)]
+    return maps[0]
+
+
 class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -355,12 +363,34 @@ class Transducer:
         state, n = self.step(START, pieces[-1])
         return state, total + n
 
+    def lead(self, run: str, at: int) -> str:
+        """The characters before a chunk that its entry is found from: those since the last safe cut, LEAD_CHARS at most."""
+        return _CUT.split(run[max(0, at - LEAD_CHARS) : at])[-1]
+
+    def map_of(self, lead: str, chunk: str, entry: State | None = None) -> StateMap:
+        """The map of a chunk for one entry: the one given, else what its lead leads to from the start."""
+        entry = self.step(START, lead)[0] if entry is None else entry
+        self.trim()
+        out = {entry: self.through(entry, chunk)}
+        self.trim()
+        return out
+
+    def maps(self, run: str, chunk_chars: int) -> list[StateMap]:
+        """The map of each chunk of a text without special tokens, by itself; then, where an entry was not the exit before it, for that exit too."""
+        starts = range(0, len(run), chunk_chars)
+        out, at = [self.map_of(self.lead(run, k), run[k : k + chunk_chars]) for k in starts], START
+        for k, own in zip(starts, out, strict=True):
+            if at not in own:
+                own |= self.map_of("", run[k : k + chunk_chars], at)
+            at = own[at][0]
+        return out
+
     def runs(self, text: str) -> list[str]:
         """The text between special tokens."""
         return self._special.split(text) if self._special is not None and any(s in text for s in self.specials) else [text]
 
     def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
-        """Tokens of a whole text, chunk after chunk."""
+        """Tokens of a whole text, by the maps of its chunks."""
         if not text:
             return 0
         runs = self.runs(text)
@@ -372,12 +402,8 @@ class Transducer:
                     n = known.get(p)
                     total += self.count_piece(p) if n is None else n
                 continue
-            state = START
-            for k in range(0, len(run), chunk_chars):
-                state, n = self.through(state, run[k : k + chunk_chars])
-                total += n
-                self.trim()
-            total += self.close(state)
+            exit, n = composed(self.maps(run, chunk_chars))[START]
+            total += n + self.close(exit)
         return total
 
 
@@ -414,7 +440,7 @@ def _chunk_rows(long: DataFrame, path: str, chunk_chars: int) -> DataFrame:
             for row, text in zip(batch["row"], batch["text"], strict=True):
                 for k, run in enumerate(machine.runs(text)):
                     for c, at in enumerate(range(0, max(1, len(run)), chunk_chars)):
-                        yield pd.DataFrame([(row, k, c, run[max(0, at - LEAD_CHARS) : at], run[at : at + chunk_chars])], columns=["row", "run", "chunk", "lead", "text"])
+                        yield pd.DataFrame([(row, k, c, machine.lead(run, at), run[at : at + chunk_chars])], columns=["row", "run", "chunk", "lead", "text"])
 
     return long.mapInPandas(cut, _CHUNK)
 
@@ -428,11 +454,8 @@ def _maps(chunks: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                entry = State.of(r.entry) if r.entry else machine.through(START, r.lead)[0]
-                machine.trim()
-                exit, n = machine.through(entry, r.text)
-                machine.trim()
-                out.append((r.row, r.run, r.chunk, entry.key(), exit.key(), n))
+                for entry, (exit, n) in machine.map_of(r.lead, r.text, State.of(r.entry) if r.entry else None).items():
+                    out.append((r.row, r.run, r.chunk, entry.key(), exit.key(), n))
             yield pd.DataFrame(out, columns=names)
 
     return chunks.mapInPandas(make, _MAP)
@@ -451,8 +474,8 @@ def _long(long: DataFrame, path: str, chunk_chars: int) -> DataFrame:
         n = wrong.count()
         if not n:
             break
-        again = _maps(spread(chunks.drop("entry").join(bounded_broadcast(wrong, n, STATE_BYTES), place)), path)
-        maps = staged(maps.join(bounded_broadcast(wrong.select(*place), n, KEY_BYTES), place, "left_anti").select(*maps.columns).unionByName(again), "maps")
+        again = staged(_maps(spread(chunks.drop("entry").join(bounded_broadcast(wrong, n, STATE_BYTES), place)), path), "corrections")
+        maps = maps.join(bounded_broadcast(wrong.select(*place), n, KEY_BYTES), place, "left_anti").select(*maps.columns).unionByName(again)
     levels = maps.agg(F.max("chunk")).first()[0]
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:

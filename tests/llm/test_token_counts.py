@@ -115,3 +115,23 @@ def test_twenty_megabytes_of_cyrillic_and_a_long_text_without_blanks(spark):
     machine.count(blanks[:400_000])
     machine.count(alone[:40_000])
     assert sum(map(len, machine.known)) < 100_000
+
+
+def test_the_tables_texts_are_counted_by_composed_maps(monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t and len(t) > transducer.CHUNK_CHARS]
+    whole, made = transducer.composed, []
+    monkeypatch.setattr(transducer, "composed", lambda maps: made.append(len(maps)) or whole(maps))
+    assert [MACHINE.count(t) for t in texts] == [len(x) for x in library_ids(texts)]
+    assert len(made) >= len(texts) > 20 and all(n > 1 for n in made)
+    assert sum(len(t) > transducer.LONG_CHARS for t in texts)  # and one that goes by chunk rows
+
+
+def test_wrong_entries_are_made_good(monkeypatch):
+    monkeypatch.setattr(transducer, "LEAD_CHARS", 1)
+    text = "don't 'tis the season's " + "a" * 300 + "12345" * 30 + "中文" * 100
+    for chunk in (1, 2, 7, 64):
+        maps = MACHINE.maps(text, chunk)
+        assert any(len(m) > 1 for m in maps)
+        assert MACHINE.count(text, chunk) == len(library_ids([text])[0])
