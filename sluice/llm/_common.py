@@ -100,5 +100,18 @@ def ascii_words(text):
     return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
+def steps(texts: list[str | None], chars: int):
+    """Slices of texts of about so many characters together, at least one text each."""
+    first = total = 0
+    for k, t in enumerate(texts):
+        size = len(t or "")
+        if k > first and total + size > chars:
+            yield texts[first:k]
+            first, total = k, 0
+        total += size
+    if texts[first:]:
+        yield texts[first:]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

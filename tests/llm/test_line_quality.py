@@ -148,3 +148,43 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     for most, want in ((50, [50, 50]), (200, [134, 200])):
         assert quality.train(docs, labels, sample_docs=most) is not None
         assert [int((seen[-1] == y).sum()) for y in (0, 1)] == want
+
+
+def test_blocks_and_long_lines_give_the_same_features(monkeypatch):
+    text = "\n".join(["One line. ONE more", " ", "x " * 900 + "x", "One line. ONE more", "word Word | 12 !? " * 70, "É«»\x85after last one?  "])
+    texts = [text, None, "", text[::-1]]
+    want = quality.line_features(texts)
+    assert want[2].tolist() == [7, 0, 0, 7]
+    monkeypatch.setattr(quality, "STEP_CHARS", 400)
+    monkeypatch.setattr(quality, "SLICE", 96)
+    got = quality.line_features(texts)
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_the_sample_s_lines_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "\n".join([f"line {k} . here" if k % 2 else f"BAD | {k} {j}" for j in range(20)])) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda own, size, counts, label: seen.append((counts, label)) or fit(own, size, counts, label))
+    assert quality.train(docs, labels, sample_total=105) is not None
+    counts, label = seen[0]
+    assert [counts[label == y].sum() for y in (0, 1)] == [100, 100]
+
+
+def peak(code: str) -> float:
+    """MB that a process of its own grows by while it runs code, after its imports."""
+    import subprocess
+    import sys
+
+    head = "import resource, sys\nimport numpy as np\nfrom sluice.llm import quality, language\n{setup}\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n{run}\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    setup, run = code.split("---\n")
+    return float(subprocess.run([sys.executable, "-c", head.format(setup=setup, run=run)], capture_output=True, text=True, check=True).stdout.split()[-1])
+
+
+def test_memory_at_the_bounds():
+    model = "model = quality.Model(np.zeros(48), np.ones(48), np.ones(48) / 48, np.zeros((2, 2)), 1.0, 0.0)\n"
+    for text in ("('A line of some words here. ' * 12 + '\\n') * 200_000", "'word ' * 13_000_000"):  # 64 MB
+        assert peak(f"{model}text = {text}\n---\nassert 0 < model.scores([text])[0] < 1") < 500
+    rows = "own, counts = np.random.default_rng(1).random((2 * quality.SAMPLE_TOTAL, 15)), np.full(1000, quality.SAMPLE_TOTAL // 500)\n"
+    assert peak(f"{rows}---\nquality.fit(own, np.full(len(own), 50.0), counts, np.arange(1000) % 2, steps=2)") < 500
