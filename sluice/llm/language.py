@@ -13,21 +13,25 @@ the best single language of a text is ahead of the others by every path, its wor
 other stretches only. This is exact.
 
 Cases: a null text, or one without letters, is `und` with score 0 and no spans; ties go to the language first in order; rows are
-predicted one by one, so repeated rows agree; without training rows every text is `und`. Extra columns stay untouched.
+predicted one by one, so repeated rows agree; without training rows every text is `und`; a column of more than most_languages languages is an error, as
+the model has a table for each. A text of over STEP_CHARS characters is gone through in blocks of words, with the same result. Extra columns stay untouched.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import steps
+
 SAMPLE_DOCS = 1500
 BUCKETS = 1 << 16
 MIN_SCRIPT = 0.002
@@ -36,8 +40,10 @@ FLOOR = -6.0
 WORD_LETTERS = 6
 SWITCH_COST = 12.0
 KEEP_WORDS = 250_000
-#: Texts that are labelled together.
-STEP = 512
+#: Characters of texts that are labelled together; of a longer text, its words are looked up in blocks of STEP_WORDS.
+STEP_CHARS, STEP_WORDS = 1 << 20, 1 << 16
+#: Languages that a model may have: it keeps a table of BUCKETS numbers for each.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values of the Unicode block charts); a range ends where the next begins.
 SCRIPTS = [
@@ -56,6 +62,13 @@ def script_of(c: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1]
 
 
+def _word_blocks(text: str) -> Iterator[list[str]]:
+    """The words of a text, STEP_WORDS at a time."""
+    found = _WORD.finditer(text)
+    while some := [m.group() for m in islice(found, STEP_WORDS)]:
+        yield some
+
+
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of each word in lower case between edges, and where each word's begin."""
     text = "".join(f"\x02{w.lower()}\x03" for w in words)
@@ -125,6 +138,15 @@ class Tagger:
         out = [np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws)) for ws in cut]
         return [n[n >= 0] for n in out]
 
+    def _blocks(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(scores, letters) of a text's words, a block at a time."""
+        for some in _word_blocks(text):
+            self._learn(set(some))
+            numbers = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
+            numbers = numbers[numbers >= 0]
+            if len(numbers):
+                yield self.rows[numbers].astype(np.float64), self.sizes[numbers]
+
     def labels(self, numbers: np.ndarray) -> np.ndarray:
         """The languages of a text's words by the best path; the text is not empty."""
         s = self.rows[numbers].astype(np.float64)
@@ -136,39 +158,73 @@ class Tagger:
         low = np.full_like(gain, -c)
         np.minimum(np.minimum.accumulate(gain[:-1], axis=0), -c, out=low[1:])
         ahead = np.delete(gain - low, best, axis=1).max(axis=1, initial=-np.inf)
-        over, sure = np.flatnonzero(ahead > c), np.flatnonzero(ahead <= 0)
-        done = 0  # words before this one have their labels
+        self._stretches(ahead > c, ahead <= 0, s.__getitem__, best, s.shape[1], out)
+        return out
+
+    def long_labels(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(labels, letters) of the words of a text that is gone through block by block, once for each step of labels(); what is kept of a word is a few bytes."""
+        total, sizes, c = 0.0, [], self.cost
+        for s, letters in self._blocks(text):
+            total = total + s.sum(axis=0)
+            sizes.append(letters.astype(np.int32))
+        if not sizes:
+            return np.empty(0, np.int16), np.empty(0, np.int32)
+        best, width = int(total.argmax()), len(total)
+        gain, low, over, sure = np.zeros(width), np.full(width, -c), [], []
+        for s, _ in self._blocks(text):
+            gains = gain + np.cumsum(s - s[:, [best]], axis=0)
+            lows = np.minimum(np.vstack([low, np.minimum.accumulate(gains[:-1], axis=0)]), low)
+            ahead = np.delete(gains - lows, best, axis=1).max(axis=1, initial=-np.inf)
+            over.append(ahead > c)
+            sure.append(ahead <= 0)
+            gain, low = gains[-1], np.minimum(low, gains.min(axis=0))
+        blocks, block, base = self._blocks(text), np.empty((0, width)), 0
+
+        def at(t: int) -> np.ndarray:  # words are asked for in order
+            nonlocal block, base
+            while t >= base + len(block):
+                base, block = base + len(block), next(blocks)[0]
+            return block[t - base]
+
+        out = np.full(sum(map(len, sizes)), best, np.int16)
+        self._stretches(np.concatenate(over), np.concatenate(sure), at, best, width, out)
+        return out, np.concatenate(sizes)
+
+    def _stretches(self, over: np.ndarray, sure: np.ndarray, at: Callable[[int], np.ndarray], best: int, width: int, out: np.ndarray) -> None:
+        """Labels the stretches in which another language gets ahead of the best one."""
+        over, done = np.flatnonzero(over), 0  # words before done have their labels
         while (k := np.searchsorted(over, done)) < len(over):
             first = over[k]
-            m = np.searchsorted(sure, first)
-            begin = max(done, sure[m - 1] + 1 if m else 0)
-            done = begin + self._path(s, best, begin, first, out)
-        return out
+            back = np.flatnonzero(sure[done:first])
+            begin = done + int(back[-1]) + 1 if len(back) else done
+            done = begin + self._path(at, len(out), width, best, begin, first, out)
 
-    def _path(self, s: np.ndarray, best: int, begin: int, past: int, out: np.ndarray) -> int:
+    def _path(self, at: Callable[[int], np.ndarray], n: int, width: int, best: int, begin: int, past: int, out: np.ndarray) -> int:
         """Viterbi from begin on, until after past it is sure that the path is back at the best language; how many words it labelled."""
         c = self.cost
-        value = np.where(np.arange(s.shape[1]) == best, 0.0, -c) if begin else np.zeros(s.shape[1])
-        value, steps = value + s[begin], []
+        value = np.where(np.arange(width) == best, 0.0, -c) if begin else np.zeros(width)
+        value, ways = value + at(begin), []
         t = begin
-        while t + 1 < len(s) and not (t >= past and np.delete(value, best).max(initial=-np.inf) + c <= value[best]):
+        while t + 1 < n and not (t >= past and np.delete(value, best).max(initial=-np.inf) + c <= value[best]):
             t += 1
             top = int(value.argmax())
             stay = value >= value[top] - c
-            steps.append((stay, top))
-            value = np.maximum(value, value[top] - c) + s[t]
-        own = int(value.argmax()) if t + 1 == len(s) else best
-        for at in range(t, begin - 1, -1):
-            out[at] = own
-            if at > begin and not steps[at - begin - 1][0][own]:
-                own = steps[at - begin - 1][1]
+            ways.append((stay, top))
+            value = np.maximum(value, value[top] - c) + at(t)
+        own = int(value.argmax()) if t + 1 == n else best
+        for k in range(t, begin - 1, -1):
+            out[k] = own
+            if k > begin and not ways[k - begin - 1][0][own]:
+                own = ways[k - begin - 1][1]
         return t + 1 - begin
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from about sample_docs whole texts of each language; rows without text or language teach nothing."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model from about sample_docs whole texts of each language; rows without text or language teach nothing. More than most_languages are an error."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"column {lang_col!r} has more than {most_languages} values; clean it or raise the bound")
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((0, BUCKETS), np.float32), {})
@@ -182,12 +238,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                words = [w for w in _WORD.findall(text) if any(c.isalpha() for c in w)]
-                if words:
-                    np.add.at(own, _trigrams(words)[0], 1)
-                    for w in words:
-                        key = lang, script_of(w[0])
-                        scripts[key] = scripts.get(key, 0) + len(w)
+                for some in _word_blocks(text):
+                    words = [w for w in some if any(c.isalpha() for c in w)]
+                    if words:
+                        np.add.at(own, _trigrams(words)[0], 1)
+                        for w in words:
+                            key = lang, script_of(w[0])
+                            scripts[key] = scripts.get(key, 0) + len(w)
         for lang, own in total.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "script": "", "bucket": at, "n": own[at]})
@@ -218,14 +275,18 @@ def identify(text: Column, model: Model, switch_cost: float = SWITCH_COST) -> Co
         for texts in batches:
             out = []
             values = texts.tolist()
-            for k in range(0, len(values), STEP):
-                some = tagger.words(values[k : k + STEP]) if tagger else [np.empty(0, np.int64)] * len(values[k : k + STEP])
-                for numbers in some:
-                    if not len(numbers):
+            for some in steps(values, STEP_CHARS):
+                if tagger is None:
+                    labelled = [(np.empty(0, int), np.empty(0, int))] * len(some)
+                elif len(some[0] or "") > STEP_CHARS:
+                    labelled = [tagger.long_labels(some[0])]
+                else:
+                    labelled = ((tagger.labels(n) if len(n) else n, tagger.sizes[n]) for n in tagger.words(some))
+                for own, sizes in labelled:
+                    if not len(own):
                         out.append((UNKNOWN, 0.0, []))
                         continue
-                    own = tagger.labels(numbers)
-                    letters = np.bincount(own, tagger.sizes[numbers], len(languages))
+                    letters = np.bincount(own, sizes, len(languages))
                     best = int(letters.argmax())
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
                     spans = [{"word": int(a), "words": int(b - a), "lang": languages[own[a]]} for a, b in zip(edges, edges[1:], strict=False)]

@@ -144,3 +144,52 @@ def test_query_equals_a_plain_version(spark, sf_dir):
     for r in docs.select("doc_id", "text").collect():
         lang, share = plain_language(r["text"], own, language.SWITCH_COST)
         assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(share, abs=1e-9)
+
+
+def mixed_model():
+    log_p = np.log(np.full((3, language.BUCKETS), 1 / language.BUCKETS)).astype(np.float32)
+    rng = np.random.default_rng(8)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40)] for _ in range(3)]
+    for k, own in enumerate(words):
+        log_p[k, language._trigrams(own)[0]] += 4
+    return language.Model(("a", "b", "c"), log_p, {"Latin": np.array([True, True, True])}), words
+
+
+def test_blocks_of_a_long_text_give_the_same_labels(monkeypatch):
+    model, words = mixed_model()
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(language, "STEP_WORDS", 37)
+    monkeypatch.setattr(language, "KEEP_WORDS", 60)
+    for _ in range(20):
+        runs = [(int(rng.integers(3)), int(rng.integers(1, 60))) for _ in range(30)]
+        text = " ".join(words[k][int(rng.integers(40))] for k, n in runs for _ in range(n)) + " 12 _"
+        tagger = language.Tagger(model, language.SWITCH_COST)
+        numbers = tagger.words([text])[0]
+        want, sizes = tagger.labels(numbers), tagger.sizes[numbers]
+        got, letters = language.Tagger(model, language.SWITCH_COST).long_labels(text)
+        assert got.tolist() == want.tolist() and letters.tolist() == sizes.tolist() and len(set(want.tolist())) > 1
+    assert len(language.Tagger(model, 2.0).long_labels("1 2 _")[0]) == 0
+
+
+def test_long_texts_go_by_blocks(spark, monkeypatch):
+    model, words = mixed_model()
+    text = " ".join(words[0] * 5000 + words[1] * 100)
+    assert len(text) > language.STEP_CHARS
+    df = spark.createDataFrame([(text,), (None,), ("9 " * language.STEP_CHARS,)], "text string")
+    got = [r["f"] for r in df.select(language.identify(F.col("text"), model).alias("f")).collect()]
+    assert got[0]["lang"] == "a" and [(s["words"], s["lang"]) for s in got[0]["spans"]] == [(200_000, "a"), (4000, "b")]
+    assert [g["lang"] for g in got[1:]] == ["und", "und"]
+
+
+def test_memory_of_a_long_text():
+    from test_line_quality import peak
+
+    setup = "model = language.Model(('a', 'b'), np.log(np.full((2, language.BUCKETS), 1 / language.BUCKETS)).astype(np.float32), {})\ntagger = language.Tagger(model, 12.0)\ntext = ' '.join(f'w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}rd' for k in range(676)) * 15_000\n"
+    assert peak(setup + "---\nassert len(tagger.long_labels(text)[0]) > 10_000_000") < 300
+
+
+def test_too_many_languages_are_refused(spark):
+    df = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4"):
+        language.train(df, most_languages=4)
+    assert len(language.train(df, most_languages=5).languages) == 5
