@@ -1,8 +1,8 @@
 """Where a step's output lives, and how it is read again.
 
 ParquetDataset is the native form: a keyed frame of any schema as a Parquet table. The file datasets keep one file for each key
-(`<dest>/<key><suffix>`, slashes in keys are folders, names that Spark's readers would pass over are escaped by `~`) or one file for the whole, for exchange with other tools; their reading is Spark's
-(`binaryFile`, `text`), their writing is one task per partition of keys through pyarrow's file systems, so no record passes the driver.
+(`<dest>/<key><suffix>`, slashes in keys are folders) or one file for the whole, for exchange with other tools; tasks list, read and write the files
+(see keyed_files), so neither records nor names pass the driver. Folders that only Hadoop's file systems reach are read by Spark's `binaryFile`.
 
 All take part in the same protocol: validate before anything is touched, save into an empty folder, tell which keys are there, load from a
 folder, and give an empty frame for a committed empty output.
@@ -10,19 +10,17 @@ folder, and give an empty frame for a committed empty output.
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import KEY, EmptyOutputError, InvalidKeyError
-from ..operators.keyed import check_keys
+from ..operators.keyed import KeyFacts, check_keys, key_facts
+from . import keyed_files
 from .files import Files, join, leaf
 
 
@@ -74,6 +72,14 @@ class _Base:
             raise EmptyOutputError(f"dataset {self.name!r} takes no empty output")
         return rows
 
+    def facts(self, df: DataFrame, of: int = 1, at: str | None = None) -> KeyFacts | None:
+        """validate() with what it found of the keys, in `of` buckets, and the keys written to `at` if given; None for output without keys."""
+        if not self.has_keys():
+            return None
+        found = key_facts(df, of, at)
+        self._counted(found.rows)
+        return found
+
     def describe(self) -> dict[str, Any]:
         return {"type": type(self).__name__, "name": self.name, "path": self.path, "allow_empty": self.allow_empty, "storage_options_configured": bool(self.storage_options)}
 
@@ -119,68 +125,8 @@ class ParquetDataset(_Base):
         return self.load_from(spark, dest).select(KEY) if self.keyed else None
 
 
-_COPYING = "._COPYING_"
-
-
-def _named(key: str) -> str:
-    """The path of a key's file: its segments, those that Spark takes for hidden (and those that look escaped) with a `~` at the start or end."""
-    parts = [f"~{p}" if p[:1] in ("_", ".", "~") else p for p in key.split("/")]
-    return "/".join(f"{p}~" if p.rstrip("~").endswith(_COPYING) else p for p in parts)
-
-
-def _unnamed(path: str) -> str:
-    """The key of a path without its suffix."""
-    parts = [p.removeprefix("~") for p in path.split("/")]
-    return "/".join(p.removesuffix("~") if p.rstrip("~").endswith(_COPYING) else p for p in parts)
-
-
-def _unnamed_column(path: Column) -> Column:
-    part = lambda p: F.when(F.rtrim(p, F.lit("~")).endswith(_COPYING), F.regexp_replace(p, r"~\z", "")).otherwise(p)
-    return F.array_join(F.transform(F.split(path, "/"), lambda p: part(F.regexp_replace(p, "^~", ""))), "/")
-
-
-def _store(dest: str, options: dict[str, str] | None):
-    """(file system, path) of a folder for a task's Python: by its scheme and by those of the options, named as Spark names them, that pyarrow has too."""
-    from pyarrow import fs
-
-    scheme, found, rest = dest.partition("://")
-    if not found or scheme == "file":
-        return fs.LocalFileSystem(), rest if found else dest
-    own = options or {}
-    named = lambda names: {to: own[at] for at, to in names.items() if at in own}
-    if scheme in ("s3", "s3a", "s3n"):
-        return fs.S3FileSystem(**named(_S3_OPTIONS)), rest
-    if scheme in ("abfs", "abfss", "wasb", "wasbs"):
-        container, _, tail = rest.partition("@")
-        account, _, path = tail.partition("/")
-        more = named({f"fs.azure.account.key.{account}": "account_key"})
-        return fs.AzureFileSystem(account.partition(".")[0], **more), f"{container}/{path}"
-    store, root = fs.FileSystem.from_uri(dest)
-    return store, root
-
-
-#: Spark's names of S3 options and pyarrow's (fixed values).
-_S3_OPTIONS = {"fs.s3a.access.key": "access_key", "fs.s3a.secret.key": "secret_key", "fs.s3a.session.token": "session_token", "fs.s3a.endpoint": "endpoint_override", "fs.s3a.endpoint.region": "region"}
-
-
-def _put(dest: str, suffix: str, options: dict[str, str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Writes each (key, bytes) to a file of its own, aside first, under a name of the task's attempt; yields how many."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = _store(dest, options)
-        n, attempt = 0, TaskContext.get().taskAttemptId()
-        for batch in batches:
-            for key, body in zip(batch[KEY], batch["body"], strict=True):
-                to = posixpath.join(root, _named(key) + suffix)
-                store.create_dir(posixpath.dirname(to), recursive=True)
-                aside = f"{to}.part-{attempt}"
-                with store.open_output_stream(aside) as out:
-                    out.write(bytes(body))
-                store.move(aside, to)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    return write
+#: Kept under their old names, as tests and queries use them.
+_named, _unnamed, _store = keyed_files.named, keyed_files.unnamed, keyed_files.store_of
 
 
 @dataclass
@@ -197,24 +143,30 @@ class _Keyed(_Base):
         raise NotImplementedError
 
     def _files(self, spark: SparkSession, dest: str) -> DataFrame:
-        """(key, content binary) of the files below dest that end in the suffix."""
+        """(key, content binary) of the files below dest that end in the suffix, or of the one file that dest is."""
+        if not keyed_files.reachable(dest):
+            return self._hadoop_files(spark, dest)
+        if Files(spark).is_file(dest):
+            return keyed_files.contents(keyed_files.one(spark, dest, self.suffix), keyed_files.folder_of(dest), self.storage_options)
+        return keyed_files.contents(keyed_files.listed(spark, dest, self.suffix, self.storage_options), dest, self.storage_options)
+
+    def _hadoop_files(self, spark: SparkSession, dest: str) -> DataFrame:
+        """The same through Spark's reader, for file systems that tasks do not reach by themselves; files are listed on the driver, empty ones once more."""
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{self.suffix}").options(**self.storage_options or {})
-        files = reader.load(dest)
-        root = Files(spark)._at(dest)
-        at = root[0].getFileStatus(root[1]).getPath().toString().rstrip("/") + "/"
-        tail = F.expr(f"substring(path, {len(at) + 1}, length(path) - {len(at) + len(self.suffix)})")
-        found = files.select(_unnamed_column(tail).alias(KEY), "content")
-        # Spark's readers pass over files without bytes, which are records too
-        empty = [(_unnamed(f.removesuffix(self.suffix)), b"") for f in Files(spark).walk(dest, self.suffix, empty_only=True)]
+        at = Files(spark).qualified(dest).rstrip("/") + "/"
+        key = F.udf(lambda path: _unnamed(path[len(at) : len(path) - len(self.suffix)]), "string", useArrow=True)
+        found = reader.load(dest).select(key("path").alias(KEY), "content")
+        empty = [(_unnamed(f[: len(f) - len(self.suffix)]), b"") for f in Files(spark).walk(dest, self.suffix, empty_only=True)]
         return found.unionByName(spark.createDataFrame(empty, f"{KEY} string, content binary")) if empty else found
 
     def validate(self, df: DataFrame) -> int:
         return self._counted(check_keys(df))
 
     def save(self, df: DataFrame, dest: str) -> None:
-        spark = df.sparkSession
-        Files(spark).mkdirs(dest)
-        self._body(df).mapInPandas(_put(dest, self.suffix, self.storage_options), "n long").agg(F.sum("n")).first()
+        files = Files(df.sparkSession)
+        fresh = not files.children(dest)
+        files.mkdirs(dest)
+        keyed_files.write(self._body(df), dest, self.suffix, self.storage_options, fresh)
 
     def exists(self, spark: SparkSession, dest: str) -> bool:
         return Files(spark).any(dest, self.suffix)
@@ -225,7 +177,10 @@ class _Keyed(_Base):
         return spark.createDataFrame([], self._schema())
 
     def keys_at(self, spark: SparkSession, dest: str) -> DataFrame | None:
-        names = [(_unnamed(f.removesuffix(self.suffix)),) for f in Files(spark).walk(dest, self.suffix)]
+        """The keys of the files that are there, as a frame that tasks list."""
+        if keyed_files.reachable(dest):
+            return keyed_files.listed(spark, dest, self.suffix, self.storage_options).select(KEY)
+        names = [(_unnamed(f[: len(f) - len(self.suffix)]),) for f in Files(spark).walk(dest, self.suffix)]
         return spark.createDataFrame(names, f"{KEY} string")
 
     def _schema(self) -> T.StructType | str:

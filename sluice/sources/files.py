@@ -56,6 +56,11 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def qualified(self, path: str) -> str:
+        """The path as file systems give it back."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getPath().toString()
+
     def walk(self, path: str, suffix: str = "", empty_only: bool = False) -> list[str]:
         """Paths of the files (those without bytes, if asked) below a folder that end in suffix, relative to it, sorted; hidden ones included."""
         fs, p = self._at(path)

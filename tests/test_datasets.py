@@ -93,3 +93,50 @@ def test_stores_of_keyed_writes():
     assert _store("file:///tmp/x", None)[1] == "/tmp/x" and _store("/tmp/x", None)[1] == "/tmp/x"
     if hasattr(fs, "AzureFileSystem"):
         assert _store("abfss://box@acct.dfs.core.windows.net/a", {"fs.azure.account.key.acct.dfs.core.windows.net": "a2V5"})[1] == "box/a"
+
+
+@pytest.mark.parametrize("suffix", [".txt", ""])
+def test_keys_that_hadoop_cannot_name_are_read_back(spark, tmp_path, suffix):
+    keys = ["a:b", "%3A", "%25", "%253A", "x%2:y", "%:", "d:e/:f", "_:g", "100%", "a b", "ü?*[]{}#"]
+    data, out, dest = spark.createDataFrame([(k, f"of {k}") for k in keys], "key string, value string"), KeyedText(suffix=suffix), f"{tmp_path}/out"
+    out.save(data, dest)
+    assert sorted(map(tuple, out.load_from(spark, dest).collect())) == sorted(map(tuple, data.collect()))
+    assert sorted(r["key"] for r in out.keys_at(spark, dest).collect()) == sorted(keys)
+    assert all(":" not in p for p in Files(spark).walk(dest))
+
+
+def test_a_hundred_thousand_keys_without_a_name_on_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Files, "walk", lambda *a, **k: (_ for _ in ()).throw(AssertionError("names on the driver")))
+    data, out, dest = spark.range(100_000).selectExpr("concat(id % 700, '/', id) AS key", "cast(id as string) AS value"), KeyedText(), f"{tmp_path}/many"
+    out.save(data, dest)
+    got = out.load_from(spark, dest)
+    assert got.count() == 100_000 and got.where("value <> split(key, '/')[1]").isEmpty() and got.select("key").distinct().count() == 100_000
+    assert missing_or_extra(out.keys_at(spark, dest), data) == (0, 0)
+    assert out.exists(spark, dest)
+
+
+def test_a_failed_write_leaves_an_own_folder_empty(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    bad = spark.range(40).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 39, "x").otherwise(F.raise_error(F.lit("stop"))).alias("value")).coalesce(1)
+    with pytest.raises(Exception, match="stop"):
+        KeyedText().save(bad, f"{tmp_path}/own")
+    assert not Files(spark).any(f"{tmp_path}/own")
+    Files(spark).write_text(f"{tmp_path}/shared/kept.txt", "x")
+    with pytest.raises(Exception, match="stop"):
+        KeyedText().save(bad, f"{tmp_path}/shared")
+    assert Files(spark).is_file(f"{tmp_path}/shared/kept.txt")
+
+
+def test_options_of_stores_are_all_known():
+    from sluice.sources.keyed_files import store_of
+
+    with pytest.raises(ValueError, match="fs.s3a.other") as told:
+        store_of("s3a://bucket/a", {"fs.s3a.access.key": "s3cret", "fs.s3a.other": "s3cret"})
+    assert "s3cret" not in str(told.value)
+    with pytest.raises(ValueError, match="token"):
+        store_of("/tmp/x", {"token": "s3cret"})
+    account = "acct.dfs.core.windows.net"
+    assert store_of(f"abfss://box@{account}/a", {f"fs.azure.sas.fixed.token.{account}": "sv=1&sig=a"})[1] == "box/a"
+    client = {f"fs.azure.account.oauth2.client.{k}.{account}": v for k, v in (("id", "i"), ("secret", "s"), ("endpoint", "https://login.microsoftonline.com/tenant/oauth2/token"))}
+    assert store_of(f"abfss://box@{account}/a", client)[1] == "box/a"
