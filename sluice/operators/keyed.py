@@ -1,45 +1,93 @@
 """Operators on keyed frames: DataFrames with a string column `key` that is unique.
 
-All are lazy but for the checks, which are one aggregation each, and sorted_keys, which writes its keys. A check runs before anything is written.
+All are lazy but for the checks, which are one aggregation each, sorted_keys, which writes its keys, and fan_out and branch, which write their input once. A check runs before anything is written.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import safe_key
 from ..model import CONTENT, KEY, SOURCE, InvalidKeyError, KeyCollisionError, MissingSourceTagError
 from ..sources.files import join, shared_dir
 
 
-def check_keys(df: DataFrame) -> int:
-    """The number of rows, after a check that every key is safe and none occurs twice."""
+@dataclass(frozen=True)
+class KeyFacts:
+    """What tells one set of keys from another: for each bucket of a hash of the key that has some, how many, and 128 bits that do not depend on their order."""
+
+    rows: int
+    of: int
+    buckets: dict[int, tuple[int, str]]
+
+    def differing(self, other: KeyFacts) -> list[int]:
+        """The buckets that are not the same in both; both are of equally many buckets."""
+        return sorted(b for b in self.buckets.keys() | other.buckets.keys() if self.buckets.get(b) != other.buckets.get(b))
+
+
+def bucket(of: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("bucket"), KEY), F.lit(of)).cast("int")
+
+
+def _bits(seed: str) -> Column:
+    return F.hex(F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), KEY)), F.lit(0)))
+
+
+def key_facts(df: DataFrame, of: int = 1, at: str | None = None) -> KeyFacts:
+    """The facts of df's keys in `of` buckets, after a check that every key is safe and none occurs twice: one shuffle of the keys.
+
+    With `at`, that shuffle's outcome, (key, bucket, n) with a bucket in one file, is written there.
+    """
     if KEY not in df.columns:
         raise InvalidKeyError(f"no column {KEY!r}: {df.columns}")
-    each = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    keys = df.select(KEY, bucket(of).alias("bucket"))
+    each = (keys.repartition("bucket") if at else keys).groupBy("bucket", KEY).agg(F.count(F.lit(1)).alias("n"))
+    if at:
+        each.sortWithinPartitions("bucket").write.parquet(at)
+        each = df.sparkSession.read.schema(each.schema).parquet(at)
     bad = ~safe_key(F.col(KEY))
-    facts = each.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"),
+    per = each.groupBy("bucket").agg(
+        F.sum("n").alias("rows"),
+        F.concat_ws("-", _bits("a"), _bits("b")).alias("bits"),
+        F.sum(bad.cast("long")).alias("bad"),
         F.min(F.when(F.col("n") > 1, F.col(KEY))).alias("twice"),
         F.min(F.when(bad, F.coalesce(KEY, F.lit("<null>")))).alias("unsafe"),
-    ).first()
-    if facts["bad"]:
-        raise InvalidKeyError(f"{facts['bad']} unsafe keys, such as {facts['unsafe']!r}")
-    if facts["twice"] is not None:
-        raise KeyCollisionError(f"key {facts['twice']!r} occurs more than once")
-    return facts["rows"]
+    )
+    facts = per.collect()  # `of` rows at most
+    if number := sum(r["bad"] for r in facts):
+        raise InvalidKeyError(f"{number} unsafe keys, such as {min(r['unsafe'] for r in facts if r['unsafe'] is not None)!r}")
+    if twice := [r["twice"] for r in facts if r["twice"] is not None]:
+        raise KeyCollisionError(f"key {min(twice)!r} occurs more than once")
+    return KeyFacts(sum(r["rows"] for r in facts), of, {r["bucket"]: (r["rows"], r["bits"]) for r in facts})
+
+
+def bucket_facts(df: DataFrame, of: int) -> KeyFacts:
+    """The facts of df's keys without a check, and without a shuffle of keys; a key that is there twice shows in the number of its bucket."""
+    per = df.groupBy(bucket(of).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", _bits("a"), _bits("b")).alias("bits")).collect()  # `of` rows at most
+    return KeyFacts(sum(r["rows"] for r in per), of, {r["bucket"]: (r["rows"], r["bits"]) for r in per})
+
+
+def missing_and_extra(there: DataFrame, expected: DataFrame) -> DataFrame:
+    """(key, missing boolean): the keys that only one side has; missing are those not there."""
+    only = lambda a, b, flag: a.select(KEY).join(b.select(KEY), KEY, "left_anti").select(KEY, F.lit(flag).alias("missing"))
+    return only(expected, there, True).unionByName(only(there, expected, False))
+
+
+def check_keys(df: DataFrame) -> int:
+    """The number of rows, after a check that every key is safe and none occurs twice."""
+    return key_facts(df).rows
 
 
 def fingerprint(df: DataFrame) -> tuple[int, str]:
     """(rows, 128 bits that tell one set of keys from another, in whatever order): one aggregation without a shuffle of keys."""
-    xor = lambda seed: F.hex(F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), KEY)), F.lit(0)))
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", xor("a"), xor("b")).alias("keys")).first()
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", _bits("a"), _bits("b")).alias("keys")).first()
     return got["n"], got["keys"]
 
 
@@ -93,7 +141,7 @@ def route_column(df: DataFrame, by: str | Column, routes: list[str], name: str)
 
 
 def split_routes(df: DataFrame, by: str | Column, routes: list[str], name: str = "branch") -> dict[str, DataFrame]:
-    """One lazy frame for each route, in order; together they hold every record once.
+    """One lazy frame for each route, in order; together they hold every record once. Each reads df by itself; fan_out reads it once for all.
 
     The route is computed inside a filter, so that an undeclared one cannot be optimized away.
     """
@@ -101,14 +149,36 @@ def split_routes(df: DataFrame, by: str | Column, routes: list[str], name: str =
     return {r: df.where(route == r) for r in routes}
 
 
+def fan_out(df: DataFrame, by: str | Column, routes: list[str], name: str = "branch", at: str | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(a frame, a number of records) for each route, in order. df is read once: it is written, with a folder for each route (to `at`, else in the shared folder).
+
+    A record without a declared route fails that write.
+    """
+    spark, at = df.sparkSession, at or join(shared_dir(df.sparkSession), f"fan-{uuid.uuid4().hex}")
+    number = (F.array_position(F.array(*[F.lit(r) for r in routes]), route_column(df, by, routes, name)) - 1).cast("int")
+    mark = "__route"
+    while mark in df.columns:
+        mark += "_"
+    void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}  # not to be had in files
+    seen = Observation()
+    marked = df.drop(*void).withColumn(mark, number)
+    marked.observe(seen, *[F.count_if(F.col(mark) == k).alias(f"r{k}") for k in range(len(routes))]).write.partitionBy(mark).parquet(at)
+    counts = {r: seen.get[f"r{k}"] for k, r in enumerate(routes)}
+    kept = T.StructType([f for f in df.schema.fields if f.name not in void])
+    whole = [F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]
+    reader = spark.read.schema(kept)
+    parts = {r: (reader.parquet(f"{at}/{mark}={k}") if counts[r] else spark.createDataFrame([], kept)).select(*whole) for k, r in enumerate(routes)}
+    return parts, counts
+
+
 def merge_routes(frames: Mapping[str, DataFrame], check: bool = True) -> DataFrame:
     """The outputs of routes in one frame; a key of two routes is an error that names both."""
     return _joined(frames, "route", check)
 
 
 def branch(df: DataFrame, by: str | Column, routes: Mapping[str, Callable[[DataFrame], DataFrame] | None], name: str = "branch", check: bool = True) -> DataFrame:
-    """Split, apply each route's function (None: pass through) and merge."""
-    parts = split_routes(df, by, list(routes), name)
+    """Fan out, apply each route's function (None: pass through) and merge."""
+    parts, _ = fan_out(df, by, list(routes), name)
     return merge_routes({r: fn(parts[r]) if fn else parts[r] for r, fn in routes.items()}, check)
 
 

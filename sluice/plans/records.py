@@ -18,9 +18,10 @@ from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import LeaseHeldError, RecordError, RecordVersionError
-from ..operators.keyed import fingerprint
+from ..operators.keyed import KeyFacts, bucket, bucket_facts, fingerprint, missing_and_extra
 from ..sources.files import Files, join
 from .pipeline import Node, Pipeline, nodes
 
@@ -48,10 +49,13 @@ def _parsed(text: str | None, what: str) -> dict | None:
 class Commits:
     """What has been written whole: one record for each persisted step, published after its files and withdrawn before they change.
 
-    A record holds the number of rows and a fingerprint of the keys, which are held against the files before they are used again.
+    A record holds the number of rows and a fingerprint of each bucket of the keys, which are held against the files before they are used again; the keys
+    themselves lie beside it as a table. Only buckets that differ are compared key by key, and what is missing or extra is named.
     """
 
     root: str
+    #: How many keys an error names of each kind.
+    named: int = 5
 
     def _at(self, pipeline: str, node: Node) -> str:
         return join(self.root, "commits", pipeline, f"{node.id}.json")
@@ -62,12 +66,21 @@ class Commits:
     def withdraw(self, spark: SparkSession, pipeline: str, node: Node) -> None:
         Files(spark).delete(self._at(pipeline, node))
 
-    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int, keys: str | None = None) -> None:
-        record = self.facts(pipeline, stage, node) | {"run_id": run_id, "rows": rows, "keys": keys, "at": now()}
+    def keys_at(self, pipeline: str, node: Node, run_id: str) -> str:
+        """The table of the keys that a run's step has written."""
+        return join(self.root, "commits", pipeline, "keys", f"{node.id}-{run_id}")
+
+    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int, keys: KeyFacts | None = None) -> None:
+        known = {"of": keys.of, "buckets": [[b, n, bits] for b, (n, bits) in sorted(keys.buckets.items())]} if keys else None
+        record = self.facts(pipeline, stage, node) | {"run_id": run_id, "rows": rows, "keys": known, "at": now()}
         files, at = Files(spark), self._at(pipeline, node)
         files.write_text(at, json.dumps(record, sort_keys=True))
         if _parsed(files.read_text(at), "commit record") != record:
             raise RecordError(f"the commit record of {node.step.name!r} could not be read back")
+        tables = join(self.root, "commits", pipeline, "keys")
+        for name in files.children(tables):  # one or two for each step
+            if name.startswith(f"{node.id}-") and name != f"{node.id}-{run_id}":
+                files.delete(join(tables, name))
 
     def load(self, spark: SparkSession, pipeline: str, stage: str, node: Node) -> DataFrame | None:
         """The committed output of a step; None if it has no record. A record that does not fit declaration or files is an error."""
@@ -83,13 +96,42 @@ class Commits:
         if not output.exists(spark, node.folder):
             raise RecordError(f"the output of {node.step.name!r} is committed but not there")
         df = output.load_from(spark, node.folder)
-        rows, keys = fingerprint(df) if record.get("keys") else (df.count(), None)
-        if rows != record["rows"]:
-            raise RecordError(f"the output of {node.step.name!r} has {rows} rows, its record {record['rows']}")
-        if keys != record.get("keys"):
-            raise RecordError(f"the output of {node.step.name!r} has other keys than its record")
+        keys = record.get("keys")
+        if not isinstance(keys, dict):  # output without keys, or a record of before there were buckets
+            rows, bits = fingerprint(df) if keys else (df.count(), None)
+            if rows != record["rows"]:
+                raise RecordError(f"the output of {node.step.name!r} has {rows} rows, its record {record['rows']}")
+            if bits != keys:
+                raise RecordError(f"the output of {node.step.name!r} has other keys than its record")
+            return df
+        then = KeyFacts(record["rows"], keys["of"], {b: (n, bits) for b, n, bits in keys["buckets"]})
+        there = output.keys_at(spark, node.folder)
+        now_ = bucket_facts(there, then.of)
+        if differ := then.differing(now_):
+            raise RecordError(f"the output of {node.step.name!r} has other keys than its record: {self.difference(spark, pipeline, node, record['run_id'], there, then.of, differ)}")
+        if now_.rows != record["rows"]:
+            raise RecordError(f"the output of {node.step.name!r} has {now_.rows} rows, its record {record['rows']}")
         return df
 
+    def difference(self, spark: SparkSession, pipeline: str, node: Node, run_id: str, there: DataFrame, of: int, buckets: list[int]) -> str:
+        """Which keys of these buckets are missing and which are extra, the first few by name."""
+        at = self.keys_at(pipeline, node, run_id)
+        if not Files(spark).exists(at):
+            return f"{len(buckets)} of {of} buckets differ, and the table of keys is gone"
+        some = F.col("bucket").isin(buckets)
+        then = spark.read.schema("bucket int, key string, n long").parquet(at).where(some)
+        odd = missing_and_extra(there.withColumn("bucket", bucket(of)).where(some), then).persist()
+        try:
+            told = []
+            for what, flag in (("missing", True), ("extra", False)):
+                own = odd.where(F.col("missing") == flag)
+                names = [r["key"] for r in own.orderBy("key").limit(self.named).collect()]
+                n = own.count()
+                told.append(f"{what}={names}" + (f" and {n - len(names)} more" if n > len(names) else ""))
+            return ", ".join(told)
+        finally:
+            odd.unpersist()
+
 
 @dataclass
 class RunLog:

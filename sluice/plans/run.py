@@ -1,10 +1,12 @@
 """Running a pipeline: steps build DataFrames in order, persisted ones are checked and committed, and Spark does the rest.
 
-A persisted step is written to a staging folder beside its own; keys and count are checked in one aggregation over what was written (over the frame, before
-any file, where keys become file names); the old commit record is withdrawn, the files are moved into place, and the new record, with the number of rows and
-a fingerprint of the keys, is published. A crash in between leaves no record, so nothing reads what is half done; a failed check leaves output and record as they were. The next step reads the committed files, which ends the lineage there. Steps that are not persisted stay lazy: their
+A persisted step is written to a staging folder beside its own, its rows being counted on the way; one shuffle of the keys of what was written checks
+them (those that become file names are checked before there is a file), counts them, and makes the key table of the commit record; the old record is withdrawn, the files are moved into place, and the new
+record is published. A crash in between leaves no record, so nothing reads what is half done; a failed check leaves output and record as they were. The next step reads the committed files, which ends the lineage there. Steps that are not persisted stay lazy: their
 completion means that their plan was built.
 
+A branch reads its input once, in a write with a folder for each route.
+
 A selective run (one stage, or one step of it) starts from the committed output of the step before, and fails before any
 job if that is not to be had.
 """
@@ -17,16 +19,19 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import MissingPriorOutputError, ObserverError, RecordError, StepContext
-from ..operators.keyed import fingerprint, merge_routes, split_routes, strip_source
-from ..sources.files import Files
+from ..operators.keyed import KeyFacts, bucket_facts, fan_out, merge_routes, strip_source
+from ..sources.files import Files, join, shared_dir
 from .pipeline import Branch, Node, Pipeline, Step, nodes
 from .records import Commits, Lease, Ownership
 
 log = logging.getLogger("sluice")
 DEFAULT_ROOT = "data/output"
+#: Keys are compared by buckets of about so many, up to so many buckets.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 4096
 
 
 @dataclass(frozen=True)
@@ -95,8 +100,8 @@ class _Run:
             raise MissingPriorOutputError(f"this run needs the output of {what}, which is not persisted by itself")
         return next(n for n in self.nodes if (n.stage, n.entry) == (i, j))
 
-    def tell(self, kind: str, node: Node | None = None, error: BaseException | None = None) -> None:
-        event = {"kind": kind, "pipeline": self.pipeline.name, "run_id": self.id, "selective": self.selective, "node": node.id if node else None, "step": node.step.name if node else None, "error": type(error).__name__ if error else None}
+    def tell(self, kind: str, node: Node | None = None, error: BaseException | None = None, rows: int | None = None) -> None:
+        event = {"kind": kind, "pipeline": self.pipeline.name, "run_id": self.id, "selective": self.selective, "node": node.id if node else None, "step": node.step.name if node else None, "error": type(error).__name__ if error else None, "rows": rows}
         for o in self.observers:
             try:
                 o.on_event(self.spark, event)
@@ -106,40 +111,65 @@ class _Run:
                 self.errors.append(f"an observer failed on {kind}: {type(e).__name__}")
                 log.error(self.errors[-1])
 
-    def _write(self, node: Node, df: DataFrame) -> DataFrame:
+    def _write(self, node: Node, df: DataFrame) -> tuple[DataFrame, int]:
         output, stage = node.step.output, self.pipeline.stages[node.stage - 1].name
         folder = f"{node.folder}.staging-{self.id}"
         aside = f"{folder}/{node.folder.rpartition('/')[2]}"
         late = getattr(output, "validates_written", False)
         held = df if late else df.persist()
+        facts = None
         try:
-            rows = None if late else output.validate(held)  # keys become file names, so they are checked before there are files
-            if rows or late:
-                try:
-                    output.save(held, aside)
-                except Exception:
-                    self._withdraw(node)
-                    raise
-            if late and not output.exists(self.spark, aside):  # partitioned, and without rows
-                rows = output.validate(df.limit(0))
-            elif late:
-                rows = self._read_back(node, output.validate(output.load_from(self.spark, aside)), output.written_rows(self.spark, aside))
+            if late:
+                seen = Observation()
+                self._save(node, df.observe(seen, F.count(F.lit(1)).alias("rows")), aside)
+                wrote = seen.get["rows"]
+                if output.exists(self.spark, aside):
+                    rows, facts = self._facts(node, output.load_from(self.spark, aside), wrote)
+                    self._read_back(node, rows, wrote)
+                else:  # partitioned, and without rows
+                    rows = output.validate(df.limit(0))
+            else:  # keys become file names, so they are checked before there are files
+                rows, facts = self._facts(node, held, held.count() if self._key_table(node) else 0)
+                if rows:
+                    self._save(node, held, aside)
             self._withdraw(node)
             self.files.delete(node.folder)
             self.files.rename(aside, node.folder) if rows else self.files.mkdirs(node.folder)
+        except BaseException:
+            if at := self._key_table(node):
+                self.files.delete(at)
+            raise
         finally:
             self.files.delete(folder)
             if not late:
                 held.unpersist()
-        out, keys = output.load_from(self.spark, node.folder) if rows else df.limit(0), None
-        if rows and getattr(output, "has_keys", bool)():
-            there, keys = fingerprint(out)
-            self._read_back(node, there, rows)
-        elif rows and not late:
-            self._read_back(node, out.count(), rows)
+        out = output.load_from(self.spark, node.folder) if rows else df.limit(0)
+        if rows and not late:
+            there = bucket_facts(output.keys_at(self.spark, node.folder), facts.of) if facts else None
+            self._read_back(node, there.rows if there else out.count(), rows)
+            if there and there != facts:
+                raise RecordError(f"step {node.step.name!r} wrote other keys than its own")
         if self.commits:
-            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows, keys)
-        return out
+            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows, facts)
+        return out, rows
+
+    def _save(self, node: Node, df: DataFrame, aside: str) -> None:
+        try:
+            node.step.output.save(df, aside)
+        except Exception:
+            self._withdraw(node)
+            raise
+
+    def _key_table(self, node: Node) -> str | None:
+        """Where the keys of a step's output are kept with its record."""
+        at = getattr(self.commits, "keys_at", None)
+        return at(self.pipeline.name, node, self.id) if at and getattr(node.step.output, "has_keys", bool)() else None
+
+    def _facts(self, node: Node, df: DataFrame, rows: int) -> tuple[int, KeyFacts | None]:
+        """(rows, facts of the keys) of valid output."""
+        output, at = node.step.output, self._key_table(node)
+        facts = output.facts(df, min(MOST_BUCKETS, 1 + rows // BUCKET_ROWS), at) if hasattr(output, "facts") else None
+        return (facts.rows, facts) if facts else (output.validate(df), None)
 
     def _read_back(self, node: Node, there: int, wrote: int) -> int:
         if there != wrote:
@@ -162,19 +192,21 @@ class _Run:
             if not isinstance(made, DataFrame):
                 raise TypeError(f"step {node.step.name!r} gave {type(made).__name__}, not a DataFrame")
             made = made if self.keep else strip_source(made)
-            out = self._write(node, made) if node.step.persist else made
+            out, rows = self._write(node, made) if node.step.persist else (made, None)
         except ObserverError:
             raise
         except Exception as e:
             self.tell("node_failed", node, e)
             raise
-        self.tell("node_completed", node)
+        self.tell("node_completed", node, rows=rows)
         return out
 
     def _branch(self, i: int, j: int, branch: Branch, df: DataFrame) -> DataFrame:
-        """All routes run, those without records too; they share one persisted input."""
-        held, out = df.persist(), {}
-        for route, part in split_routes(held, branch.by, list(branch.routes), branch.name).items():
+        """All routes run, those without records too; their input is read once."""
+        at, out = join(shared_dir(self.spark), f"fan-{uuid.uuid4().hex}"), {}
+        parts, counts = fan_out(df, branch.by, list(branch.routes), branch.name, at)
+        log.info("branch %s: %s", branch.name, counts)
+        for route, part in parts.items():
             prior = None
             for node in (n for n in self.nodes if (n.stage, n.entry, n.route) == (i, j, route)):
                 part = self._step(node, part, prior)
@@ -182,7 +214,7 @@ class _Run:
             out[route] = part
         merged = merge_routes(out)
         if all(s and s[-1].persist for s in branch.routes.values()):
-            held.unpersist()  # else the merged frame still reads it
+            self.files.delete(at)  # else the merged frame still reads it
         return merged
 
     def go(self) -> DataFrame | None:

@@ -85,12 +85,12 @@ def _level():
 
 
 def branch_by_source(spark, sf_dir):
-    parts = keyed.split_routes(_seed(spark, sf_dir), "source", ["documents", "pages"])
+    parts, _ = keyed.fan_out(_seed(spark, sf_dir), "source", ["documents", "pages"])
     return keyed.merge_routes(parts).groupBy(SOURCE).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("langs"))
 
 
 def branch_by_predicate(spark, sf_dir):
-    parts = keyed.split_routes(_events(spark, sf_dir), _level(), ["high", "low"])
+    parts, _ = keyed.fan_out(_events(spark, sf_dir), _level(), ["high", "low"])
     return keyed.merge_routes({r: d.withColumn("route", F.lit(r)) for r, d in parts.items()}, check=False).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -341,12 +341,12 @@ SQL = {
 
 
 def queries() -> dict:
-    from . import run_queries
+    from . import run_queries, table_queries
 
-    return {n: globals()[n] for n in SQL} | run_queries.queries()
+    return {n: globals()[n] for n in SQL} | run_queries.queries() | table_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import run_queries
+    from . import run_queries, table_queries
 
-    return SQL | run_queries.SQL
+    return SQL | run_queries.SQL | table_queries.SQL

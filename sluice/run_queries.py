@@ -60,10 +60,10 @@ def keyed_binary_files(spark, sf_dir):
 
 
 def keyed_hidden_names(spark, sf_dir):
-    """Keys that file readers would take for hidden, written and read back."""
+    """Keys that file readers would take for hidden, or cannot take, written and read back."""
     root, out = _shared(spark), KeyedText("hidden")
     items = _items(spark, sf_dir)
-    data = items.select(F.explode(F.array(*[F.concat(F.lit(p), KEY) for p in ("_", ".", "d/_e/", "~_")])).alias(KEY), "value")
+    data = items.select(F.explode(F.array(*[F.concat(F.lit(p), KEY) for p in ("_", ".", "d/_e/", "~_", "a:b", "%3A")])).alias(KEY), "value")
     out.validate(data)
     out.save(data, root)
     return out.load_from(spark, root)
@@ -376,7 +376,7 @@ SQL = {
     "single_text_file": "SELECT n_name AS name FROM nation",
     "single_binary_file": "SELECT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM benchmark ORDER BY item_id LIMIT 1",
     "keyed_binary_files": f"SELECT key, sha256(text) AS sha256 FROM ({_ITEMS})",
-    "keyed_hidden_names": f"SELECT p || key AS key, text AS value FROM ({_ITEMS}), (VALUES ('_'), ('.'), ('d/_e/'), ('~_')) v(p)",
+    "keyed_hidden_names": f"SELECT p || key AS key, text AS value FROM ({_ITEMS}), (VALUES ('_'), ('.'), ('d/_e/'), ('~_'), ('a:b'), ('%3A')) v(p)",
     "physical_keys": "SELECT 'r/' || r_regionkey AS key FROM region",
     "key_set_difference": "SELECT CAST(7 AS BIGINT) AS missing, count(*) FILTER (WHERE item_id % 3 = 0) AS extra FROM benchmark",
     "dataset_as_source": "SELECT 's' || s_suppkey AS key, s_name AS name, 'suppliers' AS __source__ FROM supplier UNION ALL SELECT 'r' || r_regionkey, r_name, 'regions' FROM region",

@@ -105,3 +105,38 @@ def test_sorted_keys_and_fingerprints(spark):
     assert keyed.fingerprint(some) == keyed.fingerprint(some.repartition(2))
     assert keyed.fingerprint(some)[1] != keyed.fingerprint(some.where("key <> 'k1'").unionByName(spark.createDataFrame([("z",)], "key string")))[1]
     assert keyed.fingerprint(some.limit(0))[0] == 0
+
+
+def test_fan_out_reads_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def touched(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(30).select(F.format_string("k%d", "id").alias("key"), touched("id").alias("value"), F.lit(None).alias("nothing"), F.lit("x").alias("__route"))
+    parts, counts = keyed.fan_out(df, F.when(F.col("value") % 3 == 0, "a").otherwise("b"), ["a", "b", "none"], at=f"{tmp_path}/fan")
+    assert counts == {"a": 10, "b": 20, "none": 0} and list(parts) == ["a", "b", "none"]
+    assert [parts[r].count() for r in parts] == [10, 20, 0] and all(p.columns == df.columns for p in parts.values())
+    assert parts["a"].where("nothing is null and __route = 'x'").count() == 10
+    assert seen.value == 30
+    with pytest.raises(Exception, match="no route for"):
+        keyed.fan_out(df, F.lit("z"), ["a"])
+    with pytest.raises(Exception, match="no route for a null"):
+        keyed.fan_out(df, F.lit(None).cast("string"), ["a"])
+
+
+def test_key_facts_tell_buckets_apart(spark, tmp_path):
+    df = spark.range(1000).select(F.format_string("k%d", "id").alias("key"))
+    facts = keyed.key_facts(df, 16, f"{tmp_path}/keys")
+    assert facts == keyed.bucket_facts(df.repartition(3), 16) == keyed.key_facts(df, 16) and facts.rows == 1000 and len(facts.buckets) == 16
+    other = df.where("key <> 'k7'").unionByName(spark.createDataFrame([("z",)], "key string"))
+    differ = facts.differing(keyed.bucket_facts(other, 16))
+    assert 1 <= len(differ) <= 2
+    written = spark.read.parquet(f"{tmp_path}/keys")
+    assert written.count() == 1000 and written.withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
+    some = F.col("bucket").isin(differ)
+    odd = keyed.missing_and_extra(other.withColumn("bucket", keyed.bucket(16)).where(some), written.where(some))
+    assert sorted(map(tuple, odd.collect())) == [("k7", True), ("z", False)]
+    assert keyed.bucket_facts(df.union(df.limit(1)), 16) != facts and keyed.key_facts(df.limit(0), 4).rows == 0

@@ -357,3 +357,81 @@ def test_empty_partitioned_output(spark, tmp_path):
     assert run(spark, Pipeline("p", source(), [Stage("s", [Step(none, out)])]), str(tmp_path)).output.count() == 0
     with pytest.raises(EmptyOutputError):
         run(spark, Pipeline("p", source(), [Stage("s", [Step(none, ParquetDataset(partition_by=("value",)))])]), str(tmp_path))
+
+
+def test_missing_and_extra_keys_are_named(spark, tmp_path):
+    rows = [(f"k{k:03d}", k) for k in range(40)]
+    p = Pipeline("p", source(rows), [Stage("s", [Step(double, keyed()), Step(plus, keyed())])])
+    commits = Commits(f"{tmp_path}/meta", named=3)
+    run(spark, p, f"{tmp_path}/out", stage=1, step=1, commits=commits)
+    at = f"{tmp_path}/out/p/001_s/001_double"
+    spark.createDataFrame([*rows[5:], ("new", 1)], SCHEMA).write.mode("overwrite").parquet(at)
+    with pytest.raises(RecordError, match=r"missing=\['k000', 'k001', 'k002'\] and 2 more, extra=\['new'\]"):
+        run(spark, p, f"{tmp_path}/out", stage=1, step=2, commits=commits)
+    spark.createDataFrame([*rows, rows[0]], SCHEMA).write.mode("overwrite").parquet(at)
+    with pytest.raises(RecordError, match="other keys"):
+        run(spark, p, f"{tmp_path}/out", stage=1, step=2, commits=commits)
+    run(spark, p, f"{tmp_path}/out", commits=commits)
+    assert len(Files(spark).children(f"{tmp_path}/meta/commits/p/keys")) == 2  # one table for each step
+    Files(spark).delete(f"{tmp_path}/meta/commits/p/keys")
+    assert run(spark, p, f"{tmp_path}/out", stage=1, step=2, commits=commits).output.count() == 40  # equal buckets need no table
+
+
+def test_records_of_before_there_were_buckets_still_count(spark, tmp_path):
+    from sluice.operators.keyed import fingerprint
+
+    commits, at = Commits(f"{tmp_path}/meta"), f"{tmp_path}/meta/commits/p/s001-e002.json"
+    run(spark, made(), f"{tmp_path}/out", commits=commits)
+    record = json.loads(Files(spark).read_text(at))
+    old = fingerprint(spark.read.parquet(f"{tmp_path}/out/p/001_one/002_plus"))[1]
+    Files(spark).write_text(at, json.dumps(record | {"keys": old}))
+    assert run(spark, made(), f"{tmp_path}/out", stage=2, commits=commits).output.first().total == 8
+    Files(spark).write_text(at, json.dumps(record | {"keys": "0-0"}))
+    with pytest.raises(RecordError, match="other keys"):
+        run(spark, made(), f"{tmp_path}/out", stage=2, commits=commits)
+
+
+def test_a_persisted_step_is_one_write_and_one_pass_over_keys(spark, tmp_path):
+    sc, seen = spark.sparkContext, []
+
+    class Watch:
+        def on_event(self, spark, event):
+            seen.append((event["kind"], event["rows"]))
+
+    sc.setJobGroup("one-step", "")
+    try:
+        run(spark, Pipeline("p", Loader("r", lambda s: s.range(100).selectExpr("cast(id as string) AS key", "id AS value")), [Stage("s", [Step(double, keyed())])]), str(tmp_path), observers=[Watch()])
+        jobs = sc.statusTracker().getJobIdsForGroup("one-step")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert ("node_completed", 100) in seen
+    assert len(jobs) <= 4  # the write; the keys by adaptive stages
+
+
+def test_branch_input_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    load = Loader("x", lambda s: s.range(20).select(F.col("id").cast("string").alias("key"), counted("id").alias("value")))
+    routes = {"even": [Step(double, keyed())], "odd": [Step(plus, keyed())], "none": [Step(double, keyed(allow_empty=True))]}
+    p = Pipeline("p", load, [Stage("s", [Branch("b", F.when(F.col("value") % 2 == 0, "even").otherwise("odd"), routes)])])
+    assert run(spark, p, str(tmp_path)).output.count() == 20 and reads.value == 20
+    p.stages[0].entries[0].routes.pop("odd")
+    with pytest.raises(Exception, match="no route for odd"):
+        run(spark, p, str(tmp_path))
+
+
+def test_wrong_keys_in_keyed_files_are_found(spark, tmp_path):
+    class Renaming(KeyedText):
+        def save(self, df, dest):
+            super().save(df.withColumn("key", F.concat("key", F.lit("x"))), dest)
+
+    def text(df, context):
+        return df.select("key", F.lit("x").alias("value"))
+
+    with pytest.raises(RecordError, match="other keys"):
+        run(spark, Pipeline("p", source(), [Stage("s", [Step(text, Renaming())])]), str(tmp_path))
