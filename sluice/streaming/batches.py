@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import Pipeline
+from ..plans.records import Commits
 from ..plans.run import run
 from ..sources.datasets import Loader
+from ..sources.files import join
 
 
 def run_stream(stream: DataFrame, pipeline: Pipeline, run_root: str, checkpoint: str, trigger: dict[str, Any] | None = None, **options: Any) -> StreamingQuery:
     """Starts a query that runs the pipeline on every batch that has rows; run_root/batch=N holds batch N.
 
-    A batch that is run again after a failure replaces its folder, so each batch counts once. The pipeline's own source is not read.
+    A batch that is run again after a failure replaces its folder, so each batch counts once. The pipeline's own source is not read. Commit records are
+    kept for each batch by itself, below batch=N of their root.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             own = replace(pipeline, source=Loader("batch", lambda _: batch))
-            run(batch.sparkSession, own, f"{run_root.rstrip('/')}/batch={number}", **options)
+            commits = options.get("commits")
+            mine = {"commits": replace(commits, root=join(commits.root, f"batch={number}"))} if isinstance(commits, Commits) else {}
+            run(batch.sparkSession, own, f"{run_root.rstrip('/')}/batch={number}", **options | mine)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer.trigger(availableNow=True)).start()

@@ -13,6 +13,7 @@ from .plans.run import run
 from .queries import _shared, read
 from .sources.datasets import KeyedText, Loader, ParquetDataset
 from .sources.files import Files
+from .streaming.sessions import Sessions
 
 
 def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOT = "(SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_type, CAST(value AS DECIMAL(18, 4)) AS value FROM events)"
 
 
+#: Events with their batch, and whether they came late: before the newest of all batches before, less twenty days.
+_LATE = """b AS (SELECT *, event_id % 4 AS batch FROM events), m AS (SELECT batch, max(ts) AS newest FROM b GROUP BY 1),
+a AS (SELECT *, coalesce(ts < (SELECT max(newest) FROM m WHERE m.batch < b.batch) - INTERVAL 20 DAY, false) AS late FROM b)"""
+
+
 def as_of_events(spark, sf_dir):
     """Each purchase with the latest view of its user before it, a third of all events being of one user."""
     events = _hot_events(spark, sf_dir)
@@ -153,6 +159,28 @@ def keyed_text_tree(spark, sf_dir):
     return out.load_from(spark, root).join(out.keys_at(spark, root), KEY)
 
 
+def _arrivals(spark, sf_dir):
+    """Events in four arrivals by number, each a batch of a stream; (session, root)."""
+    root = _shared(spark)
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("value").cast("decimal(18,4)").alias("value"))
+    own = Sessions(f"{root}/sessions", "ts", ["user_id"], gap=3600.0 * 3, late=86400.0 * 20, sums={"total": "value"})
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).write.parquet(f"{root}/in/arrival={k}")
+        own.start(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in"), f"{root}/check").awaitTermination()
+    return own
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of users from events that arrive out of order in four micro-batches, those that came too late left out; open ones as they are at the end."""
+    found = _arrivals(spark, sf_dir).sessions(spark, open_too=True)
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "rows", F.col("total").cast("double").alias("total"))
+
+
+def stream_late_rows(spark, sf_dir):
+    """The events that came more than twenty days after the newest of the batches before."""
+    return _arrivals(spark, sf_dir).late_rows(spark).select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
 SQL = {
     "as_of_events": f"SELECT p.event_id, p.user_id, coalesce(v.event_id, -1) AS view_id FROM (SELECT * FROM {_HOT} WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM {_HOT} WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "as_of_next_within": f"SELECT p.event_id, v.event_id AS click_id FROM (SELECT * FROM {_HOT} WHERE event_type = 'error') p ASOF JOIN (SELECT * FROM {_HOT} WHERE event_type = 'click') v ON p.user_id = v.user_id AND p.ts < v.ts WHERE v.ts <= p.ts + INTERVAL 6 HOUR",
@@ -168,6 +196,11 @@ JOIN orders o ON o.o_custkey = w.o_custkey AND o.o_orderkey <> l_orderkey AND l_
     "written_metrics": """WITH d AS (SELECT lang FROM documents WHERE length(text) >= 1000)
 SELECT 's001-e001' AS node, 'long' AS step, count(*) AS rows FROM d UNION ALL SELECT 's001-e002', 'lazy', -1
 UNION ALL SELECT 's002-e001-r001-001', 'en', count(*) FROM d WHERE lang = 'en' UNION ALL SELECT 's002-e001-r002-001', 'other', count(*) FROM d WHERE lang <> 'en'""",
+    "stream_sessions": f"""WITH {_LATE}, r AS (SELECT user_id, epoch_us(ts) AS t, CAST(value AS DECIMAL(18, 4)) AS value FROM a WHERE NOT late),
+n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 10800000000 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS rows, CAST(sum(value) AS DOUBLE) AS total FROM s GROUP BY user_id, k""",
+    "stream_late_rows": f"WITH {_LATE} SELECT event_id, batch FROM a WHERE late",
     "keyed_text_tree": "SELECT 'p:' || CAST(page_id // 1000 AS VARCHAR) || '/' || page_id || ':%3A' AS key, url AS value FROM pages",
 }
 
