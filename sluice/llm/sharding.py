@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import scratch_path
-
+from ._common import free_name, remove, scratch_path
 
 #: Arrivals that a table of documents is taken in.
 ARRIVALS = 8
+#: Versions whose shards are kept while documents arrive.
+KEEP_VERSIONS = 3
 #: Shards of a list that is left as it is, and smaller lists that a version has at most.
 FULL_LIST, SMALL_LISTS = 4096, 16
 #: Seconds after which a writer's mark counts for nothing.
@@ -144,11 +145,15 @@ class ShardedTable:
     def _write(self, df: DataFrame, run: str | None = None) -> list[Shard]:
         at = f"{self.root}/data/{run or uuid.uuid4().hex}"
         df.write.parquet(at)
+        return self._shards_in(at, df.schema)
+
+    def _shards_in(self, at: str, schema: T.StructType) -> list[Shard]:
+        """The Parquet files of a folder as shards."""
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(at)) if s.getPath().getName().endswith(".parquet")}
         if not sizes:
             return []
         name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        counted = self.spark.read.schema(df.schema).parquet(at).select(name.alias("name")).groupBy("name").count().collect()  # a row for each file, as in the listing
+        counted = self.spark.read.schema(schema).parquet(at).select(name.alias("name")).groupBy("name").count().collect()  # a row for each file, as in the listing
         rows = {r["name"]: r["count"] for r in counted}
         return [Shard(f"{at}/{name}", sizes[name], rows.get(name, 0), len(sizes)) for name in sorted(sizes)]
 
@@ -158,6 +163,18 @@ class ShardedTable:
         with self._writing() as run:
             return self._commit(version, self._manifest(version)["open"], self._write(arrival, run), arrival.schema)
 
+    def adopt(self, folder: str, schema: T.StructType) -> int:
+        """Moves a folder of Parquet files into the table and commits it as an arrival; one that is not there is an arrival without rows."""
+        version = self.version()
+        with self._writing() as run:
+            at, new = f"{self.root}/data/{run}", []
+            if self._fs.exists(self._path(folder)):
+                self._fs.mkdirs(self._path(f"{self.root}/data"))
+                if not self._fs.rename(self._path(folder), self._path(at)):
+                    raise OSError("an arrival could not be moved into the table")
+                new = self._shards_in(at, schema)
+            return self._commit(version, self._manifest(version)["open"], new, schema)
+
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.first_tier, self.ratio)))
 
@@ -187,15 +204,21 @@ class ShardedTable:
             still += [s for s in new if not self._settled(s)]
         return version
 
-    def vacuum(self, abandoned_after: float = ABANDONED) -> int:
-        """Deletes shards that the latest version does not name and no marked writer is at; only safe once no reader is on an older version."""
+    def vacuum(self, abandoned_after: float = ABANDONED, keep: int = 1) -> int:
+        """Deletes shards that none of the latest `keep` versions names and no marked writer is at; only safe once no reader is on an older version.
+
+        A folder whose files are all live is not listed.
+        """
         data, writing, n = self._path(f"{self.root}/data"), self._path(f"{self.root}/writing"), 0
+        latest = self.version()
+        whole = {p.rpartition("/")[2] for p in self._folders(self.shards(latest)) if not p.endswith(".parquet")}
         runs = [s.getPath().getName() for s in self._fs.listStatus(data)] if self._fs.exists(data) else []
-        found = [(run, s.getPath()) for run in runs for s in self._fs.listStatus(self._path(f"{self.root}/data/{run}"))]
+        found = [(run, s.getPath()) for run in runs if run not in whole for s in self._fs.listStatus(self._path(f"{self.root}/data/{run}"))]
         # Marks are read after the files and live shards after the marks, so that a file whose writer commits in between is in one of the two.
         marks = self._fs.listStatus(writing) if self._fs.exists(writing) else []
         busy = {s.getPath().getName() for s in marks if time.time() - s.getModificationTime() / 1000 < abandoned_after}
-        live = {s.path for s in self.shards()}
+        latest = self.version()
+        live = {s.path for v in range(max(1, latest - keep + 1), latest + 1) for s in self.shards(v)}
         for run, at in found:
             name = at.getName()
             if run not in busy and name.endswith(".parquet") and f"{self.root}/data/{run}/{name}" not in live:
@@ -228,16 +251,20 @@ class ShardedTable:
         return self._frame(paths, own["schema"]) if paths else self.spark.createDataFrame([], T.StructType.fromJson(own["schema"]))
 
 
-def shard_documents(documents: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, **sizes) -> ShardedTable:
+def shard_documents(documents: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, keep_versions: int = KEEP_VERSIONS, **sizes) -> ShardedTable:
     """A sharded table that took documents in arrivals by a hash of their ids, which together hold every row once, each followed by compaction and vacuum.
 
-    Each task of an arrival writes its part of a read split, so that shards start small however large the table is.
+    Documents are read once, in a write with a folder for each arrival; the folders then come to the table one after another. Each task of that write has its
+    part of a read split in each folder, so that shards start small however large the table is. The last keep_versions versions stay readable.
     """
     spark = documents.sparkSession
     table = ShardedTable(spark, root or scratch_path(spark, "shards"), **sizes)
+    mark, incoming = free_name(documents, "turn"), f"{table.root}/incoming/{uuid.uuid4().hex}"
     turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(arrivals))
+    documents.withColumn(mark, turn).write.partitionBy(mark).parquet(incoming)
     for k in range(arrivals):
-        table.append(documents.where(turn == k))
+        table.adopt(f"{incoming}/{mark}={k}", documents.schema)
         table.compact()
-        table.vacuum()
+        table.vacuum(keep=keep_versions)
+    remove(spark, incoming)
     return table

@@ -143,3 +143,36 @@ def test_columns_named_like_sparks_own(spark, tmp_path):
     t.compact()
     assert len(t.shards()) == 1 and t.shards()[0].rows == 30
     assert t.read().where("_metadata = 'm' and name = 'n' and count = 1").count() == 30
+
+
+def test_documents_are_read_once(spark, sf_dir):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", counted("text").alias("text"), F.lit(1).alias("__turn"))
+    t = sharding.shard_documents(docs)
+    assert reads.value == docs.count() == t.read().count() and t.read().columns == docs.columns
+
+
+def test_vacuum_keeps_the_last_versions(spark, tmp_path):
+    t = table(spark, tmp_path)
+    for k in range(6):
+        t.append(arrival(spark, 100 * k, 100))
+    t.compact()
+    last = t.version()
+    assert t.vacuum(keep=3) == 0 or t.read(last - 2).count() == 500
+    assert [t.read(v).count() for v in (last, last - 1)] == [600, 600]
+    t.vacuum()
+    assert t.read().count() == 600
+
+
+def test_an_arrival_that_is_not_there(spark, tmp_path):
+    t = table(spark, tmp_path)
+    docs = arrival(spark, 0, 5)
+    assert t.adopt(f"file://{tmp_path}/none", docs.schema) == 1 and t.read().count() == 0
+    docs.write.parquet(f"file://{tmp_path}/some")
+    assert t.adopt(f"file://{tmp_path}/some", docs.schema) == 2 and t.read().count() == 5
