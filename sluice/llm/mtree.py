@@ -13,7 +13,7 @@ row of a staged table.
 Search: a query starts with the k-th score it reaches on the pivots, which are vectors of the table themselves. It then goes best first in
 two rounds: to the cells of its nearest pivots, and, with the k-th score it has found by then, to those others that can still hold one of the k best by
 their pivot's distance, radius and least distance. Which cells a query goes to is settled before anything is shuffled; it travels in blocks
-of queries that share a subtree. In a subtree pages wait in a queue by their least possible distance, which
+of queries, once to each grove of GROVE subtrees that some of the block visit, with a mark for each query and subtree. In a subtree pages wait in a queue by their least possible distance, which
 starts from the stored distance to the root, without computing any; a page is opened only while it can hold one of the k best, and an entry is computed
 only if the stored distances and the triangle inequality leave it a chance. The k best of each subtree meet by query.
 
@@ -45,6 +45,8 @@ SUBTREE = 4096
 #: Entries of a page at most, and pages that a subtree is to have.
 PAGE, PAGES = 256, 16
 QUERY_BLOCK = 512
+#: Subtrees that get a block of queries together.
+GROVE = 16
 #: Cells that a query visits first.
 FIRST_CELLS = 2
 #: Rows whose distances to all pivots are computed together.
@@ -53,7 +55,7 @@ STEP = 1024
 MARGIN = 2e-6
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 _TREE = "tree int, n long, vectors binary, ids binary, pages binary"
-_SENT = "tree int, queries binary, query_ids binary, floors binary"
+_SENT = "grove int, queries binary, query_ids binary, floors binary, visits binary"
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -99,6 +101,27 @@ class Products:
         return np.array([min(HIGHEST, max(LOWEST, sum(int(a) * b for a, b in zip(r, own, strict=True)))) for r in rows], np.int64)
 
 
+    def table(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """queries x rows."""
+        if self.kind == "any":
+            return np.stack([self.of(rows, x) for x in q]) if len(q) else np.empty((0, len(rows)), np.int64)
+        kind = np.float64 if self.kind == "float" else np.int64
+        return (q.astype(kind) @ rows.astype(kind).T).astype(np.int64)
+
+
+def kth_scores(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[int | None]:
+    """Of queries x rows the k-th highest score of each query among the rows' distinct ids, each by its best and without the query's own; None with fewer."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+    best, names = np.maximum.reduceat(scores[:, order], first, axis=1), ids[order][first]
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    mine = names[at] == own
+    best[mine, at[mine]] = LOWEST
+    left = len(names) - mine
+    kth = -np.partition(~best, k - 1, axis=1)[:, k - 1] - 1 if len(names) >= k else np.zeros(len(own), np.int64)
+    return [x if n >= k else None for x, n in zip(kth.tolist(), left.tolist(), strict=True)]
+
+
 class Best:
     """The k best (score, id) of a query, each id once, and the k-th score."""
 
@@ -254,73 +277,77 @@ def top_k(
     centre, radius, least = pivot[own], np.array([cells[p]["radius"] for p in own]), np.array([cells[p]["least"] for p in own])
     parts = np.array([-(-cells[p]["n"] // subtree_size) for p in own])
     first_tree, trees = np.cumsum(parts) - parts, int(parts.sum())
-    first = F.create_map(*[x for p, t in zip(own.tolist(), first_tree.tolist(), strict=True) for x in (F.lit(p), F.lit(t))])
-    split = F.create_map(*[x for p, m in zip(own.tolist(), parts.tolist(), strict=True) for x in (F.lit(p), F.lit(m))])
-    tree = (first[F.col("pivot")] + F.pmod(F.xxhash64("id", "v"), split[F.col("pivot")])).cast("int")
+    cell_of = np.repeat(np.arange(len(own)), parts)
+    placed = spark.createDataFrame(list(zip(own.tolist(), first_tree.tolist(), parts.tolist(), strict=True)), "pivot int, first int, parts int")
+    tree = (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         t = Subtree(_padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64), most, products=products)
         return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "n": [len(t.ids)], "vectors": [t.v.astype(form).tobytes()], "ids": [t.ids.astype("<i8").tobytes()], "pages": [t.pages.astype("<f8").tobytes()]})
 
-    index = staged(housed.withColumn("tree", tree).select("tree", "id", "v").groupBy("tree").applyInPandas(build, _TREE), "trees")
+    planted = housed.join(F.broadcast(placed), "pivot").select(tree.alias("tree"), "id", "v")  # `pivots` rows at most
+    index = staged(planted.groupBy("tree").applyInPandas(build, _TREE), "trees")
     asked = vectors.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     queries = asked.count()
     blocks = max(1, -(-queries // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
 
-    def sample_floor(q: np.ndarray, ids: np.ndarray) -> list[int | None]:
-        """The k-th score of each query among the pivots of distinct ids; None with fewer."""
-        out: list[int | None] = []
-        for x, at in zip(q, ids.tolist(), strict=True):
-            best = Best(k)
-            for s, i in zip(products.of(pivot, x).tolist(), pivot_ids.tolist(), strict=True):
-                if i != at:
-                    best.add(s, i)
-            out.append(best.worst())
-        return out
+    @F.pandas_udf("long")
+    def sample_floor(v: pd.Series, ids: pd.Series) -> pd.Series:
+        """The k-th score of each query among the pivots."""
+        out = []
+        for at in range(0, len(v), STEP):
+            q, own_ids = _padded(v.iloc[at : at + STEP].tolist(), width), ids.iloc[at : at + STEP].to_numpy(np.int64)
+            out += kth_scores(products.table(q, pivot), pivot_ids, own_ids, k)
+        return pd.Series([LOWEST if x is None else x for x in out], dtype="int64")
 
     def route(rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        """The subtrees that each query of a block goes to in one of the two rounds."""
-        q, ids = _padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64)
-        floors = sample_floor(q, ids)
+        """The groves that a block of queries goes to in one of the two rounds, with what each query visits there."""
+        q, ids, floors = _padded(rows["v"].tolist(), width), rows["id"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
         d = _from_queries(q, centre, most)
         early = np.zeros(d.shape, bool)
         np.put_along_axis(early, np.argsort(d, axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
         go = early
         if late:
-            floors = [b if a is None else max(a, b) for a, b in zip(floors, rows["floor"].tolist(), strict=True)]
             base = (q * q).sum(axis=1) + most
             slack = MARGIN * np.sqrt(base)
-            far = np.array([np.inf if f == LOWEST else np.sqrt(max(b - 2 * float(f), 0)) for f, b in zip(floors, base, strict=True)])
+            far = np.array([np.inf if f == LOWEST else np.sqrt(max(b - 2 * float(f), 0)) for f, b in zip(floors.tolist(), base, strict=True)])
             go = ~early & ~(np.maximum(d - radius, least - d) > (far + 2 * slack)[:, None])
         sent = []
-        for c in np.flatnonzero(go.any(axis=0)).tolist():
-            own = np.flatnonzero(go[:, c])
-            packed = q[own].astype(form).tobytes(), ids[own].astype("<i8").tobytes(), np.array([LOWEST if floors[i] is None else floors[i] for i in own], "<i8").tobytes()
-            sent += [(int(first_tree[c]) + t, *packed) for t in range(int(parts[c]))]
-        return pd.DataFrame(sent, columns=["tree", "queries", "query_ids", "floors"])
+        for g in range(-(-trees // GROVE)):
+            marks = go[:, cell_of[g * GROVE : (g + 1) * GROVE]]
+            own = np.flatnonzero(marks.any(axis=1))
+            if len(own):
+                sent.append((g, q[own].astype(form).tobytes(), ids[own].astype("<i8").tobytes(), floors[own].astype("<i8").tobytes(), np.ascontiguousarray(marks[own].T).astype(np.uint8).tobytes()))
+        return pd.DataFrame(sent, columns=["grove", "queries", "query_ids", "floors", "visits"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, ids, pages, asking, query_ids, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for tree, v, ids, pages, asking, query_ids, floors, visits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                asked_ids = np.frombuffer(query_ids, "<i8")
+                mine = np.frombuffer(visits, np.uint8).reshape(-1, len(asked_ids))[tree % GROVE].astype(bool)
+                if not mine.any():
+                    continue
                 t = Subtree(np.frombuffer(v, form).reshape(-1, width).astype(np.float64), np.frombuffer(ids, "<i8"), most, np.frombuffer(pages, "<f8"), products)
-                each = zip(np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(asking, form).reshape(-1, width).astype(np.float64), np.frombuffer(floors, "<i8").tolist(), strict=True)
+                each = zip(asked_ids[mine].tolist(), np.frombuffer(asking, form).reshape(-1, width)[mine].astype(np.float64), np.frombuffer(floors, "<i8")[mine].tolist(), strict=True)
                 found = [(q, i, s) for q, x, floor in each for s, i in t.search(x, q, k, None if floor == LOWEST else floor)]
                 columns = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "score"])
 
     def visited(sent: DataFrame) -> DataFrame:
-        met = index.join(sent, "tree").select("vectors", "ids", "pages", "queries", "query_ids", "floors")
+        met = index.withColumn("grove", F.floor(F.col("tree") / GROVE).cast("int")).join(sent, "grove").select("tree", "vectors", "ids", "pages", "queries", "query_ids", "floors", "visits")
         return met.mapInArrow(search, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    early = staged(asked.withColumn("block", block).groupBy("block").applyInPandas(lambda rows: route(rows, False), _SENT), "early")
+    asked = staged(asked.select("id", "v", sample_floor("v", "id").alias("floor"), block.alias("block")), "asked")
+    early = staged(asked.groupBy("block").applyInPandas(lambda rows: route(rows, False), _SENT), "early")
     near = staged(visited(early).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "near")
-    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    late = asked.join(floors, "id", "left").withColumns({"floor": F.coalesce("floor", F.lit(LOWEST)), "block": block}).groupBy("block").applyInPandas(lambda rows: route(rows, True), _SENT)
-    late = staged(late, "late")
+    found = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("found"))
+    later = asked.join(found, "id", "left").select("id", "v", F.greatest("floor", F.coalesce("found", F.lit(LOWEST))).alias("floor"), "block")
+    late = staged(later.groupBy("block").applyInPandas(lambda rows: route(rows, True), _SENT), "late")
     if report is not None:
-        went = sum(s.agg(F.sum(F.octet_length("query_ids") / 8)).first()[0] or 0 for s in (early, late))
+        marked = F.length(F.replace(F.hex("visits"), F.lit("0"), F.lit("")))  # a digit 1 for each query and subtree
+        went = sum(s.agg(F.sum(marked)).first()[0] or 0 for s in (early, late))
         report.update(queries=queries, subtrees=trees, visits=int(went))
     both = near.drop("rank").unionByName(visited(late)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

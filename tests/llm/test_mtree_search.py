@@ -100,3 +100,27 @@ def test_clustered_vectors_leave_most_subtrees_unvisited(spark):
     got = mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, subtree_size=40, report=report)
     assert rows_of(got) == brute(rows, 50, 5)
     assert report["visits"] < 0.5 * report["queries"] * report["subtrees"]
+
+
+def test_kth_scores_of_distinct_ids():
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 30):
+        ids, own = rng.integers(0, 12, n), rng.integers(0, 14, 20)
+        scores = rng.integers(-9, 9, (20, n))
+        want = []
+        for row, me in zip(scores, own, strict=True):
+            best = {i: max(row[ids == i]) for i in set(ids.tolist()) - {me}}
+            want.append(sorted(best.values(), reverse=True)[2] if len(best) >= 3 else None)
+        assert mtree.kth_scores(scores.copy(), ids, own, 3) == want
+    assert mtree.kth_scores(np.array([[mtree.LOWEST, mtree.HIGHEST]]), np.array([1, 2]), np.array([9]), 2) == [mtree.LOWEST]
+
+
+def test_blocks_go_once_to_a_grove(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "GROVE", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=6) / 4).tolist()) for i in range(400)]
+    rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    report = {}
+    got = mtree.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, k=5, pivots=5, subtree_size=40, report=report)
+    assert rows_of(got) == brute(rows, 50, 5)
+    assert report["queries"] == 8 and report["subtrees"] > 6 and 16 <= report["visits"] <= report["queries"] * report["subtrees"]
