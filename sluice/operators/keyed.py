@@ -216,6 +216,14 @@ def with_defaults(df: DataFrame, required: list[str], defaults: Mapping[str, obj
     return df
 
 
+def summary_of_records(df: DataFrame, mode: str | None = None, **totals: Column) -> DataFrame:
+    """summary() with the records themselves as a map from key to struct, in the order of keys, and with `mode` if given. For frames whose records fit a row."""
+    rest = F.struct(*[c for c in df.columns if c != KEY])
+    records = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(KEY), rest)))).alias("records")
+    out = df.agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(KEY)).alias("ids"), *[c.alias(n) for n, c in totals.items()], records)
+    return out if mode is None else out.withColumn("mode", F.lit(mode))
+
+
 def summary(df: DataFrame, **totals: Column) -> DataFrame:
     """One row: count, the sorted keys, and the named aggregates. For frames whose keys fit a row; sorted_keys() gives them as rows."""
     keys = [F.array_sort(F.collect_list(KEY)).alias("ids")] if KEY in df.columns else []

@@ -6,6 +6,7 @@ of records, parameters or options.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import socket
@@ -70,9 +71,11 @@ class Commits:
         """The table of the keys that a run's step has written."""
         return join(self.root, "commits", pipeline, "keys", f"{node.id}-{run_id}")
 
-    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int, keys: KeyFacts | None = None) -> None:
+    def publish(self, spark: SparkSession, pipeline: str, stage: str, node: Node, run_id: str, rows: int, keys: KeyFacts | None = None, metrics: dict[str, Any] | None = None) -> None:
         known = {"of": keys.of, "buckets": [[b, n, bits] for b, (n, bits) in sorted(keys.buckets.items())]} if keys else None
         record = self.facts(pipeline, stage, node) | {"run_id": run_id, "rows": rows, "keys": known, "at": now()}
+        if metrics:
+            record["metrics"] = {n: {"base64": base64.b64encode(v).decode()} if isinstance(v, bytes | bytearray) else v for n, v in metrics.items()}
         files, at = Files(spark), self._at(pipeline, node)
         files.write_text(at, json.dumps(record, sort_keys=True))
         if _parsed(files.read_text(at), "commit record") != record:
@@ -82,6 +85,11 @@ class Commits:
             if name.startswith(f"{node.id}-") and name != f"{node.id}-{run_id}":
                 files.delete(join(tables, name))
 
+    def metrics(self, spark: SparkSession, pipeline: str, node: Node) -> dict[str, Any]:
+        """What was taken while a step's output was written; empty without a record."""
+        record = _parsed(Files(spark).read_text(self._at(pipeline, node)), "commit record") or {}
+        return {n: bytearray(base64.b64decode(v["base64"])) if isinstance(v, dict) else v for n, v in record.get("metrics", {}).items()}
+
     def load(self, spark: SparkSession, pipeline: str, stage: str, node: Node) -> DataFrame | None:
         """The committed output of a step; None if it has no record. A record that does not fit declaration or files is an error."""
         record = _parsed(Files(spark).read_text(self._at(pipeline, node)), "commit record")

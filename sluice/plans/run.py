@@ -67,32 +67,74 @@ def _entry_number(pipeline: Pipeline, stage: int, step: int | str) -> int:
     return found[0]
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A declaration bound to a folder and a selection: what a run would do, to look at before it does."""
+
+    pipeline: Pipeline
+    run_root: str
+    nodes: tuple[Node, ...]
+    #: The chosen stage, and the chosen entry of it; None for all.
+    stage: int | None = None
+    entry: int | None = None
+
+    @property
+    def selective(self) -> bool:
+        return self.stage is not None
+
+    def entries(self) -> list[tuple[int, int, Any]]:
+        """(stage, entry, step or branch) of what runs."""
+        every = [(i, j, e) for i, s in enumerate(self.pipeline.stages, 1) for j, e in enumerate(s.entries, 1)]
+        return [x for x in every if self.stage in (None, x[0]) and self.entry in (None, x[1])]
+
+    def runs(self, node: Node) -> bool:
+        return self.stage in (None, node.stage) and self.entry in (None, node.entry)
+
+    def before(self) -> tuple[int, int, Any] | None:
+        """The entry before the first that runs; None if a run starts at the source."""
+        chosen = self.entries()
+        every = [(i, j, e) for i, s in enumerate(self.pipeline.stages, 1) for j, e in enumerate(s.entries, 1)]
+        return next((x for x in reversed(every) if chosen and x[:2] < chosen[0][:2]), None)
+
+    def emptied(self) -> list[str]:
+        """The folders of stages that are emptied before they run."""
+        return [self.base(i) for i in sorted({i for i, _, _ in self.entries()}) if self.pipeline.stages[i - 1].clean]
+
+    def base(self, i: int) -> str:
+        """A stage's folder."""
+        stage = self.pipeline.stages[i - 1]
+        return str(stage.root).rstrip("/") if stage.root else f"{self.run_root.rstrip('/')}/{self.pipeline.name}/{i:03d}_{stage.name}"
+
+    def describe(self) -> list[dict[str, Any]]:
+        """A row for each step: its id, folder, route, and whether it runs and is persisted."""
+        return [{"node": n.id, "step": n.step.name, "folder": n.folder, "route": n.route, "runs": self.runs(n), "persist": n.step.persist} for n in self.nodes]
+
+
+def bind(pipeline: Pipeline, run_root: str | None = None, stage: int | str | None = None, step: int | str | None = None) -> Bound:
+    """What run() with these arguments would do. Nothing is read; a selection that does not fit the declaration is an error."""
+    root = str(run_root or DEFAULT_ROOT)
+    if step is not None and stage is None:
+        raise ValueError("a step is chosen within a stage")
+    at = _stage_number(pipeline, stage) if stage is not None else None
+    entry = _entry_number(pipeline, at, step) if step is not None else None
+    if entry is not None and entry > 1 and pipeline.stages[at - 1].clean:
+        raise ValueError("a stage that empties its folder cannot start at a later step")
+    return Bound(pipeline, root, tuple(nodes(pipeline, root)), at, entry)
+
+
 class _Run:
-    def __init__(self, spark, pipeline, run_root, stage, step, keep_source, params, context, commits, observers):
-        self.spark, self.pipeline, self.root, self.keep, self.params, self.context = spark, pipeline, run_root, keep_source, dict(params or {}), context
+    def __init__(self, spark, bound, keep_source, params, context, commits, observers):
+        self.spark, self.bound, self.keep, self.params, self.context = spark, bound, keep_source, dict(params or {}), context
+        self.pipeline, self.root, self.nodes, self.selective = bound.pipeline, bound.run_root, bound.nodes, bound.selective
         self.commits, self.observers, self.errors = commits, observers, []
         self.id, self.files = uuid.uuid4().hex, Files(spark)
-        self.nodes = nodes(pipeline, run_root)
-        if step is not None and stage is None:
-            raise ValueError("a step is chosen within a stage")
-        self.selective = stage is not None
-        self.stage = _stage_number(pipeline, stage) if self.selective else None
-        self.entry = _entry_number(pipeline, self.stage, step) if step is not None else None
-        if self.entry is not None and self.entry > 1 and pipeline.stages[self.stage - 1].clean:
-            raise ValueError("a stage that empties its folder cannot start at a later step")
         self.prior = self._prior()
 
-    def _entries(self) -> list[tuple[int, int, Any]]:
-        every = [(i, j, e) for i, s in enumerate(self.pipeline.stages, 1) for j, e in enumerate(s.entries, 1)]
-        return [x for x in every if self.stage in (None, x[0]) and self.entry in (None, x[1])]
-
     def _prior(self) -> Node | None:
         """The step whose committed output a selective run starts from; None if it starts at the source."""
-        chosen = self._entries()
-        before = [(i, j, e) for i, s in enumerate(self.pipeline.stages, 1) for j, e in enumerate(s.entries, 1) if chosen and (i, j) < chosen[0][:2]]
-        if not before:
+        if (before := self.bound.before()) is None:
             return None
-        i, j, e = before[-1]
+        i, j, e = before
         what = f"step {e.name!r} of stage {self.pipeline.stages[i - 1].name!r}"
         if self.commits is None:
             raise MissingPriorOutputError(f"this run needs the output of {what}, and there are no commit records to trust")
@@ -117,12 +159,12 @@ class _Run:
         aside = f"{folder}/{node.folder.rpartition('/')[2]}"
         late = getattr(output, "validates_written", False)
         held = df if late else df.persist()
-        facts = None
+        facts, metrics = None, {}
         try:
             if late:
-                seen = Observation()
-                self._save(node, df.observe(seen, F.count(F.lit(1)).alias("rows")), aside)
-                wrote = seen.get["rows"]
+                seen, extra = Observation(), getattr(output, "metrics", None) or {}
+                self._save(node, df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(f"own {n}") for n, c in extra.items()]), aside)
+                wrote, metrics = seen.get["rows"], {n: seen.get[f"own {n}"] for n in extra}
                 if output.exists(self.spark, aside):
                     rows, facts = self._facts(node, output.load_from(self.spark, aside), wrote)
                     self._read_back(node, rows, wrote)
@@ -150,7 +192,7 @@ class _Run:
             if there and there != facts:
                 raise RecordError(f"step {node.step.name!r} wrote other keys than its own")
         if self.commits:
-            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows, facts)
+            self.commits.publish(self.spark, self.pipeline.name, stage, node, self.id, rows, facts, **({"metrics": metrics} if metrics else {}))
         return out, rows
 
     def _save(self, node: Node, df: DataFrame, aside: str) -> None:
@@ -219,7 +261,7 @@ class _Run:
 
     def go(self) -> DataFrame | None:
         df, prior, cleaned = None, None, set()
-        entries = self._entries()
+        entries = self.bound.entries()
         if self.prior is not None:
             df = self.commits.load(self.spark, self.pipeline.name, self.pipeline.stages[self.prior.stage - 1].name, self.prior)
             if df is None:
@@ -232,7 +274,7 @@ class _Run:
         for i, j, e in entries:
             if self.pipeline.stages[i - 1].clean and i not in cleaned:
                 cleaned.add(i)
-                base = self._base(i)
+                base = self.bound.base(i)
                 for name in self.files.children(base):
                     self.files.delete(f"{base}/{name}")
             if last_stage not in (None, i) and "key" not in df.columns:
@@ -245,13 +287,9 @@ class _Run:
             last_stage = i
         return df
 
-    def _base(self, i: int) -> str:
-        stage = self.pipeline.stages[i - 1]
-        return str(stage.root).rstrip("/") if stage.root else f"{self.root.rstrip('/')}/{self.pipeline.name}/{i:03d}_{stage.name}"
-
 
 def check_extensions(commits: Any = None, observers: list[Any] | None = None, guards: list[Any] | None = None, ownership: Any = None) -> None:
-    """Raises unless each part has the methods of its role, an observer's `required` is a bool, and none is given twice."""
+    """Raises unless each part has the methods of its role, an observer's `required` is a bool, none is given twice, and those that have a plugin_id have one each: a path segment."""
     roles = [(commits, "commit store", ("withdraw", "publish", "load")), (ownership, "owner of folders", ("reconcile",))]
     roles += [(o, "observer", ("on_event",)) for o in observers or []] + [(g, "guard", ("enter", "exit")) for g in guards or []]
     for part, role, methods in roles:
@@ -261,6 +299,12 @@ def check_extensions(commits: Any = None, observers: list[Any] | None = None, gu
     for o in observers or []:
         if not isinstance(getattr(o, "required", False), bool):
             raise TypeError(f"an observer of type {type(o).__name__} must be required or not")
+    ids = [p.plugin_id for p in {id(p): p for p in (commits, ownership, *(observers or []), *(guards or []))}.values() if getattr(p, "plugin_id", None) is not None]
+    for x in ids:
+        if not isinstance(x, str) or not x or "/" in x or "\\" in x or x in (".", ".."):
+            raise ValueError(f"plugin id {x!r} is not one path segment")
+    if len(set(ids)) < len(ids):
+        raise ValueError(f"a plugin id is given twice: {sorted(x for x in set(ids) if ids.count(x) > 1)}")
     for name, parts in (("observer", observers or []), ("guard", guards or [])):
         if len({id(x) for x in parts}) < len(parts):
             raise ValueError(f"one {name} is given twice")
@@ -288,7 +332,7 @@ def run(
     """
     guards = [*([lease] if lease else []), *(guards or [])]
     check_extensions(commits, observers, guards, ownership)
-    own = _Run(spark, pipeline, str(run_root or DEFAULT_ROOT), stage, step, keep_source, params, context, commits, list(observers or []))
+    own = _Run(spark, bind(pipeline, run_root, stage, step), keep_source, params, context, commits, list(observers or []))
     failure: BaseException | None = None
     entered: list[Any] = []
     try:

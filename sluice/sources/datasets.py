@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,8 @@ class ParquetDataset(_Base):
     schema: T.StructType | str | None = None
     keyed: bool = True
     partition_by: tuple[str, ...] = ()
+    #: Aggregates that are taken while the frame is written, and kept in the commit record; numbers, texts or sketches.
+    metrics: dict[str, Column] | None = None
 
     validates_written = True
 

@@ -77,6 +77,8 @@ def store_of(dest: str, options: dict[str, str] | None) -> tuple[Any, str]:
         container, _, tail = rest.partition("@")
         account, _, path = tail.partition("/")
         short = account.partition(".")[0]
+        for how in (f"fs.azure.account.auth.type.{account}", f"fs.azure.account.oauth.provider.type.{account}"):
+            own.pop(how, None)  # told by the credentials themselves
         azure = {f"fs.azure.account.key.{account}": "account_key", f"fs.azure.sas.fixed.token.{account}": "sas_token", f"fs.azure.sas.{container}.{account}": "sas_token"}
         secret = {f"fs.azure.account.oauth2.client.{k}.{account}": to for k, to in (("id", "client_id"), ("secret", "client_secret"), ("endpoint", "endpoint"))}
         more = taken(azure | secret)

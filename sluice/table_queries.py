@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import KEY, RecordError
-from .operators import keyed, ordered
+from .operators import keyed, ordered, sketches
 from .plans.pipeline import Branch, Pipeline, Stage, Step
 from .plans.records import Commits
-from .plans.run import run
+from .plans.run import bind, run
 from .queries import _shared, read
 from .sources.datasets import KeyedText, Loader, ParquetDataset
 from .sources.files import Files
@@ -159,6 +159,73 @@ def keyed_text_tree(spark, sf_dir):
     return out.load_from(spark, root).join(out.keys_at(spark, root), KEY)
 
 
+def sketch_rollup(spark, sf_dir):
+    """Distinct users and the median value of events by type and day, by type, and of all, from one table of sketches; held against what the rows say, within the stated errors."""
+    root, day = _shared(spark), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    events = read(spark, sf_dir, "events").select("event_type", day, "user_id", "value")
+    sketches.sketched(events, ["event_type", "day"], distinct={"users": "user_id"}, quantiles={"value": "value"}).write.parquet(root)
+    sets, by = [["event_type", "day"], ["event_type"], []], ["event_type", "day"]
+    told = sketches.answers(sketches.rolled(spark.read.parquet(root), sets))
+    exact = events.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.countDistinct("user_id").alias("users"), F.percentile_approx("value", [0.45, 0.55], 10_000).alias("around"))
+    named = lambda df: df.withColumns({c: F.coalesce(c, F.lit("*")) for c in by})
+    met = named(told).join(named(exact), by)
+    near = F.abs(F.col("d_users") / F.col("users") - 1) <= 0.07  # over four standard errors
+    return met.select(*by, "n", near.alias("users_near"), F.col("q_value")[0].between(F.col("around")[0], F.col("around")[1]).alias("median_near"))
+
+
+def sketches_of_runs(spark, sf_dir):
+    """Users and rows of events that two runs wrote, from the sketches that their writes left in the commit records, put together without a read."""
+    root, parts = _shared(spark), []
+    events = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias(KEY), "user_id")
+    for k in range(2):
+        step = Step(lambda df, context: df, ParquetDataset(metrics={"users": sketches.distinct_sketch("user_id"), "highest": F.max("user_id")}), name="same")
+        made = Pipeline(f"p{k}", Loader("events", lambda s, k=k: events.where(F.col(KEY).cast("long") % 2 == k)), [Stage("s", [step])])
+        commits = Commits(f"{root}/meta")
+        run(spark, made, root, commits=commits)
+        told = commits.metrics(spark, made.name, bind(made, root).nodes[0])
+        parts.append((told["users"], told["highest"]))
+    merged = spark.createDataFrame(parts, "users binary, highest long").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.max("highest").alias("highest"))
+    exact = events.agg(F.countDistinct("user_id")).first()[0]
+    return merged.select("highest", (F.abs(F.col("users") / F.lit(max(exact, 1)) - 1) <= 0.07).alias("users_near"))
+
+
+def summary_with_records(spark, sf_dir):
+    """The summary of suppliers by nation as one record with all records in it, in a mode; told as its rows."""
+    nations = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias(KEY)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("total"))
+    made = keyed.summary_of_records(nations, mode="smoke", suppliers=F.sum("n"))
+    return made.select("count", "suppliers", "mode", F.explode("records").alias(KEY, "r")).select("count", "suppliers", "mode", KEY, "r.n", "r.total")
+
+
+def bound_plans(spark, sf_dir):
+    """What a whole run, a stage, and a step of a pipeline over documents would do, and the rows that each step that ran then wrote."""
+    root = _shared(spark)
+    schema = "key string, lang string"
+    load = Loader("documents", lambda s: read(s, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(KEY), "lang"))
+
+    def same(df, context):
+        return df
+
+    def english(df, context):
+        return df.where("lang = 'en'")
+
+    step = lambda fn, name, **more: Step(fn, ParquetDataset(schema=schema, allow_empty=True), name=name, **more)
+    made = Pipeline("plans", load, [Stage("a", [step(same, "whole"), step(english, "english")]), Stage("b", [step(same, "lazy", persist=False), step(same, "last")], clean=True)])
+    commits, rows = Commits(f"{root}/meta"), []
+    for what, args in (("all", {}), ("stage b", {"stage": "b"}), ("step english", {"stage": "a", "step": "english"})):
+        bound, wrote = bind(made, root, **args), {}
+
+        class Rows:
+            def on_event(self, spark, event, wrote=wrote):
+                if event["kind"] == "node_completed" and event["rows"] is not None:
+                    wrote[event["node"]] = event["rows"]
+
+        before = bound.before()
+        run(spark, made, root, commits=commits, observers=[Rows()], **args)
+        for d in bound.describe():
+            rows.append((what, d["node"], d["folder"].removeprefix(root), d["runs"], d["persist"], before[2].name if before else "", len(bound.emptied()), wrote.get(d["node"], 0)))
+    return spark.createDataFrame(rows, "selection string, node string, folder string, runs boolean, persist boolean, starts_after string, emptied int, rows long")
+
+
 def _arrivals(spark, sf_dir):
     """Events in four arrivals by number, each a batch of a stream; (session, root)."""
     root = _shared(spark)
@@ -196,6 +263,16 @@ JOIN orders o ON o.o_custkey = w.o_custkey AND o.o_orderkey <> l_orderkey AND l_
     "written_metrics": """WITH d AS (SELECT lang FROM documents WHERE length(text) >= 1000)
 SELECT 's001-e001' AS node, 'long' AS step, count(*) AS rows FROM d UNION ALL SELECT 's001-e002', 'lazy', -1
 UNION ALL SELECT 's002-e001-r001-001', 'en', count(*) FROM d WHERE lang = 'en' UNION ALL SELECT 's002-e001-r002-001', 'other', count(*) FROM d WHERE lang <> 'en'""",
+    "sketch_rollup": """SELECT coalesce(event_type, '*') AS event_type, coalesce(day, '*') AS day, count(*) AS n, true AS users_near, true AS median_near
+FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY GROUPING SETS ((event_type, day), (event_type), ())""",
+    "sketches_of_runs": "SELECT max(user_id) AS highest, true AS users_near FROM events",
+    "summary_with_records": """WITH k AS (SELECT CAST(s_nationkey AS VARCHAR) AS key, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM supplier GROUP BY 1)
+SELECT (SELECT count(*) FROM k) AS count, (SELECT count(*) FROM supplier) AS suppliers, 'smoke' AS mode, key, n, total FROM k""",
+    "bound_plans": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS en FROM documents),
+s(node, folder, persist) AS (VALUES ('s001-e001', '/plans/001_a/001_whole', true), ('s001-e002', '/plans/001_a/002_english', true), ('s002-e001', '/plans/002_b/001_lazy', false), ('s002-e002', '/plans/002_b/002_last', true)),
+x(selection, starts_after, emptied) AS (VALUES ('all', '', 1), ('stage b', 'english', 1), ('step english', 'whole', 0)),
+r AS (SELECT *, selection = 'all' OR (selection = 'stage b' AND node LIKE 's002%') OR (selection = 'step english' AND node = 's001-e002') AS runs FROM s, x)
+SELECT selection, node, folder, runs, persist, starts_after, CAST(emptied AS INTEGER) AS emptied, CASE WHEN NOT runs OR NOT persist THEN 0 WHEN node = 's001-e001' THEN n ELSE en END AS rows FROM r, c""",
     "stream_sessions": f"""WITH {_LATE}, r AS (SELECT user_id, epoch_us(ts) AS t, CAST(value AS DECIMAL(18, 4)) AS value FROM a WHERE NOT late),
 n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 10800000000 THEN 0 ELSE 1 END AS new FROM r),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)

@@ -435,3 +435,39 @@ def test_wrong_keys_in_keyed_files_are_found(spark, tmp_path):
 
     with pytest.raises(RecordError, match="other keys"):
         run(spark, Pipeline("p", source(), [Stage("s", [Step(text, Renaming())])]), str(tmp_path))
+
+
+def test_a_bound_plan_can_be_looked_at(tmp_path):
+    from sluice.plans.run import bind
+
+    p = made(clean=True)
+    whole, part = bind(p, "root"), bind(p, "root", stage="two")
+    assert [d["runs"] for d in whole.describe()] == [True] * 3 and whole.before() is None and whole.emptied() == ["root/p/001_one"] and not whole.selective
+    assert [d["node"] for d in part.describe() if d["runs"]] == ["s002-e001"] and part.before()[2].name == "plus" and part.emptied() == [] and part.selective
+    assert part.describe()[2]["folder"] == "root/p/002_two/001_total"
+    for wrong in ({"step": 1}, {"stage": "none"}, {"stage": 1, "step": 2}):
+        with pytest.raises(ValueError):
+            bind(p, "root", **wrong)
+
+
+def test_plugin_ids_are_single_segments_of_their_own(spark, tmp_path):
+    class Part:
+        def __init__(self, plugin_id):
+            self.plugin_id = plugin_id
+
+        def on_event(self, spark, event):
+            pass
+
+    for ids, told in ((["a", "a"], "twice"), (["a/b"], "segment"), ([""], "segment"), ([".."], "segment"), ([3], "segment")):
+        with pytest.raises(ValueError, match=told):
+            run(spark, made(), str(tmp_path), observers=[Part(x) for x in ids])
+    assert run(spark, made(), str(tmp_path), observers=[Part("a"), Part("b"), Part(None)]).output.first().total == 8
+
+
+def test_metrics_of_the_write_are_kept_with_the_commit(spark, tmp_path):
+    commits = Commits(f"{tmp_path}/meta")
+    p = Pipeline("p", source(), [Stage("s", [Step(double, keyed(metrics={"most": F.max("value"), "users": F.hll_sketch_agg("key")}))])])
+    run(spark, p, f"{tmp_path}/out", commits=commits)
+    told = commits.metrics(spark, "p", nodes(p, "")[0])
+    assert told["most"] == 4 and spark.createDataFrame([(told["users"],)], "s binary").select(F.hll_sketch_estimate("s")).first()[0] == 2
+    assert commits.metrics(spark, "other", nodes(p, "")[0]) == {}
