@@ -166,8 +166,9 @@ def _tokenized(documents: DataFrame, path: str, end_id: int, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _STAGED.split(", ")])
                 seq, first = seq + len(n), first + int(n.sum())
 
-    order = ["doc_id", F.xxhash64("text")]  # so that rows with one id, or none, may lie in several partitions
-    return docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tokens, _STAGED)
+    order = ["doc_id", F.xxhash64("text"), "row"]  # so that rows with one id, or none, and equal ones too, may lie in several partitions
+    placed = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return placed.select("doc_id", "text").mapInArrow(tokens, _STAGED)
 
 
 def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:

@@ -109,3 +109,14 @@ def test_one_id_with_many_texts_lies_in_several_partitions(spark, monkeypatch):
         at += r["n_tokens"]
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None] * 100 + [7] * 300 + [9]
     assert Counter(r["ids_crc32"] for r in got) == Counter(crc([*x, 0]) for x in library_ids(t for _, t in rows))
+
+
+def test_equal_rows_may_lie_in_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(rans, "PART_BYTES", 4000)
+    rows = spark.range(400).select(F.lit(7).alias("doc_id"), F.lit("the same text in every row").alias("text"))
+    staged = rans._tokenized(rows, VOCABULARY, 0, "doc_id", "text")
+    sizes = [r["count"] for r in staged.groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 2 and max(sizes) < 300
+    got = rans.round_trip(rows, VOCABULARY, end_id=0).collect()
+    n = got[0]["n_tokens"]
+    assert sorted(r["start"] for r in got) == [k * n for k in range(400)] and len({(r["n_tokens"], r["ids_crc32"]) for r in got}) == 1
