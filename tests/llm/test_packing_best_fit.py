@@ -115,3 +115,37 @@ def test_ranks_meet_pieces_by_a_shuffle_where_their_rows_are_too_many(spark, mon
     monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
     got = packing.pack_documents(docs, VOCABULARY, capacity=32, with_ids=False).orderBy(*order).collect()
     assert checked(got, 32) == checked(want, 32) and len(got) == len(want)
+
+
+def plain_pack(lengths, capacity):
+    """Free space of each sequence, by items one after another: large ones matched, the longest with the longest that fits; small ones to the fullest that takes them."""
+    large, free = sorted((n for n in lengths if 3 * n > capacity), reverse=True), []
+    while large:
+        a = large.pop(0)
+        b = next((n for n in large if a + n <= capacity), None)
+        if b is not None:
+            large.remove(b)
+        free.append(capacity - a - (b or 0))
+    for n in sorted((n for n in lengths if 3 * n <= capacity), reverse=True):
+        k = min((k for k, left in enumerate(free) if left >= n), key=lambda k: free[k], default=None)
+        if k is None:
+            free.append(capacity - n)
+        else:
+            free[k] -= n
+    return free
+
+
+def test_query_packs_as_a_plain_packer(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    lengths = [n for ids in library_ids(texts) for n in [1024] * ((len(ids) + 1) // 1024) + ([(len(ids) + 1) % 1024] if (len(ids) + 1) % 1024 else [])]
+    held = Counter()
+    for r in op2_best_fit_packing(spark, sf_dir).collect():
+        held[r["sequence_id"]] += r["length"]
+    assert sorted(1024 - n for n in held.values()) == sorted(plain_pack(lengths, 1024))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_plan_packs_as_a_plain_packer(lengths):
+    bins = packing.plan(Counter(lengths), 30)
+    assert sorted(b.free for b in bins for _ in range(b.count)) == sorted(plain_pack(lengths, 30))
