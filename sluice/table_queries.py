@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import tables
 from .model import KEY, RecordError
 from .operators import keyed, ordered, sketches
 from .plans.pipeline import Branch, Pipeline, Stage, Step
@@ -226,6 +227,24 @@ def bound_plans(spark, sf_dir):
     return spark.createDataFrame(rows, "selection string, node string, folder string, runs boolean, persist boolean, starts_after string, emptied int, rows long")
 
 
+def page_parts(spark, sf_dir):
+    """Every attribute value in the markup of pages, by a table function that is used lateral, in SQL."""
+    tables.register(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("sluice_pages")
+    return spark.sql("""SELECT page_id, p.position, p.value FROM sluice_pages, LATERAL stretches(html, '="', '"', 'value') p""")
+
+
+def event_steps(spark, sf_dir):
+    """By how much each event's number differs from that of the event before of its user, by a step of a pipeline that is a table function."""
+
+    def differ(df, context):
+        return tables.with_steps(df, "user_id", ["ts", "event_id"], "event_id", "step")
+
+    events = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias(KEY), "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    made = Pipeline("steps", Loader("events", lambda s: events), [Stage("all", [Step(differ, ParquetDataset())])])
+    return run(spark, made, _shared(spark)).output.select("event_id", "user_id", F.coalesce("step", F.lit(0)).alias("step"))
+
+
 def _arrivals(spark, sf_dir):
     """Events in four arrivals by number, each a batch of a stream; (session, root)."""
     root = _shared(spark)
@@ -273,6 +292,8 @@ s(node, folder, persist) AS (VALUES ('s001-e001', '/plans/001_a/001_whole', true
 x(selection, starts_after, emptied) AS (VALUES ('all', '', 1), ('stage b', 'english', 1), ('step english', 'whole', 0)),
 r AS (SELECT *, selection = 'all' OR (selection = 'stage b' AND node LIKE 's002%') OR (selection = 'step english' AND node = 's001-e002') AS runs FROM s, x)
 SELECT selection, node, folder, runs, persist, starts_after, CAST(emptied AS INTEGER) AS emptied, CASE WHEN NOT runs OR NOT persist THEN 0 WHEN node = 's001-e001' THEN n ELSE en END AS rows FROM r, c""",
+    "page_parts": """SELECT page_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS position, unnest(v) AS value FROM (SELECT page_id, regexp_extract_all(html, '="([^"]*)"', 1) AS v FROM pages)""",
+    "event_steps": "SELECT event_id, user_id, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS step FROM events",
     "stream_sessions": f"""WITH {_LATE}, r AS (SELECT user_id, epoch_us(ts) AS t, CAST(value AS DECIMAL(18, 4)) AS value FROM a WHERE NOT late),
 n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 10800000000 THEN 0 ELSE 1 END AS new FROM r),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)
