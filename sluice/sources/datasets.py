@@ -41,6 +41,31 @@ class Dataset(Protocol):
     def describe(self) -> dict[str, Any]: ...
 
 
+@runtime_checkable
+class Loadable(Protocol):
+    """Output that can be read from the folder it was saved to, which a selective run needs."""
+
+    def load_from(self, spark: SparkSession, dest: str) -> DataFrame: ...
+
+
+@runtime_checkable
+class EmptyLoadable(Protocol):
+    """Output that may have been empty when it was committed."""
+
+    def committed_empty(self, spark: SparkSession) -> DataFrame: ...
+
+
+@runtime_checkable
+class Inspectable(Protocol):
+    """Output whose keys can be told from its files, and held against a record."""
+
+    def has_keys(self) -> bool: ...
+
+    def keys_at(self, spark: SparkSession, dest: str) -> DataFrame | None: ...
+
+    def facts(self, df: DataFrame, of: int = 1, at: str | None = None) -> KeyFacts | None: ...
+
+
 @dataclass
 class _Base:
     name: str | None = None

@@ -12,8 +12,8 @@ from .plans.pipeline import Branch, Pipeline, Stage, Step
 from .plans.records import Commits
 from .plans.run import bind, run
 from .queries import _shared, read
-from .sources.datasets import KeyedText, Loader, ParquetDataset
-from .sources.files import Files
+from .sources.datasets import Dataset, EmptyLoadable, Inspectable, KeyedJSON, KeyedText, Loadable, Loader, ParquetDataset, TextFile
+from .sources.files import Files, is_url, leaf
 from .streaming.sessions import Sessions
 
 
@@ -245,6 +245,77 @@ def event_steps(spark, sf_dir):
     return run(spark, made, _shared(spark)).output.select("event_id", "user_id", F.coalesce("step", F.lit(0)).alias("step"))
 
 
+def name_rules(spark, sf_dir):
+    """Whether a stage, a step and a branch may be named after each language of documents in several forms; whether that is a URL, and its last segment."""
+
+    def same(df, context):
+        return df
+
+    def fine(make) -> bool:
+        try:
+            make()
+            return True
+        except ValueError:
+            return False
+
+    rows = []
+    for lang in [r["lang"] for r in read(spark, sf_dir, "documents").select("lang").distinct().collect()]:
+        for k, form in enumerate(("{}", "a {}", "a/{}", "{}\\b", "s3://{}/x", "/x/{}/")):
+            name = form.format(lang)
+            each = [fine(lambda n=name: Stage(n, [])), fine(lambda n=name: Step(same, name=n)), fine(lambda n=name: Branch(n, "source", {"x": []}))]
+            rows.append((lang, k, *each, is_url(name), leaf(name)))
+    return spark.createDataFrame(rows, "lang string, form int, stage boolean, step boolean, branch boolean, url boolean, last string")
+
+
+def plugin_rules(spark, sf_dir):
+    """Runs over documents with extensions of several shapes, by the error each gives before any step runs, or the rows of its output."""
+    root, load = _shared(spark), Loader("documents", lambda s: read(s, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(KEY), "lang"))
+
+    def same(df, context):
+        return df
+
+    class Watch:
+        def __init__(self, plugin_id=None, required=False):
+            self.plugin_id, self.required = plugin_id, required
+
+        def on_event(self, spark, event):
+            pass
+
+    class Guard:
+        def enter(self, spark, pipeline, run_id):
+            pass
+
+        def exit(self, spark, pipeline, outcome):
+            pass
+
+    one, guard = Watch("one"), Guard()
+    cases = [("own ids", {"observers": [one, Watch("two")]}), ("one id", {"observers": [one, Watch("one")]}), ("id with a slash", {"observers": [Watch("a/b")]})]
+    cases += [("twice", {"observers": [one, one]}), ("required", {"observers": [Watch(required="yes")]}), ("no observer", {"observers": [object()]}), ("no guard", {"guards": [object()]})]
+    cases += [("guard", {"guards": [guard]}), ("guard twice", {"guards": [guard, guard]}), ("no records", {"commits": 3}), ("records", {"commits": Commits(f"{root}/meta")})]
+    rows = []
+    for what, args in cases:
+        made = Pipeline("rules", load, [Stage("s", [Step(same, ParquetDataset(schema="key string, lang string"))])])
+        try:
+            rows.append((what, "", run(spark, made, root, **args).output.count()))
+        except (TypeError, ValueError) as e:
+            rows.append((what, type(e).__name__, 0))
+    return spark.createDataFrame(rows, "extension string, error string, rows long")
+
+
+def dataset_contracts(spark, sf_dir):
+    """What each kind of dataset can do beside loading and saving, and the rows that it gave back of whole tables."""
+    root, items = _shared(spark), read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias(KEY), F.col("text").alias("value"))
+    total = items.agg(F.sum(F.length("value")).cast("string").alias("value"))
+    kinds = [(ParquetDataset("a"), items), (KeyedText("b"), items), (KeyedJSON("c", schema="value string"), items), (TextFile("d"), total)]
+    rows = []
+    for out, data in kinds:
+        at = f"{root}/{out.name}"
+        out.save(data, at)
+        keys = out.keys_at(spark, at)
+        rows.append((type(out).__name__, *[isinstance(out, c) for c in (Dataset, Loadable, EmptyLoadable, Inspectable)], out.load_from(spark, at).count(), -1 if keys is None else keys.count()))
+    return spark.createDataFrame(rows, "kind string, dataset boolean, loadable boolean, empty_loadable boolean, inspectable boolean, rows long, keys long")
+
+
 def _arrivals(spark, sf_dir):
     """Events in four arrivals by number, each a batch of a stream; (session, root)."""
     root = _shared(spark)
@@ -292,6 +363,13 @@ s(node, folder, persist) AS (VALUES ('s001-e001', '/plans/001_a/001_whole', true
 x(selection, starts_after, emptied) AS (VALUES ('all', '', 1), ('stage b', 'english', 1), ('step english', 'whole', 0)),
 r AS (SELECT *, selection = 'all' OR (selection = 'stage b' AND node LIKE 's002%') OR (selection = 'step english' AND node = 's001-e002') AS runs FROM s, x)
 SELECT selection, node, folder, runs, persist, starts_after, CAST(emptied AS INTEGER) AS emptied, CASE WHEN NOT runs OR NOT persist THEN 0 WHEN node = 's001-e001' THEN n ELSE en END AS rows FROM r, c""",
+    "name_rules": r"""SELECT lang, form, ok AS stage, ok AS step, ok AS branch, url, replace(l, '{}', lang) AS last FROM (SELECT DISTINCT lang FROM documents),
+(VALUES (0, true, false, '{}'), (1, true, false, 'a {}'), (2, false, false, '{}'), (3, false, false, '{}\b'), (4, false, true, 'x'), (5, false, false, '{}')) f(form, ok, url, l)""",
+    "plugin_rules": """SELECT extension, error, CASE WHEN error = '' THEN n ELSE 0 END AS rows FROM (SELECT count(*) AS n FROM documents),
+(VALUES ('own ids', ''), ('one id', 'ValueError'), ('id with a slash', 'ValueError'), ('twice', 'ValueError'), ('required', 'TypeError'), ('no observer', 'TypeError'), ('no guard', 'TypeError'),
+('guard', ''), ('guard twice', 'ValueError'), ('no records', 'TypeError'), ('records', '')) v(extension, error)""",
+    "dataset_contracts": """SELECT kind, true AS dataset, true AS loadable, kind <> 'TextFile' AS empty_loadable, true AS inspectable, CASE WHEN kind = 'TextFile' THEN 1 ELSE n END AS rows, CASE WHEN kind = 'TextFile' THEN -1 ELSE n END AS keys
+FROM (SELECT count(*) AS n FROM benchmark), (VALUES ('ParquetDataset'), ('KeyedText'), ('KeyedJSON'), ('TextFile')) v(kind)""",
     "page_parts": """SELECT page_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS position, unnest(v) AS value FROM (SELECT page_id, regexp_extract_all(html, '="([^"]*)"', 1) AS v FROM pages)""",
     "event_steps": "SELECT event_id, user_id, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS step FROM events",
     "stream_sessions": f"""WITH {_LATE}, r AS (SELECT user_id, epoch_us(ts) AS t, CAST(value AS DECIMAL(18, 4)) AS value FROM a WHERE NOT late),
