@@ -8,10 +8,10 @@ matrix of dimensions x dimensions, and the projection is broadcast. A third pass
 The mean is kept as base + rest / n with integers base and rest (0 <= rest < n), so that x - base is exact and the only rounding is that of doubles
 near 0, however large the offset or the sums are.
 
-Cases: a row whose vector is null or empty, or holds a null or an entry that is not finite, takes no part; repeated vectors count once in the fit
-and are all projected; ties among eigenvalues leave the choice of their vectors to LAPACK; directions without variance (an eigenvalue within rounding of 0,
-as compared to the largest) have no whitened value and are left out, so fewer components come back; an empty table gives no rows. Vectors of different
-lengths, or an entry of 2 ** 53 or more once scaled, are errors. Extra columns stay; one with the name of the result is replaced.
+Cases: a row whose vector is null, or holds a null or an entry that is not finite, takes no part; a vector that is shorter than the longest (an empty one too) counts
+as filled up with zeros; repeated vectors count once in the fit and are all projected; ties among eigenvalues leave the choice of their vectors to LAPACK; directions without variance (an eigenvalue within rounding of 0,
+as compared to the largest) have no whitened value and are left out, so fewer components come back; an empty table gives no rows. An entry of 2 ** 53 or more once
+scaled is an error. Extra columns stay; one with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ _FIT = "struct<deviation decimal(38,0), whitened array<double>>"
 
 def integers(vector: Column, scale: int = SCALE, offset: int = OFFSET) -> Column:
     """floor(scale * c) + offset of each entry as array<long>; null for a vector that takes no part."""
-    usable = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    usable = vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
 
     def whole(c: Column) -> Column:
         at = F.lit(float(scale)) * c.cast("double")
@@ -49,18 +49,21 @@ def integers(vector: Column, scale: int = SCALE, offset: int = OFFSET) -> Column
     return F.when(usable, F.transform(vector, whole))
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """rows x dimensions of an array of lists of one length."""
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    wide = len(flat) // len(vectors) if len(vectors) else 0
-    if len(vectors) and not (np.diff(np.asarray(vectors.offsets)) == wide).all():
-        raise ValueError("vectors of different lengths")
-    return flat.reshape(len(vectors), wide)
+def _matrix(vectors: pa.Array, width: int, fill: int) -> np.ndarray:
+    """rows x width of an array of lists, shorter ones filled up."""
+    flat, size = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(np.asarray(vectors.offsets))
+    if (size == width).all():
+        return flat.reshape(len(vectors), width)
+    out = np.full((len(vectors), width), fill, np.int64)
+    out[np.arange(width) < size[:, None]] = flat
+    return out
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of vectors of one length."""
     for batch in batches:
-        x = _matrix(batch.column(0))
+        vectors = batch.column(0)
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0), np.int64)
         rows = max(1, BLOCK // max(1, x.shape[1]))
         for k in range(0, len(x), rows):
             yield x[k : k + rows]
@@ -82,15 +85,11 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> tuple[int, np.ndarray] | None:
     n, total = 0, None
     for x in _blocks(batches):
         own = (x >> 32).sum(axis=0).astype(object) * (1 << 32) + (x & 0xFFFFFFFF).sum(axis=0).astype(object)
-        if total is not None and len(total) != len(own):
-            raise ValueError("vectors of different lengths")
         n, total = n + len(x), own if total is None else total + own
     return (n, total) if n else None
 
 
 def _merge_sums(a: tuple, b: tuple) -> tuple:
-    if len(a[1]) != len(b[1]):
-        raise ValueError("vectors of different lengths")
     return a[0] + b[0], a[1] + b[1]
 
 
@@ -106,6 +105,8 @@ class Whitening:
     vectors: np.ndarray
     trace: float
     identity_error: float = float("nan")
+    #: What fills up shorter vectors.
+    offset: int = OFFSET
 
     def centred(self, x: np.ndarray) -> np.ndarray:
         return (x - self.base).astype(np.float64) - np.array([r / self.n for r in self.rest])
@@ -143,30 +144,35 @@ def _merge_outer(a: tuple, b: tuple) -> tuple:
     return a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
 
-def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
-    """The whitening of the distinct vectors in the frame's one column, array<long>; None if there are none."""
-    listed = staged(vectors.distinct(), "vectors")
+def fit(vectors: DataFrame, components: int = COMPONENTS, offset: int = OFFSET) -> Whitening | None:
+    """The whitening of the distinct vectors in the frame's one column, array<long>, shorter ones filled up with offset; None if there are none."""
+    listed = staged(vectors.toDF("x").distinct(), "vectors")
+    size = listed.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
+    if size["most"] and size["least"] < size["most"]:
+        raw, filler = listed, F.array_repeat(F.lit(offset).cast("long"), size["most"] - F.size("x"))
+        listed = staged(raw.select(F.concat("x", filler).alias("x")).distinct(), "vectors")
+        drop(raw)
     try:
-        got = _aggregate(listed, _sums, _merge_sums)
+        got = _aggregate(listed, _sums, _merge_sums) if size["most"] else None
         if got is None:
             return None
         n, sums = got[0], tuple(int(s) for s in got[1])
         base, rest = np.array([s // n for s in sums], np.int64), tuple(s % n for s in sums)
         none = np.zeros((len(sums), 0))
-        model = Whitening(n, sums, base, rest, np.zeros(0), none, 0.0)
+        model = Whitening(n, sums, base, rest, np.zeros(0), none, 0.0, offset=offset)
         _, _, outer = _aggregate(listed, _outer(model.centred), _merge_outer)
         covariance = outer / n
         values, axes = np.linalg.eigh(covariance)
         values, axes = values[::-1], axes[:, ::-1]
         kept = min(components, int((values > values[0] * len(sums) * np.finfo(float).eps).sum()) if values[0] > 0 else 0)
         axes = axes[:, :kept] * np.where(axes[np.abs(axes[:, :kept]).argmax(axis=0), np.arange(kept)] < 0, -1.0, 1.0)
-        model = Whitening(n, sums, base, rest, values[:kept], axes, float(np.trace(covariance)))
+        model = Whitening(n, sums, base, rest, values[:kept], axes, float(np.trace(covariance)), offset=offset)
         if not kept:
             return model
         _, total, outer = _aggregate(listed, _outer(model.whitened), _merge_outer)
         mean = total / n
         error = float(np.abs(outer / n - np.outer(mean, mean) - np.eye(kept)).max())
-        return Whitening(n, sums, base, rest, values[:kept], axes, model.trace, error)
+        return Whitening(n, sums, base, rest, values[:kept], axes, model.trace, error, offset)
     finally:
         drop(listed)
 
@@ -178,12 +184,10 @@ def project(x: Column, model: Whitening, broadcast: Any) -> Column:
     def projected(vectors: pa.Array) -> pa.Array:
         own: Whitening = broadcast.value
         there = vectors.drop_null()
-        m, far = _matrix(there), []
+        m, far = _matrix(there, len(own.base), own.offset), []
         white = np.empty((len(m), len(own.eigenvalues)))
         rows = max(1, BLOCK // max(1, m.shape[1]))
         for k in range(0, len(m), rows):
-            if m.shape[1] != len(own.base):
-                raise ValueError("vectors of different lengths")
             white[k : k + rows] = own.whitened(m[k : k + rows])
             far += own.deviations(m[k : k + rows])
         kind = pa.decimal128(38, 0)
@@ -205,7 +209,7 @@ def whiten(embeddings: DataFrame, vector_col: str = "embedding", components: int
     """
     x = integers(F.col(vector_col), scale, offset)
     rest = embeddings.drop(out_col) if out_col != vector_col else embeddings
-    model = fit(embeddings.select(x.alias("x")).where(F.col("x").isNotNull()), components)
+    model = fit(embeddings.select(x.alias("x")).where(F.col("x").isNotNull()), components, offset)
     if model is None:
         return rest.where(F.lit(False)).withColumn(out_col, F.lit(None).cast(_FIT)), None
     held = embeddings.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,9 @@ def frame(spark, rows):
 
 def brute(rows, components=16):
     """{(vec_id, component): (n, deviation, |whitened|, explained)} and the vectors' values, from numpy on the whole table."""
-    usable = [(i, tuple(math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v)) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    usable = [(i, tuple(math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v)) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    width = max(len(x) for _, x in usable)
+    usable = [(i, x + (1_000_000,) * (width - len(x))) for i, x in usable]
     listed = sorted({x for _, x in usable})
     n, sums = len(listed), [sum(c) for c in zip(*listed, strict=True)]
     mean = np.array([s / n for s in sums])
@@ -64,7 +66,7 @@ def test_unusable_and_repeated_rows(spark):
     rng = np.random.default_rng(4)
     good = [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(40)]
     hot = [(100 + i, [0.5, -0.25, 2.0]) for i in range(60)]  # one vector counts once in the fit
-    bad = [(500, None), (501, []), (502, [1.0, None, 1.0]), (503, [1.0, float("nan"), 1.0]), (504, [float("inf"), 1.0, 1.0])]
+    bad = [(500, None), (502, [1.0, None, 1.0]), (503, [1.0, float("nan"), 1.0]), (504, [float("inf"), 1.0, 1.0])]
     got, model = exploded(frame(spark, good + hot + bad))
     assert model.n == 41
     check(got, brute(good + hot))
@@ -84,9 +86,12 @@ def test_one_vector_and_none(spark):
     assert model is None and projected.collect() == [] and projected.columns[-1] == "whitening"
 
 
-def test_vectors_of_two_lengths_are_an_error(spark):
-    with pytest.raises(Exception, match="different lengths"):
-        whitening.whiten(frame(spark, [(1, [1.0, 2.0]), (2, [1.0])]))
+def test_shorter_vectors_are_filled_up(spark):
+    rows = [(1, [1.0, 2.0, 0.5]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 0.0]), (4, []), (5, [-1.0]), (6, [0.25, 3.0, -2.0]), (7, [0.0])]
+    got, model = exploded(frame(spark, rows))
+    assert model.n == 5  # 2 and 3 are one vector, and 4 and 7
+    check(got, brute(rows))
+    assert whitening.whiten(frame(spark, [(1, []), (2, [])]))[0].collect() == []
 
 
 def test_large_entries_are_exact(spark):
