@@ -57,7 +57,7 @@ def event_type_ranks(spark, sf_dir):
     return ordered.ranked(_hot_events(spark, sf_dir), ["user_id"], ["event_type"], dense_rank="dense").select("event_id", "rank", "dense")
 
 
-def open_orders(spark, sf_dir):
+def concurrent_orders(spark, sf_dir):
     """How many other orders of its customer are open at some time while an order is, from its date to its last shipment, if that is later."""
     shipped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("until"))
     spans = read(spark, sf_dir, "orders").join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate", "until")
@@ -343,7 +343,7 @@ SQL = {
     "as_of_next_within": f"SELECT p.event_id, v.event_id AS click_id FROM (SELECT * FROM {_HOT} WHERE event_type = 'error') p ASOF JOIN (SELECT * FROM {_HOT} WHERE event_type = 'click') v ON p.user_id = v.user_id AND p.ts < v.ts WHERE v.ts <= p.ts + INTERVAL 6 HOUR",
     "running_user_totals": f"SELECT event_id, row_number() OVER w AS number, CAST(sum(value) OVER w AS DOUBLE) AS total, CAST(max(value) OVER w AS DOUBLE) AS top, coalesce(lag(event_id) OVER w, -1) AS before FROM {_HOT} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "event_type_ranks": f"SELECT event_id, rank() OVER w AS rank, dense_rank() OVER w AS dense FROM {_HOT} WINDOW w AS (PARTITION BY user_id ORDER BY event_type)",
-    "open_orders": """WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS b FROM orders)
+    "concurrent_orders": """WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS b FROM orders)
 SELECT x.o_orderkey, count(*) - 1 AS others FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a < y.b AND y.a < x.b WHERE x.a < x.b AND y.a < y.b GROUP BY 1""",
     "events_in_orders": """SELECT o.o_orderkey, count(*) AS lines FROM lineitem JOIN orders w ON l_orderkey = w.o_orderkey
 JOIN orders o ON o.o_custkey = w.o_custkey AND o.o_orderkey <> l_orderkey AND l_shipdate >= o.o_orderdate AND l_shipdate <= o.o_orderdate + INTERVAL 1 DAY GROUP BY 1""",
