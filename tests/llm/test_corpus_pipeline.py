@@ -63,4 +63,4 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 14))
