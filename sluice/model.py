@@ -48,6 +48,10 @@ class LeaseHeldError(RuntimeError):
     """Another run of the same pipeline is alive."""
 
 
+class PublishError(OSError):
+    """A file cannot be published, or its store has no way to let one writer only do so."""
+
+
 class ObserverError(RuntimeError):
     """An observer that a run requires has failed."""
 

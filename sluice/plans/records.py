@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..model import LeaseHeldError, RecordError, RecordVersionError
 from ..operators.keyed import KeyFacts, bucket, bucket_facts, fingerprint, missing_and_extra
 from ..sources.files import Files, join
+from ..sources.publish import Log, SparkStore, Store
 from .pipeline import Node, Pipeline, nodes
 
 FORMAT = 1
@@ -194,48 +195,71 @@ class Ownership:
 
 
 class Lease:
-    """Keeps two runs of one pipeline apart, as long as both ask: a file with a heartbeat. Advisory.
+    """Keeps two runs of one pipeline apart, as long as both ask: a log of holders, of whom the last holds it, and a heartbeat in the holder's entry. Advisory.
 
-    A lease whose heartbeat is older than stale seconds is taken over, and that is recorded. A lease that cannot be read is taken for held.
+    A number is published once, so of two runs that find a lease free, or stale, one gets it. Its number is kept in `number` and only grows, so that what a holder writes
+    elsewhere can be told from what its predecessors wrote late. A lease whose heartbeat is older than stale seconds is taken over, and that is recorded. A
+    lease that cannot be read is taken for held.
     """
 
-    def __init__(self, root: str, heartbeat: float = 10.0, stale: float = 60.0, clock: Callable[[], float] = time.time):
+    def __init__(self, root: str, heartbeat: float = 10.0, stale: float = 60.0, clock: Callable[[], float] = time.time, store: Callable[[SparkSession], Store] = SparkStore):
         if not 0 < heartbeat < stale:
             raise ValueError("the heartbeat must be shorter than the time after which a lease is stale")
-        self.root, self.heartbeat, self.stale, self._clock = root, heartbeat, stale, clock
+        self.root, self.heartbeat, self.stale, self._clock, self._store = root, heartbeat, stale, clock, store
         self.holder = uuid.uuid4().hex
+        self.number = 0
         self._stop = threading.Event()
         self._thread: threading.Thread | None = None
         self._failed: str | None = None
 
-    def _record(self, pipeline: str, run_id: str) -> str:
-        return json.dumps({"format": FORMAT, "pipeline": pipeline, "run_id": run_id, "holder": self.holder, "host": socket.gethostname(), "pid": os.getpid(), "beat": self._clock()})
+    def _log(self, spark: SparkSession, pipeline: str) -> Log:
+        return Log(self._store(spark), join(self.root, "leases", pipeline))
+
+    def _record(self, pipeline: str, run_id: str, **more: Any) -> dict[str, Any]:
+        return {"format": FORMAT, "pipeline": pipeline, "run_id": run_id, "holder": self.holder, "host": socket.gethostname(), "pid": os.getpid(), "beat": self._clock()} | more
+
+    def _left(self, text: str, pipeline: str) -> dict[str, Any] | None:
+        """The record of a holder that is no longer alive; None of one that has given its lease back."""
+        held = _parsed(text, "lease")
+        if held is None or not isinstance(held.get("beat"), int | float):
+            raise LeaseHeldError(f"the lease of {pipeline!r} cannot be read, so it counts as held")
+        if held.get("released"):
+            return None
+        if self._clock() - held["beat"] < self.stale:
+            raise LeaseHeldError(f"run {held.get('run_id')} of {pipeline!r} is alive")
+        return held
 
     def enter(self, spark: SparkSession, pipeline: str, run_id: str) -> None:
-        files, at = Files(spark), join(self.root, "leases", f"{pipeline}.json")
-        text = files.read_text(at)
-        if text is not None:
-            held = _parsed(text, "lease")
-            if held is None or not isinstance(held.get("beat"), int | float):
-                raise LeaseHeldError(f"the lease of {pipeline!r} cannot be read, so it counts as held")
-            if self._clock() - held["beat"] < self.stale:
-                raise LeaseHeldError(f"run {held.get('run_id')} of {pipeline!r} is alive")
-            files.write_text(join(self.root, "recoveries", pipeline, f"{run_id}.json"), json.dumps({"format": FORMAT, "pipeline": pipeline, "run_id": run_id, "taken_from": held, "at": now()}))
-            files.delete(at)
-        files.write_text(at, self._record(pipeline, run_id), replace=False)
+        log, single = self._log(spark, pipeline), join(self.root, "leases", f"{pipeline}.json")  # the latter of before there were numbers
+        store, last = log.store, log.last()
+        texts = [t for t in (store.read_text(single), store.read_text(log.at(last)) if last else None) if t is not None]
+        left = [x for x in (self._left(t, pipeline) for t in texts) if x]
+        number, record = last + 1, self._record(pipeline, run_id)
+        if not log.take(number, record):
+            raise LeaseHeldError(f"another run of {pipeline!r} took the lease first")
+        if log.last() != number:  # the number had been used and cleared away before
+            store.delete(log.at(number))
+            raise LeaseHeldError(f"another run of {pipeline!r} took the lease first")
+        self.number = number
+        for held in left:
+            store.replace(join(self.root, "recoveries", pipeline, f"{run_id}.json"), json.dumps({"format": FORMAT, "pipeline": pipeline, "run_id": run_id, "taken_from": held, "at": now()}))
+        for n in log.numbers():  # only after the new number is there, so that none is used twice
+            if n < number:
+                store.delete(log.at(n))
+        store.delete(single)
 
         def beat() -> None:
             while not self._stop.wait(self.heartbeat):
                 try:
-                    held = _parsed(files.read_text(at), "lease") or {}
-                    if held.get("holder") != self.holder:
+                    if log.last() != number:
                         self._failed = "another run took the lease"
                         return
-                    files.write_text(at, self._record(pipeline, run_id))
+                    store.replace(log.at(number), json.dumps(self._record(pipeline, run_id)))
                 except Exception as e:  # told when the run ends
                     self._failed = f"a heartbeat failed: {type(e).__name__}"
                     return
 
+        self._failed = None
         self._stop.clear()
         self._thread = threading.Thread(target=beat, daemon=True)
         self._thread.start()
@@ -244,9 +268,11 @@ class Lease:
         self._stop.set()
         if self._thread:
             self._thread.join()
-        files, at = Files(spark), join(self.root, "leases", f"{pipeline}.json")
-        if (_parsed(files.read_text(at), "lease") or {}).get("holder") == self.holder:
-            files.delete(at)
+        log = self._log(spark, pipeline)
+        if self.number and log.last() == self.number:
+            log.store.replace(log.at(self.number), json.dumps(self._record(pipeline, "", released=True)))
+        elif self.number and not self._failed:
+            self._failed = "another run took the lease"
         if self._failed:
             raise LeaseHeldError(f"the lease of {pipeline!r} was not kept: {self._failed}")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from .plans.run import run
 from .queries import _money, _orders_pipeline, _shared, read
 from .sources.datasets import BinaryFile, JSONFile, KeyedBinary, KeyedJSON, KeyedText, Loader, ParquetDataset, Sources, TextFile, missing_or_extra
 from .sources.files import Files
+from .sources.publish import Log, SparkStore
 from .streaming.batches import run_stream
 
 
@@ -419,6 +421,26 @@ def orders_profile(spark, sf_dir):
     return run(spark, made, root, stage="summary", **production(f"{root}/meta")).output
 
 
+def concurrent_appends(spark, sf_dir):
+    """Four writers append their shares of all orders to one table at once, each as a folder that an entry of a log names; the table is what the log names."""
+    root = _shared(spark)
+    log, orders = Log(SparkStore(spark), f"{root}/log"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _cents("o_totalprice").alias("cents"))
+
+    def append(writer):
+        folder = f"{root}/data/{writer}"
+        orders.where(F.pmod("o_orderkey", F.lit(4)) == writer).withColumn("writer", F.lit(writer)).write.parquet(folder)
+        return log.append({"folder": folder}, after=0)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(append, range(4)))
+    rows = spark.read.parquet(*[e["folder"] for e in log.entries()])
+    return rows.groupBy("writer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"), F.sum("cents").alias("cents"), F.lit(log.last()).alias("entries"))
+
+
+def _cents(column: str):
+    return (F.col(column).cast("decimal(18,2)") * 100).cast("long")
+
+
 def _values(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) v({columns})"
 
@@ -476,6 +498,7 @@ UNION ALL SELECT 11 + n, 's2e1 -- "' || lang || '" --> s2e1m' FROM l UNION ALL S
     "ownership_prune": _values("folder, rows", f"('001_first/001_lower', {_DOCS})", "('foreign/x', 0)"),
     "lease_and_guards": _values("number, what", *[f"({k}, {w})" for k, w in enumerate(["'enter a'", "'enter b'", "'completed b'", "'completed a'", f"{_DOCS} || ' rows'", "'held'", "'enter d'", "'failed d'", "'no frame'"])]),
     "stream_of_batches": "SELECT event_type, count(*) AS n FROM events WHERE value >= 10 GROUP BY 1",
+    "concurrent_appends": "SELECT CAST(o_orderkey % 4 AS INTEGER) AS writer, count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT)) AS BIGINT) AS cents, 4 AS entries FROM orders GROUP BY 1",
     "orders_profile": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice * 2 AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_totalprice >= 1000 GROUP BY 1",
 }
 
