@@ -3,8 +3,8 @@
 A table is a folder with `data/` (immutable Parquet shards) and `manifest/`: one small JSON file per version, and lists of shards that versions share.
 A version holds the schema, path, bytes and rows of each open shard (smaller than half the target when written, so that it can still be merged), and
 the names of the lists that hold all settled ones. A commit thus writes its own shards and not the whole table's, and compaction reads open ones only.
-Readers see the shards of one version and nothing else, so a job that dies leaves only files that no version names. A version is committed by
-renaming a finished file to its number, which fails if that number is taken. Rows move only in Spark jobs; the driver handles file names and sizes,
+Readers see the shards of one version and nothing else, so a job that dies leaves only files that no version names. A version is published
+by the one writer that gets its number (sluice.sources.publish), on stores without a rename as well; an arrival whose number was taken is published under the next. Rows move only in Spark jobs; the driver handles file names and sizes,
 and names a folder instead of its files where all of them are live.
 
 Tiers: a shard of b bytes is in tier floor(log(b / first_tier) / log(ratio)), 0 below that. compact() merges the shards of a tier once
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.publish import SparkStore, Store
 from ._common import free_name, remove, scratch_path
 
 #: Arrivals that a table of documents is taken in.
@@ -61,8 +62,9 @@ class VersionTaken(RuntimeError):
 
 
 class ShardedTable:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, first_tier: int = 4 << 20, ratio: int = 4, min_runs: int = 4):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, first_tier: int = 4 << 20, ratio: int = 4, min_runs: int = 4, store: Store | None = None):
         self.spark, self.root, self.target_bytes, self.first_tier, self.ratio, self.min_runs = spark, root.rstrip("/"), target_bytes, first_tier, ratio, max(2, min_runs)
+        self.store = store or SparkStore(spark)
         self._fs_api = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -118,16 +120,9 @@ class ShardedTable:
         lists = self._with_list(before["lists"], [s for s in new if self._settled(s)])
         still = [asdict(s) for s in [*open_shards, *(s for s in new if not self._settled(s))]]
         kept = schema.jsonValue() if schema else before["schema"]
-        made, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:08d}.json")
-        self._create(made.toString(), [{"version": version, "parent": parent, "open": still, "lists": lists, "schema": kept}])
-        try:
-            context = self._fs_api.FileContext.getFileContext(made.makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), self.spark._jsc.hadoopConfiguration())
-            context.rename(made, final, self.spark.sparkContext._gateway.new_array(self._fs_api.Options.Rename, 0))
-        except Exception as e:
-            self._fs.delete(made, False)
-            if "AlreadyExists" in str(e):
-                raise VersionTaken(f"{self.root} already has version {version}") from e
-            raise
+        record = {"version": version, "parent": parent, "open": still, "lists": lists, "schema": kept, "writer": uuid.uuid4().hex}
+        if not self.store.publish(f"{self.root}/manifest/v{version:08d}.json", json.dumps(record)):
+            raise VersionTaken(f"{self.root} already has version {version}")
         return version
 
     # --- writing ------------------------------------------------------------------------------------------------
@@ -157,15 +152,23 @@ class ShardedTable:
         rows = {r["name"]: r["count"] for r in counted}
         return [Shard(f"{at}/{name}", sizes[name], rows.get(name, 0), len(sizes)) for name in sorted(sizes)]
 
+    def _arrive(self, new: list[Shard], schema: T.StructType) -> int:
+        """Commits new shards after the latest version; where another writer gets its number, after that one, since arrivals do not depend on what is there."""
+        while True:
+            version = self.version()
+            try:
+                return self._commit(version, self._manifest(version)["open"], new, schema)
+            except VersionTaken:
+                if self.version() <= version:
+                    raise
+
     def append(self, arrival: DataFrame) -> int:
         """Writes an arrival as immutable shards, one for each task that has rows, and commits them."""
-        version = self.version()
         with self._writing() as run:
-            return self._commit(version, self._manifest(version)["open"], self._write(arrival, run), arrival.schema)
+            return self._arrive(self._write(arrival, run), arrival.schema)
 
     def adopt(self, folder: str, schema: T.StructType) -> int:
         """Moves a folder of Parquet files into the table and commits it as an arrival; one that is not there is an arrival without rows."""
-        version = self.version()
         with self._writing() as run:
             at, new = f"{self.root}/data/{run}", []
             if self._fs.exists(self._path(folder)):
@@ -173,7 +176,7 @@ class ShardedTable:
                 if not self._fs.rename(self._path(folder), self._path(at)):
                     raise OSError("an arrival could not be moved into the table")
                 new = self._shards_in(at, schema)
-            return self._commit(version, self._manifest(version)["open"], new, schema)
+            return self._arrive(new, schema)
 
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.first_tier, self.ratio)))

@@ -1,3 +1,6 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -176,3 +179,42 @@ def test_an_arrival_that_is_not_there(spark, tmp_path):
     assert t.adopt(f"file://{tmp_path}/none", docs.schema) == 1 and t.read().count() == 0
     docs.write.parquet(f"file://{tmp_path}/some")
     assert t.adopt(f"file://{tmp_path}/some", docs.schema) == 2 and t.read().count() == 5
+
+
+def test_arrivals_at_once_all_come_in(spark, tmp_path):
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: table(spark, tmp_path).append(arrival(spark, 100 * k, 100)), range(6)))
+    t = table(spark, tmp_path)
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6] and sorted(r[0] for r in t.read().select("doc_id").collect()) == list(range(600))
+
+
+def test_two_mergers_and_one_version_on_a_store_without_rename(spark, tmp_path, monkeypatch):
+    class Put:
+        """Puts a file if there is none, and has nothing else."""
+
+        def publish(self, path, text):
+            at = path.removeprefix("file://")
+            try:
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "x") as out:
+                    out.write(text)
+                return True
+            except FileExistsError:
+                with open(at) as there:
+                    return there.read() == text
+
+    for k in range(3):
+        table(spark, tmp_path, store=Put()).append(arrival(spark, 100 * k, 100))
+    a, b = table(spark, tmp_path, store=Put()), table(spark, tmp_path, store=Put())
+    write = b._write
+
+    def late(df, run):  # the other merger comes to its end meanwhile
+        new = write(df, run)
+        a.compact()
+        return new
+
+    monkeypatch.setattr(b, "_write", late)
+    with pytest.raises(sharding.VersionTaken):
+        b.compact()
+    assert a.version() == 4 and a.read().count() == 300
+    assert a.vacuum() == 4 and a.read().count() == 300
