@@ -41,6 +41,8 @@ ARRIVALS = 8
 KEEP_VERSIONS = 3
 #: Shards of a list that is left as it is, and smaller lists that a version has at most.
 FULL_LIST, SMALL_LISTS = 4096, 16
+#: Versions that a table object remembers.
+KNOWN_VERSIONS = 16
 #: Seconds after which a writer's mark counts for nothing.
 ABANDONED = 7 * 86400
 
@@ -64,7 +66,8 @@ class VersionTaken(RuntimeError):
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, first_tier: int = 4 << 20, ratio: int = 4, min_runs: int = 4, store: Store | None = None):
         self.spark, self.root, self.target_bytes, self.first_tier, self.ratio, self.min_runs = spark, root.rstrip("/"), target_bytes, first_tier, ratio, max(2, min_runs)
-        self.store = store or SparkStore(spark)
+        self._files, self._known = SparkStore(spark), {}
+        self.store = store or self._files
         self._fs_api = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -82,7 +85,14 @@ class ShardedTable:
         version = self.version() if version is None else version
         if not version:
             return {"open": [], "lists": [], "schema": None}
-        own = json.loads(self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0])
+        if version not in self._known:
+            text = self._files.read_text(f"{self.root}/manifest/v{version:08d}.json")
+            if text is None:
+                raise FileNotFoundError(f"{self.root} has no version {version}")
+            while len(self._known) >= KNOWN_VERSIONS:
+                self._known.pop(next(iter(self._known)))
+            self._known[version] = json.loads(text)  # a version never changes
+        own = self._known[version]
         return own | {"open": [Shard(**s) for s in own["open"]]}
 
     def _listed(self, lists: list[dict]) -> DataFrame:
@@ -142,14 +152,19 @@ class ShardedTable:
         df.write.parquet(at)
         return self._shards_in(at, df.schema)
 
-    def _shards_in(self, at: str, schema: T.StructType) -> list[Shard]:
-        """The Parquet files of a folder as shards."""
+    def _rows_of(self, at: str, schema: T.StructType) -> dict[tuple[str, str], int]:
+        """Rows of each Parquet file below a folder, from one job, by the names of its folder and its own; as many rows as a listing has."""
+        parts = F.split(F.input_file_name(), "/")
+        counted = self.spark.read.schema(schema).parquet(at).select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name")).groupBy("folder", "name").count()
+        return {(r["folder"], r["name"]): r["count"] for r in counted.collect()}
+
+    def _shards_in(self, at: str, schema: T.StructType, rows: dict[str, int] | None = None) -> list[Shard]:
+        """The Parquet files of a folder as shards, with their rows as counted now or, if given, before."""
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(at)) if s.getPath().getName().endswith(".parquet")}
         if not sizes:
             return []
-        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        counted = self.spark.read.schema(schema).parquet(at).select(name.alias("name")).groupBy("name").count().collect()  # a row for each file, as in the listing
-        rows = {r["name"]: r["count"] for r in counted}
+        if rows is None:
+            rows = {name: n for (_, name), n in self._rows_of(at, schema).items()}
         return [Shard(f"{at}/{name}", sizes[name], rows.get(name, 0), len(sizes)) for name in sorted(sizes)]
 
     def _arrive(self, new: list[Shard], schema: T.StructType) -> int:
@@ -167,15 +182,18 @@ class ShardedTable:
         with self._writing() as run:
             return self._arrive(self._write(arrival, run), arrival.schema)
 
-    def adopt(self, folder: str, schema: T.StructType) -> int:
-        """Moves a folder of Parquet files into the table and commits it as an arrival; one that is not there is an arrival without rows."""
+    def adopt(self, folder: str, schema: T.StructType, rows: dict[str, int] | None = None) -> int:
+        """Moves a folder of Parquet files into the table and commits it as an arrival; one that is not there is an arrival without rows.
+
+        rows: those of each file by its name, if they have been counted already.
+        """
         with self._writing() as run:
             at, new = f"{self.root}/data/{run}", []
             if self._fs.exists(self._path(folder)):
                 self._fs.mkdirs(self._path(f"{self.root}/data"))
                 if not self._fs.rename(self._path(folder), self._path(at)):
                     raise OSError("an arrival could not be moved into the table")
-                new = self._shards_in(at, schema)
+                new = self._shards_in(at, schema, rows)
             return self._arrive(new, schema)
 
     def _tier(self, size: int) -> int:
@@ -265,8 +283,11 @@ def shard_documents(documents: DataFrame, root: str | None = None, arrivals: int
     mark, incoming = free_name(documents, "turn"), f"{table.root}/incoming/{uuid.uuid4().hex}"
     turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(arrivals))
     documents.withColumn(mark, turn).write.partitionBy(mark).parquet(incoming)
+    rows: dict[str, dict[str, int]] = {}
+    for (folder, name), n in table._rows_of(incoming, documents.schema).items():
+        rows.setdefault(folder, {})[name] = n
     for k in range(arrivals):
-        table.adopt(f"{incoming}/{mark}={k}", documents.schema)
+        table.adopt(f"{incoming}/{mark}={k}", documents.schema, rows.get(f"{mark}={k}", {}))
         table.compact()
         table.vacuum(keep=keep_versions)
     remove(spark, incoming)
