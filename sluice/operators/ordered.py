@@ -21,6 +21,8 @@ from ..sources.files import join, shared_dir
 HEAVY = 100_000
 #: Each level's buckets are so many times as wide as those of the level below.
 STEP = 4
+#: Buckets of interval rows are first counted by so many hashes.
+CELLS = 1 << 16
 
 _KEY, _AT, _SIDE, _TIE, _PART, _HEAD = "__key", "__at", "__side", "__tie", "__part", "__head"
 
@@ -198,22 +200,21 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: t
     Spans are numbers or timestamps (in seconds, for the width). A span's level is the first whose buckets are as wide as it is: `width` at level 0, STEP times wider at each; the last takes all
     longer ones. Two spans meet at the higher of their levels, where each touches few buckets, in the bucket in which the later one starts, so each pair
     comes once. A key's rows are thus spread over its buckets; (key, bucket)s of over HEAVY right rows are dealt over parts. An empty span (start >= end, unless closed and equal) and one with a null overlap nothing.
+
+    The left frame is read once for its levels, unless its spans are points (one column named twice), and once for the join; the right one once more, for the sizes of buckets. Write frames that are
+    costly to make before. Only the columns that are used of the pairs are shuffled, once each.
     """
     if width <= 0 or not 1 <= levels <= 30:
         raise ValueError("width is above 0 and levels are 1 to 30")
     spark = left.sparkSession
-    a = _spanned(left, on, left_span, width, levels, closed)
-    b = _spanned(right, on, right_span, width, levels, closed)
-    at = lambda df: [r["__level"] for r in df.select("__level").distinct().collect()]  # noqa: E731  `levels` at most
-    met = _bucketed(a, at(b), width)
-    other = _bucketed(b, at(a), width)
-    sizes = _written(other.groupBy(_KEY, "__on", "__bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY), "sizes")
-    met, other = _spread(spark, met, other, sizes)
-    pairs = met.alias("x").join(other.alias("y"), [_KEY, "__on", "__bucket", "__deal"])
-    start = F.greatest("x.__from", "y.__from")
-    overlap = (F.col("x.__from") <= F.col("y.__to")) & (F.col("y.__from") <= F.col("x.__to")) if closed else (F.col("x.__from") < F.col("y.__to")) & (F.col("y.__from") < F.col("x.__to"))
-    once = (F.col("__on") == F.greatest("x.__level", "y.__level")) & (_number(start, F.col("__on"), width) == F.col("__bucket"))
-    return pairs.where(overlap & once).select(F.col("x.row").alias("left"), F.col("y.row").alias("right"))
+    a, b = _Spans(left, "__x", on, left_span, width, levels, closed), _Spans(right, "__y", on, right_span, width, levels, closed)
+    met, other = a.bucketed(b.found), b.bucketed(a.found)
+    met, other, dealt = _spread(spark, met, other, a.place, b.place)
+    pairs = met.join(other, _all([F.col(x) == F.col(y) for x, y in [*zip(a.place, b.place, strict=True), *dealt]]))
+    start = F.greatest(a.start, b.start)
+    overlap = (a.start <= b.end) & (b.start <= a.end) if closed else (a.start < b.end) & (b.start < a.end)
+    once = (F.col("__x_on") == F.greatest(a.level, b.level)) & (_number(start, F.col("__x_on"), width) == F.col("__x_bucket"))
+    return pairs.where(overlap & once).select(a.row.alias("left"), b.row.alias("right"))
 
 
 def _number(at: Column, level: Column, width: float) -> Column:
@@ -221,32 +222,54 @@ def _number(at: Column, level: Column, width: float) -> Column:
     return F.floor(at / (F.lit(float(width)) * F.pow(F.lit(float(STEP)), level)))
 
 
-def _spanned(df: DataFrame, on: list[str], span: tuple[str, str], width: float, levels: int, closed: bool) -> DataFrame:
-    """(key, row, from, to, level) of the spans that may overlap anything."""
-
-    def number(column: str) -> Column:
-        kind = df.schema[column].dataType.simpleString()
-        return F.col(column).cast("timestamp").cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else F.col(column).cast("double")
-
-    rows = df.select(F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(on)]).alias(_KEY), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), number(span[0]).alias("__from"), number(span[1]).alias("__to"))
-    named = _all([F.col(f"row.{c}").isNotNull() for c in on])
-    some = F.col("__from") <= F.col("__to") if closed else F.col("__from") < F.col("__to")
-    steps = F.ceil(F.log(float(STEP), F.greatest((F.col("__to") - F.col("__from")) / F.lit(float(width)), F.lit(1.0))))
-    return rows.where(named & some).withColumn("__level", F.least(F.greatest(steps, F.lit(0)), F.lit(levels - 1)).cast("int"))
-
-
-def _bucketed(spans: DataFrame, others: list[int], width: float) -> DataFrame:
-    """Each span once for each bucket that it touches at its own level and at those above that the other side has; a few, but for the last level."""
-    above = F.filter(F.array(*[F.lit(x) for x in sorted(others)]).cast("array<int>"), lambda x: x > F.col("__level"))
-    on = spans.withColumn("__on", F.explode(F.concat(F.array("__level"), above)))
-    return on.withColumn("__bucket", F.explode(F.sequence(_number(F.col("__from"), F.col("__on"), width), _number(F.col("__to"), F.col("__on"), width))))
-
-
-def _spread(spark: SparkSession, met: DataFrame, other: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with __deal: the right rows of a large bucket are dealt over parts by a hash, and each left row goes to all of its bucket's parts."""
-    place = [_KEY, "__on", "__bucket"]
+class _Spans:
+    """The rows of one side that may overlap anything, their columns under names of their own; start, end, level and row are expressions over these, so that none is shuffled beside its column."""
+
+    def __init__(self, df: DataFrame, side: str, on: list[str], span: tuple[str, str], width: float, levels: int, closed: bool) -> None:
+        names = {c: f"{side}{k}" for k, c in enumerate(df.columns)}
+
+        def number(column: str) -> Column:
+            kind, at = df.schema[column].dataType.simpleString(), F.col(names[column])
+            return at.cast("timestamp").cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else at.cast("double")
+
+        self.side, self.width, self.point = side, width, span[0] == span[1]
+        self.start, self.end = number(span[0]), number(span[1])
+        steps = F.ceil(F.log(float(STEP), F.greatest((self.end - self.start) / F.lit(float(width)), F.lit(1.0))))
+        self.level = F.lit(0) if self.point else F.least(F.greatest(steps, F.lit(0)), F.lit(levels - 1)).cast("int")
+        self.row = F.struct(*[F.col(n).alias(c) for c, n in names.items()])
+        self.place = [*[names[c] for c in on], f"{side}_on", f"{side}_bucket"]
+        some = self.start <= self.end if closed else self.start < self.end
+        self.rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).where(_all([F.col(names[c]).isNotNull() for c in on]) & some)
+        #: The levels that there are, `levels` at most; points are all at the lowest.
+        self.found = [0] if self.point else [r[0] for r in self.rows.select(self.level).distinct().collect()]
+
+    def bucketed(self, others: list[int]) -> DataFrame:
+        """Each span once for each bucket that it touches at its own level and at those above that the other side has; a few, but for the last level."""
+        on, bucket = self.place[-2:]
+        above = [x for x in sorted(others) if x > min(self.found, default=0)]
+        if above:
+            higher = F.filter(F.array(*[F.lit(x) for x in above]).cast("array<int>"), lambda x: x > self.level)
+            spans = self.rows.withColumn(on, F.explode(F.concat(F.array(self.level), higher)))
+        else:
+            spans = self.rows.withColumn(on, F.lit(self.found[0]) if len(self.found) == 1 else self.level)
+        first, last = (_number(at, F.col(on), self.width) for at in (self.start, self.end))
+        return spans.withColumn(bucket, first if self.point else F.explode(F.sequence(first, last)))
+
+
+def _spread(spark: SparkSession, met: DataFrame, other: DataFrame, left: list[str], right: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """Both sides, with columns to be equal too: the right rows of a large bucket are dealt over parts by a hash, and each left row goes to all of its bucket's parts.
+
+    Buckets are counted by CELLS hashes, which tasks add up before the shuffle, and one by one only in cells of over HEAVY rows, as a large bucket's is.
+    """
+    cell = F.pmod(F.xxhash64(*right), F.lit(CELLS)).alias("cell")
+    cells = _written(other.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("cell"), "cells")
+    if cells.isEmpty():
+        return met, other, []
+    counted = other.select(*right, cell).join(F.broadcast(cells), "cell").groupBy(*right).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = _written(counted.where(F.col("__n") > HEAVY).select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(right)], "__n"), "sizes")
     large = F.broadcast(sizes) if sizes.count() * 256 < 64 << 20 else sizes
-    parts = F.coalesce(F.ceil(F.col("n") / HEAVY), F.lit(1)).cast("long")
-    dealt = other.join(large, place, "left").withColumn("__deal", F.pmod(F.xxhash64("row"), parts)).drop("n")
-    copied = met.join(large, place, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
-    return copied, dealt
+    at = lambda place: _all([F.col(c) == F.col(f"__p{k}") for k, c in enumerate(place)])
+    parts = F.coalesce(F.ceil(F.col("__n") / HEAVY), F.lit(1)).cast("long")
+    dealt = other.join(large, at(right), "left").select(*other.columns, F.pmod(F.xxhash64(*other.columns), parts).alias("__y_deal"))
+    copied = met.join(large, at(left), "left").select(*met.columns, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__x_deal"))
+    return copied, dealt, [("__x_deal", "__y_deal")]

@@ -60,7 +60,9 @@ def event_type_ranks(spark, sf_dir):
 def concurrent_orders(spark, sf_dir):
     """How many other orders of its customer are open at some time while an order is, from its date to its last shipment, if that is later."""
     shipped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("until"))
-    spans = read(spark, sf_dir, "orders").join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate", "until")
+    root = _shared(spark)
+    read(spark, sf_dir, "orders").join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate", "until").write.parquet(root)
+    spans = spark.read.parquet(root)  # both sides read it several times
     met = ordered.interval_join(spans, spans, ["o_custkey"], ("o_orderdate", "until"), ("o_orderdate", "until"), width=86400.0 * 7)
     return met.groupBy(F.col("left.o_orderkey").alias("o_orderkey")).agg((F.count(F.lit(1)) - 1).alias("others"))
 
@@ -68,7 +70,7 @@ def concurrent_orders(spark, sf_dir):
 def events_in_orders(spark, sf_dir):
     """Line items that ship while another order of the same customer is at most a day old: points in intervals."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 1 day")).alias("until"))
-    lines = read(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey", "l_shipdate")
+    lines = read(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("l_orderkey", "o_custkey", "l_shipdate")
     met = ordered.interval_join(lines, orders, ["o_custkey"], ("l_shipdate", "l_shipdate"), ("o_orderdate", "until"), width=86400.0, closed=True)
     return met.where("left.l_orderkey <> right.o_orderkey").groupBy(F.col("right.o_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
 

@@ -110,3 +110,32 @@ def test_intervals_of_timestamps_with_themselves(spark):
     got = ordered.interval_join(df, df, ["k"], ("a", "b"), ("a", "b"), width=86400)
     assert sorted((r["left"]["id"], r["right"]["id"]) for r in got.collect()) == [("x", "x"), ("x", "y"), ("y", "x"), ("y", "y"), ("z", "z")]
     assert ordered.interval_join(df.limit(0), df, ["k"], ("a", "b"), ("a", "b"), width=1).count() == 0
+
+
+def test_points_are_made_once_and_only_used_columns_are_read(spark, tmp_path):
+    at, made = f"file://{tmp_path}/rows", spark.sparkContext.accumulator(0)
+    spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id"), (F.col("id") + 3).alias("until"), F.col("id").cast("string").alias("unused")).write.parquet(at)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.read.parquet(at)
+    points = rows.mapInPandas(counted, rows.schema)
+    got = ordered.interval_join(points, rows, ["k"], ("id", "id"), ("id", "until"), width=3, closed=True).select("left.id", F.col("right.id").alias("other"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((p, i) for p in range(60) for i in range(60) if p % 3 == i % 3 and i <= p <= i + 3)
+    assert made.value == 60
+    alone = ordered.interval_join(rows, rows, ["k"], ("id", "id"), ("id", "until"), width=3, closed=True).select("left.id", F.col("right.id").alias("other"))
+    assert "unused" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_that_hold_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HEAVY", 20)
+    monkeypatch.setattr(ordered, "CELLS", 2)
+    left = spark.range(90).select(F.lit(1).alias("k"), F.col("id").alias("a"), (F.col("id") + 2).alias("b"))
+    right = left.unionByName(spark.range(30).select(F.lit(1).alias("k"), F.lit(50).cast("long").alias("a"), (F.col("id") + 51).alias("b")))
+    got = ordered.interval_join(left, right, ["k"], ("a", "b"), ("a", "b"), width=4)
+    rows = [tuple(r) for r in right.collect()]
+    want = sorted((x, x + 2, a, b) for x in range(90) for _, a, b in rows if x < b and a < x + 2)
+    assert sorted((r["left"]["a"], r["left"]["b"], r["right"]["a"], r["right"]["b"]) for r in got.collect()) == want
