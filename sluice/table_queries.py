@@ -169,9 +169,11 @@ def sketch_rollup(spark, sf_dir):
     sketches.sketched(events, ["event_type", "day"], distinct={"users": "user_id"}, quantiles={"value": "value"}).write.parquet(root)
     sets, by = [["event_type", "day"], ["event_type"], []], ["event_type", "day"]
     told = sketches.answers(sketches.rolled(spark.read.parquet(root), sets))
-    exact = events.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.countDistinct("user_id").alias("users"), F.percentile_approx("value", [0.45, 0.55], 10_000).alias("around"))
+    grouped = lambda made: events.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.grouping_id().alias("grouping"), made)
+    # apart, as a distinct count beside them would make a digest of values for each user
+    users, around = grouped(F.countDistinct("user_id").alias("users")), grouped(F.percentile_approx("value", [0.45, 0.55], 10_000).alias("around"))
     named = lambda df: df.withColumns({c: F.coalesce(c, F.lit("*")) for c in by})
-    met = named(told).join(named(exact), by)
+    met = named(told).join(named(users), ["grouping", *by]).join(named(around), ["grouping", *by])
     near = F.abs(F.col("d_users") / F.col("users") - 1) <= 0.07  # over four standard errors
     return met.select(*by, "n", near.alias("users_near"), F.col("q_value")[0].between(F.col("around")[0], F.col("around")[1]).alias("median_near"))
 

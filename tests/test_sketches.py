@@ -1,6 +1,9 @@
+import duckdb
 import pytest
+from conftest import same_rows
 from pyspark.sql import functions as F
 
+from sluice import table_queries
 from sluice.operators import sketches
 
 
@@ -34,6 +37,20 @@ def test_empty_and_null_values(events, spark):
     assert {r["d_users"] for r in sketches.answers(nulls).collect()} == {0}
 
 
+def test_rollup_makes_no_digest_for_each_user(spark, sf_dir):
+    plan = table_queries.sketch_rollup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    digests = [x for x in plan.splitlines() if "percentile_approx" in x]
+    assert digests and not any("user_id" in x.partition("functions=")[0] for x in digests)
+
+
+def test_rollup_with_null_types_equals_its_sql(spark, sf_dir, tmp_path):
+    null = F.when(F.col("event_id") % 4 > 0, F.col("event_type"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_type", null).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert same_rows(table_queries.sketch_rollup(spark, f"file://{tmp_path}").toPandas(), con.execute(table_queries.SQL["sketch_rollup"]).df())
+
+
 def test_options_from_the_environment():
     from sluice.sources.environment import store_options
     from sluice.sources.keyed_files import store_of
